@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 
 from silvergrain.llm.common import cut, words
 
-#: Documents of a block, on average.
-BLOCK_ROWS = 2048
+#: Documents of a block, on average, and the blocks that a small source is cut into all the same.
+BLOCK_ROWS, LEAST_BLOCKS = 2048, 64
 #: Most rounds that a source gives.
 MOST = 3
 
@@ -53,10 +53,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 def mix(docs: DataFrame, seed: int = 17, shards: int = 16, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """Per row: id, size, source_size, target, taken, copies, shard, place.
 
-    size counts words, taken is size times copies. copies is 0 to MOST; a
-    source's taken words miss its target by less than its largest document.
-    Rows without words take no part in the target: they are taken as often as
-    the whole rounds say. Null sources are one source, the last. Rows alike in
+    size counts words. A row is used in copies (0 to MOST) rounds; in the last
+    one, the source's document at the border gives only as many words as are
+    left, so that a source's taken words miss its target by less than one.
+    Rows without words are used as often as the whole rounds say. Null sources are one source, the last. Rows alike in
     id and text are told apart by no column and may swap copies. The same seed
     gives the same mix. An empty table gives an empty one.
     """
@@ -66,7 +66,7 @@ def mix(docs: DataFrame, seed: int = 17, shards: int = 16, weights: tuple[int, .
     goals = targets(sources.drop("__rows"))
     share_of = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goals = goals.withColumn("__rounds", F.least(F.floor(share_of), F.lit(MOST)).cast("int")).withColumn("__more", F.greatest(F.col("target") - F.col("__rounds") * F.col("source_size"), F.lit(0.0)))
-    goals = cut(goals.alias("g").join(sources.select(F.col("source").alias("__s"), "__rows"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("__blocks", F.ceil(F.col("__rows") / BLOCK_ROWS)), "goals")
+    goals = cut(goals.alias("g").join(sources.select(F.col("source").alias("__s"), "__rows"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("__blocks", F.greatest(F.ceil(F.col("__rows") / BLOCK_ROWS), F.lit(LEAST_BLOCKS))), "goals")
     own = goals.select(F.col("source").alias("__s"), "source_size", "target", "__rounds", "__more", "__blocks")
     # the hash permutes a source's rows; its upper part names the block
     placed = sized.join(own, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("__block", F.pmod(F.shiftrightunsigned("__h", 20), F.col("__blocks")))
@@ -78,9 +78,10 @@ def mix(docs: DataFrame, seed: int = 17, shards: int = 16, weights: tuple[int, .
     rows = placed.join(keys, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
     inside = Window.partitionBy("source", "__block").orderBy("__h", "doc_id")
     upto = F.col("__before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    drawn = rows.withColumn("__drawn", (upto <= F.col("__more")) & (F.col("size") > 0) & (F.col("__rounds") < MOST))
-    copies = F.col("__rounds") + F.col("__drawn").cast("int")
-    return drawn.select(F.col("doc_id").alias(id_column), "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), "shard", F.xxhash64("__h", F.lit(seed + 1)).alias("place"))
+    part = F.when(F.col("__rounds") < MOST, F.greatest(F.least(F.floor("__more") - upto + F.col("size"), F.col("size")), F.lit(0))).otherwise(F.lit(0))
+    drawn = rows.withColumn("__part", part.cast("long"))
+    copies = F.col("__rounds") + (F.col("__part") > 0).cast("int")
+    return drawn.select(F.col("doc_id").alias(id_column), "size", "source_size", "target", (F.col("size") * F.col("__rounds") + F.col("__part")).alias("taken"), copies.alias("copies"), "shard", F.xxhash64("__h", F.lit(seed + 1)).alias("place"))
 
 
 def splitting_tree(blocks: DataFrame, shards: int, seed: int) -> DataFrame:

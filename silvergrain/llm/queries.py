@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from silvergrain.llm import mixing, packing, quality, token_counts
+from silvergrain.llm import mixing, packing, quality, sharding, token_counts, topk
 from silvergrain.llm.common import table
 
 
@@ -26,10 +27,21 @@ def op3_quality_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(docs).drop("distance")
 
 
+def op4_topk_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_mix_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op9_shard_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    dealt = sharding.shards(docs)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("piece_bpe_32k.model"))
 
@@ -37,7 +49,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_minimum_bin_slack": op2_pack_minimum_bin_slack,
     "op3_quality_robust_outliers": op3_quality_robust_outliers,
+    "op4_topk_pivot_index": op4_topk_pivot_index,
     "op8_mix_splitting_tree": op8_mix_splitting_tree,
+    "op9_shard_kd_tree": op9_shard_kd_tree,
     "op10_token_counts": op10_token_counts,
 }
 
