@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvergrain.llm import mixing, packing, quality, sharding, token_counts, topk
+from silvergrain.llm import jaccard_join, mixing, packing, quality, sharding, token_counts, topk
 from silvergrain.llm.common import table
 
 
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_pack_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
@@ -47,6 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_pack_minimum_bin_slack": op2_pack_minimum_bin_slack,
     "op3_quality_robust_outliers": op3_quality_robust_outliers,
     "op4_topk_pivot_index": op4_topk_pivot_index,
