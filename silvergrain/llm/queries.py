@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvergrain.llm import jaccard_join, lm_scoring, mixing, packing, quality, sharding, token_counts, topk
+from silvergrain.llm import jaccard_join, lm_scoring, mixing, packing, quality, sharding, suffix_dedup, token_counts, topk
 from silvergrain.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_topk_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_lm_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_minimum_bin_slack": op2_pack_minimum_bin_slack,
     "op3_quality_robust_outliers": op3_quality_robust_outliers,
     "op4_topk_pivot_index": op4_topk_pivot_index,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_lm_deleted_interpolation": op6_lm_deleted_interpolation,
     "op8_mix_splitting_tree": op8_mix_splitting_tree,
     "op9_shard_kd_tree": op9_shard_kd_tree,
