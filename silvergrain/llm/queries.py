@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvergrain.llm import jaccard_join, lm_scoring, mixing, packing, quality, sharding, suffix_dedup, token_counts, topk
+from silvergrain.llm import html_text, jaccard_join, lm_scoring, mixing, packing, quality, sharding, suffix_dedup, token_counts, topk
 from silvergrain.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op6_lm_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_html_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op8_mix_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_topk_pivot_index": op4_topk_pivot_index,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_lm_deleted_interpolation": op6_lm_deleted_interpolation,
+    "op7_html_page_differencing": op7_html_page_differencing,
     "op8_mix_splitting_tree": op8_mix_splitting_tree,
     "op9_shard_kd_tree": op9_shard_kd_tree,
     "op10_token_counts": op10_token_counts,
