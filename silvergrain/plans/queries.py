@@ -117,7 +117,7 @@ def q_in_folder(spark, sf_dir):
     return predicates.visible(documents_catalog(spark, sf_dir), roots, recursive=False).select("doc_id")
 
 
-@query("SELECT doc_id, size_bytes, CASE WHEN size_bytes < 1024 THEN size_bytes::VARCHAR || ' B' WHEN size_bytes < 1048576 THEN rtrim(rtrim(printf('%.2f', size_bytes / 1024.0::DOUBLE), '0'), '.') || ' KB' WHEN size_bytes < 1073741824 THEN rtrim(rtrim(printf('%.2f', size_bytes / 1048576.0::DOUBLE), '0'), '.') || ' MB' ELSE 'more' END AS shown, strftime(modified_at, '%Y-%m-%d %H:%M') AS at FROM catalog")
+@query("SELECT doc_id, size_bytes, CASE WHEN size_bytes < 1024 THEN size_bytes::VARCHAR || ' B' WHEN size_bytes < 1048576 THEN rtrim(rtrim(printf('%.2f', round(size_bytes / 1024.0::DOUBLE, 2)), '0'), '.') || ' KB' WHEN size_bytes < 1073741824 THEN rtrim(rtrim(printf('%.2f', round(size_bytes / 1048576.0::DOUBLE, 2)), '0'), '.') || ' MB' ELSE 'more' END AS shown, strftime(modified_at, '%Y-%m-%d %H:%M') AS at FROM catalog")
 def q_display_text(spark, sf_dir):
     return documents_catalog(spark, sf_dir).select("doc_id", "size_bytes", naming.human_size(F.col("size_bytes")).alias("shown"), F.date_format("modified_at", "yyyy-MM-dd HH:mm").alias("at"))
 
