@@ -37,7 +37,7 @@ def packed(hashes: np.ndarray, blocks: np.ndarray, n: int) -> pa.RecordBatch:
     order = np.argsort(group, kind="stable")
     group, key = group[order], key[order]
     edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, int)
-    ends = np.r_[edges[1:], len(group)]
+    ends = np.r_[edges[1:], len(group)][: len(edges)]
     return pa.RecordBatch.from_arrays(
         [pa.array((group[edges] % n).astype(np.int32)), pa.array((group[edges] // n).astype(np.int32)), pa.array([key[a:z].tobytes() for a, z in zip(edges, ends, strict=True)], pa.binary())],
         names=["bucket", "block", "keys"],

@@ -13,10 +13,11 @@ the threshold share an entry; what shares an entry is verified.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvergrain.llm.blocks import ASKED, Known, block_of, packed, repeated
@@ -28,10 +29,12 @@ from silvergrain.llm.text_arrays import U, flat, mix, shingles, word_hashes
 FREQUENT = 7
 #: Sets with fewer tokens than this share one class of frequent tokens; a set twice as long has twice the classes.
 CLASS_BITS = 5
+#: 64-bit words of a set's bitmap: the parity of its tokens in each of 64 * WORDS classes.
+WORDS = 16
 #: Entries with at most so many sets compare all of them, larger ones go by pivots first.
 SMALL = 12
 ROUNDS = 4
-SIGNED = "node long, n long, alone double, sigs array<long>, tokens binary"
+SIGNED = "node long, n long, shared long, sigs array<long>, tokens binary, bits array<long>"
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +95,24 @@ def links_of(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _near(x: str, y: str, percent: int):
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+def _possible(x: str, y: str, percent: int) -> Column:
+    """Whether two sets can reach the threshold at all: no more is common to them than either shares with any text."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    most = F.least(f"{x}shared", f"{y}shared", n, m)
+    return (100 + percent) * most >= percent * (n + m)
+
+
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((tokens % U(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_differ_little(x: str, y: str, percent: int) -> Column:
+    """A bound that looks at tokens: classes of odd difference, and the tokens of one text only, all lie in just one of the sets."""
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.get(f"{x}bits", F.lit(k)).bitwiseXOR(F.get(f"{y}bits", F.lit(k)))) for k in range(WORDS)])
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    least = differ + n - F.col(f"{x}shared") + m - F.col(f"{y}shared")
+    return (100 + percent) * least <= (100 - percent) * (n + m)
 
 
 def linked_components(signed: DataFrame, percent: int) -> DataFrame:
@@ -101,37 +120,47 @@ def linked_components(signed: DataFrame, percent: int) -> DataFrame:
 
     Entries with the same sets count once. In a large entry, pivots (the set
     with the fewest tokens of its own first) are compared with the sets of other
-    components, which joins copies of one text in linear work; what then still
-    stands apart in an entry is compared in full, so that no link is lost.
+    components, which joins copies of one text in linear work; rounds go on while
+    they find links. What then still stands apart in an entry is compared in
+    full by bitmaps, and what these can't tell apart by tokens: no link is lost.
     """
-    spread = signed.where(F.size("sigs") > 0).select("node", "n", "alone", F.explode("sigs").alias("sig"))
+    spread = signed.where(F.size("sigs") > 0).select("node", "n", "shared", F.explode("sigs").alias("sig"))
     entries = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), "node")).alias("y")).where("c > 1")
     kept = cut(entries.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "c"), "entries")
     members = cut(spread.join(kept, "sig"), "members")
-    held = cut(signed.where(F.size("sigs") > 0).select("node", "n", "tokens").join(members.select("node").distinct(), "node", "left_semi"), "tokens")
+    held = cut(signed.where(F.size("sigs") > 0).select("node", "n", "tokens", "bits").join(members.select("node").distinct(), "node", "left_semi"), "tokens")
     a, b = members.where(F.col("c") <= SMALL).alias("l"), members.where(F.col("c") <= SMALL).alias("r")
-    pairs = a.join(b, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node")) & _near("l.n", "r.n", percent)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    pairs = a.join(b, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node")) & _possible("l.", "r.", percent)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     comps = components(cut(links_of(pairs, held, percent), "links"))
     large = members.where(F.col("c") > SMALL)
     if large.limit(1).count() == 0:
         return comps
-    for turn in range(ROUNDS + 1):
+    turn = 0
+    while True:
         placed = large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         apart = cut(placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig"), "apart")
         if apart.limit(1).count() == 0:
             break
         left = cut(placed.join(apart, "sig", "left_semi"), "left")
         if turn == ROUNDS:
-            l, r = left.alias("l"), left.alias("r")
-            found = l.join(r, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & _near("l.n", "r.n", percent)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+            seen = left.join(held.select("node", "bits"), "node")
+            l, r = seen.alias("l"), seen.alias("r")
+            found = l.join(r, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & _possible("l.", "r.", percent) & _may_differ_little("l.", "r.", percent)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         else:
-            order = F.struct((F.col("alone") if turn == 0 else F.xxhash64(F.lit(turn), "node").cast("double")).alias("by"), "node", "n", "comp")
-            first = cut(left.groupBy("sig").agg(F.min(order).alias("p")).select("sig", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc")), "pivots")
+            alone = 1 - F.col("shared") / F.col("n")
+            order = F.struct((alone if turn == 0 else F.xxhash64(F.lit(turn), "node").cast("double")).alias("by"), "node", "n", "shared", "comp")
+            first = cut(left.groupBy("sig").agg(F.min(order).alias("p")).select("sig", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.shared").alias("pshared"), F.col("p.comp").alias("pc")), "pivots")
             others = left.join(first, "sig").where("comp <> pc")
-            second = cut(others.groupBy("sig").agg(F.min(F.struct("alone", "node", "n", "comp")).alias("p")).select("sig", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc")), "pivots")
+            second = cut(others.groupBy("sig").agg(F.min(F.struct(alone.alias("by"), "node", "n", "shared", "comp")).alias("p")).select("sig", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.shared").alias("pshared"), F.col("p.comp").alias("pc")), "pivots")
             stars = others.unionByName(left.join(second, "sig").where("comp <> pc"))
-            found = stars.where(_near("n", "pn", percent)).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-        comps = joined(comps, cut(links_of(found.distinct(), held, percent), "links"))
+            found = stars.where(_possible("", "p", percent)).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+        links = cut(links_of(found.distinct(), held, percent), "links")
+        some = links.limit(1).count() > 0
+        if some:
+            comps = joined(comps, links)
+        if turn == ROUNDS:
+            break
+        turn = turn + 1 if some else ROUNDS
     return comps
 
 
@@ -168,7 +197,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
         nodes = np.unique(np.array([x for x in told["node"].to_pylist() if x is not None], np.int64))
         texts = texts.filter(pa.array(np.isin(texts["doc_id"].to_numpy(), nodes)))
         held = Known(told.filter(told["bucket"].is_valid()), n)
-        out = {"node": texts["doc_id"].to_pylist(), "n": [], "alone": [], "sigs": [], "tokens": []}
+        out = {"node": texts["doc_id"].to_pylist(), "n": [], "shared": [], "sigs": [], "tokens": [], "bits": []}
         for _, data, offsets in flat(texts["text"]):
             tokens, at = _sets(data, offsets, k)
             level = held.level(tokens)
@@ -176,10 +205,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
                 own, times = tokens[lo:hi], level[lo:hi]
                 sigs = signatures(own, times, percent) if hi > lo else np.zeros(0, np.int64)
                 out["n"].append(hi - lo)
-                out["alone"].append(float((times == 0).sum()) / max(hi - lo, 1))
+                out["shared"].append(int((times > 0).sum()))
                 out["sigs"].append(sigs)
                 out["tokens"].append(own[times > 0].tobytes() if len(sigs) else None)
-        return pa.table([pa.array(out["node"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["alone"], pa.float64()), pa.array(out["sigs"], pa.list_(pa.int64())), pa.array(out["tokens"], pa.binary())], names=list(out))
+                out["bits"].append(_parities(own[times > 0]) if len(sigs) else None)
+        return pa.table([pa.array(out["node"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["shared"], pa.int64()), pa.array(out["sigs"], pa.list_(pa.int64())), pa.array(out["tokens"], pa.binary()), pa.array(out["bits"], pa.list_(pa.int64()))], names=list(out))
 
     by_block = known.select("block", "doc_id", "text").groupBy("block").cogroup(wanted.groupBy("block"))
     signed = cut(by_block.applyInArrow(sign, SIGNED), "signed")
