@@ -38,9 +38,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, in the mix's order within a partition."""
-    drawn = cut(mixing.mix(docs).where("copies > 0").select("doc_id", "copies", "shard", "place").dropDuplicates(["doc_id"]), "drawn")
-    taken = docs.join(drawn, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return taken.sortWithinPartitions("shard", "copy", "place").select(*docs.columns)
+    drawn = cut(mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("id"), "copies", "shard", "place").dropDuplicates(["id"]), "drawn")
+    rows = docs.alias("d").join(drawn.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.id"))).select(F.struct("d.*").alias("row"), "m.shard", "m.place", F.explode(F.sequence(F.lit(1), "m.copies")).alias("copy"))
+    return rows.sortWithinPartitions("shard", "copy", "place").select("row.*")
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
