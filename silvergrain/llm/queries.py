@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvergrain.llm import html_text, jaccard_join, lm_scoring, mixing, packing, quality, sharding, suffix_dedup, token_counts, topk
+from silvergrain.llm import html_text, jaccard_join, lm_scoring, mixing, oracles, packing, quality, sharding, suffix_dedup, token_counts, topk
 from silvergrain.llm.common import table
 
 
@@ -76,4 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where it can express the query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
+    "op4_topk_pivot_index": oracles.TOPK,
+    "op5_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
+}
