@@ -177,25 +177,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     n = partitions(spark)
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     known = narrow.where("doc_id is not null").withColumn("block", block_of("doc_id", n))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks = batch["block"].to_numpy()
-            hashes, rows = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            for first, data, offsets in flat(batch["text"]):
-                tokens, at = _sets(data, offsets, k)
-                hashes.append(tokens)
-                rows.append(np.repeat(blocks[first : first + len(offsets) - 1], np.diff(at)))
-            yield packed(np.concatenate(hashes), np.concatenate(rows).astype(np.int64), n)
-
     ids = cut(narrow.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(3), "text").alias("g")), "ids")
     firsts = cut(ids.where("doc_id is not null").groupBy("h", "g").agg(F.min("doc_id").alias("node")), "firsts")
-    answers = repeated(known.select("block", "text").mapInArrow(ask, ASKED))
-    wanted = answers.unionByName(firsts.select(block_of("node", n).alias("block"), "node"), allowMissingColumns=True)
 
-    def sign(texts: pa.Table, told: pa.Table) -> pa.Table:
+    def of_nodes(texts: pa.Table, told: pa.Table) -> pa.Table:
+        """The block's texts without copies."""
         nodes = np.unique(np.array([x for x in told["node"].to_pylist() if x is not None], np.int64))
-        texts = texts.filter(pa.array(np.isin(texts["doc_id"].to_numpy(), nodes)))
+        return texts.filter(pa.array(np.isin(texts["doc_id"].to_numpy(), nodes)))
+
+    def ask(texts: pa.Table, told: pa.Table) -> pa.Table:
+        found = [_sets(data, offsets, k)[0] for _, data, offsets in flat(of_nodes(texts, told)["text"])]
+        hashes = np.concatenate([*found, np.zeros(0, U)])
+        block = texts["block"][0].as_py() if len(texts) else 0
+        return pa.Table.from_batches([packed(hashes, np.full(len(hashes), block, np.int64), n)])
+
+    # both passes over the texts share one shuffle; a block sends each bucket one row, however many files it comes from
+    by_block = known.select("block", "doc_id", "text").groupBy("block")
+    mine = firsts.select(block_of("node", n).alias("block"), "node")
+    asked = by_block.cogroup(mine.groupBy("block")).applyInArrow(ask, ASKED)
+    wanted = repeated(asked).unionByName(mine, allowMissingColumns=True)
+
+    def sign(texts: pa.Table, told: pa.Table) -> pa.Table:
+        texts = of_nodes(texts, told)
         held = Known(told.filter(told["bucket"].is_valid()), n)
         out = {"node": texts["doc_id"].to_pylist(), "n": [], "shared": [], "sigs": [], "tokens": [], "bits": []}
         for _, data, offsets in flat(texts["text"]):
@@ -211,8 +214,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
                 out["bits"].append(_parities(own[times > 0]) if len(sigs) else None)
         return pa.table([pa.array(out["node"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["shared"], pa.int64()), pa.array(out["sigs"], pa.list_(pa.int64())), pa.array(out["tokens"], pa.binary()), pa.array(out["bits"], pa.list_(pa.int64()))], names=list(out))
 
-    by_block = known.select("block", "doc_id", "text").groupBy("block").cogroup(wanted.groupBy("block"))
-    signed = cut(by_block.applyInArrow(sign, SIGNED), "signed")
+    signed = cut(by_block.cogroup(wanted.groupBy("block")).applyInArrow(sign, SIGNED), "signed")
     comps = linked_components(signed, percent)
     sizes = signed.groupBy("node").agg(F.max("n").alias("n"))
     classes = cut(firsts.join(sizes, "node").join(comps, "node", "left").select("h", "g", "n", F.coalesce("comp", "node").alias("comp")), "classes")
