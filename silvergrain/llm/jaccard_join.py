@@ -118,7 +118,8 @@ def _may_differ_little(x: str, y: str, percent: int) -> Column:
 def linked_components(signed: DataFrame, percent: int) -> DataFrame:
     """(node, comp) of the nodes with a link.
 
-    Entries with the same sets count once. In a large entry, pivots (the set
+    Entries with the same sets count once. In a large entry (of each set its
+    largest one first, then all that still hold more than one component), pivots (the set
     with the fewest tokens of its own first) are compared with the sets of other
     components, which joins copies of one text in linear work; rounds go on while
     they find links. What then still stands apart in an entry is compared in
@@ -135,12 +136,18 @@ def linked_components(signed: DataFrame, percent: int) -> DataFrame:
     large = members.where(F.col("c") > SMALL)
     if large.limit(1).count() == 0:
         return comps
-    turn = 0
+    # at first each set looks only into its largest entry: copies of one text meet there, once instead of once for each token
+    widest = cut(large.groupBy("node").agg(F.max_by(F.struct("sig", "n", "shared"), F.struct("c", "sig")).alias("e")).select("node", "e.*"), "widest")
+    turn = -1
     while True:
-        placed = large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        pool = widest if turn < 0 else large
+        placed = pool.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         apart = cut(placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig"), "apart")
         if apart.limit(1).count() == 0:
-            break
+            if turn >= 0:
+                break
+            turn = 0
+            continue
         left = cut(placed.join(apart, "sig", "left_semi"), "left")
         if turn == ROUNDS:
             seen = left.join(held.select("node", "bits"), "node")
@@ -148,7 +155,7 @@ def linked_components(signed: DataFrame, percent: int) -> DataFrame:
             found = l.join(r, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & _possible("l.", "r.", percent) & _may_differ_little("l.", "r.", percent)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         else:
             alone = 1 - F.col("shared") / F.col("n")
-            order = F.struct((alone if turn == 0 else F.xxhash64(F.lit(turn), "node").cast("double")).alias("by"), "node", "n", "shared", "comp")
+            order = F.struct((alone if turn <= 0 else F.xxhash64(F.lit(turn), "node").cast("double")).alias("by"), "node", "n", "shared", "comp")
             first = cut(left.groupBy("sig").agg(F.min(order).alias("p")).select("sig", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.shared").alias("pshared"), F.col("p.comp").alias("pc")), "pivots")
             others = left.join(first, "sig").where("comp <> pc")
             second = cut(others.groupBy("sig").agg(F.min(F.struct(alone.alias("by"), "node", "n", "shared", "comp")).alias("p")).select("sig", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.shared").alias("pshared"), F.col("p.comp").alias("pc")), "pivots")
@@ -160,7 +167,7 @@ def linked_components(signed: DataFrame, percent: int) -> DataFrame:
             comps = joined(comps, links)
         if turn == ROUNDS:
             break
-        turn = turn + 1 if some else ROUNDS
+        turn = turn + 1 if some or turn < 0 else ROUNDS
     return comps
 
 
