@@ -154,12 +154,15 @@ def linked_components(signed: DataFrame, percent: int) -> DataFrame:
             l, r = seen.alias("l"), seen.alias("r")
             found = l.join(r, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & _possible("l.", "r.", percent) & _may_differ_little("l.", "r.", percent)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         else:
-            alone = 1 - F.col("shared") / F.col("n")
-            order = F.struct((alone if turn <= 0 else F.xxhash64(F.lit(turn), "node").cast("double")).alias("by"), "node", "n", "shared", "comp")
-            first = cut(left.groupBy("sig").agg(F.min(order).alias("p")).select("sig", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.shared").alias("pshared"), F.col("p.comp").alias("pc")), "pivots")
+            # the pivot stands for the component with most sets in the entry, so that only sets outside it ask
+            alone = F.when(F.lit(turn <= 0), 1 - F.col("shared") / F.col("n")).otherwise(F.xxhash64(F.lit(turn), "node").cast("double"))
+            held_by = left.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct(alone.alias("by"), "node", "n", "shared")).alias("p"))
+            pivot = lambda df: df.groupBy("sig").agg(F.max_by(F.struct("comp", "p"), F.struct("sets", "comp")).alias("m")).select("sig", F.col("m.p.node").alias("p"), F.col("m.p.n").alias("pn"), F.col("m.p.shared").alias("pshared"), F.col("m.comp").alias("pc"))
+            first = cut(pivot(held_by), "pivots")
             others = left.join(first, "sig").where("comp <> pc")
-            second = cut(others.groupBy("sig").agg(F.min(F.struct(alone.alias("by"), "node", "n", "shared", "comp")).alias("p")).select("sig", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.shared").alias("pshared"), F.col("p.comp").alias("pc")), "pivots")
-            stars = others.unionByName(left.join(second, "sig").where("comp <> pc"))
+            rest = others.select(*left.columns)
+            second = cut(pivot(held_by.join(first.select("sig", "pc"), "sig").where("comp <> pc").drop("pc")), "pivots")
+            stars = others.unionByName(rest.join(second, "sig").where("comp <> pc"))
             found = stars.where(_possible("", "p", percent)).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
         links = cut(links_of(found.distinct(), held, percent), "links")
         some = links.limit(1).count() > 0
