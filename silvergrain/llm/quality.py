@@ -21,10 +21,14 @@ CORE = 0.75
 STEPS = 4
 #: Groups with fewer documents share one estimate.
 LEAST = 60
-#: Squared distance beyond which a document is rejected: the 1 - 1e-9 quantile of chi-square with five degrees.
-CUTOFF = 49.6
-#: Least spread of each statistic; shares that are 0 in nearly all documents would have none.
-FLOORS = (0.35, 0.06, 0.12, 0.12, 0.12)
+#: The covariance of the CORE of least distance falls short of the whole's by this factor under a normal law: P(chi-square with
+#: seven degrees <= q) / CORE is its inverse, q being the CORE quantile with five.
+CONSISTENCY = 1.412
+#: Squared distance beyond which a document is rejected: the 0.999 quantile of chi-square with five degrees.
+CUTOFF = 20.515
+#: Least spread of each statistic; shares that are 0 in nearly all documents would have none. A root of a share has a sampling
+#: spread of 1 / (2 * root of the units): x3 and x4 that of 100 words, x2 that of their characters.
+FLOORS = (0.2, 0.03, 0.02, 0.05, 0.05)
 STATS = ("x0", "x1", "x2", "x3", "x4")
 
 
@@ -128,7 +132,8 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: st
     words and fail them. A null language or source is a value of its own; groups
     of fewer than LEAST documents share one estimate; without any estimate
     (no row passes the base rules) nothing is rejected beyond them. Repeated
-    rows count and return as often as they come.
+    rows count and return as often as they come. Distances are scaled by
+    CONSISTENCY, so that chi-square quantiles apply.
     """
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0")) if c in docs.columns else F.lit("\0")
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.concat_ws("\1", name("lang"), name("source")).alias("own"))
@@ -136,6 +141,6 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: st
     large = stats.where(~F.col("base_failed")).groupBy("own").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= LEAST).select("own", F.col("own").alias("grp"))
     placed = stats.join(large, "own", "left").withColumn("grp", F.coalesce("grp", F.lit("\2"))).withColumns(_vector())
     fit = minimum_covariance_determinant(placed.where(~F.col("base_failed")).select("grp", *STATS))
-    judged = placed.join(fit, "grp", "left").withColumn("distance", _distance())
+    judged = placed.join(fit, "grp", "left").withColumn("distance", _distance() / CONSISTENCY)
     inside = F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return judged.select(F.col("doc_id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "distance")

@@ -119,6 +119,22 @@ def test_quality_rejects_outliers_only(spark):
     assert all(got[k] for k in range(150)) and not any(got[1000 + k] for k in range(15))
 
 
+def test_quality_rejects_texts_littered_with_symbols(spark):
+    """A tenth of symbols is far from texts without any, and a few repeated words are not."""
+    random.seed(4)
+    word = lambda: "".join(random.choices("etaoinshr", k=random.randint(2, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    rows = [(k, " ".join(text(random.randint(60, 300))), "en", "s") for k in range(150)]
+    for k in range(15):
+        w = text(200)
+        rows.append((1000 + k, " ".join(x + "#" if random.random() < 0.6 else x for x in w), "en", "s"))
+    w = text(200)
+    rows.append((2000, " ".join([*w, *w[:3]]), "en", "s"))
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[1000 + k] for k in range(15))
+    assert all(got[k] for k in range(150)) and got[2000]
+
+
 def test_determinant_estimate_equals_plain_steps(spark):
     """The same concentration steps in numpy give the same centre."""
     import numpy as np
