@@ -12,6 +12,8 @@ the threshold share an entry; what shares an entry is verified.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,7 +36,8 @@ WORDS = 16
 #: Entries with at most so many sets compare all of them, larger ones go by pivots first.
 SMALL = 12
 ROUNDS = 4
-SIGNED = "node long, n long, shared long, sigs array<long>, tokens binary, bits array<long>"
+#: part: place of the text among the different texts of its node, nearly always 0
+SIGNED = "node long, part int, n long, shared long, sigs array<long>, tokens binary, bits array<long>"
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,10 +128,10 @@ def linked_components(signed: DataFrame, percent: int) -> DataFrame:
     they find links. What then still stands apart in an entry is compared in
     full by bitmaps, and what these can't tell apart by tokens: no link is lost.
     """
-    spread = signed.where(F.size("sigs") > 0).select("node", "n", "shared", F.explode("sigs").alias("sig"))
-    entries = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), "node")).alias("y")).where("c > 1")
+    spread = signed.where(F.size("sigs") > 0).select("node", "part", "n", "shared", F.explode("sigs").alias("sig"))
+    entries = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node", "part")).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), "node", "part")).alias("y")).where("c > 1")
     kept = cut(entries.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "c"), "entries")
-    members = cut(spread.join(kept, "sig"), "members")
+    members = cut(spread.drop("part").join(kept, "sig"), "members")
     held = cut(signed.where(F.size("sigs") > 0).select("node", "n", "tokens", "bits").join(members.select("node").distinct(), "node", "left_semi"), "tokens")
     a, b = members.where(F.col("c") <= SMALL).alias("l"), members.where(F.col("c") <= SMALL).alias("r")
     pairs = a.join(b, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node")) & _possible("l.", "r.", percent)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
@@ -191,9 +194,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     firsts = cut(ids.where("doc_id is not null").groupBy("h", "g").agg(F.min("doc_id").alias("node")), "firsts")
 
     def of_nodes(texts: pa.Table, told: pa.Table) -> pa.Table:
-        """The block's texts without copies."""
+        """The block's texts without copies: a row for each node and text, however often it is repeated."""
         nodes = np.unique(np.array([x for x in told["node"].to_pylist() if x is not None], np.int64))
-        return texts.filter(pa.array(np.isin(texts["doc_id"].to_numpy(), nodes)))
+        texts = texts.filter(pa.array(np.isin(texts["doc_id"].to_numpy(), nodes)))
+        ids = texts["doc_id"].to_numpy()
+        if len(np.unique(ids)) == len(ids):
+            return texts
+        seen: set[tuple[int, bytes]] = set()
+        keep = []
+        for node, text in zip(ids.tolist(), texts["text"], strict=True):
+            key = node, hashlib.blake2b(text.as_buffer(), digest_size=16).digest()
+            keep.append(key not in seen)
+            seen.add(key)
+        return texts.filter(pa.array(keep, pa.bool_()))
 
     def ask(texts: pa.Table, told: pa.Table) -> pa.Table:
         found = [_sets(data, offsets, k)[0] for _, data, offsets in flat(of_nodes(texts, told)["text"])]
@@ -210,7 +223,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     def sign(texts: pa.Table, told: pa.Table) -> pa.Table:
         texts = of_nodes(texts, told)
         held = Known(told.filter(told["bucket"].is_valid()), n)
-        out = {"node": texts["doc_id"].to_pylist(), "n": [], "shared": [], "sigs": [], "tokens": [], "bits": []}
+        nodes = texts["doc_id"].to_pylist()
+        times_seen = Counter()
+        part = []
+        for node in nodes:
+            part.append(times_seen[node])
+            times_seen[node] += 1
+        out = {"node": nodes, "part": part, "n": [], "shared": [], "sigs": [], "tokens": [], "bits": []}
         for _, data, offsets in flat(texts["text"]):
             tokens, at = _sets(data, offsets, k)
             level = held.level(tokens)
@@ -222,7 +241,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
                 out["sigs"].append(sigs)
                 out["tokens"].append(own[times > 0].tobytes() if len(sigs) else None)
                 out["bits"].append(_parities(own[times > 0]) if len(sigs) else None)
-        return pa.table([pa.array(out["node"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["shared"], pa.int64()), pa.array(out["sigs"], pa.list_(pa.int64())), pa.array(out["tokens"], pa.binary()), pa.array(out["bits"], pa.list_(pa.int64()))], names=list(out))
+        return pa.table([pa.array(out["node"], pa.int64()), pa.array(out["part"], pa.int32()), pa.array(out["n"], pa.int64()), pa.array(out["shared"], pa.int64()), pa.array(out["sigs"], pa.list_(pa.int64())), pa.array(out["tokens"], pa.binary()), pa.array(out["bits"], pa.list_(pa.int64()))], names=list(out))
 
     signed = cut(by_block.cogroup(wanted.groupBy("block")).applyInArrow(sign, SIGNED), "signed")
     comps = linked_components(signed, percent)

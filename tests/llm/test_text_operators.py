@@ -52,6 +52,24 @@ def test_near_duplicates_by_pivots_and_combinations(spark, monkeypatch, small, f
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect()} == want
 
 
+def test_near_duplicates_of_a_doubled_table(spark):
+    """Every row twice, and one id with two texts: each of many pairs of near copies keeps its link."""
+    random.seed(8)
+    rows = []
+    for k in range(12):
+        w = [f"p{k}w{random.randrange(1000)}" for _ in range(60)]
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join([*w[:-1], "changed"]))]
+    rows.append((50, rows[0][1] + " tail"))
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    got = jaccard_join.near_duplicates(df).collect()
+    assert len(got) == len(rows) * 2
+    comp = {}
+    for r in got:
+        comp.setdefault(r["doc_id"], set()).add(r["component_id"])
+    want = {d: {0 if d // 10 in (0, 5) else d // 10 * 10} for d, _ in rows}
+    assert comp == want
+
+
 def test_suffix_dedup(docs):
     want = repeated_passages(pairs(docs))
     got = suffix_dedup.dedup(docs).collect()
