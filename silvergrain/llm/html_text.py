@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +35,10 @@ MARKED = re.compile(
     re.I,
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status"}
-#: A neighbour that shares so much of a page's text is a copy of it, not a page of the same frame.
+#: Pages that share so much of the text of the longer one are copies; partners are looked for outside a run of copies.
 COPY = 0.8
+#: Characters that a page of a host of copies alone has to have of its own to count as a page with a short article.
+LEFT = 40
 
 
 def _attributes(tag: str) -> dict[str, str]:
@@ -225,38 +228,110 @@ def _same_start(a: str, b: str) -> int:
     return n
 
 
-def shared_with_nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of host and path -> (page_id, url, lines to keep) of the pages without a marked article."""
+def _size(row: dict) -> int:
+    return sum(m & 0xFFFFFF for m in row["marks"])
 
-    def decide(before, row, after):
-        if not row["open"]:
-            return None
-        near = [o for o in (before, after) if o and o["host"] == row["host"] and o["page_id"] != row["page_id"]]
-        near.sort(key=lambda o: -_same_start(o["path"], row["path"]))
-        size = sum(m & 0xFFFFFF for m in row["marks"])
-        for other in near:
-            hit = set(common_lines(row["marks"], other["marks"]))
-            if sum(row["marks"][k] & 0xFFFFFF for k in hit) <= COPY * size:
-                return row["page_id"], row["url"], [k for k in range(len(row["marks"])) if k not in hit]
-        return row["page_id"], row["url"], list(range(len(row["marks"])))
 
-    def rows():
-        for batch in batches:
-            yield from batch.to_pylist()
+def _alike(a: dict, b: dict) -> bool:
+    """Whether two pages are copies but for a little: neither holds much that the other lacks."""
+    if a["host"] != b["host"]:
+        return False
+    shared = sum((m & 0xFFFFFF) * n for m, n in (Counter(a["marks"]) & Counter(b["marks"])).items())
+    return shared > COPY * max(_size(a), _size(b))
 
-    last: list = [None]
-    for row in rows():
-        if len(last) == 3:
-            last.pop(0)
-        last.append(row)
-        if len(last) == 3 and (found := decide(*last)):
-            yield _kept(found)
-    if last[-1] and (found := decide(last[-2], last[-1], None)):
-        yield _kept(found)
+
+def _runs(rows: list[dict]) -> list[list[dict]]:
+    """Rows in order, cut where a page is no copy of the one before."""
+    out: list[list[dict]] = []
+    for row in rows:
+        if out and not row.get("apart") and _alike(out[-1][-1], row):
+            out[-1].append(row)
+        else:
+            out.append([row])
+    return out
+
+
+def edges_of(rows: list[dict]) -> list[dict]:
+    """What the parts around need: first and last page, and the nearest ones outside their runs; all of a host."""
+    runs = _runs(rows)
+    out = [dict(rows[0], edge=0, single=len(runs) == 1), dict(rows[-1], edge=3, single=len(runs) == 1)]
+    if len(runs) > 1 and runs[1][0]["host"] == rows[0]["host"]:
+        out.append(dict(runs[1][0], edge=1, single=False))
+    if len(runs) > 1 and runs[-2][-1]["host"] == rows[-1]["host"]:
+        out.append(dict(runs[-2][-1], edge=2, single=False))
+    return out
+
+
+def carried(edges: list[dict], forward: bool) -> Iterator[dict]:
+    """For each part the pages before it (forward) or after it: the nearest one, and the nearest outside its run."""
+    far, entry, leave = (2, 0, 3) if forward else (1, 3, 0)
+    parts: dict[int, dict[int, dict]] = {}
+    for e in edges:
+        parts.setdefault(e["part"], {})[e["edge"]] = e
+    state: list[dict] = []  # [nearest, nearest outside its run]
+    for part in sorted(parts, reverse=not forward):
+        for k, row in enumerate(state):
+            yield dict(row, part=part, edge=(-1 - k) if forward else (4 + k))
+        own = parts[part]
+        if far in own:
+            state = [own[leave], own[far]]
+        elif own[leave]["single"] and state and state[0]["host"] == own[entry]["host"]:
+            state = [own[leave], *(state[1:] if _alike(state[0], own[entry]) else state[:1])]
+        else:
+            state = [own[leave]]
+
+
+def differences(rows: list[dict], before: list[dict], after: list[dict]) -> Iterator[tuple[dict, list[int]]]:
+    """(row, lines to keep) of the open rows. before, after: what carried() gives, in page order.
+
+    A page's partner is the nearest page that isn't in its run of copies. Where
+    a host is one run, the pages differ in their short articles or are copies:
+    what is left over decides.
+    """
+    mark = lambda found: [found[0], dict(found[1], apart=True)] if len(found) == 2 else found
+    runs = _runs([dict(r, own=False) for r in mark(before)] + [dict(r, own=True) for r in rows] + [dict(r, own=False) for r in mark(after)])
+    for k, run in enumerate(runs):
+        outside = [r for r in ([runs[k - 1][-1]] if k else []) + ([runs[k + 1][0]] if k + 1 < len(runs) else []) if r["host"] == run[0]["host"]]
+        for i, row in enumerate(run):
+            if not (row["own"] and row["open"]):
+                continue
+            least = 0 if outside else LEFT
+            keep = list(range(len(row["marks"])))
+            for other in sorted(outside or [*run[max(i - 1, 0) : i], *run[i + 1 : i + 2]], key=lambda o: -_same_start(o["path"], row["path"])):
+                hit = set(common_lines(row["marks"], other["marks"]))
+                left = [j for j in range(len(row["marks"])) if j not in hit]
+                if left and sum(row["marks"][j] & 0xFFFFFF for j in left) >= least:
+                    keep = left
+                    break
+            yield row, keep
+
+
+LIGHT = "host string, path string, page_id long, h long, g long, marks array<long>, open boolean, part int"
+
+
+def _edges(rows: pa.Table) -> pa.Table:
+    return pa.Table.from_pylist(edges_of(_in_order(rows)), schema=EDGES)
+
+
+def _in_order(rows: pa.Table) -> list[dict]:
+    return sorted(rows.to_pylist(), key=lambda r: (r["host"].encode(), r["path"].encode(), r["page_id"] is not None, r["page_id"] or 0, r["h"], r["g"]))
+
+
+EDGES = pa.schema([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("marks", pa.list_(pa.int64())), ("open", pa.bool_()), ("part", pa.int32()), ("edge", pa.int32()), ("single", pa.bool_())])
+KEEP = pa.schema([("host", pa.string()), ("h", pa.int64()), ("g", pa.int64()), ("keep", pa.list_(pa.int32()))])
+
+
+def _carried(edges: pa.Table) -> pa.Table:
+    rows = edges.to_pylist()
+    return pa.Table.from_pylist([*carried(rows, True), *carried(rows, False)], schema=EDGES)
 
 
-def _kept(found: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([found[0]], pa.int64()), pa.array([found[1]], pa.string()), pa.array([found[2]], pa.list_(pa.int32()))], names=["page_id", "url", "keep"])
+def _differences(rows: pa.Table, around: pa.Table) -> pa.Table:
+    if not len(rows):
+        return KEEP.empty_table()
+    near = sorted(around.to_pylist(), key=lambda r: r["edge"])
+    found = differences(_in_order(rows), [r for r in near if r["edge"] < 0], [r for r in near if r["edge"] > 3])
+    return pa.Table.from_pylist([{"host": r["host"], "h": r["h"], "g": r["g"], "keep": keep} for r, keep in found], schema=KEEP)
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -266,21 +341,29 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     lines without what is marked as frame inside it; the others give the lines
     outside marked frame that the paired page doesn't share. A page without
     another of its host, or with none but copies of itself, shares nothing. Null
-    pages are empty; null urls pair with each other; rows that repeat an id and
-    url are one page and return as often as they come. Only hashes of lines are
-    sorted by URL; a host with many pages is spread over as many tasks as its
-    paths need, and the first and last page of a task pair inside it.
+    pages are empty; null urls pair with each other; equal pages of a host are
+    one page and return as often as they come. Only hashes of lines are sorted
+    by URL; a host with many pages is spread over as many tasks as its paths
+    need, and each task knows the nearest pages before and after its own.
     """
     url = F.coalesce(F.col(url_column), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     named = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), host.alias("host"), path.alias("path"), F.col(html_column).alias("html"))
     parsed = cut(named.mapInArrow(_parsed, PARSED), "pages")
-    light = parsed.select("page_id", "url", "host", "path", "marks", F.col("lines").isNotNull().alias("open"))
+    # equal pages count once; only hosts with a page to decide are put in order
+    named_by = parsed.withColumns({"h": F.xxhash64("marks"), "g": F.xxhash64(F.lit(5), "marks")})
+    asking = parsed.where("lines is not null").select("host").distinct()
+    first = F.struct("path", "page_id", "marks")
+    pages_once = named_by.join(asking, "host", "left_semi").groupBy("host", "h", "g").agg(F.min(first).alias("f"), F.max(F.col("lines").isNotNull()).alias("open")).select("host", "f.path", "f.page_id", "h", "g", "f.marks", "open")
     n = partitions(pages.sparkSession)
-    ordered = light.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    keep = ordered.mapInArrow(shared_with_nearest, "page_id long, url string, keep array<int>").dropDuplicates(["page_id", "url"])
-    open_pages = parsed.where("lines is not null").select("page_id", "url", "lines").alias("p").join(keep.alias("k"), F.col("p.page_id").eqNullSafe(F.col("k.page_id")) & F.col("p.url").eqNullSafe(F.col("k.url")), "left")
+    order = ["host", "path", "page_id", "h", "g"]
+    ordered = cut(pages_once.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()).select(*order, "marks", "open", "part"), "ordered")
+    edge = LIGHT + ", edge int, single boolean"
+    # four rows at most from each part, whatever the number of pages
+    around = cut(ordered.groupBy("part").applyInArrow(_edges, edge), "edges").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_carried, edge)
+    keep = cut(ordered.groupBy("part").cogroup(around.groupBy("part")).applyInArrow(_differences, "host string, h long, g long, keep array<int>"), "keep")
+    open_pages = named_by.where("lines is not null").select("page_id", "url", "lines", "host", "h", "g").alias("p").join(keep.alias("k"), ["host", "h", "g"], "left")
     differenced = open_pages.select(F.col("p.page_id").alias("page_id"), F.col("p.url").alias("url"), F.array_join(F.transform("keep", lambda k: F.get("lines", k)), "\n").alias("text"))
     both = parsed.where("lines is null").select("page_id", "url", "text").unionByName(differenced)
     text = F.coalesce("text", F.lit(""))

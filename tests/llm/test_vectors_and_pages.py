@@ -77,6 +77,31 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert set(text_of(spark, (1, "http://h/a?x=1", page), (2, "http://h/a?x=2", page)).values()) == {"The same story\nwith the same end"}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_copies_between_pages_of_a_frame(spark, parts):
+    """Runs of equal and nearly equal pages, and short articles in a large frame, whatever the number of tasks."""
+    menu = "".join(f"<div>Menu entry number {k} of the site</div>" for k in range(20))
+    frame = lambda *lines: menu + "".join(f"<p>{x}</p>" for x in lines) + "<div>Imprint and contact</div>"
+    long = [f"Sentence {k} of a story that is longer than all menus taken together, told once more" for k in range(60)]
+    short = lambda k: f"A short notice, number {k}, about something else"
+    pages, want = [], {}
+    for k in range(5):  # equal
+        pages.append((k, f"http://h/a/{k}", frame(*long)))
+        want[k] = "\n".join(long)
+    for k in range(5, 10):  # nearly equal
+        pages.append((k, f"http://h/b/{k}", frame(f"Printed on day {k}", *(x + " again" for x in long))))
+        want[k] = "\n".join([f"Printed on day {k}", *(x + " again" for x in long)])
+    for k in range(10, 14):  # a host of short articles
+        pages.append((k, f"http://s/{k}", frame(short(k))))
+        want[k] = short(k)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        assert text_of(spark, *pages) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_odd_pages(spark):
     pages = [(1, None, None), (2, "not a url", ""), (3, "http://h/x", "<"), (4, "http://h/y", "a < b <p"), (5, "http://h/z", "<div class='ad'>never closed <article><p>kept</p></article>"), (None, "http://h/q", "<p>x</p>"), (6, "http://k/", "<main>" + "<p>w</p>" * 3000)]
     got = text_of(spark, *pages, pages[5])
