@@ -1,64 +1,78 @@
-"""Main text of web pages: marked-up parts by their elements, the rest by differencing with the page of nearest URL.
-
-Pages of one host share their frame. Pages are sorted by host and path, each is
-paired with the neighbour of the longer common path, their lines are aligned by
-longest common subsequence, and shared lines are deleted. A page whose markup
-names its article needs no guess: there the element decides.
+"""Main text of web pages by differencing each page with those of nearest URL.
+
+Elements and roles that the markup itself gives to frames (menus, footers,
+forms, scripts) go first. What is left is compared, line by line, with other
+pages of the host: distinct pages are sorted by host and path, each is paired
+with those next to it, their lines are aligned by longest common subsequence,
+and shared lines are deleted. One neighbour may be a version of the same page,
+so several vote: a line goes if most of them share it. Inside an article or main
+element the markup speaks for a line, so there all of them have to share it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from silvergrain.llm.common import cut, partitions
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[/!?a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.S)
-NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-# Names of elements.
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"""[\s/]*(=?[^\s/>=]+|=)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|(?=>)|(["'])))?""")
+# Names of elements, roles and types.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "title", "select", "xmp"}
 DROPPED = {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "search", "datalist", "label", "canvas", "audio", "video", "applet", "map"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCK - {"br", "html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "option"}
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:s|tion|ted)?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|paywall|subscribe|subscription|newsletters?|signup|login|"
-    r"nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|toolbar|topbar|sidebars?|side-bar|rail|footers?|masthead|site-header|page-header|header|widgets?|comments?|commentlist|respond|replies|disqus|"
-    r"share|sharing|social|related|recommended|recommendations|most-read|trending|skip-link|toc)(?:$|[\s_-])",
-    re.I,
-)
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status"}
-#: Pages that share so much of the text of the longer one are copies; partners are looked for outside a run of copies.
-COPY = 0.8
-#: Characters that a page of a host of copies alone has to have of its own to count as a page with a short article.
-LEFT = 40
-
-
-def _attributes(tag: str) -> dict[str, str]:
-    return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(tag)}
-
-
-def _kind(name: str, tag: str) -> tuple[bool, bool]:
-    """(dropped, holds the article)"""
-    if name in DROPPED:
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status", "comment"}
+TYPES = {"comment", "usercomments", "sitenavigationelement", "wpheader", "wpfooter", "wpsidebar", "wpadblock"}
+#: Places before and after a page, in the order of URLs, at which its partners stand.
+STEPS = (1, 2, 4, 8)
+#: Partners that have to share a line of an article before it goes.
+WITNESSES = 3
+#: Pages that one task compares.
+BLOCK_PAGES = 256
+MARK = 16
+
+
+def tag_at(page: str, at: int) -> tuple[str, bool, dict[str, str], int] | None:
+    """(name, closing, attributes, place behind) of the tag whose < stands at at; None if the page ends in it."""
+    named = NAME.match(page, at + 1)
+    name, at = named[1].lower(), named.end()
+    has: dict[str, str] = {}
+    while at < len(page):
+        if page[at] == ">":
+            return name, named[0][0] == "/", has, at + 1
+        m = ATTRIBUTE.match(page, at)
+        if not m:  # spaces or slashes before the end
+            at += 1
+            continue
+        if m[5]:  # a quote that never closes
+            return None
+        has.setdefault(m[1].lower(), next((v for v in m.group(2, 3, 4) if v is not None), ""))
+        at = m.end()
+    return None
+
+
+def _kind(name: str, has: dict[str, str], inside: bool) -> tuple[bool, bool]:
+    """(dropped, holds the article). An article's own header is part of it."""
+    if name in DROPPED and not (name == "header" and inside):
         return True, False
-    if "=" not in tag and "hidden" not in tag:
+    if not has:
         return False, name in ("article", "main")
-    has = _attributes(tag)
-    role = has.get("role", "").lower()
-    article = name in ("article", "main") or role in ("main", "article") or has.get("itemprop", "").lower() == "articlebody"
-    if "hidden" in has or has.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", has.get("style", ""), re.I) or role in ROLES:
+    role = has.get("role", "").strip().lower()
+    if "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true" or re.search(r"display\s*:\s*none", has.get("style", ""), re.I):
         return True, False
-    if name not in ("html", "body", "main") and (MARKED.search(has.get("class", "")) or MARKED.search(has.get("id", ""))):
+    if role in ROLES or has.get("itemtype", "").strip().lower().rsplit("/", 1)[-1] in TYPES:
         return True, False
-    return False, article
+    return False, name in ("article", "main") or role in ("main", "article") or has.get("itemprop", "").strip().lower() == "articlebody"
 
 
 def lines_of(page: str) -> list[tuple[str, bool]]:
@@ -83,39 +97,50 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             inside -= a
 
     at, lower = 0, None
-    while True:
-        m = TAG.search(page, at)
-        if not dropped:
-            text = page[at : m.start()] if m else page[at:]
-            if text:
-                parts.append(text)
-        if not m:
+    while at < len(page):
+        less = page.find("<", at)
+        text_end = len(page) if less < 0 else less
+        if not dropped and text_end > at:
+            parts.append(page[at:text_end])
+        if less < 0:
             break
-        at, tag = m.end(), m.group()
-        named = NAME.match(tag)
-        if not named or not tag.endswith(">"):
+        after = page[less + 1 : less + 3]
+        if after[:1] in ("!", "?") or (after[:1] == "/" and after[1:] and not (after[1].isascii() and after[1].isalpha())):
+            if page.startswith("<!--", less):
+                end = less + 4 if page.startswith(">", less + 4) else page.find("-->", less + 4)
+                at = len(page) if end < 0 else end + (1 if end == less + 4 and page[end] == ">" else 3)
+            else:
+                end = page.find(">", less)
+                at = len(page) if end < 0 else end + 1
+            continue
+        if not NAME.match(page, less + 1) or not (after.lstrip("/")[:1].isascii() and after.lstrip("/")[:1].isalpha()):
+            if not dropped:
+                parts.append("<")
+            at = less + 1
             continue
-        name = named[1].lower()
+        tag = tag_at(page, less)
+        if tag is None:
+            break
+        name, closing, has, at = tag
         if name in BLOCK:
             flush()
-        if tag[1] == "/":
+        if closing:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
             if depth >= 0:
                 pop(depth)
             continue
-        if name in VOID or tag.endswith("/>"):
+        if name in VOID:
             continue
         if name in RAW:
             if lower is None:
                 lower = page.lower()
+                lower = lower if len(lower) == len(page) else re.sub("[A-Z]", lambda m: m[0].lower(), page)
             end = lower.find(f"</{name}", at)
             at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
             continue
         if name in ("article", "main") and dropped:
             # a dropped element that is never closed ends where the article starts
-            if lower is None:
-                lower = page.lower()
-            lost = next((k for k, (n, d, _) in enumerate(stack) if d and lower.find(f"</{n}", at) < 0), -1)
+            lost = next((k for k, (n, d, _) in enumerate(stack) if d and not re.compile(f"</{re.escape(n)}", re.I).search(page, at)), -1)
             if lost >= 0:
                 pop(lost)
         if name in CLOSES_P:
@@ -132,7 +157,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "menu"):
                     break
-        d, a = _kind(name, tag)
+        d, a = _kind(name, has, inside > 0)
         stack.append((name, d, a))
         dropped += d
         inside += a
@@ -140,12 +165,16 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
+def common_lines(a: list, b: list) -> list[int]:
     """Places in a of a longest common subsequence of a and b.
 
-    Common ends are cut off; the rest is done by bit-parallel rows, of halves of
-    a (Hirschberg) where all rows would take too much memory.
+    Lines that the other lacks play no part and common ends are cut off; the
+    rest is done by bit-parallel rows, of halves of a (Hirschberg) where all
+    rows would take too much memory.
     """
+    in_a, in_b = set(a), set(b)
+    places = [k for k, x in enumerate(a) if x in in_b]
+    a, b = [a[k] for k in places], [x for x in b if x in in_a]
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
@@ -153,13 +182,13 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     middle = _aligned(a[lo : len(a) - hi], b[lo : len(b) - hi])
-    return [*range(lo), *(lo + k for k in middle), *range(len(a) - hi, len(a))]
+    return [places[k] for k in [*range(lo), *(lo + k for k in middle), *range(len(a) - hi, len(a))]]
 
 
-def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+def _rows(a: list, b: list) -> Iterator[int]:
     """After each row of a: a 0 bit where the length of the common subsequence with b's prefix grows."""
     full = (1 << len(b)) - 1
-    where: dict[int, int] = {}
+    where: dict = {}
     for k, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << k
     v = full
@@ -169,7 +198,7 @@ def _rows(a: list[int], b: list[int]) -> Iterator[int]:
         yield v
 
 
-def _lengths(a: list[int], b: list[int]) -> list[int]:
+def _lengths(a: list, b: list) -> list[int]:
     v = (1 << len(b)) - 1
     for v in _rows(a, b):  # noqa: B007
         pass
@@ -179,7 +208,7 @@ def _lengths(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def _aligned(a: list[int], b: list[int]) -> list[int]:
+def _aligned(a: list, b: list) -> list[int]:
     if not a or not b:
         return []
     if len(a) > 1 and len(a) * len(b) > 1 << 30:
@@ -202,169 +231,130 @@ def _aligned(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-PARSED = "page_id long, url string, host string, path string, text string, lines array<string>, marks array<long>"
+def kept_lines(marks: list[bytes], inside: bytes, sizes: list[int], partners: list[list[bytes]]) -> list[int]:
+    """Places, among a page's candidates, of the lines that stay.
 
+    Candidates are the lines in the article's element, or all where there is
+    none. Without partners all stay. In an article, partners that share more
+    than half of it are taken for versions of it, not for its frame.
+    """
+    marked = any(inside)
+    candidates = [k for k in range(len(marks)) if inside[k]] if marked else list(range(len(marks)))
+    if not partners or (marked and len(partners) < WITNESSES):
+        return list(range(len(candidates)))
+    open_ = {marks[k] for k in candidates}
+    if marked:
+        for p in partners:
+            open_ &= set(p)
+        if not open_:
+            return list(range(len(candidates)))
+    votes = dict.fromkeys(candidates, 0)
+    for p in partners:
+        for k in common_lines(marks, p):
+            if k in votes:
+                votes[k] += 1
+    if marked:
+        gone = {k for k, v in votes.items() if v == len(partners)}
+        if 2 * sum(sizes[k] for k in gone) > sum(sizes[k] for k in candidates):
+            gone = set()
+    else:
+        gone = {k for k, v in votes.items() if 2 * v > len(partners)}
+    return [i for i, k in enumerate(candidates) if k not in gone]
+
+
+def mark_of(line: str) -> bytes:
+    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=MARK).digest()
+
+
+def _key(marks: list[bytes], inside: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(marks) + inside, digest_size=MARK).digest()
+
+
+LIGHT = "page_id long, host string, path string, key binary, marks binary, inside binary, sizes array<int>"
+FULL = "page_id long, url string, host string, key binary, lines array<string>"
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: dict[str, list] = {"key": [], "marks": [], "inside": [], "sizes": []}
+        for page in batch["html"].to_pylist():
+            lines = lines_of(page or "")
+            marks, inside = [mark_of(t) for t, _ in lines], bytes(a for _, a in lines)
+            out["key"].append(_key(marks, inside))
+            out["marks"].append(b"".join(marks))
+            out["inside"].append(inside)
+            out["sizes"].append([len(t) for t, _ in lines])
+        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["host"], batch["path"], *(pa.array(out[k], pa.binary()) for k in ("key", "marks", "inside")), pa.array(out["sizes"], pa.list_(pa.int32()))], names=["page_id", "host", "path", *out])
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zlib
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {"text": [], "lines": [], "marks": []}
+        keys, texts = [], []
         for page in batch["html"].to_pylist():
             lines = lines_of(page or "")
             marked = any(a for _, a in lines)
-            out["text"].append("\n".join(t for t, a in lines if a) if marked else None)
-            out["lines"].append(None if marked else [t for t, _ in lines])
-            out["marks"].append([zlib.crc32(t.encode("utf-8", "replace")) << 24 | len(t) & 0xFFFFFF for t, _ in lines])
-        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], batch["path"], pa.array(out["text"], pa.string()), pa.array(out["lines"], pa.list_(pa.string())), pa.array(out["marks"], pa.list_(pa.int64()))], names=["page_id", "url", "host", "path", "text", "lines", "marks"])
-
-
-def _same_start(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def _size(row: dict) -> int:
-    return sum(m & 0xFFFFFF for m in row["marks"])
-
-
-def _alike(a: dict, b: dict) -> bool:
-    """Whether two pages are copies but for a little: neither holds much that the other lacks."""
-    if a["host"] != b["host"]:
-        return False
-    shared = sum((m & 0xFFFFFF) * n for m, n in (Counter(a["marks"]) & Counter(b["marks"])).items())
-    return shared > COPY * max(_size(a), _size(b))
-
-
-def _runs(rows: list[dict]) -> list[list[dict]]:
-    """Rows in order, cut where a page is no copy of the one before."""
-    out: list[list[dict]] = []
-    for row in rows:
-        if out and not row.get("apart") and _alike(out[-1][-1], row):
-            out[-1].append(row)
-        else:
-            out.append([row])
-    return out
-
-
-def edges_of(rows: list[dict]) -> list[dict]:
-    """What the parts around need: first and last page, and the nearest ones outside their runs; all of a host."""
-    runs = _runs(rows)
-    out = [dict(rows[0], edge=0, single=len(runs) == 1), dict(rows[-1], edge=3, single=len(runs) == 1)]
-    if len(runs) > 1 and runs[1][0]["host"] == rows[0]["host"]:
-        out.append(dict(runs[1][0], edge=1, single=False))
-    if len(runs) > 1 and runs[-2][-1]["host"] == rows[-1]["host"]:
-        out.append(dict(runs[-2][-1], edge=2, single=False))
-    return out
-
-
-def carried(edges: list[dict], forward: bool) -> Iterator[dict]:
-    """For each part the pages before it (forward) or after it: the nearest one, and the nearest outside its run."""
-    far, entry, leave = (2, 0, 3) if forward else (1, 3, 0)
-    parts: dict[int, dict[int, dict]] = {}
-    for e in edges:
-        parts.setdefault(e["part"], {})[e["edge"]] = e
-    state: list[dict] = []  # [nearest, nearest outside its run]
-    for part in sorted(parts, reverse=not forward):
-        for k, row in enumerate(state):
-            yield dict(row, part=part, edge=(-1 - k) if forward else (4 + k))
-        own = parts[part]
-        if far in own:
-            state = [own[leave], own[far]]
-        elif own[leave]["single"] and state and state[0]["host"] == own[entry]["host"]:
-            state = [own[leave], *(state[1:] if _alike(state[0], own[entry]) else state[:1])]
-        else:
-            state = [own[leave]]
-
-
-def differences(rows: list[dict], before: list[dict], after: list[dict]) -> Iterator[tuple[dict, list[int]]]:
-    """(row, lines to keep) of the open rows. before, after: what carried() gives, in page order.
-
-    A page's partner is the nearest page that isn't in its run of copies. Where
-    a host is one run, the pages differ in their short articles or are copies:
-    what is left over decides.
-    """
-    mark = lambda found: [found[0], dict(found[1], apart=True)] if len(found) == 2 else found
-    runs = _runs([dict(r, own=False) for r in mark(before)] + [dict(r, own=True) for r in rows] + [dict(r, own=False) for r in mark(after)])
-    for k, run in enumerate(runs):
-        outside = [r for r in ([runs[k - 1][-1]] if k else []) + ([runs[k + 1][0]] if k + 1 < len(runs) else []) if r["host"] == run[0]["host"]]
-        for i, row in enumerate(run):
-            if not (row["own"] and row["open"]):
-                continue
-            least = 0 if outside else LEFT
-            keep = list(range(len(row["marks"])))
-            for other in sorted(outside or [*run[max(i - 1, 0) : i], *run[i + 1 : i + 2]], key=lambda o: -_same_start(o["path"], row["path"])):
-                hit = set(common_lines(row["marks"], other["marks"]))
-                left = [j for j in range(len(row["marks"])) if j not in hit]
-                if left and sum(row["marks"][j] & 0xFFFFFF for j in left) >= least:
-                    keep = left
-                    break
-            yield row, keep
-
-
-LIGHT = "host string, path string, page_id long, h long, g long, marks array<long>, open boolean, part int"
-
-
-def _edges(rows: pa.Table) -> pa.Table:
-    return pa.Table.from_pylist(edges_of(_in_order(rows)), schema=EDGES)
+            keys.append(_key([mark_of(t) for t, _ in lines], bytes(a for _, a in lines)))
+            texts.append([t for t, a in lines if a or not marked])
+        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], pa.array(keys, pa.binary()), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "host", "key", "lines"])
 
 
-def _in_order(rows: pa.Table) -> list[dict]:
-    return sorted(rows.to_pylist(), key=lambda r: (r["host"].encode(), r["path"].encode(), r["page_id"] is not None, r["page_id"] or 0, r["h"], r["g"]))
+DECIDED = pa.schema([("host", pa.string()), ("key", pa.binary()), ("keep", pa.list_(pa.int32()))])
 
 
-EDGES = pa.schema([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("marks", pa.list_(pa.int64())), ("open", pa.bool_()), ("part", pa.int32()), ("edge", pa.int32()), ("single", pa.bool_())])
-KEEP = pa.schema([("host", pa.string()), ("h", pa.int64()), ("g", pa.int64()), ("keep", pa.list_(pa.int32()))])
-
-
-def _carried(edges: pa.Table) -> pa.Table:
-    rows = edges.to_pylist()
-    return pa.Table.from_pylist([*carried(rows, True), *carried(rows, False)], schema=EDGES)
-
-
-def _differences(rows: pa.Table, around: pa.Table) -> pa.Table:
-    if not len(rows):
-        return KEEP.empty_table()
-    near = sorted(around.to_pylist(), key=lambda r: r["edge"])
-    found = differences(_in_order(rows), [r for r in near if r["edge"] < 0], [r for r in near if r["edge"] > 3])
-    return pa.Table.from_pylist([{"host": r["host"], "h": r["h"], "g": r["g"], "keep": keep} for r, keep in found], schema=KEEP)
+def _decide(rows: pa.Table) -> pa.Table:
+    """Of a block's own pages those that lose a line, with the places of the lines that stay."""
+    rows = rows.sort_by("rank")
+    hosts, keys, own = rows["host"].to_pylist(), rows["key"].to_pylist(), rows["own"].to_pylist()
+    raw, inside, sizes = rows["marks"].to_pylist(), rows["inside"].to_pylist(), rows["sizes"].to_pylist()
+    marks = [[m[a : a + MARK] for a in range(0, len(m), MARK)] for m in raw]
+    out = []
+    for i, mine in enumerate(own):
+        if not mine:
+            continue
+        near = [j for s in STEPS for j in (i - s, i + s) if 0 <= j < len(own) and hosts[j] == hosts[i]]
+        keep = kept_lines(marks[i], inside[i], sizes[i], [marks[j] for j in near])
+        if len(keep) < (sum(map(bool, inside[i])) or len(marks[i])):
+            out.append({"host": hosts[i], "key": keys[i], "keep": keep})
+    return pa.Table.from_pylist(out, schema=DECIDED)
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Per row: id, url, text (empty if none), n_chars.
 
-    Pages whose markup holds an article or main element give that element's
-    lines without what is marked as frame inside it; the others give the lines
-    outside marked frame that the paired page doesn't share. A page without
-    another of its host, or with none but copies of itself, shares nothing. Null
-    pages are empty; null urls pair with each other; equal pages of a host are
-    one page and return as often as they come. Only hashes of lines are sorted
-    by URL; a host with many pages is spread over as many tasks as its paths
-    need, and each task knows the nearest pages before and after its own.
+    Pages of a host with the same lines are one page, wherever they stand, and
+    return as often as they come. A page's partners are the distinct pages of
+    its host STEPS places before and after it in the order of paths (of equal
+    paths the smaller id comes first); their order alone counts, so neither the
+    number of tasks nor of files changes a result. A page without another one
+    keeps all lines. Null pages are empty, null urls are one host. Very long
+    pages are worked on whole; further columns are ignored, whatever their
+    names. An empty table gives an empty one.
+
+    Pages are parsed twice, so that only hashes of lines (16 bytes each) are
+    sorted; text meets the pages that lose lines in a join that spreads each
+    page's copies.
     """
     url = F.coalesce(F.col(url_column), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     named = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), host.alias("host"), path.alias("path"), F.col(html_column).alias("html"))
-    parsed = cut(named.mapInArrow(_parsed, PARSED), "pages")
-    # equal pages count once; only hosts with a page to decide are put in order
-    named_by = parsed.withColumns({"h": F.xxhash64("marks"), "g": F.xxhash64(F.lit(5), "marks")})
-    asking = parsed.where("lines is not null").select("host").distinct()
-    first = F.struct("path", "page_id", "marks")
-    pages_once = named_by.join(asking, "host", "left_semi").groupBy("host", "h", "g").agg(F.min(first).alias("f"), F.max(F.col("lines").isNotNull()).alias("open")).select("host", "f.path", "f.page_id", "h", "g", "f.marks", "open")
+    marked = named.select("page_id", "host", "path", "html").mapInArrow(_marks, LIGHT)
+    once = marked.groupBy("host", "key").agg(F.min(F.struct("path", "page_id")).alias("f"), *(F.first(c).alias(c) for c in ("marks", "inside", "sizes")))
+    order = ["host", "path", "page_id", "key"]
     n = partitions(pages.sparkSession)
-    order = ["host", "path", "page_id", "h", "g"]
-    ordered = cut(pages_once.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()).select(*order, "marks", "open", "part"), "ordered")
-    edge = LIGHT + ", edge int, single boolean"
-    # four rows at most from each part, whatever the number of pages
-    around = cut(ordered.groupBy("part").applyInArrow(_edges, edge), "edges").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_carried, edge)
-    keep = cut(ordered.groupBy("part").cogroup(around.groupBy("part")).applyInArrow(_differences, "host string, h long, g long, keep array<int>"), "keep")
-    open_pages = named_by.where("lines is not null").select("page_id", "url", "lines", "host", "h", "g").alias("p").join(keep.alias("k"), ["host", "h", "g"], "left")
-    differenced = open_pages.select(F.col("p.page_id").alias("page_id"), F.col("p.url").alias("url"), F.array_join(F.transform("keep", lambda k: F.get("lines", k)), "\n").alias("text"))
-    both = parsed.where("lines is null").select("page_id", "url", "text").unionByName(differenced)
-    text = F.coalesce("text", F.lit(""))
-    return both.select(F.col("page_id").alias(id_column), F.col("url").alias(url_column), text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    ordered = once.select("host", "f.path", "f.page_id", "key", "marks", "inside", "sizes").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ordered = cut(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    # a row per task
+    starts = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = ordered.join(F.broadcast(starts.select("part", "start")), part == F.col("part")).withColumn("rank", F.col("start") + within)
+    far, block, place = max(STEPS), F.floor(F.col("rank") / BLOCK_PAGES), F.col("rank") % BLOCK_PAGES
+    seen_by = F.array_compact(F.array(block, F.when((place < far) & (block > 0), block - 1), F.when(place >= BLOCK_PAGES - far, block + 1)))
+    blocks = ranked.select("rank", "host", "key", "marks", "inside", "sizes", block.alias("home"), F.explode(seen_by).alias("block")).withColumn("own", F.col("home") == F.col("block")).drop("home")
+    keep = cut(blocks.groupBy("block").applyInArrow(_decide, "host string, key binary, keep array<int>"), "keep")
+    spread = 16
+    salted = keep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    whole = named.select("page_id", "url", "host", "html").mapInArrow(_lines, FULL).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(spread)).cast("int"))
+    text = F.array_join(F.coalesce(F.transform("keep", lambda k: F.get("lines", k)), F.col("lines")), "\n")
+    out = whole.join(salted, ["host", "key", "salt"], "left").select("page_id", "url", text.alias("text"))
+    return out.select(F.col("page_id").alias(id_column), F.col("url").alias(url_column), "text", F.length("text").cast("long").alias("n_chars"))

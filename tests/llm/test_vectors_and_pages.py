@@ -62,7 +62,7 @@ def text_of(spark, *pages):
 def test_marked_article(spark):
     page = """<html><head><title>T</title><script>var t="</p>";</script></head><body><header>H</header><nav><ul><li>n</li></ul></nav>
     <div class="ad">buy</div><article><h1>Title &amp;  more</h1><p>One<b>two</b>&nbsp;three<br>four</p><!-- <p>no</p> --><aside>s</aside>
-    <form>f<button>b</button></form><ul><li>1<li>2</ul><div id="comments"><p>first!</p></div><p>last</article><footer>&copy;</footer></body></html>"""
+    <form>f<button>b</button></form><ul><li>1<li>2</ul><div role="comment"><p>first!</p></div><p>last</article><footer>&copy;</footer></body></html>"""
     assert text_of(spark, (1, "http://h/a", page)) == {1: "Title & more\nOnetwo three\nfour\n1\n2\nlast"}
 
 
@@ -77,33 +77,97 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert set(text_of(spark, (1, "http://h/a?x=1", page), (2, "http://h/a?x=2", page)).values()) == {"The same story\nwith the same end"}
 
 
-@pytest.mark.parametrize("parts", [1, 3, 40])
-def test_copies_between_pages_of_a_frame(spark, parts):
-    """Runs of equal and nearly equal pages, and short articles in a large frame, whatever the number of tasks."""
-    menu = "".join(f"<div>Menu entry number {k} of the site</div>" for k in range(20))
-    frame = lambda *lines: menu + "".join(f"<p>{x}</p>" for x in lines) + "<div>Imprint and contact</div>"
-    long = [f"Sentence {k} of a story that is longer than all menus taken together, told once more" for k in range(60)]
-    short = lambda k: f"A short notice, number {k}, about something else"
-    pages, want = [], {}
-    for k in range(5):  # equal
-        pages.append((k, f"http://h/a/{k}", frame(*long)))
-        want[k] = "\n".join(long)
-    for k in range(5, 10):  # nearly equal
-        pages.append((k, f"http://h/b/{k}", frame(f"Printed on day {k}", *(x + " again" for x in long))))
-        want[k] = "\n".join([f"Printed on day {k}", *(x + " again" for x in long)])
-    for k in range(10, 14):  # a host of short articles
-        pages.append((k, f"http://s/{k}", frame(short(k))))
-        want[k] = short(k)
+def longest(a, b):
+    """Places in a of a longest common subsequence, by the table."""
+    d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(i)
+        elif d[i - 1][j] >= d[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def plain_differences(pages):
+    """pages: (id, host, path, lines, whether in an article) -> {id: text}, page by page."""
+    first = {}
+    for i, host, path, lines, article in pages:
+        key = host, tuple(lines), article
+        first[key] = min(first.get(key, (path, i)), (path, i))
+    order = sorted((key[0], *at, key) for key, at in first.items())
+    text = {}
+    for at, (host, *_, key) in enumerate(order):
+        lines, article = list(key[1]), key[2]
+        others = [list(order[k][3][1]) for s in (1, 2, 4, 8) for k in (at - s, at + s) if 0 <= k < len(order) and order[k][0] == host]
+        votes = [0] * len(lines)
+        for o in others:
+            for k in longest(lines, o):
+                votes[k] += 1
+        if article:
+            gone = {k for k, v in enumerate(votes) if len(others) >= 3 and v == len(others)}
+            gone = gone if 2 * sum(len(lines[k]) for k in gone) <= sum(map(len, lines)) else set()
+        else:
+            gone = {k for k, v in enumerate(votes) if 2 * v > len(others)}
+        text[key] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return {i: text[host, tuple(lines), article] for i, host, path, lines, article in pages}
+
+
+@pytest.mark.parametrize("parts", [1, 4, 40, 211])
+def test_differences_equal_a_plain_version_with_any_number_of_tasks(spark, monkeypatch, parts):
+    monkeypatch.setattr(html_text, "BLOCK_PAGES", 20)
+    random.seed(12)
+    frame = [f"Frame line {k:02d}" for k in range(12)]
+    pages = []
+    for i in range(150):
+        host = random.choice(["h.example", "h.example", "k.example", "single.example"]) if i else "alone.example"
+        lines = sorted(random.sample(frame, random.choice([2, 9, 11, 12])))
+        for k in range(random.randint(0, 4)):
+            lines.insert(random.randint(0, len(lines)), f"Story {i if random.random() < 0.8 else i % 7} part {k}")
+        lines = list(dict.fromkeys(lines))
+        pages.append((i, host, f"/{random.choice('abc')}/{i % 60}", lines, random.random() < 0.4))
+        if random.random() < 0.1:
+            pages.append((1000 + i, host, f"/copy/{i}", lines, pages[-1][4]))
+    wrap = lambda lines, article: ("<article>{}</article>" if article else "{}").format("".join(f"<p>{x}</p>" for x in lines))
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        assert text_of(spark, *pages) == want
+        got = text_of(spark, *[(i, f"http://{host}{path}", wrap(lines, article)) for i, host, path, lines, article in pages])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == plain_differences(pages)
+
+
+def test_short_articles_in_a_large_frame(spark):
+    """Forty menu lines and one line of story; two versions of one page among others keep their story."""
+    menu = "".join(f"<div>Menu entry number {k} of the site</div>" for k in range(40))
+    pages = [(k, f"http://s/{k}", menu + f"<p>A short notice, number {k}</p>") for k in range(4)]
+    assert text_of(spark, *pages) == {k: f"A short notice, number {k}" for k in range(4)}
+    story = "".join(f"<p>Sentence {k} of a longer story</p>" for k in range(60))
+    pages += [(10 + k, f"http://s/b/{k}", menu + f"<p>Printed on day {k}</p>" + story) for k in range(2)]
+    got = text_of(spark, *pages)
+    assert got[10] == "\n".join(["Printed on day 0", *(f"Sentence {k} of a longer story" for k in range(60))]) and got[2] == "A short notice, number 2"
+
+
+def test_attributes_and_names_do_not_drop_text(spark):
+    pages = [
+        "<article><p title=it's>one</p><p>two don't three</p></article>",
+        "<article><h1 class='post-header header'>Title</h1><h2 id=\"Related-work\">Related</h2><div class=\"social-history\">History</div><section id=\"comments-on-method\">Method</section></article>",
+        "<article><header><h1>Head</h1></header><p data-x='a>b' data-y=\"c>d\">body</p><a href=x/>link</a></article>",
+        "<article><p>a < b</p><!--> shown <!-- <p>no</p> --><? no ?></ no><p hidden>no</p><div role=navigation>no</div><div itemtype=\"https://schema.org/Comment\">no</div><p>z</article>",
+    ]
+    got = text_of(spark, *[(k, f"http://h{k}/", p) for k, p in enumerate(pages)])
+    assert got == {0: "one\ntwo don't three", 1: "Title\nRelated\nHistory\nMethod", 2: "Head\nbody\nlink", 3: "a < b\nshown\nz"}
 
 
 def test_odd_pages(spark):
-    pages = [(1, None, None), (2, "not a url", ""), (3, "http://h/x", "<"), (4, "http://h/y", "a < b <p"), (5, "http://h/z", "<div class='ad'>never closed <article><p>kept</p></article>"), (None, "http://h/q", "<p>x</p>"), (6, "http://k/", "<main>" + "<p>w</p>" * 3000)]
+    pages = [(1, None, None), (2, "not a url", ""), (3, "http://h/x", "<"), (4, "http://h/y", "a < b <p"), (5, "http://h/z", "<nav class='ad'>never closed <article><p>kept</p></article>"), (None, "http://h/q", "<p>x</p>"), (6, "http://k/", "<main>" + "<p>w</p>" * 3000)]
     got = text_of(spark, *pages, pages[5])
     assert (got[1], got[2], got[4], got[5], got[None]) == ("", "", "a < b", "kept", "x")
     assert got[6] == "\n".join(["w"] * 3000)
@@ -118,15 +182,8 @@ def test_page_columns(spark):
 def test_common_lines_are_longest():
     random.seed(3)
 
-    def longest(a, b):
-        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
-        return d[-1][-1]
-
     for _ in range(500):
         a, b = ([random.randint(0, 4) for _ in range(random.randint(0, 12))] for _ in range(2))
         got = html_text.common_lines(a, b)
         rest = iter(b)
-        assert len(got) == longest(a, b) and got == sorted(set(got)) and all(a[k] in rest for k in got)
+        assert len(got) == len(longest(a, b)) and got == sorted(set(got)) and all(a[k] in rest for k in got)
