@@ -2,8 +2,9 @@
 
 Per document a vector of transformed statistics is built; per language and
 source its centre and spread are estimated by minimum covariance determinant
-(concentration steps from two deterministic starts); documents whose squared
-Mahalanobis distance exceeds a chi-square quantile are rejected.
+(concentration steps from several starts, the best of which goes on until its
+determinant settles); documents whose squared Mahalanobis distance exceeds a
+chi-square quantile are rejected.
 """
 
 from __future__ import annotations
@@ -17,27 +18,36 @@ from silvergrain.llm.common import NOT_SPACE, cut, words
 
 #: Share of a group that the estimate rests on.
 CORE = 0.75
-#: Concentration steps; the determinant falls with each and settles within a few.
-STEPS = 4
-#: Groups with fewer documents share one estimate.
-LEAST = 60
+#: Starts of the search, the steps after which the best of them is kept, and the most steps that follow.
+STARTS, FIRST_STEPS, MORE_STEPS = 4, 2, 12
+#: The search ends when no logarithm of a determinant falls by more than this.
+SETTLED = 1e-3
+#: A group's estimate is mixed with that of all groups, which weighs as much as so many documents.
+POOLED = 30
 #: The covariance of the CORE of least distance falls short of the whole's by this factor under a normal law: P(chi-square with
 #: seven degrees <= q) / CORE is its inverse, q being the CORE quantile with five.
 CONSISTENCY = 1.412
 #: Squared distance beyond which a document is rejected: the 0.999 quantile of chi-square with five degrees.
 CUTOFF = 20.515
-#: Least spread of each statistic; shares that are 0 in nearly all documents would have none. A root of a share has a sampling
-#: spread of 1 / (2 * root of the units): x3 and x4 that of 100 words, x2 that of their characters.
-FLOORS = (0.2, 0.03, 0.02, 0.05, 0.05)
+#: Least spread of a direction; shares that are 0 in nearly all documents would have none. They are what a text of 100 words
+#: spreads by sampling alone: a root of a share by 1 / (2 * root of the units), the units of x2 being characters, of x3 words, of
+#: x4 repeats of six words at least; x1, the logarithm of a mean, by half the mean over the root of 100. Directions that spread
+#: more than this don't feel it.
+FLOORS = (0.2, 0.05, 0.02, 0.05, 0.12)
+#: Hash of a window of three words.
+WINDOW_HASH = "xxhash64({0}, {1}, {2})"
 STATS = ("x0", "x1", "x2", "x3", "x4")
+MOMENTS = [f"m{i}" for i in range(len(STATS))] + [f"c{i}{j}" for i in range(len(STATS)) for j in range(i + 1)]
 
 
 def text_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; null counts as a text without words.
 
-    Three-word windows are compared by the upper bits of a 64-bit hash that also
+    Three-word windows are sorted by the upper bits of a 64-bit hash that also
     holds the window's place (as few low bits as the text's length needs), so
-    that one sort of an array of longs finds repeats.
+    that one sort of an array of longs brings equal ones together. Windows whose
+    hashes agree are compared word by word; where neighbours' words differ all
+    the same, all windows of that hash are looked at.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
@@ -52,9 +62,13 @@ def text_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
             "__m": F.expr("shiftleft(1L, cast(ceil(log2(size(__w) + 1.0D)) as int))"),
         }
     )
-    third = second.withColumn("__k", F.sort_array(F.expr("transform(slice(__w, 1, greatest(size(__w) - 2, 0)), (w, i) -> (xxhash64(w, get(__w, i + 1), get(__w, i + 2)) & -__m) | i)")))
-    same = "((x ^ coalesce(get(__k, i - 1), ~x)) & -__m) = 0 or ((x ^ coalesce(get(__k, i + 1), ~x)) & -__m) = 0"
-    fourth = third.withColumn("__p", F.sort_array(F.expr(f"transform(filter(__k, (x, i) -> {same}), x -> x & (__m - 1))")))
+    third = second.withColumn("__k", F.sort_array(F.expr(f"transform(slice(__w, 1, greatest(size(__w) - 2, 0)), (w, i) -> ({WINDOW_HASH.format('w', 'get(__w, i + 1)', 'get(__w, i + 2)')} & -__m) | i)")))
+    at = lambda y, k: f"get(__w, cast({y} & (__m - 1) as int) + {k})"
+    words_equal = lambda y: "(" + " and ".join(f"{at('x', k)} = {at(y, k)}" for k in range(3)) + ")"
+    hash_equal = lambda y: f"((x ^ {y}) & -__m) = 0"
+    before, after = "coalesce(get(__k, i - 1), ~x)", "coalesce(get(__k, i + 1), ~x)"
+    found = f"case when not ({hash_equal(before)} or {hash_equal(after)}) then false when {hash_equal(before)} and {words_equal(before)} then true when {hash_equal(after)} and {words_equal(after)} then true else exists(__k, y -> y <> x and {hash_equal('y')} and {words_equal('y')}) end"
+    fourth = third.withColumn("__p", F.sort_array(F.expr(f"transform(filter(__k, (x, i) -> {found}), x -> x & (__m - 1))")))
     covered = "aggregate(transform(__p, (x, i) -> least(3L, coalesce(get(__p, i + 1), x + 3) - x)), 0L, (a, x) -> a + x)"
     return fourth.withColumn("n_repeat_words", F.expr(covered)).drop("__w", "__lines", "__m", "__k", "__p")
 
@@ -76,21 +90,23 @@ def _vector() -> dict[str, Column]:
 
 
 def _moments(core: DataFrame, key: list[str]) -> DataFrame:
-    """Centre m0.. and the lower Cholesky factor l00.. of the floored covariance, per key."""
+    """Count n, centre m0.. and covariance c00.. per key: partial sums on the map side, whatever a key's share of the rows."""
     d = range(len(STATS))
-    sums = [F.count(F.lit(1)).alias("n"), *(F.avg(STATS[i]).alias(f"m{i}") for i in d), *(F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in d for j in range(i + 1))]
-    out = core.groupBy(*key).agg(*sums)
+    return core.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *(F.avg(STATS[i]).alias(f"m{i}") for i in d), *(F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in d for j in range(i + 1)))
+
+
+def _factored(moments: DataFrame) -> DataFrame:
+    """Add the lower Cholesky factor l00.. of the covariance, no direction below its floor, and log_det; drop c00.."""
+    d = range(len(STATS))
+    out = moments
     for i in d:
         for j in range(i + 1):
             rest = reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.lit(0.0))
             value = F.col(f"c{i}{j}") - rest
-            if i == j:
-                value = F.sqrt(F.greatest(value + F.lit(FLOORS[i] ** 2), F.lit(FLOORS[i] ** 2)))
-            else:
-                value = value / F.col(f"l{j}{j}")
+            value = F.sqrt(F.greatest(value, F.lit(FLOORS[i] ** 2))) if i == j else value / F.col(f"l{j}{j}")
             out = out.withColumn(f"l{i}{j}", value)
     logs = reduce(lambda a, b: a + b, [F.log(f"l{i}{i}") for i in d])
-    return out.withColumn("log_det", 2 * logs).drop("n", *(f"c{i}{j}" for i in d for j in range(i + 1)))
+    return out.withColumn("log_det", 2 * logs)
 
 
 def _distance() -> Column:
@@ -102,45 +118,82 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, [v * v for v in y])
 
 
+def _starts(vectors: DataFrame) -> DataFrame:
+    """(grp, start, x0.., d): distances from the medians in units of the quartile range (their squares' sum, their largest,
+    their sum) and from the means in standard deviations."""
+    q = vectors.groupBy("grp").agg(*(F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{c}") for c in STATS), *(F.avg(c).alias(f"a{c}") for c in STATS), *(F.stddev_pop(c).alias(f"s{c}") for c in STATS))
+    joined = vectors.join(cut(q, "quartiles"), "grp")
+    z = [F.abs(F.col(c) - F.col(f"q{c}")[1]) / F.greatest((F.col(f"q{c}")[2] - F.col(f"q{c}")[0]) / 1.349, F.lit(f)) for c, f in zip(STATS, FLOORS, strict=True)]
+    plain = [(F.col(c) - F.col(f"a{c}")) / F.greatest(F.col(f"s{c}"), F.lit(f)) for c, f in zip(STATS, FLOORS, strict=True)]
+    add = lambda terms: reduce(lambda a, b: a + b, terms)
+    ways = [add([v * v for v in z]), add([v * v for v in plain]), F.greatest(*z), add(z)]
+    return joined.select("grp", *STATS, F.posexplode(F.array(*ways)).alias("start", "d"))
+
+
+def _step(ranged: DataFrame) -> DataFrame:
+    """The fit of each (grp, start) to the CORE of least d.
+
+    What is joined to the rows are tables of a row per group and start, read
+    from files, so Spark knows their size: small ones are broadcast and the rows
+    stay where they are; beyond its limit they meet in a join that splits skewed keys.
+    """
+    near = cut(ranged.groupBy("grp", "start").agg(F.percentile_approx("d", F.lit(CORE), 2000).alias("__most")), "near")
+    core = ranged.join(near, ["grp", "start"]).where(F.col("d") <= F.col("__most"))
+    return cut(_factored(_moments(core, ["grp", "start"])), "fit")
+
+
 def minimum_covariance_determinant(vectors: DataFrame) -> DataFrame:
-    """Per grp: m0.., l00.. of the start whose core has the smaller determinant.
+    """Per grp: n (rows of the core), m0.., c00.., l00.., log_det of the least determinant found.
 
     vectors: grp, x0... Every quantile and moment is a mergeable aggregate over
     all rows, so a group that holds a third of them is no more than a key.
     """
-    # starts: distance from the medians in units of the quartile range, and from the means in standard deviations
-    q = vectors.groupBy("grp").agg(*(F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{c}") for c in STATS), *(F.avg(c).alias(f"a{c}") for c in STATS), *(F.stddev_pop(c).alias(f"s{c}") for c in STATS))
-    joined = vectors.join(q, "grp")
-    robust = reduce(lambda a, b: a + b, [F.pow((F.col(c) - F.col(f"q{c}")[1]) / F.greatest((F.col(f"q{c}")[2] - F.col(f"q{c}")[0]) / 1.349, F.lit(f)), 2) for c, f in zip(STATS, FLOORS, strict=True)])
-    plain = reduce(lambda a, b: a + b, [F.pow((F.col(c) - F.col(f"a{c}")) / F.greatest(F.col(f"s{c}"), F.lit(f)), 2) for c, f in zip(STATS, FLOORS, strict=True)])
-    starts = joined.select("grp", *STATS, F.explode(F.array(F.struct(F.lit(0).alias("start"), robust.alias("d")), F.struct(F.lit(1).alias("start"), plain.alias("d")))).alias("__s")).select("grp", *STATS, "__s.start", "__s.d")
-    both = vectors.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    ranged = starts
-    for step in range(STEPS):
-        near = ranged.groupBy("grp", "start").agg(F.percentile_approx("d", F.lit(CORE), 2000).alias("__most"))
-        core = ranged.join(near, ["grp", "start"]).where(F.col("d") <= F.col("__most"))
-        fit = cut(_moments(core, ["grp", "start"]), f"mcd-{step}")
-        ranged = both.join(fit, ["grp", "start"]).withColumn("d", _distance()).select("grp", "start", *STATS, "d")
-    least = fit.groupBy("grp").agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
-    return fit.join(least, ["grp", "start"]).drop("start")
-
-
-def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
+    against = lambda fit: vectors.join(fit, "grp").withColumn("d", _distance()).select("grp", "start", *STATS, "d")
+    fit = _step(_starts(vectors))
+    for _ in range(FIRST_STEPS - 1):
+        fit = _step(against(fit))
+    best = fit.groupBy("grp").agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
+    fit = cut(fit.join(best, ["grp", "start"]), "best")
+    for _ in range(MORE_STEPS):
+        nxt = _step(against(fit))
+        fell = fit.join(nxt.select("grp", F.col("log_det").alias("__next")), "grp").agg(F.max(F.col("log_det") - F.col("__next"))).first()[0]
+        fit = nxt
+        if fell is None or fell <= SETTLED:
+            break
+    return fit.drop("start")
+
+
+def shrunk(fit: DataFrame) -> DataFrame:
+    """Per grp: m0.., l00.. of its consistent estimate mixed with that of all groups, by POOLED.
+
+    All groups' covariance is the mean one inside groups plus that of their
+    centres. A group of many documents keeps its own estimate, one of a few is
+    judged like the collection; in between nothing jumps.
+    """
+    d = range(len(STATS))
+    fit = fit.select("grp", F.col("n").cast("double").alias("n"), *[f"m{i}" for i in d], *[(CONSISTENCY * F.col(f"c{i}{j}")).alias(f"c{i}{j}") for i in d for j in range(i + 1)])
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    pool = fit.agg(*(mean(F.col(f"m{i}")).alias(f"pm{i}") for i in d), *((mean(F.col(f"c{i}{j}")) + mean(F.col(f"m{i}") * F.col(f"m{j}")) - mean(F.col(f"m{i}")) * mean(F.col(f"m{j}"))).alias(f"pc{i}{j}") for i in d for j in range(i + 1)))
+    own = F.col("n") / (F.col("n") + CORE * POOLED)
+    mixed = fit.crossJoin(F.broadcast(pool)).select("grp", *[(own * F.col(c) + (1 - own) * F.col("p" + c)).alias(c) for c in MOMENTS])  # one row
+    return _factored(mixed).drop(*[f"c{i}{j}" for i in d for j in range(i + 1)], "log_det")
+
+
+def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance and the columns of carry.
 
     Estimates use the rows that pass the base rules. Null and empty texts have no
-    words and fail them. A null language or source is a value of its own; groups
-    of fewer than LEAST documents share one estimate; without any estimate
-    (no row passes the base rules) nothing is rejected beyond them. Repeated
-    rows count and return as often as they come. Distances are scaled by
-    CONSISTENCY, so that chi-square quantiles apply.
+    words and fail them. A null language or source is a value of its own; a
+    group without rows that pass has no estimate and needs none. Repeated rows
+    count and return as often as they come, and equal rows (ties) get equal
+    verdicts. Very long texts are read whole; other columns are ignored,
+    whatever their names. An empty table gives an empty one. distance is the
+    squared distance, to be held against chi-square with five degrees.
     """
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0")) if c in docs.columns else F.lit("\0")
-    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.concat_ws("\1", name("lang"), name("source")).alias("own"))
-    stats = cut(text_statistics(narrow).drop("text").withColumn("base_failed", base_failed()), "statistics")
-    large = stats.where(~F.col("base_failed")).groupBy("own").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= LEAST).select("own", F.col("own").alias("grp"))
-    placed = stats.join(large, "own", "left").withColumn("grp", F.coalesce("grp", F.lit("\2"))).withColumns(_vector())
-    fit = minimum_covariance_determinant(placed.where(~F.col("base_failed")).select("grp", *STATS))
-    judged = placed.join(fit, "grp", "left").withColumn("distance", _distance() / CONSISTENCY)
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) if c in docs.columns else F.lit("")
+    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.concat_ws("\1", name("lang"), name("source")).alias("grp"), *(F.col(c).alias(f"__carry{k}") for k, c in enumerate(carry)))
+    stats = cut(text_statistics(narrow).drop("text").withColumn("base_failed", base_failed()).withColumns(_vector()), "statistics")
+    fit = cut(shrunk(minimum_covariance_determinant(stats.where(~F.col("base_failed")).select("grp", *STATS))), "estimates")
+    judged = stats.join(fit, "grp", "left").withColumn("distance", _distance())
     inside = F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return judged.select(F.col("doc_id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "distance")
+    return judged.select(F.col("doc_id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "distance", *(F.col(f"__carry{k}").alias(c) for k, c in enumerate(carry)))

@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvergrain.llm.blocks import ASKED, Known, block_of, packed, repeated
 from silvergrain.llm.common import cut, partitions
-from silvergrain.llm.text_arrays import BASE, BYTES, PLACES, U, flat, mix, window_hashes
+from silvergrain.llm.text_arrays import U, flat, window_hashes
 
 LENGTH = 100
 GRAM = 52
@@ -226,29 +226,57 @@ def _earlier(some: np.ndarray, shared: np.ndarray, rank: np.ndarray, places: np.
     by_rank = some[np.argsort(rank[some], kind="stable")]
     # neighbours in sorted order that share fewer than LENGTH - offset bytes are told apart
     span = np.arange(some[0], some[-1] + 1)
-    before = np.zeros(len(by_rank), U)
-    power = 1
-    with np.errstate(over="ignore"):
-        for o in range(WIDE):
-            use = (least[by_rank] <= o) & (o <= most[by_rank])
-            if o:
-                has = most[by_rank] >= o
-                byte = np.zeros(len(by_rank), np.int64)
-                byte[has] = left[left_end[by_rank[has]] - o]
-                before = np.where(has, before + BYTES[byte] * U(power), before)
-                power = power * BASE % (1 << 64)
-            if not use.any():
-                continue
-            part = np.cumsum(shared[span] < LENGTH - o).astype(U)
-            rows = by_rank[use]
-            key = mix(part[rows - some[0]] * PLACES[0] + mix(before[use]))
-            _, one = np.unique(key, return_index=True)
-            later = np.ones(len(rows), bool)
-            later[one] = False
-            hit = rows[later]
-            start = places[hit] - o
-            first[hit] = np.minimum(first[hit], start)
-            last[hit] = np.maximum(last[hit], start)
+    # rows alike in the bytes before the anchor, one byte more each time, have one class
+    before = np.zeros(len(by_rank), np.int64)
+    for o in range(WIDE):
+        use = (least[by_rank] <= o) & (o <= most[by_rank])
+        if o:
+            has = most[by_rank] >= o
+            byte = np.zeros(len(by_rank), np.int64)
+            byte[has] = left[left_end[by_rank[has]] - o]
+            before = np.unique(np.where(has, before * 256 + byte, -1), return_inverse=True)[1].ravel()
+        if not use.any():
+            continue
+        part = np.cumsum(shared[span] < LENGTH - o)
+        rows = by_rank[use]
+        key = part[rows - some[0]] * (len(before) + 1) + before[use]
+        _, one = np.unique(key, return_index=True)
+        later = np.ones(len(rows), bool)
+        later[one] = False
+        hit = rows[later]
+        start = places[hit] - o
+        first[hit] = np.minimum(first[hit], start)
+        last[hit] = np.maximum(last[hit], start)
+
+
+def equal_windows(data: np.ndarray, a: np.ndarray, b: np.ndarray, width: int = LENGTH, at_once: int = 1 << 22) -> np.ndarray:
+    """Whether data[a : a + width] equals data[b : b + width], byte by byte; runs of neighbouring pairs are read once."""
+    out = np.ones(len(a), bool)
+    if not len(a):
+        return out
+    edges = np.r_[np.flatnonzero(np.r_[True, (np.diff(a) != 1) | (np.diff(b) != 1)]), len(a)]
+    sizes = np.diff(edges) + width - 1
+    ends = np.cumsum(sizes)
+    k = 0
+    while k < len(sizes):
+        to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + at_once, "right")))
+        n = sizes[k:to]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = data[np.repeat(a[edges[k:to]], n) + step] != data[np.repeat(b[edges[k:to]], n) + step]
+        if differ.any():
+            count = np.r_[0, np.cumsum(differ)]
+            for r in range(k, to):
+                lo = int(ends[r] - sizes[r] - (ends[k] - sizes[k]))
+                i = lo + np.arange(edges[r + 1] - edges[r])
+                out[edges[r] : edges[r + 1]] = count[i + width] == count[i]
+        k = to
+    return out
+
+
+def text_hash(text: Column, seed: int = 0) -> Column:
+    """One of the hashes that name a text; null is the empty text."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(F.lit(seed), text) if seed else F.xxhash64(text)
 
 
 def removed_spans(marks: np.ndarray) -> list[tuple[int, int]]:
@@ -264,30 +292,49 @@ def removed_spans(marks: np.ndarray) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (and with_text: kept_text).
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (and with_text: kept_text, text_hash, text_hash_2).
 
     A byte goes if some LENGTH-byte string over it also starts earlier: in a
     document with a smaller id or earlier in the same one. Null texts are empty.
     Rows with a null id take no part and keep everything. Rows that repeat an id
-    are one document and all keep what it keeps. Copies of a text are not sorted:
-    all but that of the smallest id lose everything (if LENGTH bytes or more).
-    kept_text is the text of the remaining bytes, cut characters left out.
+    and its text are one document and all keep what it keeps; of an id with
+    several texts the one of least hash takes part, the others keep everything.
+    Copies of a text are not sorted: all but those of the smallest id lose
+    everything (if LENGTH bytes or more). Very long texts are cut into segments
+    that overlap, and lose the same. Other columns are ignored, whatever their
+    names. kept_text is the text of the remaining bytes, cut characters left out.
+
+    Hashes only choose what is compared: a removal rests on equal bytes, but for
+    whole copies, which are texts of one 128-bit hash.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    known = narrow.withColumn("block", block_of("doc_id", n)).select("block", "doc_id", "text")
-    ids = narrow.where("doc_id is not null").groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(3), "text").alias("g")).agg(F.min("doc_id").alias("node"))
-    firsts = cut(ids.select(block_of("node", n).alias("block"), "node"), "firsts")
+    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumns({"h": text_hash(F.col("text")), "g": text_hash(F.col("text"), 2)})
+    known = narrow.withColumn("block", block_of("doc_id", n)).select("block", "doc_id", "text", "h", "g")
+    ids = narrow.where("doc_id is not null").groupBy("h", "g").agg(F.min("doc_id").alias("node"))
+    chosen = ids.groupBy("node").agg(F.min(F.struct("h", "g")).alias("t"), F.collect_list(F.struct("h", "g")).alias("all"))  # the texts of one id
+    firsts = cut(chosen.select(block_of("node", n).alias("block"), "node", F.col("t.h").alias("h"), F.col("t.g").alias("g"), F.filter("all", lambda x: x != F.col("t")).alias("others")), "firsts")
     texts = lambda: known.groupBy("block")
 
+    def named(told: pa.Table) -> tuple[dict[int, tuple[int, int]], set[tuple[int, int, int]]]:
+        """The text of each id that takes part, and those that keep everything."""
+        own, others = {}, set()
+        told = told.filter(told["node"].is_valid())
+        for node, h, g, more in zip(told["node"].to_pylist(), told["h"].to_pylist(), told["g"].to_pylist(), told["others"].to_pylist(), strict=True):
+            own[node] = h, g
+            others.update((node, x["h"], x["g"]) for x in more or ())
+        return own, others
+
     def of_firsts(rows: pa.Table, told: pa.Table) -> pa.Table:
         """The block's texts without copies, in order of id."""
-        nodes = np.array([x for x in told["node"].to_pylist() if x is not None], np.int64)
-        rows = rows.filter(rows["doc_id"].is_valid())
-        rows = rows.filter(pa.array(np.isin(rows["doc_id"].to_numpy(), nodes))).sort_by("doc_id")
-        ids = rows["doc_id"].to_numpy()
-        return rows.filter(pa.array(np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)))
+        own, _ = named(told)
+        seen: set[int] = set()
+        keep = []
+        for doc, h, g in zip(rows["doc_id"].to_pylist(), rows["h"].to_pylist(), rows["g"].to_pylist(), strict=True):
+            keep.append(own.get(doc) == (h, g) and doc not in seen)
+            if keep[-1]:
+                seen.add(doc)
+        return rows.filter(pa.array(keep, pa.bool_())).sort_by("doc_id")
 
     def ask(rows: pa.Table, told: pa.Table) -> pa.Table:
         kept = of_firsts(rows, told)
@@ -300,8 +347,8 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         kept = of_firsts(rows, told)
         held = Known(told.filter(told["bucket"].is_valid()), n)
         ids = kept["doc_id"].to_numpy()
-        parts, right, left, passages = [], [], [], []
-        done = 0
+        parts, right, left, passages, read = [], [], [], [], []
+        done = at = 0
         for first_row, base, data, offsets in segments(kept["text"]):
             text, place, first, last, gram = anchors(data, offsets)
             use = held.level(gram) > 0
@@ -311,7 +358,9 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             count = last - first + 1
             of = np.repeat(np.arange(len(text)), count)
             start = np.repeat(first, count) + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            passages.append((window_hashes(data, LENGTH)[start], done + of, (start - offsets[text][of] + base).astype(np.int64)))
+            passages.append((window_hashes(data, LENGTH)[start], done + of, (start - offsets[text][of] + base).astype(np.int64), at + start))
+            read.append(data)
+            at += len(data)
             parts.append((ids[first_row + text], place - offsets[text] + base, gram))
             raw = data.tobytes()
             # the widest context for now; what the block already has is cut off below
@@ -321,11 +370,14 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         block = rows["block"][0].as_py() if len(rows) else 0
         if not done:
             return _sorted_runs({k: np.zeros(0, np.int64) for k in ("bucket", "doc", "place", "least", "most")}, [], [], block, np.zeros((0, 3), np.int64), np.zeros(0, np.int64), n)
-        hashed, of, start = (np.concatenate([p[k] for p in passages]) for k in range(3))
+        hashed, of, start, byte = (np.concatenate([p[k] for p in passages]) for k in range(4))
         doc, place, gram = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        _, one = np.unique(hashed, return_index=True)
+        _, one, same = np.unique(hashed, return_index=True, return_inverse=True)
         here = np.zeros(len(hashed), bool)
         here[one] = True
+        later = np.flatnonzero(~here)
+        # a passage whose bytes differ from those of the earlier one with its hash travels like a new one
+        here[later] = ~equal_windows(np.concatenate(read), byte[later], byte[one[same.ravel()[later]]])
         # the block's own repeats are marked at once; only passages new to the block travel
         far = np.iinfo(np.int64).max
         lo, hi = np.full(done, far), np.full(done, -1)
@@ -343,24 +395,24 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         table = {"bucket": bucket[go], "doc": doc[go].astype(np.int64), "place": place[go].astype(np.int64), "least": least.astype(np.uint8), "most": most.astype(np.uint8)}
         return _sorted_runs(table, right, left, block, np.c_[doc[again], a[again], z[again]].astype(np.int64), bucket[again], n)
 
-    mine = firsts.select("block", "node")
+    mine = firsts
     asked = texts().cogroup(mine.groupBy("block")).applyInArrow(ask, ASKED)
     told = repeated(asked).unionByName(mine, allowMissingColumns=True)
     sent = texts().cogroup(told.groupBy("block")).applyInArrow(runs, RUNS)
     marks = sent.groupBy("bucket").applyInArrow(_merge, MARKS)
     marked = marks.unionByName(mine, allowMissingColumns=True)
-    names = [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
+    names = [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text", "text_hash", "text_hash_2"] * with_text]
 
     def keep(rows: pa.Table, told: pa.Table) -> pa.Table:
-        nodes = {x for x in told["node"].to_pylist() if x is not None}
+        own, others = named(told)
         all_marks = np.frombuffer(b"".join(m for m in told["marks"].to_pylist() if m), np.int64).reshape(-1, 3)
         all_marks = all_marks[np.argsort(all_marks[:, 0], kind="stable")]
         out = {k: [] for k in names[1:]}
-        for doc, text in zip(rows["doc_id"].to_pylist(), rows["text"], strict=True):
+        for doc, h, g, text in zip(rows["doc_id"].to_pylist(), rows["h"].to_pylist(), rows["g"].to_pylist(), rows["text"], strict=True):
             raw = text.as_buffer().to_pybytes()
-            if doc is None:
+            if doc is None or (doc, h, g) in others:
                 spans = []
-            elif doc not in nodes:
+            elif own.get(doc) != (h, g):
                 spans = [(0, len(raw))] if len(raw) >= LENGTH else []
             else:
                 a, z = np.searchsorted(all_marks[:, 0], [doc, doc + 1])
@@ -377,7 +429,9 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             out["kept_sha256"].append(hashlib.sha256(whole).hexdigest())
             if with_text:
                 out["kept_text"].append(whole.decode("utf-8", "ignore"))
+                out["text_hash"].append(h)
+                out["text_hash_2"].append(g)
         return pa.table([rows["doc_id"], *(pa.array(out[k], pa.string() if k.startswith("kept") else pa.int64()) for k in names[1:])], names=names)
 
-    kind = f"{id_column} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    kind = f"{id_column} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, text_hash long, text_hash_2 long" * with_text
     return texts().cogroup(marked.groupBy("block")).applyInArrow(keep, kind)

@@ -1,11 +1,16 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
-from helpers import SCHEMA, near_duplicates, odd_documents, repeated_passages
+import pytest
+from helpers import SCHEMA, near_duplicates, no_documents, repeated_passages
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from silvergrain.llm import quality
+from silvergrain.llm import mixing, quality
+from silvergrain.llm.queries import vocabulary
 
 
 def corpus(spark):
@@ -26,8 +31,9 @@ def pairs(df):
     return [(r["doc_id"], r["text"]) for r in df.collect()]
 
 
-def test_stages_against_plain_versions(spark):
+def test_stages_against_plain_versions(spark, tmp_path):
     docs = corpus(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
     kept = corpus_pipeline.quality_rules(spark, docs, "")
     verdict = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(docs).collect()}
     assert {d for d, _ in pairs(kept)} == {d for d, v in verdict.items() if v} and not any(verdict[500 + k] for k in range(5))
@@ -39,17 +45,79 @@ def test_stages_against_plain_versions(spark):
     lengths = {d: n - gone for d, (n, gone, _, _) in want.items()}
     assert {d: len(t.encode()) for d, t in pairs(cut)} == {d: n for d, n in lengths.items() if n}
     mixed = corpus_pipeline.target_mix(spark, cut, "")
-    assert mixed.columns == docs.columns and {d for d, _ in pairs(mixed)} <= {d for d, _ in pairs(cut)}
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(cut).collect()}
+    used = Counter(d for d, _ in pairs(mixed))
+    assert mixed.columns == docs.columns and used == {d: n for d, n in copies.items() if n} and dict(pairs(mixed)).items() <= dict(pairs(cut)).items()
     packed = corpus_pipeline.packed_sequences(spark, mixed, "")
-    filled = packed.groupBy("sequence_id").sum("length").collect()
-    assert all(r[1] <= 1024 for r in filled)
-
-
-def test_run_and_odd_rows(spark, tmp_path):
-    odd_documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
-    clashing = odd_documents(spark, True)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        clashing = stage(spark, clashing, "")
-    assert clashing.columns == odd_documents(spark, True).columns
-    assert corpus_pipeline.packed_sequences(spark, clashing, "").count() >= 0
+    coder = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    tokens = {d: len(coder.encode(t, add_special_tokens=False).ids) + 1 for d, t in pairs(mixed)}
+    rows = packed.collect()
+    seen = Counter()
+    places: dict = {}
+    for r in rows:
+        assert r["doc_tokens"] == tokens[r["doc_id"]]
+        seen[r["doc_id"]] += r["length"]
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert seen == {d: n * tokens[d] for d, n in used.items()}
+    for p in places.values():
+        p.sort()
+        assert [o for o, _ in p] == [sum(n for _, n in p[:k]) for k in range(len(p))] and sum(n for _, n in p) <= 1024
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert Counter(tuple(r) for r in whole.select(*key).collect()) == Counter(tuple(r) for r in packed.select(*key).collect())
+
+
+def rows_of(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def words_of(n, seed):
+    random.seed(seed)
+    return " ".join("".join(random.choices("etaoinshrdlu", k=random.randint(2, 9))) for _ in range(n))
+
+
+@pytest.fixture
+def odd(spark):
+    """Null and repeated ids, copies, columns that clash; no n_chars."""
+    a, b, c = words_of(80, 1), words_of(90, 2), words_of(100, 3)
+    rows = [(None, "short", "en", "s", "x"), (None, a, "en", "s", "x"), (None, a, "en", "s", "y"), (1, b, "en", "s", "x"), (1, b, "en", "s", "x"), (1, "short", "en", "s", "x"), (2, b, "en", "s", "z"), (3, c, None, None, "x"), (4, None, "en", "s", "x"), (5, "", "en", "s", "x"), (6, c[:300] + " " + words_of(60, 4), "en", "s", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size string")
+    for name in ("h", "n", "node", "shards", "place", "copies", "row", "__id", "__text", "kept"):
+        df = df.withColumn(name, F.lit(7))
+    return df, (a, b, c)
+
+
+def test_odd_rows_have_defined_results(spark, odd):
+    df, (a, b, c) = odd
+    kept = corpus_pipeline.quality_rules(spark, df, "")
+    assert kept.columns == df.columns
+    # short texts go whatever their id, and take no twin with them
+    assert rows_of(kept) == rows_of(df.where("text is not null and text not in ('', 'short')"))
+    single = corpus_pipeline.near_duplicates(spark, kept, "")
+    assert single.columns == df.columns
+    assert sorted(((d, t) for d, t in pairs(single)), key=str) == sorted([(None, a), (1, b), (3, c), (6, df.where("doc_id = 6").first()["text"])], key=str)
+    assert rows_of(single) == rows_of(corpus_pipeline.near_duplicates(spark, kept.repartition(3, "size"), ""))
+    shorter = corpus_pipeline.repeated_passages(spark, single, "")
+    texts = dict(pairs(shorter))
+    assert shorter.columns == df.columns and (texts[None], texts[1], texts[3]) == (a, b, c) and texts[6] == single.where("doc_id = 6").first()["text"][300:]
+    mixed = corpus_pipeline.target_mix(spark, shorter.unionByName(shorter.where("doc_id = 3")), "")
+    copies = mixing.mix(shorter.unionByName(shorter.where("doc_id = 3"))).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
+    assert mixed.columns == df.columns and Counter(d for d, _ in pairs(mixed)) == {r["doc_id"]: r["n"] for r in copies if r["n"]}
+    assert corpus_pipeline.packed_sequences(spark, mixed, "").select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
+
+
+def test_repeated_ids_with_several_texts(spark):
+    """Of an id with several texts one takes part; the others keep all, whatever the order of rows."""
+    a, b = words_of(50, 5), words_of(50, 6)
+    rows = [(3, a), (3, b), (9, a), (9, b), (5, a + " tail " + b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.repeated_passages(spark, df, "")
+    assert got.where("doc_id = 3").count() == 2 and got.where("doc_id = 9").count() == 0 and {t for d, t in pairs(got) if d == 3} == {a, b}
+    assert rows_of(got) == rows_of(corpus_pipeline.repeated_passages(spark, df.orderBy(F.desc("text")), ""))
+
+
+def test_empty_tables(spark):
+    docs = no_documents(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+    assert docs.count() == 0

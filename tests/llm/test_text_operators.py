@@ -103,6 +103,27 @@ def test_long_texts_are_cut_into_overlapping_segments(spark, monkeypatch):
     assert found == {s: p for _, p, first, last, _ in zip(*whole, strict=True) for s in range(first, last + 1)}
 
 
+def test_suffix_dedup_with_hashes_that_meet(spark, monkeypatch):
+    """Window hashes of a few values only: bytes decide."""
+    real = suffix_dedup.window_hashes
+    monkeypatch.setattr(suffix_dedup, "window_hashes", lambda data, width: real(data, width) % 7 if width == suffix_dedup.LENGTH else real(data, width))
+    df = varied(spark, 30)
+    data = pairs(df)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(df).collect()}
+    assert got == repeated_passages(data)
+
+
+def test_equal_windows():
+    import numpy as np
+
+    random.seed(21)
+    data = np.array(random.choices([1, 2], [9, 1], k=3000), np.uint8)
+    a = np.array(sorted(random.sample(range(2900), 1500)))
+    b = a + np.array([random.choice([-1, 0, 5]) for _ in a]).clip(-a.min(), 2900 - a.max())
+    want = [bool((data[x : x + 10] == data[y : y + 10]).all()) for x, y in zip(a, b, strict=True)]
+    assert suffix_dedup.equal_windows(data, a, b, 10, 64).tolist() == want
+
+
 def test_loser_tree_sorts_and_knows_prefixes():
     random.seed(8)
     for runs in (0, 1, 2, 3, 7, 16):
@@ -153,27 +174,49 @@ def test_quality_rejects_texts_littered_with_symbols(spark):
     assert all(got[k] for k in range(150)) and got[2000]
 
 
-def test_determinant_estimate_equals_plain_steps(spark):
-    """The same concentration steps in numpy give the same centre."""
+def test_windows_of_equal_hash_are_compared_by_words(spark, monkeypatch):
+    monkeypatch.setattr(quality, "WINDOW_HASH", "length({0}) * 1048576L")
+    random.seed(15)
+    rows = [(k, " ".join(random.choice(["aa", "bb", "cc", "d", "e"]) for _ in range(random.randint(1, 60)))) for k in range(60)]
+    got = quality.text_statistics(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["n_repeat_words"] == statistics(rows[r["doc_id"]][1])[4] for r in got)
+
+
+def normal(spark, groups):
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    return spark.createDataFrame(rows, "grp string, " + ", ".join(f"{s} double" for s in quality.STATS))
+
+
+def test_determinant_equals_the_least_of_all_subsets(spark):
+    """Small groups: of all cores of three quarters the one of least determinant is found."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    groups = {f"g{k}": np.vstack([rng.normal(size=(11, 5)), rng.normal(9, 1, size=(3, 5))]) for k in range(4)}
+    got = {r["grp"]: r for r in quality.minimum_covariance_determinant(normal(spark, groups)).collect()}
+    for g, x in groups.items():
+        best = min(itertools.combinations(range(14), 11), key=lambda c: np.linalg.det(np.cov(x[list(c)].T, bias=True)))
+        core = x[list(best)]
+        assert math.isclose(got[g]["log_det"], math.log(np.linalg.det(np.cov(core.T, bias=True))), rel_tol=1e-6)
+        assert np.allclose([got[g][f"m{i}"] for i in range(5)], core.mean(0)) and got[g]["n"] == 11
+
+
+def test_distances_of_normal_rows_follow_chi_square(spark):
     import numpy as np
 
     rng = np.random.default_rng(0)
-    x = np.vstack([rng.normal(size=(400, 5)), rng.normal(6, 1, size=(80, 5))])
-    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"{s} double" for s in quality.STATS))
-    fit = quality.minimum_covariance_determinant(df).first()
-    floor = np.diag(np.array(quality.FLOORS) ** 2)
-    best = None
-    q1, med, q3 = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
-    for start in (((x - med) / ((q3 - q1) / 1.349)) ** 2, ((x - x.mean(0)) / x.std(0)) ** 2):
-        d = start.sum(1)
-        for _ in range(quality.STEPS):
-            core = x[d <= np.quantile(d, quality.CORE)]
-            m, c = core.mean(0), np.cov(core.T, bias=True) + floor
-            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-        if best is None or np.linalg.det(c) < best[0]:
-            best = (np.linalg.det(c), m)
-    assert np.allclose([fit[f"m{i}"] for i in range(5)], best[1], atol=0.05)
-    assert math.isclose(fit["log_det"], math.log(best[0]), abs_tol=0.15)
+    mixing_ = rng.normal(size=(5, 5))
+    clean = rng.normal(size=(6000, 5)) @ mixing_.T
+    x = np.vstack([clean, rng.normal(40, 1, size=(60, 5))])
+    df = normal(spark, {"g": x, "few": clean[:3] + 1})
+    fit = quality.shrunk(quality.minimum_covariance_determinant(df))
+    d = np.sort([r["d"] for r in df.where("grp = 'g'").join(fit, "grp").select(quality._distance().alias("d")).collect()])
+    # quantiles of chi-square with five degrees; a hundredth of the rows are outliers beyond all of them
+    for q, want in ((0.25, 2.675), (0.5, 4.351), (0.75, 6.626), (0.95, 11.07)):
+        assert math.isclose(d[int(q * 6000)], want, rel_tol=0.08)
+    assert (d[6000:] > quality.CUTOFF).all() and (d[:6000] > quality.CUTOFF).mean() < 0.004
 
 
 def test_scores(docs):
@@ -316,10 +359,98 @@ def test_targets_fill_up_like_water(spark):
         assert got == pytest.approx(plain(sizes))
 
 
-def test_splitting_tree_deals_all_blocks_evenly(spark):
-    blocks = spark.createDataFrame([(f"s{k % 3}", k) for k in range(480)], "source string, __block long")
-    got = mixing.splitting_tree(blocks, 16, 1).groupBy("shard").count().collect()
-    assert sorted(r["count"] for r in got) == [30] * 16
+def quantile(everything, kind, drawn, u):
+    """The hypergeometric quantile from whole binomials."""
+    from fractions import Fraction
+
+    sum_, least = Fraction(0), max(0, drawn - (everything - kind))
+    for k in range(least, min(kind, drawn) + 1):
+        sum_ += Fraction(math.comb(kind, k) * math.comb(everything - kind, drawn - k), math.comb(everything, drawn))
+        if sum_ >= Fraction(u):
+            break
+    return k
+
+
+def test_hypergeometric_draws_equal_whole_binomials(spark):
+    from pyspark.sql import functions as F
+
+    cases = [(1, 1, 1), (10, 3, 5), (100, 40, 50), (1000, 999, 500), (50, 0, 20), (50, 50, 20), (37, 20, 30), (0, 0, 0), (5000, 1700, 2500)]
+    rows = [(*c, u) for c in cases for u in (0.001, 0.1, 0.3, 0.5, 0.77, 0.999)]
+    df = spark.createDataFrame(rows, "everything long, kind long, drawn long, u double")
+    got = df.withColumn("k", mixing.hypergeometric(F.col("everything"), F.col("kind"), F.col("drawn"), F.col("u"))).collect()
+    assert all(r["k"] == quantile(*r[:4]) for r in got)
+
+
+def plain_tree(spark, quotas, shards, seed):
+    """{shard: quotas}, node by node."""
+    from pyspark.sql import functions as F
+
+    nodes, out = [(0, shards, quotas)], {}
+    while nodes:
+        lo, hi, q = nodes.pop()
+        if hi - lo < 2:
+            out[lo] = q
+            continue
+        mid = lo + (hi - lo) // 2
+        us = spark.range(len(q)).select("id", ((F.pmod(F.xxhash64(F.lit(seed), F.lit(lo), F.lit(hi), F.col("id").cast("int")), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u")).collect()
+        us = {r["id"]: r["u"] for r in us}
+        need, rest, left = math.floor(sum(q) * (mid - lo) / (hi - lo) + 0.5), sum(q), []
+        for i, k in enumerate(q):
+            left.append(quantile(rest, k, need, us[i]))
+            need, rest = need - left[-1], rest - k
+        nodes += [(lo, mid, left), (mid, hi, [a - b for a, b in zip(q, left, strict=True)])]
+    return out
+
+
+@pytest.mark.parametrize(("quotas", "shards"), [([40, 0, 7, 100], 8), ([3, 1], 5), ([12], 1)])
+def test_splitting_tree(spark, quotas, shards):
+    got = {r["shard"]: r["quotas"] for r in mixing.splitting_tree(spark.createDataFrame([(quotas,)], "quotas array<long>"), shards, 3).collect()}
+    assert got == plain_tree(spark, quotas, shards, 3)
+    assert [sum(q[i] for q in got.values()) for i in range(len(quotas))] == quotas
+    sizes = [sum(q) for q in got.values()]
+    assert max(sizes) - min(sizes) <= 3
+
+
+def test_mix_takes_what_the_leaves_hold(spark, monkeypatch):
+    """Blocks, quotas, tree and draws by plain Python, from the rows' hashes."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 6)
+    monkeypatch.setattr(mixing, "PIECE_ROWS", 4)
+    random.seed(13)
+    rows = [(k, " ".join(["w"] * random.choice([0, 3, 20, 90])), random.choice(["a", "a", "a", "b", None])) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(df, shards=4).collect()}
+    hashes = {r["doc_id"]: r["h"] % (1 << 64) for r in df.select("doc_id", F.xxhash64("doc_id", "text", F.lit(17)).alias("h")).collect()}
+    size = {d: len(words(t)) for d, t, _ in rows}
+    whole = sum(size.values())
+    block = max(1, -(-whole // (4 * 6)))
+    facts, order = {}, {}
+    for s in {s for *_, s in rows}:
+        order[s] = sorted((d for d, _, x in rows if x == s), key=hashes.get)
+        total, target = sum(size[d] for d in order[s]), got[order[s][0]]["target"]
+        rounds = min(3, int(target // total))
+        more = max(0, math.floor(target - rounds * total)) if rounds < 3 else 0
+        facts[s] = (rounds, -(-total // block), more)
+    names = sorted(facts, key=lambda s: "" if s is None else "=" + s)
+    quotas = [facts[s][0] * facts[s][1] + -(-facts[s][2] // block) for s in names]
+    leaves = plain_tree(spark, quotas, 4, 17)
+    for i, s in enumerate(names):
+        rounds, blocks, more = facts[s]
+        owner = [shard for shard in sorted(leaves) for _ in range(leaves[shard][i])]
+        before = 0
+        for d in order[s]:
+            at = min(before // block, blocks - 1)
+            last = max(0, min(more - before, size[d]))
+            draws = [r * blocks + at for r in range(rounds + (last > 0))]
+            assert got[d]["shards"] == [owner[p] for p in draws]
+            assert got[d]["taken"] == rounds * size[d] + last
+            before += size[d]
+    per = [0] * 4
+    for r in got.values():
+        for x in r["shards"]:
+            per[x] += r["size"]
+    assert max(per) < 2 * min(per)
 
 
 def test_sharding(docs):
