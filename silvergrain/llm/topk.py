@@ -18,12 +18,14 @@ from pyspark.sql.window import Window
 
 from silvergrain.llm.common import cut
 
-#: Pivots, and annuli of each: with them, what is known of the index has a fixed size.
-PIVOTS, RINGS = 24, 8
-#: Rows that the pivots are fitted on; every row is indexed.
-SAMPLE = 4096
-#: Rows of one block of an annulus.
-BLOCK = 8192
+#: Pivots grow with the root of the number of vectors, between these bounds.
+PIVOTS = (24, 2048)
+#: Rows that the pivots are fitted on, and rows for each pivot if those are more; every row is indexed.
+SAMPLE, PER_PIVOT = 4096, 16
+#: Rows of one annulus; a table has CELLS annuli at most (besides one for each pivot), larger ones beyond that.
+BLOCK, CELLS = 8192, 1 << 17
+#: Queries that one task holds against one annulus.
+QUERIES = 1 << 16
 #: Relative and absolute slack of computed distances against rounding.
 SLACK = 1e-7
 
@@ -33,24 +35,25 @@ def quantised(vector: Column, scale: int = 1024) -> Column:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    """Ragged lists of longs as a float matrix, short rows filled with zeros."""
+    """Ragged lists of longs as a matrix of longs, short rows filled with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = np.diff(column.offsets.to_numpy())
-    out = np.zeros((len(column), width))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    out = np.zeros((len(column), width), np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(column)), n)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
     return out
 
 
 def _lifted(m: np.ndarray, most: float) -> np.ndarray:
+    m = m.astype(float)
     return np.hstack([m, np.sqrt(np.maximum(most - np.einsum("ij,ij->i", m, m), 0))[:, None]])
 
 
-def _fit(sample: np.ndarray, seed: int) -> np.ndarray:
+def _fit(sample: np.ndarray, count: int, seed: int) -> np.ndarray:
     """A few rounds of k-means on the distinct sample rows."""
     rows = np.unique(sample, axis=0)
-    pivots = rows[np.random.default_rng(seed).permutation(len(rows))[:PIVOTS]]
+    pivots = rows[np.random.default_rng(seed).permutation(len(rows))[:count]]
     for _ in range(5):
         near = np.argmin(_squared(rows, pivots), 1)
         pivots = np.array([rows[near == k].mean(0) if (near == k).any() else pivots[k] for k in range(len(pivots))])
@@ -61,32 +64,58 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
+def best_rows(m: np.ndarray, rough: np.ndarray, slack: np.ndarray | None, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[list[int], list[int]]:
+    """(ids, scores) of the k rows of m with the largest inner product with q, ties to the smaller id, rows called own left out.
+
+    rough: the products in floats; slack: bounds of their rounding, None where
+    they are exact. With slack, floats only choose the rows that rounding can't
+    rule out; these are scored by whole numbers, held at a long's limits.
+    """
+    rough = np.where(ids == own, -np.inf, rough)
+    near = rough > -np.inf
+    if near.sum() > k:
+        kth = np.partition(rough, len(rough) - k)[len(rough) - k]
+        near &= rough >= kth if slack is None else rough + slack >= min(kth - slack.max(), 2.0**62)
+    at = np.flatnonzero(near)
+    if slack is None:
+        scores = rough[at].astype(np.int64).tolist()
+    else:
+        whole = q.tolist()
+        scores = [max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole, row, strict=True)))) for row in m[at].tolist()]
+    found = ids[at].tolist()
+    order = sorted(range(len(scores)), key=lambda j: (-scores[j], found[j]))[:k]
+    return [found[j] for j in order], [scores[j] for j in order]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 1024, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k largest integer inner products with other rows.
 
-    queries: rows of vectors (same columns). A row is never its own candidate:
-    rows with the query's id are left out, so repeated rows of one id aren't
-    each other's. Ties go to the smaller id. Rows with a null id, or a null
-    vector or component or one that isn't finite, take no part; missing
-    components of a shorter vector count as zero. Exact for components up to
-    2**22 after scaling (sums stay below 2**53). Empty tables give no rows.
+    queries: rows of vectors (same columns); of a query id with several vectors
+    the least one asks. A row is never its own candidate: rows with the query's
+    id are left out, so repeated rows of one id aren't each other's; otherwise
+    repeated rows count as often as they come. Ties go to the smaller id. Rows
+    with a null id, or a null vector or component or one that isn't finite, take
+    no part; missing components of a shorter vector count as zero. Products and
+    sums are whole numbers of any size; components beyond a long after scaling
+    are held at its limits, and so are scores, before they are ranked. Long vectors are
+    worked on whole, other columns ignored. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     takes_part = F.coalesce(F.col(id_column).isNotNull() & F.forall(vector_column, finite), F.lit(False))
     ready = lambda df: df.where(takes_part).select(F.col(id_column).cast("long").alias("id"), quantised(F.col(vector_column), scale).alias("v"))
     base = cut(ready(vectors), "vectors")
-    asked = cut(ready(queries), "queries")
-    whole = base.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    asked = cut(ready(queries).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    total, width, most = base.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(length)).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not whole[0]:
+    if not total:
         return empty
-    far = asked.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
-    width, most = max(whole[1], far[0] or 0, 1), float(whole[2]) + 1
-    if max(whole[3] or 0, far[1] or 0) > 2**22:
-        raise ValueError("scaled components above 2**22 would make sums inexact")
-    sampled = base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).toArrow()
-    pivots = _fit(_lifted(_matrix(sampled["v"], width), most), seed)
+    far = asked.agg(F.max(F.size("v"))).first()[0]
+    width, most = max(width, far or 0, 1), float(most) + 1
+    count = min(max(round(total**0.5 / 8), PIVOTS[0]), PIVOTS[1])
+    sampled = base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(SAMPLE, PER_PIVOT * count)).toArrow()
+    pivots = _fit(_lifted(_matrix(sampled["v"], width), most), count, seed)
 
     def keyed(batches):
         for b in batches:
@@ -95,71 +124,80 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p.astype(np.int32)), pa.array(d[np.arange(len(p)), p])], names=["id", "v", "p", "r"])
 
     index = cut(base.mapInArrow(keyed, "id long, v array<long>, p int, r double"), "index")
-    quantiles = [k / RINGS for k in range(1, RINGS)]
-    edges = {r["p"]: r["e"] for r in index.groupBy("p").agg(F.percentile_approx("r", quantiles, 2000).alias("e")).collect()}  # a row per pivot
-    edge_map = F.create_map(*[x for p, e in edges.items() for x in (F.lit(p), F.array(*[F.lit(float(v)) for v in e]))])
-    index = index.withColumn("ring", F.size(F.filter(F.element_at(edge_map, F.col("p")), lambda e: e < F.col("r"))))
-    known = index.groupBy("p", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()  # PIVOTS * RINGS rows at most
-    cells = np.array([(c["p"], c["ring"], c["n"], c["low"], c["high"], -(-c["n"] // BLOCK)) for c in known])
-    blocks = {(int(c[0]), int(c[1])): int(c[5]) for c in cells}
-    parts = F.create_map(*[x for (p, ring), n in blocks.items() for x in (F.lit(p * RINGS + ring), F.lit(n))])
-    cell = (F.col("p") * RINGS + F.col("ring")).cast("int")
-    data = index.select("id", "v", "p", "r", cell.alias("cell"), F.pmod(F.xxhash64("id"), F.element_at(parts, cell)).cast("int").alias("part"))
+    rows = max(BLOCK, -(-total // CELLS))
+    sizes = {r["p"]: r["n"] for r in index.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per pivot
+    fine = min(1024, max(-(-n // rows) for n in sizes.values()))
+    quantiles = [j / fine for j in range(1, fine)]
+    cuts: list[tuple[int, list[float]]] = [(p, []) for p in sizes]
+    if quantiles:
+        found = index.groupBy("p").agg(F.percentile_approx("r", quantiles, 10000).alias("e")).collect()  # fine numbers per pivot
+        # of the finest edges each pivot keeps as many as its rows need
+        cuts = [(r["p"], sorted({r["e"][min(fine - 1, -(-j * fine // parts)) - 1] for parts in [-(-sizes[r["p"]] // rows)] for j in range(1, min(parts, fine))})) for r in found]
+    edges = spark.createDataFrame(pa.table({"p": pa.array([c[0] for c in cuts], pa.int32()), "edges": pa.array([c[1] for c in cuts], pa.list_(pa.float64()))}))
+    ringed = index.join(F.broadcast(edges), "p").withColumn("ring", F.size(F.filter("edges", lambda e: e < F.col("r")))).drop("edges")  # a row per pivot
+    known = ringed.groupBy("p", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).orderBy("p", "ring").collect()  # CELLS rows and PIVOTS at most
+    cells = np.array([(c["p"], c["n"], c["low"], c["high"]) for c in known])
+    columns = {"p": [c["p"] for c in known], "ring": [c["ring"] for c in known], "cell": range(len(known)), "parts": [-(-c["n"] // rows) for c in known]}
+    names = spark.createDataFrame(pa.table({c: pa.array(v, pa.int32()) for c, v in columns.items()}))
+    # vectors at one distance can't be told apart by it: an annulus that holds too many is cut by id
+    data = ringed.join(F.broadcast(names), ["p", "ring"]).select("id", "v", "r", "cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))  # a row per annulus
 
     def placed(batches, first: bool):
-        """A row for each query and block that it looks into; low, high: the slice of distances to the pivot."""
+        """A row for each query and annulus that it looks into; low, high: the slice of distances to the pivot."""
         for b in batches:
-            q = _matrix(b.column(1), width)
+            q = _matrix(b.column(1), width).astype(float)
             d = np.sqrt(_squared(np.hstack([q, np.zeros((len(q), 1))]), pivots))
             norm = (q * q).sum(1)
-            p, low, high, n = cells[:, 0].astype(int), cells[:, 3], cells[:, 4], cells[:, 2]
-            gap = np.maximum(np.maximum(low[None] - d[:, p], d[:, p] - high[None]), 0)
-            if first:
-                order = np.lexsort((np.broadcast_to(np.arange(len(p)), gap.shape), gap), axis=1)
-                before = np.cumsum(n[order], 1) - n[order]
-                use = np.zeros(gap.shape, bool)
-                np.put_along_axis(use, order, before < k + 1, 1)
-                reach = np.full(len(q), np.inf)
-            else:
+            p, n, low, high = cells[:, 0].astype(int), cells[:, 1], cells[:, 2], cells[:, 3]
+            reach = np.full(len(q), np.inf)
+            if not first:
                 best = b.column(2).to_numpy(zero_copy_only=False)
-                reach = np.sqrt(np.maximum(norm + most - 2 * np.nan_to_num(best, nan=-np.inf), 0)) * (1 + SLACK) + SLACK * np.sqrt(most)
-                use = gap <= reach[:, None]
-            i, j = np.nonzero(use)
-            times = cells[j, 5].astype(int)
-            i, j, part = np.repeat(i, times), np.repeat(j, times), np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array((p[j] * RINGS + cells[j, 1].astype(int)).astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(d[i, p[j]] - reach[i]), pa.array(d[i, p[j]] + reach[i])],
-                names=["query_id", "q", "cell", "part", "low", "high"],
-            )
+                reach = np.sqrt(np.maximum(norm + most - 2 * np.nan_to_num(best, nan=-np.inf), 0)) * (1 + SLACK) + SLACK * np.sqrt(most + norm)
+            for lo in range(0, len(q), 256):
+                part = slice(lo, lo + 256)
+                dp = d[part][:, p]
+                gap = np.maximum(np.maximum(low[None] - dp, dp - high[None]), 0)
+                if first:
+                    order = np.argsort(gap, axis=1, kind="stable")
+                    before = np.cumsum(n[order], 1) - n[order]
+                    use = np.zeros(gap.shape, bool)
+                    np.put_along_axis(use, order, before < k + 1, 1)
+                else:
+                    use = gap <= reach[part][:, None]
+                i, j = np.nonzero(use)
+                i += lo
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(j.astype(np.int32)), pa.array(d[i, p[j]] - reach[i]), pa.array(d[i, p[j]] + reach[i])], names=["query_id", "q", "cell", "low", "high"])
 
     def searched(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(rows) and len(wanted):
             rows = rows.sort_by("r")
             r, ids, m = rows["r"].to_numpy(), rows["id"].to_numpy(), _matrix(rows["v"], width)
-            names, low, high, q = wanted["query_id"].to_numpy(), wanted["low"].to_numpy(), wanted["high"].to_numpy(), _matrix(wanted["q"], width)
+            queries, low, high, q = wanted["query_id"].to_numpy(), wanted["low"].to_numpy(), wanted["high"].to_numpy(), _matrix(wanted["q"], width)
             a, z = np.searchsorted(r, low, "left"), np.searchsorted(r, high, "right")
-            for at in range(0, len(q), 64):
-                score = q[at : at + 64] @ m.T
-                for s, x in enumerate(score):
-                    lo, hi = a[at + s], z[at + s]
-                    x, own = x[lo:hi], ids[lo:hi]
-                    other = own != names[at + s]
-                    x, own = x[other], own[other]
-                    if len(x) > k:
-                        kth = np.partition(x, len(x) - k)[len(x) - k]
-                        x, own = x[x >= kth], own[x >= kth]
-                    top = np.lexsort((own, -x))[:k]
-                    out["query_id"] += [names[at + s]] * len(top)
-                    out["vec_id"] += own[top].tolist()
-                    out["score"] += x[top].astype(np.int64).tolist()
+            mf, qf = m.astype(float), q.astype(float)
+            exact = width * float(np.abs(mf).max()) * float(np.abs(qf).max()) < 2**52
+            for lo in range(0, len(q), 64):
+                rough = qf[lo : lo + 64] @ mf.T
+                # the rounding of a sum and of the conversions
+                slack = None if exact else (width + 4) * 2.0**-52 * (np.abs(qf[lo : lo + 64]) @ np.abs(mf).T)
+                for s, name in enumerate(queries[lo : lo + 64].tolist()):
+                    part = slice(a[lo + s], z[lo + s])
+                    found, scores = best_rows(m[part], rough[s, part], None if exact else slack[s, part], ids[part], q[lo + s], name, k)
+                    out["query_id"] += [name] * len(found)
+                    out["vec_id"] += found
+                    out["score"] += scores
         return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
     def search(first: bool, wanted: DataFrame) -> DataFrame:
-        rows = wanted.mapInArrow(lambda b: placed(b, first), "query_id long, q array<long>, cell int, part int, low double, high double")
-        return data.groupBy("cell", "part").cogroup(rows.groupBy("cell", "part")).applyInArrow(searched, "query_id long, vec_id long, score long")
+        looks = wanted.mapInArrow(lambda b: placed(b, first), "query_id long, q array<long>, cell int, low double, high double")
+        # an annulus that many queries look into goes to as many tasks as they need
+        turns = cut(looks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("turns")).join(names.select("cell", "parts"), "cell"), "turns")
+        asking = looks.join(F.broadcast(turns), "cell").withColumn("turn", F.pmod(F.xxhash64("query_id"), "turns").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))  # a row per annulus
+        blocks = data.join(F.broadcast(turns.select("cell", "turns")), "cell").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))  # a row per annulus
+        key = ["cell", "part", "turn"]
+        return blocks.select("id", "v", "r", *key).groupBy(*key).cogroup(asking.select("query_id", "q", "low", "high", *key).groupBy(*key)).applyInArrow(searched, "query_id long, vec_id long, score long")
 
-    asked = asked.dropDuplicates(["id"])
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     near = search(True, asked).withColumn("n", F.row_number().over(by_score)).where(F.col("n") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("best"))
     bounded = cut(asked.join(near, "id", "left").select("id", "v", "best"), "bounds")

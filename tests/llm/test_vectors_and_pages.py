@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from silvergrain.llm import html_text, topk
 
@@ -45,6 +46,28 @@ def test_one_vector_for_a_third_of_the_rows(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, range(0, 900, 100))
 
 
+def test_large_components_and_fine_rings(spark, monkeypatch):
+    """Sums beyond 2**53, an id with two vectors, and annuli of a few rows, each asked by a few queries at a time."""
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(2)
+    rows = [(k, (rng.normal(size=6) * (1e5 if k % 2 else 1)).astype(np.float32).tolist()) for k in range(300)]
+    rows += [(1000 + k, [1e6, 1e6 + k / 1024, -1e6, 1.0, 0.0, 0.5]) for k in range(12)] + [(2000, [1e4] + [0.0] * 5)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"))
+    want = []
+    fine = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    for q in (i for i in fine if i % 100 == 0):
+        best = sorted((-sum(a * b for a, b in zip(fine[q], v, strict=True)), i) for i, v in fine.items() if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert max(abs(x[3]) for x in want) > 2**53
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    twice = spark.createDataFrame([(0, [2.0, 1.0], 1), (0, [1.0, 2.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1)], VECTORS)
+    for order in ("embedding", "vec_id"):
+        d = twice.orderBy(F.desc(order))
+        assert [tuple(r) for r in topk.top_k(d, d.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 2, 2 << 20), (0, 2, 1, 1 << 20)]
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], VECTORS)
     assert topk.top_k(df, df).count() == 0
