@@ -1,15 +1,17 @@
 """Language-model scores by deleted interpolation.
 
-The model mixes maximum-likelihood estimates of one and two words. The weight of
-the two-word estimate depends on how often its context was seen (one weight per
-power of two) and is learned by expectation-maximisation on held-out counts:
-the tokens of one fold of the training documents, each with itself deleted from
-the counts.
-
-Texts are dealt to blocks by a hash of their id. A block asks the buckets of its
-words' hashes for their counts, then the buckets of its word pairs'. Only counts
-travel; a word in every text is one entry per block. Everything is one lazy plan
-in which the texts are shuffled once.
+The model mixes maximum-likelihood estimates of one, two and three words with a
+uniform floor. From the floor up, each estimate is mixed with the mixture below
+it; its weight depends on how often its context was seen (one weight per power
+of two) and is learned by expectation-maximisation on held-out counts: the
+tokens of one fold of the training documents, each with itself deleted from the
+counts.
+
+Texts are dealt to blocks by a hash of their id and travel compressed. A block
+asks the buckets of its words' hashes for their counts, then those of its word
+pairs' and word triples'. Only counts travel; a word in every text is one entry
+per block. A triple of which a pair was never seen needs no asking. Everything is one lazy plan in which the texts
+are shuffled once.
 """
 
 from __future__ import annotations
@@ -31,9 +33,13 @@ START, END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 FOLDS, HELD_OUT, TUNING = 7, 2, 6
 #: Context frequencies fall into powers of two.
 LEVELS = 48
-#: Bins of the logarithm of the two estimates' ratio, per unit.
+#: Bins of the logarithm of two estimates' ratio, per unit.
 FINE = 64
-PER_BLOCK = "block int, bucket int, totals binary, tokens long, kinds long, weights binary"
+NEVER = np.iinfo(np.int32).min
+#: Bytes of a key that travel beside its bucket: with five million keys in a bucket one bucket in 25 has two that meet by chance.
+KEY_BYTES = 6
+TOLD = "block int, bucket int, totals binary, tokens long, kinds long, weights binary, order int"
+ASKS = "bucket int, block int, keys binary, counts binary, tuned binary, times binary, base binary, level binary"
 
 
 def _tokens(texts: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -43,10 +49,11 @@ def _tokens(texts: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield first, np.insert(hashed, at[1:], END), at + np.arange(len(at))
 
 
-def _contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    before = np.r_[START, tokens[:-1]]
-    before[at[:-1]] = START
-    return before
+def _before(values: np.ndarray, at: np.ndarray, start) -> np.ndarray:
+    """Each place's value one place earlier; start at the beginning of a text."""
+    out = np.r_[values[:1], values[:-1]]
+    out[at[:-1]] = start
+    return out
 
 
 def _pairs(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -54,6 +61,27 @@ def _pairs(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         return mix(before * PLACES[0] + tokens * PLACES[1])
 
 
+def _triples(pair_before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(pair_before * PLACES[2] + tokens * PLACES[3])
+
+
+def _planes(values: np.ndarray, size: int, ordered: bool = False) -> bytes:
+    """The lower size bytes of each number (of the steps between them, if they are ordered), byte by byte, compressed."""
+    values = np.diff(values.astype(U), prepend=U(0)) if ordered else values
+    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def _unplaned(packed: bytes, size: int, ordered: bool = False) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    raw = pa.decompress(packed[8:], n, codec="zstd", asbytes=True) if n else b""
+    out = np.zeros((n // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(size, -1).T
+    whole = out.view("<u8").ravel().astype(U)
+    return np.cumsum(whole, dtype=U) if ordered else whole
+
+
 class Counted:
     """Distinct keys of a block with their training counts, in the order in which buckets are asked."""
 
@@ -63,7 +91,7 @@ class Counted:
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.keys, self.bucket, self.of = distinct[order], bucket[order], place[inverse]
+        self.keys, self.bucket, self.of = distinct[order], bucket[order], place[inverse.ravel()]
         self.counts = np.bincount(self.of, learned, len(order)).astype(np.uint32)
         self.edges = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1]]) if len(order) else np.zeros(0, int)
         self.ends = np.r_[self.edges[1:], len(order)].astype(int)
@@ -72,17 +100,21 @@ class Counted:
 def _answers(told: pa.Table) -> np.ndarray:
     """The totals of a block's keys, in the order in which they were asked."""
     rows = sorted((b, t) for b, t in zip(told["bucket"].to_pylist(), told["totals"].to_pylist(), strict=True) if b is not None and t is not None)
-    return np.frombuffer(b"".join(t for _, t in rows), np.int64)
+    return np.concatenate([np.zeros(0, np.int64), *(_unplaned(t, 5).astype(np.int64) for _, t in rows)])
 
 
 def _sum_up(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     _, inverse = np.unique(keys, return_inverse=True)
-    return np.bincount(inverse, counts).astype(np.int64)[inverse] if len(keys) else np.zeros(0, np.int64)
+    return np.bincount(inverse.ravel(), counts).astype(np.int64)[inverse.ravel()] if len(keys) else np.zeros(0, np.int64)
+
+
+def level_of(context: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(np.log2(np.maximum(context, 1))).astype(np.int64), LEVELS - 1)
 
 
 def expectation_maximisation(level: np.ndarray, bin_: np.ndarray, times: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weight of the longer estimate per level; bin_ is FINE * log(ratio), the least integer for a ratio of 0."""
-    ratio = np.where(bin_ == np.iinfo(np.int32).min, 0.0, np.exp(np.clip(bin_ / FINE, -60, 60)))
+    """Weight of the longer estimate per level; bin_ is FINE * log(ratio of the two estimates), NEVER for a ratio of 0."""
+    ratio = np.where(bin_ == NEVER, 0.0, np.exp(np.clip(bin_ / FINE, -60, 60)))
     weight = np.full(LEVELS, 0.5)
     total = np.bincount(level, times, LEVELS)
     for _ in range(rounds):
@@ -92,174 +124,207 @@ def expectation_maximisation(level: np.ndarray, bin_: np.ndarray, times: np.ndar
     return weight
 
 
+def mixture(weight: np.ndarray, count: np.ndarray, context: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """The estimate count / context mixed with what is below; a context never seen leaves that alone."""
+    w = np.where(context > 0, weight[level_of(context)], 0.0)
+    return w * count / np.maximum(context, 1) + (1 - w) * below
+
+
 def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words, lower-cased in A-Z, and one end per text. base_score
     is the add-one score of single words. Null texts count as empty (an end
     alone), null ids as the empty string. Repeated rows are learned from and
-    returned as often as they come. Without any training text every count is 0.
-    An empty table gives an empty one.
+    returned as often as they come; texts of one id are dealt and folded alike.
+    Very long texts are scored whole. Other columns are ignored, whatever their
+    names. Without any training text every count is 0 and the floor alone is
+    left. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     fold = (F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("int")
-    known = docs.select(block_of(id_column, n).alias("block"), F.col(id_column).alias("doc_id"), fold.alias("fold"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    kind = docs.schema[id_column].dataType.simpleString()
+    plain = docs.select(block_of(id_column, n).alias("block"), F.col(id_column).alias("doc_id"), fold.alias("fold"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [t.encode("utf-8", "surrogatepass") for t in b["text"].to_pylist()]
+            small = [pa.compress(r, codec="zstd", asbytes=True) for r in raw]
+            yield pa.RecordBatch.from_arrays([b["block"], b["doc_id"], b["fold"], pa.array(small, pa.binary()), pa.array([len(r) for r in raw], pa.int64())], names=["block", "doc_id", "fold", "text", "size"])
+
+    known = plain.mapInArrow(compressed, f"block int, doc_id {kind}, fold int, text binary, size long")
     texts = lambda: known.groupBy("block")
 
+    def slices(rows: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        whole = [pa.decompress(t, size, codec="zstd", asbytes=True) if size else b"" for t, size in zip(rows["text"].to_pylist(), rows["size"].to_pylist(), strict=True)]
+        return list(_tokens(pa.chunked_array([pa.array(whole, pa.large_binary())])))
+
     def ask_words(rows: pa.Table) -> pa.Table:
         fold = rows["fold"].to_numpy()
         keys, learned = [], []
-        for first, tokens, at in _tokens(rows["text"]):
+        for first, tokens, at in slices(rows):
             train = (fold[first : first + len(at) - 1] != HELD_OUT).astype(np.float64)
             keys += [tokens, np.full(len(at) - 1, START)]
             learned += [np.repeat(train, np.diff(at)), train]
         c = Counted(np.concatenate(keys), np.concatenate(learned), n)
         block = rows["block"][0].as_py()
         spans = list(zip(c.edges, c.ends, strict=True))
-        return pa.table({"bucket": pa.array(c.bucket[c.edges], pa.int32()), "block": pa.array([block] * len(spans), pa.int32()), "keys": pa.array([c.keys[a:z].tobytes() for a, z in spans], pa.binary()), "counts": pa.array([c.counts[a:z].tobytes() for a, z in spans], pa.binary())})
+        return pa.table({"bucket": pa.array(c.bucket[c.edges], pa.int32()), "block": pa.array([block] * len(spans), pa.int32()), "keys": pa.array([_planes(c.keys[a:z], 8, True) for a, z in spans], pa.binary()), "counts": pa.array([_planes(c.counts[a:z], 4) for a, z in spans], pa.binary())})
+
+    def answered(rows: pa.Table, totals: np.ndarray, ends: np.ndarray, order: int, more: dict | None = None) -> pa.Table:
+        """Rows of TOLD for what the blocks asked, and one row of sums."""
+        parts = [_planes(totals[a:z], 5) for a, z in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+        m, extra = len(parts), int(more is not None)
+        column = lambda name: pa.concat_arrays([rows[name].combine_chunks(), pa.nulls(extra, pa.int32())])
+        return pa.table({"block": column("block"), "bucket": column("bucket"), "totals": pa.array([*parts, *[None] * extra], pa.binary()), "tokens": pa.array([None] * m + [more["tokens"]] * extra if more else [None] * m, pa.int64()), "kinds": pa.array([None] * m + [more["kinds"]] * extra if more else [None] * m, pa.int64()), "weights": pa.nulls(m + extra, pa.binary()), "order": pa.array([order] * (m + extra), pa.int32())})
 
     def answer_words(rows: pa.Table) -> pa.Table:
         raw, counts = rows["keys"].to_pylist(), rows["counts"].to_pylist()
-        keys = np.frombuffer(b"".join(raw), U)
-        totals = _sum_up(keys, np.frombuffer(b"".join(counts), np.uint32))
-        ends = np.cumsum([len(x) // 8 for x in raw])
+        parts = [_unplaned(x, 8, True) for x in raw]
+        keys = np.concatenate(parts)
+        totals = _sum_up(keys, np.concatenate([_unplaned(x, 4) for x in counts]).astype(float))
         real, first = np.unique(keys, return_index=True)
         seen = totals[first][real != START]
-        parts = [totals[a:z].tobytes() for a, z in zip(np.r_[0, ends[:-1]], ends, strict=True)]
-        m = len(parts)
-        return pa.table(
-            {
-                "block": pa.concat_arrays([rows["block"].combine_chunks(), pa.array([None], pa.int32())]),
-                "bucket": pa.concat_arrays([rows["bucket"].combine_chunks(), pa.array([None], pa.int32())]),
-                "totals": pa.array([*parts, None], pa.binary()),
-                "tokens": pa.array([None] * m + [int(seen.sum())], pa.int64()),
-                "kinds": pa.array([None] * m + [int((seen > 0).sum())], pa.int64()),
-                "weights": pa.array([None] * (m + 1), pa.binary()),
-            }
-        )
-
-    by_word = texts().applyInArrow(ask_words, "bucket int, block int, keys binary, counts binary").groupBy("bucket").applyInArrow(answer_words, PER_BLOCK)
+        return answered(rows, totals, np.cumsum([len(x) for x in parts]), 1, {"tokens": int(seen.sum()), "kinds": int((seen > 0).sum())})
+
+    by_word = texts().applyInArrow(ask_words, "bucket int, block int, keys binary, counts binary").groupBy("bucket").applyInArrow(answer_words, TOLD)
     sums = by_word.where("block is null").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds"))
     every = spark.range(n).select(F.col("id").cast("int").alias("block"))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    told_words = by_word.where("block is not null").unionByName(every.crossJoin(sums).select("block", none("int", "bucket"), none("binary", "totals"), "tokens", "kinds", none("binary", "weights")))  # one row of sums for each block
-
-    def scalars(told: pa.Table) -> tuple[int, int]:
-        return max((x for x in told["tokens"].to_pylist() if x is not None), default=0), max((x for x in told["kinds"].to_pylist() if x is not None), default=0)
-
-    def read(rows: pa.Table, told: pa.Table):
-        """The block's words with their training counts."""
-        slices = list(_tokens(rows["text"]))
-        keys = np.concatenate([x for _, t, at in slices for x in (t, np.full(len(at) - 1, START))])
-        c = Counted(keys, np.zeros(len(keys)), n)
-        count = _answers(told)[c.of] if len(told) else np.zeros(len(keys), np.int64)
-        out, done = [], 0
-        for first, tokens, at in slices:
-            seen = count[done : done + len(tokens)]
-            starts = count[done + len(tokens) : done + len(tokens) + len(at) - 1]
-            done += len(tokens) + len(at) - 1
-            context = np.r_[0, seen[:-1]]
-            context[at[:-1]] = starts
-            out.append((first, tokens, at, seen, context))
-        return out
-
-    def level_of(context: np.ndarray) -> np.ndarray:
-        return np.minimum(np.floor(np.log2(np.maximum(context, 1))).astype(np.int64), LEVELS - 1)
-
-    def ask_pairs(rows: pa.Table, told: pa.Table) -> pa.Table:
-        names = ["bucket", "block", "keys", "rest", "counts", "tuned", "times", "base", "level"]
-        if not len(rows):
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), *[pa.binary()] * 7)], names=names)
-        fold, (total, kinds) = rows["fold"].to_numpy(), scalars(told)
-        keys, learned, tuning, base, level = [], [], [], [], []
-        for first, tokens, at, seen, context in read(rows, told):
-            length = np.diff(at)
-            own = fold[first : first + len(length)]
-            keys.append(_pairs(_contexts(tokens, at), tokens))
-            learned.append(np.repeat((own != HELD_OUT).astype(np.float64), length))
-            tuning.append(np.repeat((own == TUNING).astype(np.float64), length))
-            # of a held-out token: what its pair's count, less itself, is to be divided by for the ratio
-            single = np.maximum(seen, 1) / max(total - 1 + kinds + 1, 1)
-            base.append(np.log(np.maximum(context - 1, 1) * single).astype(np.float32))
-            level.append(level_of(context))
-        keys, base, level = np.concatenate(keys), np.concatenate(base), np.concatenate(level).astype(np.uint8)
-        c = Counted(keys, np.concatenate(learned), n)
-        times = np.bincount(c.of, np.concatenate(tuning), len(c.keys)).astype(np.uint32)
-        own_base, own_level = np.zeros(len(c.keys), np.float32), np.zeros(len(c.keys), np.uint8)
-        own_base[c.of], own_level[c.of] = base, level
-        high = (c.keys >> U(32)).astype(np.uint32)
-        rest = ((c.keys >> U(24)) & U(255)).astype(np.uint8)
+    told_words = by_word.where("block is not null").unionByName(every.crossJoin(F.broadcast(sums)).select("block", none("int", "bucket"), none("binary", "totals"), "tokens", "kinds", none("binary", "weights"), F.lit(1).alias("order"))).repartition(n, "block")  # one row of sums for each block
+
+    class Block:
+        """A block's tokens with what has been told of them, place by place."""
+
+        def __init__(self, rows: pa.Table, told: pa.Table, most: int):
+            fold = rows["fold"].to_numpy()
+            parts = slices(rows)
+            self.firsts = np.concatenate([at[:-1] + a for (_, _, at), a in zip(parts, np.cumsum([0, *(len(t) for _, t, _ in parts)]), strict=False)])
+            self.tokens = np.concatenate([t for _, t, _ in parts])
+            self.at = np.r_[self.firsts, len(self.tokens)]
+            length = np.diff(self.at)
+            self.train, self.tuning = np.repeat(fold != HELD_OUT, length), np.repeat(fold == TUNING, length)
+            own = lambda k: told.filter(pyarrow.compute.equal(told["order"], k))
+            words = own(1)
+            self.total = max((x for x in words["tokens"].to_pylist() if x is not None), default=0)
+            self.kinds = max((x for x in words["kinds"].to_pylist() if x is not None), default=0)
+            c = Counted(np.r_[self.tokens, np.full(len(length), START)], np.zeros(len(self.tokens) + len(length)), n)
+            count = _answers(words)[c.of]
+            self.seen = count[: len(self.tokens)]
+            self.context = _before(self.seen, self.at, count[-1] if len(length) else 0)
+            self.pairs = _pairs(_before(self.tokens, self.at, START), self.tokens)
+            # what follows is known of pairs once they have been answered, and of triples after that
+            if most >= 2:
+                pairs = own(2)
+                self.pair_seen = _answers(pairs)[Counted(self.pairs, np.zeros(len(self.pairs)), n).of]
+                # before a text's first word stands the start alone, as often as the start itself was seen
+                self.pair_context = _before(self.pair_seen, self.at, self.context[self.firsts[0]] if len(length) else 0)
+                self.triples = _triples(_before(self.pairs, self.at, START), self.tokens)
+                # a triple is seen no more often than either of its pairs; only texts that aren't learned from hold pairs never seen
+                self.sure = np.minimum(self.pair_seen, self.pair_context) == 0
+                self.weights = np.frombuffer(next(w for w in pairs["weights"].to_pylist() if w is not None))
+            if most >= 3:
+                triples = own(3)
+                self.triple_seen = np.zeros(len(self.tokens), np.int64)
+                asked = ~self.sure
+                self.triple_seen[asked] = _answers(triples)[Counted(self.triples[asked], np.zeros(int(asked.sum())), n).of]
+                self.triple_weights = np.frombuffer(next(w for w in triples["weights"].to_pylist() if w is not None))
+
+        def single(self, less: int = 0) -> np.ndarray:
+            """One word's estimate over the floor; less: how often the token itself is deleted.
+
+            The floor weighs as much as one more token of each kind that occurs once on average: kinds / (total + kinds).
+            """
+            total = max(self.total - less, 0)
+            floor = self.kinds / max(total + self.kinds, 1) if self.kinds else 1.0
+            return (1 - floor) * np.maximum(self.seen - less, 0) / max(total, 1) + floor / (self.kinds + 1)
+
+    def asked(rows: pa.Table, keys: np.ndarray, learned: np.ndarray, tuning: np.ndarray, context: np.ndarray, below: np.ndarray) -> pa.Table:
+        """Rows of ASKS. Of a held-out token: the logarithm (in bins) of what its count, less itself, is to be divided by for the ratio."""
+        names = [x.split()[0] for x in ASKS.split(", ")]
+        c = Counted(keys, learned.astype(float), n)
+        times = np.bincount(c.of, tuning.astype(float), len(c.keys)).astype(np.uint32)
+        base, level = np.zeros(len(c.keys), np.int64), np.zeros(len(c.keys), np.uint8)
+        base[c.of], level[c.of] = np.round(FINE * np.log(np.maximum(context - 1, 1) * below)).astype(np.int64) + (1 << 15), level_of(context - 1)
+        high = c.keys >> U(64 - 8 * KEY_BYTES)
         out = {k: [] for k in names}
         for a, z in zip(c.edges, c.ends, strict=True):
             use = np.flatnonzero(times[a:z])
-            row = (int(c.bucket[a]), rows["block"][0].as_py(), high[a:z].tobytes(), rest[a:z].tobytes(), c.counts[a:z].tobytes(), use.astype(np.uint32).tobytes(), times[a:z][use].tobytes(), own_base[a:z][use].tobytes(), own_level[a:z][use].tobytes())
+            row = (int(c.bucket[a]), rows["block"][0].as_py(), _planes(high[a:z], KEY_BYTES, True), _planes(c.counts[a:z], 4), _planes(use, 4, True), _planes(times[a:z][use], 4), _planes(base[a:z][use], 2), _planes(level[a:z][use], 1))
             for k, v in zip(names, row, strict=True):
                 out[k].append(v)
         return pa.table([pa.array(out[k], pa.int32() if k in ("bucket", "block") else pa.binary()) for k in names], names=names)
 
-    by_pair = texts().cogroup(told_words.groupBy("block")).applyInArrow(ask_pairs, "bucket int, block int, keys binary, rest binary, counts binary, tuned binary, times binary, base binary, level binary")
+    def nothing_asked() -> pa.Table:
+        names = [x.split()[0] for x in ASKS.split(", ")]
+        return pa.table([pa.array([], pa.int32() if k in ("bucket", "block") else pa.binary()) for k in names], names=names)
+
+    def ask_pairs(rows: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(rows):
+            return nothing_asked()
+        b = Block(rows, told, 1)
+        return asked(rows, b.pairs, b.train, b.tuning, b.context, b.single(1))
+
+    def ask_triples(rows: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(rows):
+            return nothing_asked()
+        b = Block(rows, told, 2)
+        use = ~b.sure
+        below = mixture(b.weights, np.maximum(b.pair_seen - 1, 0), b.context - 1, b.single(1))
+        return asked(rows, b.triples[use], b.train[use], b.tuning[use], b.pair_context[use], below[use])
 
     def totals_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         raw = rows["keys"].to_pylist()
-        keys = np.frombuffer(b"".join(raw), np.uint32).astype(U) << U(8) | np.frombuffer(b"".join(rows["rest"].to_pylist()), np.uint8).astype(U)
-        return _sum_up(keys, np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint32)), np.cumsum([len(x) // 4 for x in raw])
+        parts = [_unplaned(x, KEY_BYTES, True) for x in raw]
+        keys = np.concatenate([np.zeros(0, U), *parts])
+        counts = np.concatenate([np.zeros(0, U), *(_unplaned(x, 4) for x in rows["counts"].to_pylist())])
+        return _sum_up(keys, counts.astype(float)), np.cumsum([len(x) for x in parts])
 
-    def answer_pairs(rows: pa.Table) -> pa.Table:
-        totals, ends = totals_of(rows)
-        parts = [totals[a:z].tobytes() for a, z in zip(np.r_[0, ends[:-1]], ends, strict=True)]
-        m = len(parts)
-        return pa.table([rows["block"], rows["bucket"], pa.array(parts, pa.binary()), pa.array([None] * m, pa.int64()), pa.array([None] * m, pa.int64()), pa.array([None] * m, pa.binary())], names=["block", "bucket", "totals", "tokens", "kinds", "weights"])
+    def answer(order: int):
+        def run(rows: pa.Table) -> pa.Table:
+            return answered(rows, *totals_of(rows), order)
+
+        return run
 
     def held_out_counts(rows: pa.Table) -> pa.Table:
         totals, ends = totals_of(rows)
-        at = np.concatenate([np.frombuffer(t, np.uint32).astype(np.int64) + a for t, a in zip(rows["tuned"].to_pylist(), np.r_[0, ends[:-1]], strict=True)])
-        times = np.frombuffer(b"".join(rows["times"].to_pylist()), np.uint32)
-        base = np.frombuffer(b"".join(rows["base"].to_pylist()), np.float32).astype(float)
-        level = np.frombuffer(b"".join(rows["level"].to_pylist()), np.uint8).astype(np.int64)
+        at = np.concatenate([np.zeros(0, np.int64), *(_unplaned(t, 4, True).astype(np.int64) + a for t, a in zip(rows["tuned"].to_pylist(), np.r_[0, ends[:-1]], strict=True))])
+        times = np.concatenate([np.zeros(0, U), *(_unplaned(t, 4) for t in rows["times"].to_pylist())]).astype(float)
+        base = np.concatenate([np.zeros(0, U), *(_unplaned(t, 2) for t in rows["base"].to_pylist())]).astype(np.int64) - (1 << 15)
+        level = np.concatenate([np.zeros(0, U), *(_unplaned(t, 1) for t in rows["level"].to_pylist())]).astype(np.int64)
         less = totals[at] - 1
-        bin_ = np.where(less > 0, np.round(FINE * (np.log(np.maximum(less, 1)) - base)), np.iinfo(np.int32).min).astype(np.int64)
+        bin_ = np.where(less > 0, np.round(FINE * np.log(np.maximum(less, 1))) - base, NEVER).astype(np.int64)
         pair, inverse = np.unique(np.c_[level, bin_], axis=0, return_inverse=True) if len(at) else (np.zeros((0, 2), np.int64), np.zeros(0, int))
         return pa.table({"level": pa.array(pair[:, 0], pa.int32()), "bin": pa.array(pair[:, 1], pa.int32()), "times": pa.array(np.bincount(inverse.ravel(), times, len(pair)).astype(np.int64))})
 
-    buckets = by_pair.groupBy("bucket")
-    histogram = buckets.applyInArrow(held_out_counts, "level int, bin int, times long").groupBy("level", "bin").agg(F.sum("times").alias("times"))
-
     def learn(rows: pa.Table) -> pa.Table:
         w = expectation_maximisation(rows["level"].to_numpy().astype(np.int64), rows["bin"].to_numpy().astype(np.int64), rows["times"].to_numpy().astype(float))
         return pa.table({"weights": pa.array([w.tobytes()], pa.binary())})
 
-    # LEVELS times a few thousand bins, whatever the corpus: one group learns the weights; a row makes sure that there is a group
-    weights = histogram.unionByName(spark.range(1).select(F.lit(0).alias("level"), F.lit(0).alias("bin"), F.lit(0).cast("long").alias("times"))).groupBy(F.lit(0).alias("one")).applyInArrow(learn, "weights binary")
-    told_pairs = buckets.applyInArrow(answer_pairs, PER_BLOCK).unionByName(every.crossJoin(weights).select("block", none("int", "bucket"), none("binary", "totals"), none("long", "tokens"), none("long", "kinds"), "weights"))
-    told = told_words.withColumn("pairs", F.lit(False)).unionByName(told_pairs.withColumn("pairs", F.lit(True)))
+    def told_of(asks: DataFrame, order: int) -> DataFrame:
+        """What the blocks are told of their keys, with the weights learned from the held-out ones."""
+        buckets = asks.groupBy("bucket")
+        bins = "level int, bin int, times long"
+        held = buckets.applyInArrow(held_out_counts, bins)
+        # LEVELS times a few thousand bins, whatever the corpus: one group learns the weights; a row makes sure that there is a group
+        histogram = held.groupBy("level", "bin").agg(F.sum("times").alias("times")).unionByName(spark.range(1).select(F.lit(0).alias("level"), F.lit(0).alias("bin"), F.lit(0).cast("long").alias("times")))
+        weights = histogram.groupBy(F.lit(0).alias("one")).applyInArrow(learn, "weights binary")
+        return buckets.applyInArrow(answer(order), TOLD).unionByName(every.crossJoin(F.broadcast(weights)).select("block", none("int", "bucket"), none("binary", "totals"), none("long", "tokens"), none("long", "kinds"), "weights", F.lit(order).alias("order"))).repartition(n, "block")  # one row of weights for each block
+
+    told_pairs = told_words.unionByName(told_of(texts().cogroup(told_words.groupBy("block")).applyInArrow(ask_pairs, ASKS), 2))
+    told = told_pairs.unionByName(told_of(texts().cogroup(told_pairs.groupBy("block")).applyInArrow(ask_triples, ASKS), 3))
 
     def score(rows: pa.Table, told: pa.Table) -> pa.Table:
-        out = {k: [np.zeros(0)] for k in ("n_tokens", "n_known", "base", "score")}
-        total = 0
-        if len(rows):
-            of_pairs = told.filter(told["pairs"])
-            words = told.filter(pyarrow.compute.invert(told["pairs"]))
-            total, kinds = scalars(words)
-            weight = np.frombuffer(next(w for w in of_pairs["weights"].to_pylist() if w is not None))
-            slices = read(rows, words)
-            pairs = np.concatenate([_pairs(_contexts(t, at), t) for _, t, at, _, _ in slices])
-            c = Counted(pairs, np.zeros(len(pairs)), n)
-            both = _answers(of_pairs)[c.of]
-            done = 0
-            for _, tokens, at, seen, context in slices:
-                single = (seen + 1) / (total + kinds + 1)
-                w = np.where(context > 0, weight[level_of(context)], 0.0)
-                mixed = w * both[done : done + len(tokens)] / np.maximum(context, 1) + (1 - w) * single
-                done += len(tokens)
-                first = at[:-1]
-                out["n_tokens"].append(np.diff(at))
-                out["n_known"].append(np.add.reduceat((seen > 0).astype(np.int64), first))
-                out["base"].append(np.add.reduceat(np.log10(single), first))
-                out["score"].append(np.add.reduceat(np.log10(mixed), first))
-        whole = {k: np.concatenate(v) for k, v in out.items()}
-        return pa.table([rows["doc_id"], pa.array(rows["fold"].to_numpy() == HELD_OUT), pa.array(whole["n_tokens"].astype(np.int64)), pa.array(whole["n_known"].astype(np.int64)), pa.array(np.full(len(rows), total, np.int64)), pa.array(whole["base"]), pa.array(whole["score"])], names=names)
+        if not len(rows):
+            return pa.table([rows["doc_id"], *(pa.array([], t) for t in types)], names=names)
+        b = Block(rows, told, 3)
+        base = (b.seen + 1) / (b.total + b.kinds + 1)
+        mixed = mixture(b.triple_weights, b.triple_seen, b.pair_context, mixture(b.weights, b.pair_seen, b.context, b.single()))
+        per = lambda x: np.add.reduceat(x, b.firsts)
+        out = [rows["doc_id"].combine_chunks(), pa.array(rows["fold"].to_numpy() == HELD_OUT), pa.array(np.diff(b.at)), pa.array(per((b.seen > 0).astype(np.int64))), pa.array(np.full(len(rows), b.total, np.int64)), pa.array(per(np.log10(base))), pa.array(per(np.log10(mixed)))]
+        return pa.table(out, names=names)
 
     names = [id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kind = docs.schema[id_column].dataType.simpleString()
+    types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     return texts().cogroup(told.groupBy("block")).applyInArrow(score, f"{id_column} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

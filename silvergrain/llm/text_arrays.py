@@ -61,7 +61,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray,
     row = 0
     for chunk in chunks:
         if len(chunk):
-            kind = np.int64 if pa.types.is_large_string(chunk.type) else np.int32
+            kind = np.int64 if pa.types.is_large_string(chunk.type) or pa.types.is_large_binary(chunk.type) else np.int32
             at = np.frombuffer(chunk.buffers()[1], kind)[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
             data = np.frombuffer(chunk.buffers()[2], np.uint8) if chunk.buffers()[2] is not None else np.zeros(0, np.uint8)
             lo = 0

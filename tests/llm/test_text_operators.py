@@ -232,6 +232,76 @@ def test_scores(docs):
         assert r["score"] <= 0
 
 
+def plain_scores(rows):
+    """{id: score} by counting dictionaries: three orders over a floor, weights by expectation-maximisation, nothing binned."""
+    from collections import Counter
+
+    tokens = [(d, [*words(t, True), "\0end"]) for d, t in rows]
+    counts = [Counter() for _ in range(3)]
+    starts = 0
+    for d, w in tokens:
+        if fold(d) != 2:
+            starts += 1
+            for i, x in enumerate(w):
+                u, v = (["\0start", "\0start", *w][i : i + 2])
+                counts[0][x] += 1
+                counts[1][v, x] += 1
+                counts[2][u, v, x] += 1
+    total, kinds = sum(counts[0].values()), len(counts[0])
+    level = lambda c: min(int(math.log2(max(c, 1))), 47)
+
+    def single(x, less):
+        n = max(total - less, 0)
+        floor = kinds / max(n + kinds, 1) if kinds else 1.0
+        return (1 - floor) * max(counts[0][x] - less, 0) / max(n, 1) + floor / (kinds + 1)
+
+    def seen(w, i):
+        u, v, x = ["\0start", "\0start", *w][i : i + 3]
+        return counts[1][v, x], (counts[0][v] if i else starts), counts[2][u, v, x], (counts[1][u, v] if i else starts)
+
+    def fit(facts):
+        weight = [0.5] * 48
+        for _ in range(60):
+            up, all_ = Counter(), Counter()
+            for k, long, short in facts:
+                up[k] += weight[k] * long / (weight[k] * long + (1 - weight[k]) * short)
+                all_[k] += 1
+            weight = [min(max(up[k] / all_[k], 1e-6), 1 - 1e-6) if all_[k] else 0.5 for k in range(48)]
+        return weight
+
+    mix2 = lambda w2, c, n, below: (w2[level(n)] if n > 0 else 0) * c / max(n, 1) + (1 - (w2[level(n)] if n > 0 else 0)) * below
+    held = [(w, i, x) for d, w in tokens if fold(d) == 6 for i, x in enumerate(w)]
+    facts = [(level(seen(w, i)[1] - 1), (seen(w, i)[0] - 1) / max(seen(w, i)[1] - 1, 1), single(x, 1)) for w, i, x in held]
+    w2 = fit(facts)
+    below = lambda w, i, x: mix2(w2, max(seen(w, i)[0] - 1, 0), seen(w, i)[1] - 1, single(x, 1))
+    w3 = fit([(level(seen(w, i)[3] - 1), (seen(w, i)[2] - 1) / max(seen(w, i)[3] - 1, 1), below(w, i, x)) for w, i, x in held])
+    out = {}
+    for d, w in tokens:
+        s = 0.0
+        for i, x in enumerate(w):
+            c2, n2, c3, n3 = seen(w, i)
+            s += math.log10(mix2(w3, c3, n3, mix2(w2, c2, n2, single(x, 0))))
+        out[d] = s
+    return out
+
+
+def test_scores_equal_a_plain_model(spark):
+    """Bins of the estimates' ratio cost a little; everything else is the same model."""
+    random.seed(17)
+    chain = {k: random.sample(range(40), 3) for k in range(40)}
+    rows = []
+    for k in range(220):
+        w, text = random.randrange(40), []
+        for _ in range(random.randint(0, 60)):
+            text.append(f"w{w}")
+            w = random.choice(chain[w]) if random.random() < 0.8 else random.randrange(40)
+        rows.append((k, " ".join(text)))
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_scores(rows)
+    assert all(math.isclose(got[d], want[d], rel_tol=2e-3, abs_tol=1e-3) for d in want)
+    assert sum(want[d] for d in want if fold(d) == 2) > 1.1 * sum(math.log10(1 / 40) * (len(t.split()) + 1) for d, t in rows if fold(d) == 2)
+
+
 def test_weights_by_expectation_maximisation():
     """Held-out counts drawn from a known mixture give its weight back."""
     import numpy as np
