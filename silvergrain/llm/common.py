@@ -76,5 +76,10 @@ def with_ranks(df: DataFrame, group: list[str], order: list[str], to: str, piece
     return numbered.join(starts, on, "left").select(*[numbered[c] for c in df.columns], (numbered["__own"] + starts["__start"]).cast("long").alias(to))
 
 
+def broadcast_if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """df with a broadcast hint where it has no more than most rows (counted), else as it is: the join then shuffles, and splits skewed keys."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def long_type(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.LongType()) for n in names]

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvergrain.llm.common import NOT_SPACE, cut, words
+from silvergrain.llm.common import NOT_SPACE, broadcast_if_small, cut, words
 
 #: Share of a group that the estimate rests on.
 CORE = 0.75
@@ -122,7 +122,7 @@ def _starts(vectors: DataFrame) -> DataFrame:
     """(grp, start, x0.., d): distances from the medians in units of the quartile range (their squares' sum, their largest,
     their sum) and from the means in standard deviations."""
     q = vectors.groupBy("grp").agg(*(F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{c}") for c in STATS), *(F.avg(c).alias(f"a{c}") for c in STATS), *(F.stddev_pop(c).alias(f"s{c}") for c in STATS))
-    joined = vectors.join(cut(q, "quartiles"), "grp")
+    joined = vectors.join(broadcast_if_small(cut(q, "quartiles")), "grp")
     z = [F.abs(F.col(c) - F.col(f"q{c}")[1]) / F.greatest((F.col(f"q{c}")[2] - F.col(f"q{c}")[0]) / 1.349, F.lit(f)) for c, f in zip(STATS, FLOORS, strict=True)]
     plain = [(F.col(c) - F.col(f"a{c}")) / F.greatest(F.col(f"s{c}"), F.lit(f)) for c, f in zip(STATS, FLOORS, strict=True)]
     add = lambda terms: reduce(lambda a, b: a + b, terms)
@@ -133,12 +133,12 @@ def _starts(vectors: DataFrame) -> DataFrame:
 def _step(ranged: DataFrame) -> DataFrame:
     """The fit of each (grp, start) to the CORE of least d.
 
-    What is joined to the rows are tables of a row per group and start, read
-    from files, so Spark knows their size: small ones are broadcast and the rows
-    stay where they are; beyond its limit they meet in a join that splits skewed keys.
+    What is joined to the rows are tables of a row per group and start: small
+    ones, by count, are broadcast and the rows stay where they are; others meet
+    them in a join that splits skewed keys.
     """
     near = cut(ranged.groupBy("grp", "start").agg(F.percentile_approx("d", F.lit(CORE), 2000).alias("__most")), "near")
-    core = ranged.join(near, ["grp", "start"]).where(F.col("d") <= F.col("__most"))
+    core = ranged.join(broadcast_if_small(near), ["grp", "start"]).where(F.col("d") <= F.col("__most"))
     return cut(_factored(_moments(core, ["grp", "start"])), "fit")
 
 
@@ -148,7 +148,7 @@ def minimum_covariance_determinant(vectors: DataFrame) -> DataFrame:
     vectors: grp, x0... Every quantile and moment is a mergeable aggregate over
     all rows, so a group that holds a third of them is no more than a key.
     """
-    against = lambda fit: vectors.join(fit, "grp").withColumn("d", _distance()).select("grp", "start", *STATS, "d")
+    against = lambda fit: vectors.join(broadcast_if_small(fit), "grp").withColumn("d", _distance()).select("grp", "start", *STATS, "d")
     fit = _step(_starts(vectors))
     for _ in range(FIRST_STEPS - 1):
         fit = _step(against(fit))
@@ -194,6 +194,6 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: st
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.concat_ws("\1", name("lang"), name("source")).alias("grp"), *(F.col(c).alias(f"__carry{k}") for k, c in enumerate(carry)))
     stats = cut(text_statistics(narrow).drop("text").withColumn("base_failed", base_failed()).withColumns(_vector()), "statistics")
     fit = cut(shrunk(minimum_covariance_determinant(stats.where(~F.col("base_failed")).select("grp", *STATS))), "estimates")
-    judged = stats.join(fit, "grp", "left").withColumn("distance", _distance())
+    judged = stats.join(broadcast_if_small(fit), "grp", "left").withColumn("distance", _distance())
     inside = F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return judged.select(F.col("doc_id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "distance", *(F.col(f"__carry{k}").alias(c) for k, c in enumerate(carry)))
