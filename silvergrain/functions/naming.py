@@ -64,3 +64,20 @@ def sequence_name(base: str, separator: str, start: int, digits: int, index: Col
 
 def safe_file_name(name: Column) -> Column:
     return F.regexp_replace(name, r'[\x00-\x1f<>:"/\\|?*]', "_")
+
+
+def review_text(rating: Column, status: Column) -> Column:
+    """Status and stars of a reviewed entry; empty without a review."""
+    return F.concat_ws(" ", F.when(status != "None", status), F.when(rating > 0, stars(rating)))
+
+
+def csv_field(value: Column) -> Column:
+    """In quotes, quotes doubled; null is empty."""
+    return F.concat(F.lit('"'), F.replace(F.coalesce(value, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def merged_properties(first: Column, second: Column) -> Column:
+    """Both maps; of a key in both the second one's value. Null maps are empty."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    a, b = F.coalesce(first, none), F.coalesce(second, none)
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)

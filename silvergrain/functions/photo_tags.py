@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,7 +12,8 @@ def clean_text(value: Column) -> Column:
 
 
 def _number(value: Column, decimals: int) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{decimals}f", value), r"0+$", ""), r"\.$", "")
+    shown = F.format_string(f"%.{decimals}f", value)
+    return F.regexp_replace(F.regexp_replace(shown, r"0+$", ""), r"\.$", "") if decimals else shown
 
 
 def taken_at(value: Column) -> Column:
@@ -68,3 +69,43 @@ def user_comment(value: Column) -> Column:
 
 def joined(values: Column) -> Column:
     return F.array_join(F.filter(values, lambda x: clean_text(x).isNotNull()), ", ")
+
+
+def iso(value: Column) -> Column:
+    return F.when(value > 0, F.concat(F.lit("ISO "), value.cast("long").cast("string")))
+
+
+def focal_length(millimetres: Column) -> Column:
+    return F.when(millimetres > 0, F.concat(_number(millimetres, 1), F.lit(" mm")))
+
+
+def white_balance(code: Column) -> Column:
+    return F.when(code == 0, "automatic").when(code == 1, "manual")
+
+
+def colour_space(code: Column) -> Column:
+    return F.when(code == 1, "sRGB").when(code == 2, "Adobe RGB").when(code == 65535, "uncalibrated")
+
+
+def first_text(*values: Column) -> Column:
+    """The first that says something, cleaned."""
+    return F.coalesce(*[clean_text(v) for v in values])
+
+
+def described(tags: DataFrame) -> DataFrame:
+    """A row's tags as shown: the time from the original, digitised or plain date, the text from description or comment.
+
+    Columns that tags lacks count as null.
+    """
+    kinds = {"original": "string", "digitised": "string", "plain": "string", "description": "string", "comment": "string", "iso": "int", "focal": "double", "balance": "int", "space": "int", "orientation": "int", "orientation_fallback": "int"}
+    c = {k: F.col(k) if k in tags.columns else F.lit(None).cast(t) for k, t in kinds.items()}
+    shown = {
+        "taken": taken_at(first_text(c["original"], c["digitised"], c["plain"])),
+        "text": first_text(c["description"], c["comment"]),
+        "iso_text": iso(c["iso"]),
+        "focal_text": focal_length(c["focal"]),
+        "balance_text": white_balance(c["balance"]),
+        "space_text": colour_space(c["space"]),
+        "orientation_text": orientation(F.coalesce(c["orientation"], c["orientation_fallback"])),
+    }
+    return tags.withColumns(shown)

@@ -8,7 +8,10 @@ fingerprints, pairs within a Hamming distance, connected components.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+import re
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from silvergrain.operators.components import components
+from silvergrain.sources.staging import cut
 
 #: Bytes of a sample, taken at the start, the middle and the end.
 SAMPLE = 128 * 1024
@@ -93,13 +97,17 @@ def prefilter_pays(entries: DataFrame) -> DataFrame:
 
 
 def text_fingerprints(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint): a word-set SimHash; a bit is set if more than half of the distinct words set it."""
+    """(key, fingerprint): a word-set SimHash; a bit is set if more than half of the distinct words set it.
+
+    Words are what stands between spaces, tabs, line feeds, form feeds and carriage returns.
+    """
+    gaps = re.compile("[\t\n\f\r ]+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(len(batch), np.int64)
             for k, value in enumerate(batch.column(1).to_pylist()):
-                words = set((value or "").split())
+                words = set(gaps.split(value or "")) - {""}
                 if words:
                     digests = np.frombuffer(b"".join(hashlib.md5(w.encode("utf-8", "replace")).digest()[:8] for w in words), np.uint8).reshape(-1, 8)
                     bits = np.unpackbits(digests, axis=1).sum(0) * 2 > len(words)
@@ -113,22 +121,51 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def banded_pairs(fingerprints: DataFrame, most: int) -> DataFrame:
+def agreeing_blocks(n: int, most: int) -> int:
+    """How many blocks of bits a key names, for n fingerprints: what costs least in keys and candidates together."""
+    cost = lambda r: math.comb(most + r, r) * (n + n * n / 2 ** (1 + 64 * r / (most + r)))
+    return min(range(1, min(6, 64 - most) + 1), key=cost)
+
+
+def banded_pairs(fingerprints: DataFrame, most: int, agree: int | None = None) -> DataFrame:
     """Pairs (a, b, distance) of distinct fingerprints within most (below 64) of each other.
 
-    64 bits in most + 1 bands: a pair within most agrees in one band at least, so
-    an equi-join on band and value finds all of them; of the bands in which a
-    pair agrees, the first reports it.
+    64 bits in most + agree blocks: a pair within most agrees in agree blocks at
+    least, so an equi-join on every choice of agree blocks and their bits finds
+    all of them; the choice of the first ones in which a pair agrees reports it.
+    agree follows the number of fingerprints: longer keys keep the candidates
+    of a key few as the table grows.
     """
-    bands = most + 1
-    bounds = [round(k * 64 / bands) for k in range(bands + 1)]
-    pieces = lambda c: [F.shiftrightunsigned(c, bounds[k]).bitwiseAND(F.lit((1 << (bounds[k + 1] - bounds[k])) - 1 if bounds[k + 1] - bounds[k] < 64 else -1)) for k in range(bands)]
-    keyed = fingerprints.select("fingerprint").distinct().select("fingerprint", F.posexplode(F.array(*pieces(F.col("fingerprint")))).alias("band", "value"))
+    once = cut(fingerprints.select("fingerprint").distinct(), "fingerprints")
+    agree = agree or agreeing_blocks(once.count(), most)
+    blocks = most + agree
+    bounds = [round(k * 64 / blocks) for k in range(blocks + 1)]
+    masks = [((1 << (z - a)) - 1) << a for a, z in zip(bounds, bounds[1:], strict=False)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    chosen = list(combinations(range(blocks), agree))
+    bits = F.array(*[F.col("fingerprint").bitwiseAND(F.lit(signed(sum(masks[k] for k in c)))) for c in chosen])
+    keyed = once.select("fingerprint", F.posexplode(bits).alias("choice", "value"))
     a, b = keyed.alias("a"), keyed.alias("b")
     x, y = F.col("a.fingerprint"), F.col("b.fingerprint")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (x < y) & (distance(x, y) <= most))
-    agree = F.array(*[p == q for p, q in zip(pieces(x), pieces(y), strict=True)])
-    return pairs.where(F.array_position(agree, True) - 1 == F.col("a.band")).select(x.alias("a"), y.alias("b"), distance(x, y).alias("distance"))
+    pairs = a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.value") == F.col("b.value")) & (x < y) & (distance(x, y) <= most))
+    same = F.filter(F.array(*[F.when(x.bitwiseXOR(y).bitwiseAND(F.lit(signed(m))) == 0, F.lit(k)) for k, m in enumerate(masks)]), lambda k: k.isNotNull())
+    first = F.element_at(F.array(*[F.array(*[F.lit(k) for k in c]) for c in chosen]), F.col("a.choice") + 1)
+    return pairs.where(F.slice(same, 1, agree) == first).select(x.alias("a"), y.alias("b"), distance(x, y).alias("distance"))
+
+
+def computed_once(entries: DataFrame, key: str, content: Column, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """compute's row of each key, worked out for the first entry of each exact content and shared by its copies.
+
+    compute: rows of entries -> (key, ...). A null content is never shared.
+    Where compute leaves an entry out (a failure), its copies are computed alone.
+    """
+    named = entries.select(F.col(key), F.coalesce(F.sha2(content, 256), F.concat(F.lit("="), F.col(key).cast("string"))).alias("__same"))
+    leads = cut(named.groupBy("__same").agg(F.min(key).alias("__lead")), "leads")
+    members = cut(named.join(leads, "__same").select(key, "__lead"), "members")
+    done = cut(compute(entries.join(leads.select(F.col("__lead").alias(key)), key, "left_semi")), "computed")
+    shared = members.join(done.withColumnRenamed(key, "__lead"), "__lead").drop("__lead")
+    failed = members.join(done.select(F.col(key).alias("__lead")), "__lead", "left_anti").where(F.col(key) != F.col("__lead")).select(key)
+    return shared.unionByName(compute(entries.join(failed, key, "left_semi")).select(*shared.columns))
 
 
 def pairs_of_entries(fingerprints: DataFrame, most: int) -> DataFrame:
@@ -172,3 +209,25 @@ def collection_signature(entries: DataFrame) -> DataFrame:
     row = F.concat(F.col("full_path"), F.lit("\n"), F.col("size_bytes").cast("string"), F.lit("\n"), F.col("stamp").cast("string"), F.lit("\n"))
     blocks = entries.select(F.substring(F.md5("full_path"), 1, 2).alias("block"), row.alias("row")).groupBy("block").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("row")), ""), 256).alias("hash"))
     return blocks.agg(F.upper(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "hash"))), lambda s: s["hash"]), ""), 256)).alias("signature"))
+
+
+def flattened(buckets: DataFrame, members: str = "members") -> DataFrame:
+    """A row per member of each bucket's array, with its place from 0."""
+    return buckets.select(*[c for c in buckets.columns if c != members], F.posexplode(members).alias("place", "member"))
+
+
+def group_paths(groups: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(group_first, member, full_path): each group's paths in order, a row each, so that no row holds a group."""
+    return groups.join(catalog.select(F.col("doc_id").alias("key"), "full_path"), "key").select("group_first", "member", "full_path")
+
+
+def after_confirming(groups: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """remaining and reviewed groups once those of confirmed (group_first) are dropped."""
+    every = groups.select("group_first").distinct()
+    counts = every.join(confirmed.select("group_first").distinct().withColumn("__done", F.lit(True)), "group_first", "left")
+    return counts.agg(F.count_if(F.col("__done").isNull()).alias("remaining"), F.count_if("__done").alias("reviewed"))
+
+
+def next_focus(index: Column, remaining: Column) -> Column:
+    """The group shown after the one at index is gone; null when none is left."""
+    return F.when(remaining > 0, F.least(index, remaining - 1))

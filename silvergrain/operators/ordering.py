@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from silvergrain.sources.staging import cut
 
 
 def sort_columns(mode: str) -> list[Column]:
@@ -23,7 +24,39 @@ def sorted_entries(catalog: DataFrame, mode: str) -> DataFrame:
 
 def ranked(catalog: DataFrame, mode: str, partition: str, to: str = "rank") -> DataFrame:
     """Ranks from 1 in the order of mode within each value of partition."""
-    return catalog.withColumn(to, F.row_number().over(Window.partitionBy(partition).orderBy(*sort_columns(mode))))
+    return numbered(catalog, [partition], sort_columns(mode), to, 1)
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[Column], to: str, first: int = 0) -> DataFrame:
+    """Gapless numbers of each group's rows in order, from first, with no group in one task.
+
+    A range sort gives each task a stretch of the whole order; a row's number
+    is its place in its task's stretch of the group, after the sizes of the
+    group's earlier stretches. Rows alike in order may swap numbers.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(g) for g in group], *order]
+    placed = cut(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumn("__task", F.shiftright("__at", 33))
+    stretches = placed.groupBy(*group, "__task").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__least"))
+    # a group has one stretch in each task at most
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stretches.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__task").alias("__t"), (before - F.col("__least") + first).alias("__shift"))
+    same = F.col("__task") == F.col("__t")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))
+    number = (F.col("__at") + F.col("__shift")).cast("long")
+    return placed.join(starts, same).withColumn("__number", number).select(*[c for c in rows.columns if c != to], F.col("__number").alias(to))
+
+
+def indexed(catalog: DataFrame, mode: str, to: str = "index") -> DataFrame:
+    """The input index: a gapless number from 0 over the whole catalog in the order of mode."""
+    return numbered(catalog, [], sort_columns(mode), to)
+
+
+def advanced(index: Column, count: Column, loop: bool) -> Column:
+    """The next index of a show; at the end the first again (loop) or null, which stops it."""
+    return F.when(index + 1 < count, index + 1).when(F.lit(loop) & (count > 0), F.lit(0))
 
 
 def neighbours(indexed: DataFrame, selected: int, most: int, centre: bool = True, where: Column | None = None) -> DataFrame:

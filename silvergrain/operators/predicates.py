@@ -68,12 +68,19 @@ def under(path: Column, root: Column, recursive: bool = True) -> Column:
     return (path == root) | (below if recursive else folder(path) == root)
 
 
+#: Inputs that are looked through in one scan; more of them go by a join on the entries' ancestors.
+FEW_ROOTS = 100
+
+
 def visible(catalog: DataFrame, inputs: DataFrame, recursive: bool = True) -> DataFrame:
     """Entries under any input (column root).
 
-    An entry's ancestors are few, so each is looked up by equality instead of
-    comparing every entry with every root.
+    A few inputs (counted) are one filter of the scan. With many, each of an
+    entry's ancestors, which are few, is looked up by equality.
     """
+    roots = [r["root"] for r in inputs.select("root").where("root is not null").distinct().limit(FEW_ROOTS + 1).collect()]
+    if len(roots) <= FEW_ROOTS:
+        return catalog.where(reduce(lambda a, b: a | b, [under(F.col("full_path"), F.lit(r), recursive) for r in sorted(roots)], F.lit(False)))
     parts = F.split("full_path", "/")
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     wanted = ups if recursive else F.array(F.col("full_path"), folder(F.col("full_path")))
@@ -81,6 +88,17 @@ def visible(catalog: DataFrame, inputs: DataFrame, recursive: bool = True) -> Da
     return catalog.join(hits, "full_path", "left_semi")
 
 
+def reload_after_copy(targets: DataFrame, inputs: DataFrame, recursive: bool = True) -> DataFrame:
+    """reload: whether any copied target (full_path) lies in the scope of the inputs."""
+    return visible(targets, inputs, recursive).agg((F.count(F.lit(1)) > 0).alias("reload"))
+
+
+def needs_warmup(has_preview: Column, loading: Column, failed: Column) -> Column:
+    """Entries without a preview that none is being made for and none has failed for."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return no(has_preview) & no(loading) & no(failed)
+
+
 def refresh_in_place(inputs: DataFrame) -> DataFrame:
     """in_place: whether no input is a folder."""
     return inputs.agg(F.coalesce(F.bool_and(~F.col("is_folder")), F.lit(True)).alias("in_place"))

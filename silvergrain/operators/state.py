@@ -60,3 +60,11 @@ def limits(mode: str) -> dict[str, int]:
     # Text, hash and dimension states by mode.
     held = {"saver": (2048, 4096, 2048), "balanced": (4096, 8192, 4096), "fast": (8192, 16384, 8192)}
     return dict(zip(("text", "hash", "dimensions"), held[mode], strict=True))
+
+
+def newest_results(results: DataFrame, most: int = 24, by: str = "saved_at") -> DataFrame:
+    """Kept results by signature, mode and threshold: the last one saved of each key, and of these the most newest."""
+    key = ["signature", "mode", "threshold"]
+    rest = [c for c in results.columns if c not in key and c != by]
+    last = results.groupBy(*key).agg(F.max(F.struct(by, *rest)).alias("__r")).select(*key, "__r.*")
+    return last.orderBy(F.desc(by), *key).limit(most)

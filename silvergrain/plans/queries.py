@@ -167,7 +167,7 @@ def q_same_order(spark, sf_dir):
     c = documents_catalog(spark, sf_dir, "source")
     key = F.concat_ws(":", "source", "rank")
     by_name = ordering.ranked(c, "name", "source").withColumn("rank", key)
-    by_id = c.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).withColumn("rank", key)
+    by_id = ordering.numbered(c, ["source"], [F.col("doc_id")], "rank", 1).withColumn("rank", key)
     return lookups.same_order(by_name, by_id, "doc_id", "rank")
 
 
@@ -208,9 +208,9 @@ def q_distinct_first(spark, sf_dir):
 # ---- duplicates
 
 
-@query("SELECT group_first, member::INT AS member, doc_id AS key, size_bytes, hash FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS group_first, count(*) OVER (PARTITION BY text) AS copies, row_number() OVER (PARTITION BY text ORDER BY modified_at, lower(file_name), file_name, doc_id) AS member, strlen(text) AS size_bytes, NULL AS hash FROM (SELECT doc_id, text, modified_at, file_name FROM catalog)) WHERE copies > 1")
+@query("SELECT group_first, member::INT AS member, doc_id AS key, size_bytes, hash FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS group_first, count(*) OVER (PARTITION BY text) AS copies, row_number() OVER (PARTITION BY text ORDER BY modified_at, lower(file_name), file_name, doc_id) AS member, strlen(text) AS size_bytes, upper(sha256(unhex((SELECT string_agg(substr(lpad(printf('%x', strlen(text)), 16, '0'), 15 - 2 * k::INT, 2), '' ORDER BY k) FROM range(0, 8) r(k))) || encode(text))) AS hash FROM (SELECT doc_id, text, modified_at, file_name FROM catalog)) WHERE copies > 1")
 def q_exact_groups(spark, sf_dir):
-    return _exact(spark, sf_dir).select("group_first", "member", "key", "size_bytes", F.lit(None).cast("int").alias("hash"))
+    return _exact(spark, sf_dir).select("group_first", "member", "key", "size_bytes", "hash")
 
 
 @query("SELECT count(*) AS groups, sum(n)::BIGINT AS members, sum(n - 1)::BIGINT AS redundant, max(n) AS largest FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)")
@@ -388,7 +388,7 @@ def q_long_edges(spark, sf_dir):
 
 @query("SELECT doc_id, '/lib/' || source || '/' || lang || '/trip_' || lpad((7 + r)::VARCHAR, greatest(4, length((7 + r)::VARCHAR))::INT, '0') || '.' || ext AS target_path FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM catalog)")
 def q_rename_plan(spark, sf_dir):
-    c = documents_catalog(spark, sf_dir, "source").withColumn("index", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    c = ordering.numbered(documents_catalog(spark, sf_dir, "source"), ["source"], [F.col("doc_id")], "index")
     existing = spark.createDataFrame([("/lib/none.jpg",)], "path string")
     return export.rename_plan(c, existing, " trip ", "_", 7, 4, F.lit(2)).where("problem is null").select("doc_id", "target_path")
 
@@ -443,3 +443,138 @@ def q_exposure(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates among the documents, as groups with members in order."""
     return _exact(spark, sf_dir)
+
+
+# ---- rows of the survey without a table of their own: derived columns stand for tags, results and runs
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY size_bytes DESC, lower(file_name), file_name, full_path) - 1) AS index FROM catalog")
+def q_input_index(spark, sf_dir):
+    return ordering.indexed(documents_catalog(spark, sf_dir), "size").select("doc_id", "index")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id + 1 < n THEN doc_id + 1 ELSE 0 END AS looped, CASE WHEN doc_id + 1 < n THEN doc_id + 1 END AS stopped FROM documents, (SELECT count(*) AS n FROM documents)")
+def q_advance(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    i, n = F.col("doc_id"), F.col("n")
+    return d.crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("n")))).select("doc_id", ordering.advanced(i, n, True).alias("looped"), ordering.advanced(i, n, False).alias("stopped"))  # one row
+
+
+@query("SELECT count(*) FILTER (lang = 'en') AS shown, count(*) AS total, CASE WHEN count(*) FILTER (lang = 'en') = count(*) THEN count(*)::VARCHAR ELSE count(*) FILTER (lang = 'en') || ' / ' || count(*) END AS text FROM catalog")
+def q_shown_of_total(spark, sf_dir):
+    c = documents_catalog(spark, sf_dir, "lang")
+    return sinks.shown_of_total(c.where("lang = 'en'"), c)
+
+
+@query("SELECT doc_id AS index, 'too large' AS error FROM catalog WHERE size_bytes >= 8388608")
+def q_failures(spark, sf_dir):
+    c = documents_catalog(spark, sf_dir).select(F.col("doc_id").alias("index"), F.when(F.col("size_bytes") >= 8388608, "too large").alias("error"))
+    return sinks.failures(c)
+
+
+@query("SELECT event_id, CASE WHEN abs(value) > 0 THEN 1000.0 * user_id / abs(value) ELSE 0.0 END AS throughput, CASE WHEN abs(value) > 0 THEN greatest(0.0, least(100.0, 100.0 * event_id / abs(value) / 4)) ELSE 0.0 END AS cpu_percent FROM events")
+def q_scenario_figures(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("items"), F.abs("value").alias("elapsed_ms"), F.col("event_id").alias("cpu_ms"), F.lit(4).alias("processors"))
+    return sinks.scenario_figures(e).select("event_id", "throughput", "cpu_percent")
+
+
+@query("SELECT bool_or(full_path LIKE '/lib/src1/%') AS reload FROM catalog WHERE lang = 'de'")
+def q_reload_after_copy(spark, sf_dir):
+    return predicates.reload_after_copy(documents_catalog(spark, sf_dir, "lang").where("lang = 'de'"), spark.createDataFrame([("/lib/src1",)], "root string"))
+
+
+@query("SELECT doc_id FROM catalog WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND coalesce(doc_id % 7 <> 0, true)")
+def q_needs_warmup(spark, sf_dir):
+    d, is_ = documents_catalog(spark, sf_dir), lambda k: F.col("doc_id") % k == 0
+    return d.where(predicates.needs_warmup(is_(3), is_(5), F.when(is_(7), True))).select("doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '2024-05-06 07:08:09' WHEN doc_id % 4 = 1 THEN 'soon' END AS taken, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS text, 'ISO ' || (doc_id % 6400 + 1) AS iso_text, (doc_id % 300 + 1) || ' mm' AS focal_text, CASE doc_id % 3 WHEN 0 THEN 'automatic' WHEN 1 THEN 'manual' END AS balance_text, CASE doc_id % 3 WHEN 1 THEN 'sRGB' WHEN 2 THEN 'Adobe RGB' END AS space_text, ['normal', 'mirrored', 'rotated 180', 'mirrored, rotated 180', 'mirrored, rotated 270', 'rotated 90', 'mirrored, rotated 90', 'rotated 270'][(doc_id % 8 + 1)::INT] AS orientation_text FROM documents")
+def q_photo_description(spark, sf_dir):
+    i = F.col("doc_id")
+    tags = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id",
+        F.when(i % 4 == 0, "2024:05:06 07:08:09").when(i % 4 == 2, " ").alias("original"),
+        F.when(i % 4 == 1, "soon").alias("plain"),
+        F.when(i % 2 == 0, F.col("lang")).otherwise(F.lit("  ")).alias("description"),
+        F.col("source").alias("comment"),
+        (i % 6400 + 1).cast("int").alias("iso"),
+        (i % 300 + 1).cast("double").alias("focal"),
+        (i % 3).cast("int").alias("balance"),
+        (i % 3).cast("int").alias("space"),
+        F.when(i % 2 == 0, (i % 8 + 1).cast("int")).alias("orientation"),
+        (i % 8 + 1).cast("int").alias("orientation_fallback"),
+    )
+    return photo_tags.described(tags).select("doc_id", "taken", "text", "iso_text", "focal_text", "balance_text", "space_text", "orientation_text")
+
+
+@query("SELECT doc_id, '\"' || replace(lang || '\"' || source, '\"', '\"\"') || '\"' AS field, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS merged FROM documents")
+def q_csv_and_maps(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    second = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("k"), F.col("lang")))
+    merged = naming.merged_properties(F.create_map(F.lit("k"), F.col("source")), second)
+    return d.select("doc_id", naming.csv_field(F.concat("lang", F.lit('"'), "source")).alias("field"), merged["k"].alias("merged"))
+
+
+@query("SELECT doc_id, concat_ws(' ', CASE WHEN status <> 'None' THEN status END, CASE WHEN rating > 0 THEN repeat('★', rating) || repeat('☆', 5 - rating) END) AS badge FROM reviewed")
+def q_review_text(spark, sf_dir):
+    return _reviewed(spark, sf_dir).select("doc_id", naming.review_text(F.col("rating"), F.col("status")).alias("badge"))
+
+
+@query("SELECT user_id::VARCHAR AS signature, event_type AS mode, 8 AS threshold, max(event_id) AS saved_at FROM events GROUP BY user_id, event_type ORDER BY saved_at DESC LIMIT 24")
+def q_newest_results(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("signature"), F.col("event_type").alias("mode"), F.lit(8).alias("threshold"), F.col("event_id").alias("saved_at"))
+    return state.newest_results(e)
+
+
+@query("SELECT g AS group_first, member::INT AS member, full_path FROM (SELECT full_path, min(doc_id) OVER (PARTITION BY text) AS g, count(*) OVER (PARTITION BY text) AS n, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS member FROM catalog) WHERE n > 1")
+def q_group_paths(spark, sf_dir):
+    return duplicates.group_paths(_exact(spark, sf_dir), documents_catalog(spark, sf_dir))
+
+
+@query("SELECT count(*) FILTER (g % 2 = 0) AS remaining, count(*) FILTER (g % 2 = 1) AS reviewed FROM (SELECT min(doc_id) AS g FROM documents GROUP BY text HAVING count(*) > 1)")
+def q_after_confirming(spark, sf_dir):
+    groups = _exact(spark, sf_dir)
+    return duplicates.after_confirming(groups, groups.where("group_first % 2 = 1"))
+
+
+@query(f"WITH {SIMHASH} SELECT doc_id AS key, fingerprint FROM hashes")
+def q_shared_fingerprints(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), "text")
+    return duplicates.computed_once(d, "key", F.col("text"), lambda rows: duplicates.text_fingerprints(rows, "key"))
+
+
+@query("SELECT conv_id, place, role FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, role FROM conversations)")
+def q_flattened(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("members"))
+    return duplicates.flattened(turns).select("conv_id", F.col("place").cast("long").alias("place"), F.col("member").alias("role"))
+
+
+@query("SELECT doc_id, replace(replace(lang || ':' || source, ':', '_'), '/', '_') AS safe, CASE WHEN doc_id % 8 < 4 THEN doc_id % 2 = 1 ELSE doc_id % 2 = 1 END AS fired, 'f/' || (doc_id % 20 + 1) AS aperture, 'N ' || (doc_id % 90) || '° 5′ 2.5″' AS place FROM documents")
+def q_photo_values(spark, sf_dir):
+    i = F.col("doc_id")
+    parts = F.array((i % 90).cast("double"), F.lit(5.0), F.lit(2.5))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", naming.safe_file_name(F.concat("lang", F.lit(":"), "source")).alias("safe"), photo_tags.flash_fired((i % 8).cast("int")).alias("fired"), photo_tags.aperture((i % 20 + 1).cast("double")).alias("aperture"), photo_tags.coordinate(parts, F.lit("N")).alias("place"))
+
+
+@query("SELECT user_id::VARCHAR AS full_path, max(event_id) AS size_bytes FROM events GROUP BY user_id")
+def q_without_stale(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("full_path"), F.col("event_id").alias("size_bytes"), F.lit(0).alias("stamp"), F.col("event_id").alias("written_at"))
+    return state.without_stale(e).select("full_path", "size_bytes")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 500 = 0 OR event_id = (SELECT max(event_id) FROM events)")
+def q_throttled(spark, sf_dir):
+    return progressive.throttled(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"), 500, "event_id")
+
+
+@query("SELECT event_id, event_id <= 1 OR event_id % (3 + CASE WHEN user_id >= 2400 THEN 5 WHEN user_id >= 960 THEN 2 ELSE 0 END + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) = 0 AS redraws FROM events")
+def q_refreshes(spark, sf_dir):
+    b = F.col("event_id")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", progressive.refreshes(b, F.col("user_id"), b % 2 == 0).alias("redraws"))
+
+
+@query("SELECT count(*) >= 180 OR bool_or(doc_id = 7) AS progressive FROM documents")
+def q_loads_progressively(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") == 7).alias("is_folder"))
+    return progressive.loads_progressively(d, False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,14 +14,36 @@ from silvergrain.functions.naming import PICTURE_EXTENSIONS, file_name, is_pictu
 DEALT = ("jpg", "png", "webp", "JPEG", "tif", "gif", "bmp", "avif", "heic", "txt", "CR3", "psd")
 
 
+def absolute(path: str) -> str:
+    """A local path from the root; paths with a scheme as they are."""
+    return path if "://" in path or path.startswith("file:") else os.path.abspath(path)
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the inputs that any of Spark's file systems finds."""
+    from pyspark.errors import AnalysisException
+
+    found = []
+    for p in paths:
+        try:
+            spark.read.format("binaryFile").load(p)
+            found.append(p)
+        except AnalysisException:
+            pass
+    return found
+
+
 def scan(spark: SparkSession, paths: list[str], recursive: bool = False, pictures_only: bool = True) -> DataFrame:
     """Records of the files under paths: full_path, file_name, size_bytes, modified_at.
 
-    Blank inputs are dropped, repeated ones read once, a file reached from two
-    inputs is one record; unreadable files and those that vanish are skipped.
+    Blank inputs are dropped, relative ones made absolute, repeated ones read
+    once; missing ones don't fail the rest. A file reached from two inputs is
+    one record; unreadable files and those that vanish are skipped.
     Only names and sizes are read, never contents.
     """
-    inputs = list(dict.fromkeys(p.strip() for p in paths if p and p.strip()))
+    inputs = existing(spark, list(dict.fromkeys(absolute(p.strip()) for p in paths if p and p.strip())))
+    if not inputs:
+        return spark.createDataFrame([], "full_path string, file_name string, size_bytes long, modified_at timestamp")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(inputs).select("path", "length", "modificationTime")
     plain = F.regexp_replace("path", "^file:/*", "/")
     records = found.select(plain.alias("full_path"), file_name(plain).alias("file_name"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))

@@ -63,3 +63,31 @@ def path_list(entries: DataFrame, rank: str = "rank") -> DataFrame:
     """paths: the distinct paths in order, a line each. For selections, which fit one row."""
     first = entries.groupBy("full_path").agg(F.min(rank).alias("rank"))
     return first.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "full_path"))), lambda s: s["full_path"]), "\n").alias("paths"))
+
+
+def failures(results: DataFrame, index: str = "index") -> DataFrame:
+    """(index, error) of the rows that failed, in order."""
+    return results.where(F.col("error").isNotNull()).select(index, "error").orderBy(index)
+
+
+def shown_of_total(shown: DataFrame, everything: DataFrame) -> DataFrame:
+    """shown, total and their text."""
+    a, b = shown.agg(F.count(F.lit(1)).alias("shown")), everything.agg(F.count(F.lit(1)).alias("total"))
+    return a.crossJoin(b).withColumn("text", F.when(F.col("shown") == F.col("total"), F.col("total").cast("string")).otherwise(F.concat_ws(" / ", F.col("shown").cast("string"), F.col("total").cast("string"))))  # one row each
+
+
+def scenario_figures(runs: DataFrame) -> DataFrame:
+    """Add throughput (items a second) and cpu_percent (0 to 100 of all processors) to runs (items, elapsed_ms, cpu_ms, processors)."""
+    elapsed = F.col("elapsed_ms")
+    percent = F.when(elapsed > 0, 100.0 * F.col("cpu_ms") / elapsed / F.greatest(F.col("processors"), F.lit(1))).otherwise(F.lit(0.0))
+    return runs.withColumns({"throughput": F.when(elapsed > 0, 1000.0 * F.col("items") / elapsed).otherwise(F.lit(0.0)), "cpu_percent": F.greatest(F.least(percent, F.lit(100.0)), F.lit(0.0))})
+
+
+def write_reports(runs: DataFrame, folder: str) -> None:
+    """The runs as CSV, JSON and a Markdown table, each in a folder of its own."""
+    runs.write.mode("overwrite").option("header", "true").csv(f"{folder}/csv")
+    runs.write.mode("overwrite").json(f"{folder}/json")
+    head = ["| " + " | ".join(runs.columns) + " |", "|" + " --- |" * len(runs.columns)]
+    lines = runs.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in runs.columns]), F.lit(" |")).alias("value"), F.lit(1).alias("__o"))
+    first = runs.sparkSession.createDataFrame([("\n".join(head), 0)], "value string, __o int")
+    first.unionByName(lines).coalesce(1).orderBy("__o", "value").select("value").write.mode("overwrite").text(f"{folder}/markdown")  # a row per scenario

@@ -262,6 +262,62 @@ def test_quality_and_phases(spark):
     assert export.phases(export.plan_export(c, export.ExportRequest(watermark=True, format="Png"))).first()["phase"] == "Watermark"
 
 
+def test_exact_hashes_of_large_contents(spark):
+    """Beyond three samples the full hash tells contents apart; its value is the plain one."""
+    import hashlib
+
+    big = bytes(range(251)) * 2000
+    other = big[:100_000] + b"?" + big[100_001:]
+    small = b"a few bytes"
+    rows = [(k, len(x), x) for k, x in enumerate([big, big, other, small, small])]
+    e = spark.createDataFrame(rows, "key long, size_bytes long, content binary").withColumns({"modified_at": F.lit(0), "file_name": F.col("key").cast("string"), "rank": F.col("key")})
+    got = {r["key"]: r["hash"] for r in duplicates.exact_groups(e).collect()}
+    assert got == {0: hashlib.sha256(big).hexdigest().upper(), 1: hashlib.sha256(big).hexdigest().upper(), **{k: hashlib.sha256(len(small).to_bytes(8, "little") + small).hexdigest().upper() for k in (3, 4)}}
+
+
+@pytest.mark.parametrize("agree", [1, 2, 3])
+def test_blocks_of_bits_find_all_pairs(spark, agree):
+    import random
+
+    random.seed(agree)
+    base = [random.getrandbits(64) for _ in range(10)]
+    values = {b ^ sum(1 << k for k in random.sample(range(64), n)) for b in base for n in range(9)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    found = {(r["a"], r["b"], r["distance"]) for r in duplicates.banded_pairs(spark.createDataFrame([(v,) for v in signed], "fingerprint long"), 6, agree).collect()}
+    far = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
+    assert found == {(x, y, far(x, y)) for x in signed for y in signed if x < y and far(x, y) <= 6}
+
+
+def test_numbers_are_gapless_with_nulls_and_hot_groups(spark):
+    rows = [(None if k % 5 == 0 else "hot" if k % 5 < 4 else "few", (k * 37) % 200) for k in range(200)]
+    got = ordering.numbered(spark.createDataFrame(rows, "g string, v int"), ["g"], [F.col("v")], "n").collect()
+    for g in (None, "hot", "few"):
+        assert [r["n"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["v"])] == list(range(sum(x == g for x, _ in rows)))
+
+
+def test_shared_results_and_failures(spark):
+    e = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None)], "key long, text string")
+    run = lambda rows: rows.where("key <> 1").select("key", F.length("text").alias("n"))
+    got = {r["key"]: r["n"] for r in duplicates.computed_once(e, "key", F.col("text"), run).collect()}
+    assert got == {2: 1, 3: 1, 4: None, 5: None}
+
+
+def test_missing_folders_and_reports(spark, tmp_path):
+    (tmp_path / "x.jpg").write_bytes(b"1")
+    assert catalog.scan(spark, [str(tmp_path / "gone"), str(tmp_path)]).count() == 1
+    assert catalog.scan(spark, [str(tmp_path / "gone")]).count() == 0
+    sinks.write_reports(spark.createDataFrame([("scan", 3)], "scenario string, items int"), str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r" / "markdown")).count() == 3
+
+
+def test_many_roots_equal_few(spark, monkeypatch):
+    c = spark.createDataFrame([("/root/a.jpg",), ("/root/sub/b.jpg",), ("/root-elsewhere/c.jpg",)], "full_path string")
+    roots = spark.createDataFrame([("/root",), ("/none",)], "root string")
+    few = {r[0] for r in predicates.visible(c, roots).collect()}
+    monkeypatch.setattr(predicates, "FEW_ROOTS", 1)
+    assert {r[0] for r in predicates.visible(c, roots).collect()} == few == {"/root/a.jpg", "/root/sub/b.jpg"}
+
+
 def test_group_helpers(spark):
     g = spark.createDataFrame([(1, 1, 1), (1, 2, 5), (1, 3, 7)], "group_first long, member int, key long")
     assert {r["key"] for r in duplicates.suggested(g).collect()} == {5, 7}
