@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from silvergrain.sources.staging import cut, shared_dir  # noqa: F401
+
 #: A word is a maximal run of characters that are neither a space nor 0x09-0x0D.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -20,30 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the session names none (single-machine tests) is one made.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else None
-    if not named:
-        named = tempfile.mkdtemp(prefix="silvergrain-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: later jobs
-    start from the files, whichever executors have gone meanwhile."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -1,4 +1,4 @@
-"""Connected components of links between long ids, by minimum labels and pointer jumping."""
+"""Connected components that grow as links are found."""
 
 from __future__ import annotations
 
@@ -6,27 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvergrain.llm.common import cut
-
-
-def components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> (node, comp): comp is the smallest id that a node reaches.
-
-    Every round each node takes the smallest label among itself and its
-    neighbours, then the label of that label; rounds grow with the logarithm of
-    the longest path rather than with its length. Labels are written between
-    rounds; only the number of changed ones reaches the driver.
-    """
-    edges = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("theirs")), "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("least"))
-        lower = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("comp"))
-        lower = cut(lower, "lower")
-        jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        nxt = cut(lower.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "labels")
-        if nxt.where("comp <> old").limit(1).count() == 0:
-            return nxt.select("node", "comp")
-        labels = nxt.select("node", "comp")
+from silvergrain.operators.components import components
 
 
 def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
