@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from silvergrain.operators.components import components
+from silvergrain.operators.ordering import numbered
 from silvergrain.sources.staging import cut
 
 #: Bytes of a sample, taken at the start, the middle and the end.
@@ -48,7 +48,8 @@ def exact_groups(entries: DataFrame) -> DataFrame:
     """entries (key, size_bytes, content, modified_at, file_name, rank) -> (group_first, member, key, size_bytes, hash).
 
     group_first is the smallest rank in a group, which orders the groups; member
-    counts from 1 by time, name and rank. A null content never groups.
+    counts from 1 by time, name and rank, which tells entries apart. A null
+    content never groups.
     """
     light = entries.select("key", "size_bytes", "modified_at", "file_name", "rank")
     sizes = light.groupBy("size_bytes").count().where("count > 1").select("size_bytes")
@@ -56,10 +57,10 @@ def exact_groups(entries: DataFrame) -> DataFrame:
     sampled = left.withColumn("sample", sample_hash(F.col("content"), F.col("size_bytes")))
     alike = sampled.groupBy("size_bytes", "sample").count().where("count > 1").select("size_bytes", "sample")
     hashed = sampled.join(alike, ["size_bytes", "sample"], "left_semi").withColumn("hash", F.when(sample_is_full(F.col("size_bytes")), F.col("sample")).otherwise(full_hash(F.col("content"))))
-    small = hashed.select("key", "size_bytes", "modified_at", "file_name", "rank", "hash")
-    group = Window.partitionBy("size_bytes", "hash")
-    placed = small.withColumns({"n": F.count(F.lit(1)).over(group), "group_first": F.min("rank").over(group), "member": F.row_number().over(group.orderBy("modified_at", F.lower("file_name"), "file_name", "rank"))})
-    return placed.where("n > 1").select("group_first", "member", "key", "size_bytes", "hash")
+    small = cut(hashed.select("key", "size_bytes", "modified_at", "file_name", "rank", "hash"), "hashed")
+    groups = small.groupBy("size_bytes", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("group_first")).where("n > 1").drop("n")
+    placed = numbered(small.join(groups, ["size_bytes", "hash"]), ["group_first"], [F.col("modified_at"), F.lower("file_name"), F.col("file_name"), F.col("rank")], "member", 1)
+    return placed.select("group_first", F.col("member").cast("int").alias("member"), "key", "size_bytes", "hash")
 
 
 def exact_summary(groups: DataFrame) -> DataFrame:
@@ -72,10 +73,13 @@ def suggested(groups: DataFrame, similar: bool = False) -> DataFrame:
     return groups if similar else groups.where("member > 1")
 
 
-def others_if_kept(groups: DataFrame) -> DataFrame:
-    """(group_first, kept, other): keeping one member selects the others."""
-    a, b = groups.alias("a"), groups.alias("b")
-    return a.join(b, (F.col("a.group_first") == F.col("b.group_first")) & (F.col("a.member") != F.col("b.member"))).select(F.col("a.group_first").alias("group_first"), F.col("a.key").alias("kept"), F.col("b.key").alias("other"))
+def others_if_kept(groups: DataFrame, kept: DataFrame) -> DataFrame:
+    """(group_first, kept, other): the members that keeping one of a group selects.
+
+    kept: (group_first, kept), a row per group at most, so that a group costs a
+    row per member.
+    """
+    return groups.join(kept.select("group_first", "kept"), "group_first").where(F.col("key") != F.col("kept")).select("group_first", "kept", F.col("key").alias("other"))
 
 
 def saturated_sum(value: Column) -> Column:
@@ -169,11 +173,17 @@ def computed_once(entries: DataFrame, key: str, content: Column, compute: Callab
 
 
 def pairs_of_entries(fingerprints: DataFrame, most: int) -> DataFrame:
-    """Pairs (left, right, distance) of keys, left < right, equal fingerprints included."""
-    near = banded_pairs(fingerprints, most)
-    both = near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionAll(fingerprints.select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b"), F.lit(0).alias("distance")).distinct())
-    l, r = fingerprints.select(F.col("key").alias("left"), F.col("fingerprint").alias("a")), fingerprints.select(F.col("key").alias("right"), F.col("fingerprint").alias("b"))
-    return both.join(l, "a").join(r, "b").where("left < right").select("left", "right", "distance")
+    """Pairs (left, right, distance) of keys, left < right, that stand for all within most of each other.
+
+    Entries of one fingerprint are a class, named by its smallest key: classes
+    are paired by these keys, and every other member is paired with its own
+    class's, at distance 0. A class of n copies so costs n - 1 rows, not n * n.
+    """
+    classes = cut(fingerprints.groupBy("fingerprint").agg(F.min("key").alias("lead")), "classes")
+    lead = lambda c: classes.select(F.col("fingerprint").alias(c), F.col("lead").alias(f"l{c}"))
+    between = banded_pairs(fingerprints, most).join(lead("a"), "a").join(lead("b"), "b").select(F.least("la", "lb").alias("left"), F.greatest("la", "lb").alias("right"), "distance")
+    within = fingerprints.join(classes, "fingerprint").where("key <> lead").select(F.col("lead").alias("left"), F.col("key").alias("right"), F.lit(0).alias("distance"))
+    return between.unionByName(within)
 
 
 def similar_groups(fingerprints: DataFrame, most: int) -> DataFrame:
@@ -188,8 +198,8 @@ def similar_groups(fingerprints: DataFrame, most: int) -> DataFrame:
     between = near.join(lead("a"), "a").join(lead("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     within = fingerprints.join(first, "fingerprint").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
     comps = components(between.unionByName(within))
-    placed = comps.join(fingerprints, comps["node"] == fingerprints["key"])
-    return placed.select(F.col("comp").alias("group_first"), F.row_number().over(Window.partitionBy("comp").orderBy("key")).cast("int").alias("member"), "key", "fingerprint")
+    placed = comps.join(fingerprints, comps["node"] == fingerprints["key"]).select(F.col("comp").alias("group_first"), "key", "fingerprint")
+    return numbered(placed, ["group_first"], [F.col("key")], "member", 1).select("group_first", F.col("member").cast("int").alias("member"), "key", "fingerprint")
 
 
 def group_labels(groups: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -200,15 +210,28 @@ def group_labels(groups: DataFrame, catalog: DataFrame) -> DataFrame:
     return per.join(first, "group_first")
 
 
+#: Rows of a block of a collection's signature, in the mean, at most.
+SIGNED = 4096
+
+
 def collection_signature(entries: DataFrame) -> DataFrame:
     """signature of a whole collection: a hash of the sorted rows' hashes.
 
-    Rows are summed up by blocks of their path's hash first, so that no task
-    holds the collection; the blocks' hashes, in order, are the second level.
+    Rows are summed up by blocks of their path's hash first, as many as keep
+    SIGNED rows each; the blocks' hashes, in order, are summed up by 256 until
+    256 are left, which are the last level. No task holds the collection. The
+    value depends on the rows alone: their number settles the levels.
     """
+    digits, n = 2, entries.count()
+    while n > SIGNED * 16**digits:
+        digits += 2
     row = F.concat(F.col("full_path"), F.lit("\n"), F.col("size_bytes").cast("string"), F.lit("\n"), F.col("stamp").cast("string"), F.lit("\n"))
-    blocks = entries.select(F.substring(F.md5("full_path"), 1, 2).alias("block"), row.alias("row")).groupBy("block").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("row")), ""), 256).alias("hash"))
-    return blocks.agg(F.upper(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "hash"))), lambda s: s["hash"]), ""), 256)).alias("signature"))
+    level = entries.select(F.substring(F.md5("full_path"), 1, digits).alias("block"), row.alias("row")).groupBy("block").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("row")), ""), 256).alias("hash"))
+    together = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "hash"))), lambda s: s["hash"]), ""), 256)
+    while digits > 2:
+        digits -= 2
+        level = level.groupBy(F.substring("block", 1, digits).alias("above")).agg(together.alias("hash")).withColumnRenamed("above", "block")
+    return level.agg(F.upper(together).alias("signature"))
 
 
 def flattened(buckets: DataFrame, members: str = "members") -> DataFrame:

@@ -27,26 +27,47 @@ def ranked(catalog: DataFrame, mode: str, partition: str, to: str = "rank") -> D
     return numbered(catalog, [partition], sort_columns(mode), to, 1)
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[Column], to: str, first: int = 0) -> DataFrame:
-    """Gapless numbers of each group's rows in order, from first, with no group in one task.
-
-    A range sort gives each task a stretch of the whole order; a row's number
-    is its place in its task's stretch of the group, after the sizes of the
-    group's earlier stretches. Rows alike in order may swap numbers.
-    """
+def _stretched(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Rows with their place __at in the order of group and order, and the task __task that holds their stretch of it."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*[F.col(g) for g in group], *order]
     placed = cut(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "placed")
-    placed = placed.withColumn("__task", F.shiftright("__at", 33))
-    stretches = placed.groupBy(*group, "__task").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__least"))
+    return placed.withColumn("__task", F.shiftright("__at", 33))
+
+
+def _with_earlier(placed: DataFrame, group: list[str], own: Column) -> DataFrame:
+    """Add __least, the first place of the row's stretch, and __earlier, own summed over the group's stretches before it."""
+    stretches = placed.groupBy(*group, "__task").agg(own.alias("__n"), F.min("__at").alias("__least"))
     # a group has one stretch in each task at most
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = stretches.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__task").alias("__t"), (before - F.col("__least") + first).alias("__shift"))
+    starts = stretches.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__task").alias("__t"), "__least", before.alias("__earlier"))
     same = F.col("__task") == F.col("__t")
     for k, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))
-    number = (F.col("__at") + F.col("__shift")).cast("long")
-    return placed.join(starts, same).withColumn("__number", number).select(*[c for c in rows.columns if c != to], F.col("__number").alias(to))
+    return placed.join(starts, same)
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[Column], to: str, first: int = 0) -> DataFrame:
+    """Gapless numbers of each group's rows in order, from first, with no group in one task.
+
+    A range sort gives each task a stretch of the whole order; a row's number
+    is its place in its task's stretch of the group, after the sizes of the
+    group's earlier stretches. Rows alike in order may swap numbers.
+    """
+    placed = _with_earlier(_stretched(rows, group, order), group, F.count(F.lit(1)))
+    number = (F.col("__at") - F.col("__least") + F.col("__earlier") + first).cast("long")
+    return placed.withColumn("__number", number).select(*[c for c in rows.columns if c != to], F.col("__number").alias(to))
+
+
+def running_sums(rows: DataFrame, group: list[str], order: list[Column], value: str, to: str) -> DataFrame:
+    """value summed over each group's rows in order up to the row itself, with no group in one task.
+
+    Sums run inside the stretches of a range sort, after the sums of the
+    group's earlier stretches. order has to tell the rows of a group apart.
+    """
+    placed = _with_earlier(_stretched(rows, group, order), group, F.coalesce(F.sum(value), F.lit(0)))
+    stretch = Window.partitionBy(*group, "__task").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("__sum", F.coalesce(F.sum(value).over(stretch), F.lit(0)) + F.col("__earlier")).select(*[c for c in rows.columns if c != to], F.col("__sum").alias(to))
 
 
 def indexed(catalog: DataFrame, mode: str, to: str = "index") -> DataFrame:

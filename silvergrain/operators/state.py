@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from silvergrain.operators.ordering import running_sums
+
 KEY = ["full_path", "size_bytes", "stamp"]
 
 
@@ -36,9 +38,8 @@ def within_budget(state: DataFrame, budget: int, bucket: str = "bucket", by: str
     """
     fits = state.where(F.col(size) <= budget) if protected is None else state.where((F.col(size) <= budget) | F.col(protected))
     order = [*([F.desc(protected)] if protected else []), F.desc(by), F.col("key")]
-    running = F.sum(size).over(Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     keep = F.col("running") <= budget if protected is None else (F.col("running") <= budget) | F.col(protected)
-    return fits.withColumn("running", running).where(keep)
+    return running_sums(fits, [bucket], order, size, "running").where(keep)
 
 
 def best_resolution(state: DataFrame, requested: int) -> DataFrame:

@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from silvergrain.functions.naming import base_name, extension, folder, sequence_name
+from silvergrain.operators.ordering import numbered
 
 # Formats by extension, and the extension that a format is written with.
 FORMATS = {"jpg": "Jpeg", "jpeg": "Jpeg", "png": "Png", "webp": "WebP", "avif": "Avif", "tif": "Tiff", "tiff": "Tiff", "bmp": "Bmp", "jxl": "Jxl", "heic": "Heic", "heif": "Heic"}
@@ -109,9 +109,9 @@ def available_targets(sources: DataFrame, taken: DataFrame, destination: str, la
     first = F.concat(F.lit(destination + "/"), "__base", "__ext")
     used = taken.select(F.col("path").alias("__path")).distinct().withColumn("__used", F.lit(True))
     marked = wanted.withColumn("__first", first).join(used, F.col("__first") == F.col("__path"), "left").drop("__path")
-    blocked = F.coalesce(F.col("__used"), F.lit(False)) | F.coalesce(F.max(F.col("full_path") == F.col("__first")).over(Window.partitionBy("__first")), F.lit(False))
-    turn = F.row_number().over(Window.partitionBy("__first").orderBy(order, "full_path")) - F.when(blocked, 0).otherwise(1)
-    turned = marked.withColumn("__turn", turn)
+    itself = wanted.where(path == first).select(first.alias("__first")).distinct().withColumn("__itself", F.lit(True))
+    blocked = F.coalesce(F.col("__used"), F.col("__itself"), F.lit(False))
+    turned = numbered(marked.join(itself, "__first", "left"), ["__first"], [F.col(order), path], "__turn", 1).withColumn("__turn", F.col("__turn") - F.when(blocked, 0).otherwise(1))
     # numbers already used by existing files are skipped
     number = F.regexp_extract("path", "_" + label + r"([0-9]{2,})[.][^./]*$|_" + label + r"([0-9]{2,})$", 1)
     busy = taken.select(F.regexp_replace("path", "_" + label + "[0-9]{2,}(?=([.][^./]*)?$)", "").alias("__first"), F.nullif(number, F.lit("")).cast("int").alias("n")).where("n is not null and n > 0").groupBy("__first").agg(F.sort_array(F.collect_set("n")).alias("__busy"))
@@ -136,9 +136,9 @@ def transfer_plan(sources: DataFrame, existing: DataFrame, destination: str) ->
     """A move: entries already there are left out; problem as in rename_plan."""
     target = F.concat(F.lit(destination + "/"), F.regexp_extract("full_path", "([^/]*)$", 1))
     moving = sources.withColumn("target_path", target).where(F.col("full_path") != F.col("target_path"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("target_path"))
+    again = moving.groupBy("target_path").agg(F.count(F.lit(1)).alias("__n"))
     there = existing.select(F.col("path").alias("target_path")).distinct().withColumn("__there", F.lit(True))
-    judged = moving.withColumn("__n", n).join(there, "target_path", "left")
+    judged = moving.join(again, "target_path").join(there, "target_path", "left")
     return judged.withColumn("problem", F.when(F.col("__n") > 1, "duplicate").when(F.col("__there"), "exists")).select(*sources.columns, "target_path", "problem")
 
 

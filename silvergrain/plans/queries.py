@@ -223,9 +223,10 @@ def q_exact_suggest(spark, sf_dir):
     return duplicates.suggested(_exact(spark, sf_dir)).select("key")
 
 
-@query("SELECT a.g AS group_first, a.doc_id AS kept, b.doc_id AS other FROM (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS g FROM documents) a JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id")
+@query("SELECT g AS group_first, k AS kept, doc_id AS other FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS g, max(doc_id) OVER (PARTITION BY text) AS k FROM documents WHERE text IS NOT NULL) WHERE doc_id <> k")
 def q_others_if_kept(spark, sf_dir):
-    return duplicates.others_if_kept(_exact(spark, sf_dir))
+    groups = _exact(spark, sf_dir)
+    return duplicates.others_if_kept(groups, groups.groupBy("group_first").agg(F.max("key").alias("kept")))
 
 
 @query("SELECT n >= 3 AND alike >= 2 AND (alike >= greatest(2, n // 6) OR bytes >= 16777216) AS pays, alike FROM (SELECT sum(n)::BIGINT AS n, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS alike, sum(CASE WHEN n > 1 THEN n * size_bytes ELSE 0 END) AS bytes FROM (SELECT size_bytes, count(*) AS n FROM catalog GROUP BY size_bytes))")
@@ -243,7 +244,11 @@ def _pairs(most: int) -> None:
         return duplicates.pairs_of_entries(_simhash(spark, sf_dir), most)
 
     run.__name__ = f"q_hamming_pairs_{most}"
-    query(f'WITH {SIMHASH} SELECT a.doc_id AS "left", b.doc_id AS "right", bit_count(xor(a.fingerprint, b.fingerprint))::INT AS distance FROM hashes a JOIN hashes b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.fingerprint, b.fingerprint)) <= {most}')(run)
+    query(
+        f"WITH {SIMHASH}, classes AS (SELECT fingerprint, min(doc_id) AS lead FROM hashes GROUP BY fingerprint) "
+        f'SELECT a.lead AS "left", b.lead AS "right", bit_count(xor(a.fingerprint, b.fingerprint))::INT AS distance FROM classes a JOIN classes b ON a.lead < b.lead WHERE bit_count(xor(a.fingerprint, b.fingerprint)) <= {most} '
+        "UNION ALL SELECT lead, doc_id, 0 FROM hashes JOIN classes USING (fingerprint) WHERE doc_id <> lead"
+    )(run)
 
 
 def _groups(most: int) -> None:

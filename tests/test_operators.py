@@ -322,7 +322,37 @@ def test_group_helpers(spark):
     g = spark.createDataFrame([(1, 1, 1), (1, 2, 5), (1, 3, 7)], "group_first long, member int, key long")
     assert {r["key"] for r in duplicates.suggested(g).collect()} == {5, 7}
     assert duplicates.suggested(g, similar=True).count() == 3
-    assert duplicates.others_if_kept(g).count() == 6
+    kept = spark.createDataFrame([(1, 5), (2, 9)], "group_first long, kept long")
+    assert {tuple(r) for r in duplicates.others_if_kept(g, kept).collect()} == {(1, 5, 1), (1, 5, 7)}
     assert sinks.path_list(spark.createDataFrame([("b", 2), ("a", 3), ("b", 1)], "full_path string, rank int")).first()["paths"] == "b\na"
     assert duplicates.prefilter_pays(spark.createDataFrame([(1,), (1,)], "size_bytes long")).first()["pays"] is False
     assert duplicates.prefilter_pays(spark.createDataFrame([(1,), (1,), (2,)], "size_bytes long")).first()["pays"] is True
+
+
+def test_running_sums_over_a_hot_group(spark):
+    rows = [(None if k % 5 == 0 else "hot" if k % 5 < 4 else "few", (k * 37) % 200, None if k % 11 == 0 else k % 7) for k in range(200)]
+    got = {(r["g"], r["v"]): r["s"] for r in ordering.running_sums(spark.createDataFrame(rows, "g string, v int, n int"), ["g"], [F.col("v").desc()], "n", "s").collect()}
+    assert got == {(g, v): sum(n or 0 for h, w, n in rows if h == g and w >= v) for g, v, _ in rows}
+
+
+def test_pairs_of_classes_and_their_members(spark):
+    f = spark.createDataFrame([(5, 0), (3, 0), (9, 0), (4, 7), (8, 7), (1, -1)], "key long, fingerprint long")
+    assert {tuple(r) for r in duplicates.pairs_of_entries(f, 3).collect()} == {(3, 5, 0), (3, 9, 0), (4, 8, 0), (3, 4, 3)}
+
+
+def test_signature_with_more_levels(spark, monkeypatch):
+    import hashlib
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = [(f"/a/{k}", k, 7 * k) for k in range(600)]
+    e = spark.createDataFrame(rows, "full_path string, size_bytes long, stamp long")
+    monkeypatch.setattr(duplicates, "SIGNED", 1)
+    blocks: dict = {}
+    for p, size, stamp in rows:
+        blocks.setdefault(hashlib.md5(p.encode()).hexdigest()[:4], []).append(f"{p}\n{size}\n{stamp}\n")
+    above: dict = {}
+    for b in sorted(blocks):
+        above.setdefault(b[:2], []).append(sha("".join(sorted(blocks[b]))))
+    want = sha("".join(sha("".join(above[b])) for b in sorted(above))).upper()
+    assert duplicates.collection_signature(e).first()["signature"] == want
+    assert duplicates.collection_signature(e.orderBy(F.desc("stamp")).repartition(7)).first()["signature"] == want
