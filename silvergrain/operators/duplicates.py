@@ -179,9 +179,10 @@ def pairs_of_entries(fingerprints: DataFrame, most: int) -> DataFrame:
     are paired by these keys, and every other member is paired with its own
     class's, at distance 0. A class of n copies so costs n - 1 rows, not n * n.
     """
+    fingerprints = cut(fingerprints.select("key", "fingerprint"), "keyed")  # worked out once
     classes = cut(fingerprints.groupBy("fingerprint").agg(F.min("key").alias("lead")), "classes")
     lead = lambda c: classes.select(F.col("fingerprint").alias(c), F.col("lead").alias(f"l{c}"))
-    between = banded_pairs(fingerprints, most).join(lead("a"), "a").join(lead("b"), "b").select(F.least("la", "lb").alias("left"), F.greatest("la", "lb").alias("right"), "distance")
+    between = banded_pairs(classes, most).join(lead("a"), "a").join(lead("b"), "b").select(F.least("la", "lb").alias("left"), F.greatest("la", "lb").alias("right"), "distance")
     within = fingerprints.join(classes, "fingerprint").where("key <> lead").select(F.col("lead").alias("left"), F.col("key").alias("right"), F.lit(0).alias("distance"))
     return between.unionByName(within)
 
@@ -192,6 +193,7 @@ def similar_groups(fingerprints: DataFrame, most: int) -> DataFrame:
     Equal fingerprints are linked through their smallest key rather than to each
     other, so a large group of copies costs one link per member.
     """
+    fingerprints = cut(fingerprints.select("key", "fingerprint"), "keyed")  # worked out once
     first = fingerprints.groupBy("fingerprint").agg(F.min("key").alias("lead"))
     near = banded_pairs(fingerprints, most)
     lead = lambda c: first.select(F.col("fingerprint").alias(c), F.col("lead").alias(f"l{c}"))
