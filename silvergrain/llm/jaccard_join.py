@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
         found = [_sets(data, offsets, k)[0] for _, data, offsets in flat(of_nodes(texts, told)["text"])]
         hashes = np.concatenate([*found, np.zeros(0, U)])
         block = texts["block"][0].as_py() if len(texts) else 0
-        return pa.Table.from_batches([packed(hashes, np.full(len(hashes), block, np.int64), n)])
+        return pa.Table.from_batches([packed(hashes, block, n)])
 
     # both passes over the texts share one shuffle; a block sends each bucket one row, however many files it comes from
     by_block = known.select("block", "doc_id", "text").groupBy("block")

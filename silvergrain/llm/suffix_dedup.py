@@ -8,12 +8,16 @@ and sends them as front-coded runs (the length of the prefix shared with the
 suffix before, then the rest) to the bucket of the anchor; the bucket merges
 the runs with a loser tree that compares lengths of known common prefixes and
 reads bytes only beyond them. Neighbours' common prefixes and the bytes before
-the anchors then tell which passages also start earlier.
+the anchors then tell which passages also start earlier. The passages of a
+frequent anchor are dealt in pieces of PIECE offsets, each to the bucket of the
+bytes that all passages of the piece hold, so that an anchor with very many
+different surroundings isn't one bucket's alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,10 @@ from silvergrain.llm.text_arrays import U, flat, window_hashes
 LENGTH = 100
 GRAM = 52
 WIDE = LENGTH - GRAM + 1
+#: Offsets of one piece of a frequent anchor's passages.
+PIECE = 7
+#: An anchor is frequent from this level on: seen 1024 times or more.
+FREQUENT = 11
 #: Window starts of one segment of a long text; places in a segment fit the low bits of a hash.
 SEGMENT = 1 << 22
 LOW = U((1 << 24) - 1)
@@ -141,6 +149,24 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int
             return
 
 
+def dealt(frequent: np.ndarray, gram: np.ndarray, least: np.ndarray, most: np.ndarray, right: list[bytes], left: list[bytes], n: int) -> tuple[np.ndarray, ...]:
+    """What travels for runs of passages: row, least and most offset of the anchor, bucket. Equal passages meet in one bucket.
+
+    right and left hold the bytes from the anchor on and before it.
+    """
+    pieces = np.where(frequent, most // PIECE - least // PIECE + 1, 1)
+    row = np.repeat(np.arange(len(least)), pieces)
+    piece = least[row] // PIECE + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    lo = np.where(frequent[row], np.maximum(least[row], piece * PIECE), least[row])
+    hi = np.where(frequent[row], np.minimum(most[row], piece * PIECE + PIECE - 1), most[row])
+    bucket = (gram[row] % U(n)).astype(np.int64)
+    for k in np.flatnonzero(frequent[row]).tolist():
+        r, o = row[k], int(piece[k]) * PIECE
+        core = left[r][len(left[r]) - o :] if o else b""
+        bucket[k] = zlib.crc32(core + right[r][: LENGTH - o - PIECE + 1]) % n
+    return row, lo, hi, bucket
+
+
 def _sorted_runs(table: dict[str, np.ndarray], right: list[bytes], left: list[bytes], block: int, marks: np.ndarray, mark_bucket: np.ndarray, n: int) -> pa.Table:
     """One row of RUNS per bucket; marks of the bucket's anchors ride along."""
     out = {k.split()[0]: [] for k in RUNS.split(", ")}
@@ -341,7 +367,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         found = [anchors(data, offsets)[4] for _, _, data, offsets in segments(kept["text"])]
         hashes = np.concatenate([*found, np.zeros(0, U)])
         block = rows["block"][0].as_py() if len(rows) else 0
-        return pa.Table.from_batches([packed(hashes, np.full(len(hashes), block), n)])
+        return pa.Table.from_batches([packed(hashes, block, n)])
 
     def runs(rows: pa.Table, told: pa.Table) -> pa.Table:
         kept = of_firsts(rows, told)
@@ -351,8 +377,9 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         done = at = 0
         for first_row, base, data, offsets in segments(kept["text"]):
             text, place, first, last, gram = anchors(data, offsets)
-            use = held.level(gram) > 0
-            text, place, first, last, gram = text[use], place[use], first[use], last[use], gram[use]
+            level = held.level(gram)
+            use = level > 0
+            text, place, first, last, gram, level = text[use], place[use], first[use], last[use], gram[use], level[use]
             if not len(text):
                 continue
             count = last - first + 1
@@ -361,7 +388,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             passages.append((window_hashes(data, LENGTH)[start], done + of, (start - offsets[text][of] + base).astype(np.int64), at + start))
             read.append(data)
             at += len(data)
-            parts.append((ids[first_row + text], place - offsets[text] + base, gram))
+            parts.append((ids[first_row + text], place - offsets[text] + base, gram, level >= FREQUENT))
             raw = data.tobytes()
             # the widest context for now; what the block already has is cut off below
             right += [raw[p : z + LENGTH] for p, z in zip(place.tolist(), last.tolist(), strict=True)]
@@ -371,7 +398,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         if not done:
             return _sorted_runs({k: np.zeros(0, np.int64) for k in ("bucket", "doc", "place", "least", "most")}, [], [], block, np.zeros((0, 3), np.int64), np.zeros(0, np.int64), n)
         hashed, of, start, byte = (np.concatenate([p[k] for p in passages]) for k in range(4))
-        doc, place, gram = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        doc, place, gram, frequent = (np.concatenate([p[k] for p in parts]) for k in range(4))
         _, one, same = np.unique(hashed, return_index=True, return_inverse=True)
         here = np.zeros(len(hashed), bool)
         here[one] = True
@@ -386,14 +413,16 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         a, z = np.full(done, far), np.full(done, -1)
         np.minimum.at(a, of[~here], start[~here])
         np.maximum.at(z, of[~here], start[~here])
-        bucket = (gram % U(n)).astype(np.int64)
         again = z >= 0
+        # marks only pass through a bucket on their way back; those at frequent anchors take any
+        back = np.where(frequent, doc % n, (gram % U(n)).astype(np.int64))
         go = np.flatnonzero(hi >= 0)
-        most, least = (place - lo)[go], (place - hi)[go]
-        right = [right[i][: LENGTH - k] for i, k in zip(go.tolist(), least.tolist(), strict=True)]
-        left = [left[i][len(left[i]) - k :] if k > 0 else b"" for i, k in zip(go.tolist(), most.tolist(), strict=True)]
-        table = {"bucket": bucket[go], "doc": doc[go].astype(np.int64), "place": place[go].astype(np.int64), "least": least.astype(np.uint8), "most": most.astype(np.uint8)}
-        return _sorted_runs(table, right, left, block, np.c_[doc[again], a[again], z[again]].astype(np.int64), bucket[again], n)
+        row, least, most, bucket = dealt(frequent[go], gram[go], (place - hi)[go], (place - lo)[go], [right[i] for i in go], [left[i] for i in go], n)
+        row = go[row]
+        right = [right[i][: LENGTH - k] for i, k in zip(row.tolist(), least.tolist(), strict=True)]
+        left = [left[i][len(left[i]) - k :] if k > 0 else b"" for i, k in zip(row.tolist(), most.tolist(), strict=True)]
+        table = {"bucket": bucket, "doc": doc[row].astype(np.int64), "place": place[row].astype(np.int64), "least": least.astype(np.uint8), "most": most.astype(np.uint8)}
+        return _sorted_runs(table, right, left, block, np.c_[doc[again], a[again], z[again]].astype(np.int64), back[again], n)
 
     mine = firsts
     asked = texts().cogroup(mine.groupBy("block")).applyInArrow(ask, ASKED)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from helpers import fold, near_duplicates, no_documents, odd_documents, odd_texts, repeated_passages, statistics, unigrams, words
@@ -113,6 +114,53 @@ def test_suffix_dedup_with_hashes_that_meet(spark, monkeypatch):
     assert got == repeated_passages(data)
 
 
+def test_frequent_anchors_are_dealt_in_pieces(spark, monkeypatch):
+    """Every repeated anchor counts as frequent: the same bytes go, and a shared passage's surroundings spread over buckets."""
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 1)
+    random.seed(31)
+    letters = lambda k: "".join(random.choices("abcdefgh ", k=k))
+    shared = [letters(52), letters(97), letters(140), letters(400)]
+    rows = [(k, letters(60) + random.choice(shared) + letters(60)) for k in range(80)]
+    rows += [(100 + k, rows[k][1][random.randrange(50) :]) for k in range(20)]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), varied(spark, 30)):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(df).collect()}
+        assert got == repeated_passages(pairs(df))
+
+
+def test_pieces_of_a_frequent_anchor():
+    import numpy as np
+
+    random.seed(32)
+    some = lambda k: bytes(random.choices(range(97, 105), k=k))
+    anchor, m = some(52), 500
+    left, right = [some(48) for _ in range(m)], [anchor + some(48) for _ in range(m)]
+    left[1], right[1] = left[0], right[0]
+    zero, all_ = np.zeros(m, np.int64), np.full(m, 48)
+    row, lo, hi, bucket = suffix_dedup.dealt(np.ones(m, bool), np.zeros(m, np.uint64), zero, all_, right, left, 16)
+    covered = Counter((int(r), o) for r, a, z in zip(row, lo, hi, strict=True) for o in range(a, z + 1))
+    assert covered == {(r, o): 1 for r in range(m) for o in range(49)}
+    assert (bucket[row == 0] == bucket[row == 1]).all() and np.bincount(bucket, minlength=16).max() < 2 * len(bucket) / 16
+    assert (suffix_dedup.dealt(~np.ones(m, bool), np.zeros(m, np.uint64), zero, all_, right, left, 16)[0] == np.arange(m)).all()
+
+
+def test_counts_of_repeated_keys():
+    """Levels follow the whole count, however it is spread over blocks and inside them."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute
+
+    from silvergrain.llm import blocks
+
+    random.seed(33)
+    own = [np.array([random.choice([1, 2, 3, 2**40 + 7, random.getrandbits(64)]) for _ in range(50)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(4)]
+    asked = pa.Table.from_batches([blocks.packed(h, k, 3) for k, h in enumerate(own)])
+    answers = pa.concat_tables([blocks._answer(asked.filter(pa.compute.equal(asked["bucket"], b))) for b in range(3)])
+    total = Counter(x for h in own for x in h.tolist())
+    for k, h in enumerate(own):
+        held = blocks.Known(answers.filter(pa.compute.equal(answers["block"], k)), 3)
+        assert held.level(h).tolist() == [0 if total[x] == 1 else 1 + int(np.log2(total[x])) for x in h.tolist()]
+
+
 def test_equal_windows():
     import numpy as np
 
@@ -234,7 +282,6 @@ def test_scores(docs):
 
 def plain_scores(rows):
     """{id: score} by counting dictionaries: three orders over a floor, weights by expectation-maximisation, nothing binned."""
-    from collections import Counter
 
     tokens = [(d, [*words(t, True), "\0end"]) for d, t in rows]
     counts = [Counter() for _ in range(3)]
