@@ -149,10 +149,10 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int
             return
 
 
-def dealt(frequent: np.ndarray, gram: np.ndarray, least: np.ndarray, most: np.ndarray, right: list[bytes], left: list[bytes], n: int) -> tuple[np.ndarray, ...]:
+def dealt(frequent: np.ndarray, gram: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
     """What travels for runs of passages: row, least and most offset of the anchor, bucket. Equal passages meet in one bucket.
 
-    right and left hold the bytes from the anchor on and before it.
+    place: where the anchors stand in data.
     """
     pieces = np.where(frequent, most // PIECE - least // PIECE + 1, 1)
     row = np.repeat(np.arange(len(least)), pieces)
@@ -160,10 +160,9 @@ def dealt(frequent: np.ndarray, gram: np.ndarray, least: np.ndarray, most: np.nd
     lo = np.where(frequent[row], np.maximum(least[row], piece * PIECE), least[row])
     hi = np.where(frequent[row], np.minimum(most[row], piece * PIECE + PIECE - 1), most[row])
     bucket = (gram[row] % U(n)).astype(np.int64)
-    for k in np.flatnonzero(frequent[row]).tolist():
-        r, o = row[k], int(piece[k]) * PIECE
-        core = left[r][len(left[r]) - o :] if o else b""
-        bucket[k] = zlib.crc32(core + right[r][: LENGTH - o - PIECE + 1]) % n
+    often = np.flatnonzero(frequent[row])
+    raw = memoryview(data)
+    bucket[often] = [zlib.crc32(raw[p : p + LENGTH - PIECE + 1]) % n for p in (place[row] - piece * PIECE)[often].tolist()]
     return row, lo, hi, bucket
 
 
@@ -275,7 +274,7 @@ def _earlier(some: np.ndarray, shared: np.ndarray, rank: np.ndarray, places: np.
         last[hit] = np.maximum(last[hit], start)
 
 
-def equal_windows(data: np.ndarray, a: np.ndarray, b: np.ndarray, width: int = LENGTH, at_once: int = 1 << 22) -> np.ndarray:
+def equal_windows(data: np.ndarray, a: np.ndarray, b: np.ndarray, width: int = LENGTH, at_once: int = 1 << 21) -> np.ndarray:
     """Whether data[a : a + width] equals data[b : b + width], byte by byte; runs of neighbouring pairs are read once."""
     out = np.ones(len(a), bool)
     if not len(a):
@@ -299,6 +298,39 @@ def equal_windows(data: np.ndarray, a: np.ndarray, b: np.ndarray, width: int = L
     return out
 
 
+def first_of_hash(hashed: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+    """Where each hash stands for the first time; ranges of hashes are sorted one after the other."""
+    n = len(hashed)
+    out = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
+    bits = max(n // at_once, 0).bit_length()
+    for part in range(1 << bits):
+        if bits:
+            own = np.concatenate([np.flatnonzero(hashed[s : s + at_once] >> U(64 - bits) == U(part)) + s for s in range(0, n, at_once)])
+        else:
+            own = np.arange(n)
+        if not len(own):
+            continue
+        order = np.argsort(hashed[own])
+        ranked, own = hashed[own[order]], own[order]
+        edges = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        out[own] = np.repeat(np.minimum.reduceat(own, edges), np.diff(np.r_[edges, len(own)]))
+    return out
+
+
+def unseen(data: np.ndarray, hashed: np.ndarray, byte: np.ndarray, at_once: int = 1 << 21) -> np.ndarray:
+    """False for passages with the bytes of the first one that has their hash; byte: where they start in data.
+
+    A passage whose bytes differ from those of the first one with its hash counts as a new one.
+    """
+    out = np.ones(len(hashed), bool)
+    first = first_of_hash(hashed)
+    for s in range(0, len(hashed), at_once):
+        own = first[s : s + at_once]
+        later = np.flatnonzero(own != np.arange(s, s + len(own)))
+        out[later + s] = ~equal_windows(data, byte[later + s], byte[own[later]])
+    return out
+
+
 def text_hash(text: Column, seed: int = 0) -> Column:
     """One of the hashes that name a text; null is the empty text."""
     text = F.coalesce(text, F.lit(""))
@@ -373,8 +405,8 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         kept = of_firsts(rows, told)
         held = Known(told.filter(told["bucket"].is_valid()), n)
         ids = kept["doc_id"].to_numpy()
-        parts, right, left, passages, read = [], [], [], [], []
-        done = at = 0
+        parts, hashes, read = [], [], []
+        at = 0
         for first_row, base, data, offsets in segments(kept["text"]):
             text, place, first, last, gram = anchors(data, offsets)
             level = held.level(gram)
@@ -383,46 +415,43 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             if not len(text):
                 continue
             count = last - first + 1
-            of = np.repeat(np.arange(len(text)), count)
-            start = np.repeat(first, count) + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            passages.append((window_hashes(data, LENGTH)[start], done + of, (start - offsets[text][of] + base).astype(np.int64), at + start))
+            hashes.append(window_hashes(data, LENGTH)[np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())])
             read.append(data)
+            # places in the bytes read, and what turns them into places in the text
+            parts.append((ids[first_row + text], place + at, first + at, count, base - offsets[text] - at, gram, level >= FREQUENT))
             at += len(data)
-            parts.append((ids[first_row + text], place - offsets[text] + base, gram, level >= FREQUENT))
-            raw = data.tobytes()
-            # the widest context for now; what the block already has is cut off below
-            right += [raw[p : z + LENGTH] for p, z in zip(place.tolist(), last.tolist(), strict=True)]
-            left += [raw[a:p] for a, p in zip(first.tolist(), place.tolist(), strict=True)]
-            done += len(text)
         block = rows["block"][0].as_py() if len(rows) else 0
-        if not done:
+        if not parts:
             return _sorted_runs({k: np.zeros(0, np.int64) for k in ("bucket", "doc", "place", "least", "most")}, [], [], block, np.zeros((0, 3), np.int64), np.zeros(0, np.int64), n)
-        hashed, of, start, byte = (np.concatenate([p[k] for p in passages]) for k in range(4))
-        doc, place, gram, frequent = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        _, one, same = np.unique(hashed, return_index=True, return_inverse=True)
-        here = np.zeros(len(hashed), bool)
-        here[one] = True
-        later = np.flatnonzero(~here)
-        # a passage whose bytes differ from those of the earlier one with its hash travels like a new one
-        here[later] = ~equal_windows(np.concatenate(read), byte[later], byte[one[same.ravel()[later]]])
+        doc, place, first, count, shift, gram, frequent = (np.concatenate([p[k] for p in parts]) for k in range(7))
+        hashed, data = np.concatenate(hashes), np.concatenate(read)
+        del hashes, read, parts
+        # a row for each passage: kept narrow
+        kind = np.int32 if max(len(data), len(hashed)) < 1 << 31 else np.int64
+        byte = np.repeat((first - np.cumsum(count) + count).astype(kind), count) + np.arange(len(hashed), dtype=kind)
+        here = unseen(data, hashed, byte)
+        del hashed
+        of = np.repeat(np.arange(len(first), dtype=kind), count)
         # the block's own repeats are marked at once; only passages new to the block travel
         far = np.iinfo(np.int64).max
-        lo, hi = np.full(done, far), np.full(done, -1)
-        np.minimum.at(lo, of[here], start[here])
-        np.maximum.at(hi, of[here], start[here])
-        a, z = np.full(done, far), np.full(done, -1)
-        np.minimum.at(a, of[~here], start[~here])
-        np.maximum.at(z, of[~here], start[~here])
+        lo, hi = np.full(len(first), far), np.full(len(first), -1)
+        np.minimum.at(lo, of[here], byte[here])
+        np.maximum.at(hi, of[here], byte[here])
+        a, z = np.full(len(first), far), np.full(len(first), -1)
+        np.minimum.at(a, of[~here], byte[~here])
+        np.maximum.at(z, of[~here], byte[~here])
+        del of, byte, here
         again = z >= 0
         # marks only pass through a bucket on their way back; those at frequent anchors take any
         back = np.where(frequent, doc % n, (gram % U(n)).astype(np.int64))
         go = np.flatnonzero(hi >= 0)
-        row, least, most, bucket = dealt(frequent[go], gram[go], (place - hi)[go], (place - lo)[go], [right[i] for i in go], [left[i] for i in go], n)
+        row, least, most, bucket = dealt(frequent[go], gram[go], place[go], (place - hi)[go], (place - lo)[go], data, n)
         row = go[row]
-        right = [right[i][: LENGTH - k] for i, k in zip(row.tolist(), least.tolist(), strict=True)]
-        left = [left[i][len(left[i]) - k :] if k > 0 else b"" for i, k in zip(row.tolist(), most.tolist(), strict=True)]
-        table = {"bucket": bucket, "doc": doc[row].astype(np.int64), "place": place[row].astype(np.int64), "least": least.astype(np.uint8), "most": most.astype(np.uint8)}
-        return _sorted_runs(table, right, left, block, np.c_[doc[again], a[again], z[again]].astype(np.int64), back[again], n)
+        raw = memoryview(data)
+        right = [bytes(raw[p : p + LENGTH - k]) for p, k in zip(place[row].tolist(), least.tolist(), strict=True)]
+        left = [bytes(raw[p - k : p]) for p, k in zip(place[row].tolist(), most.tolist(), strict=True)]
+        table = {"bucket": bucket, "doc": doc[row].astype(np.int64), "place": (place + shift)[row].astype(np.int64), "least": least.astype(np.uint8), "most": most.astype(np.uint8)}
+        return _sorted_runs(table, right, left, block, np.c_[doc[again], (a + shift)[again], (z + shift)[again]].astype(np.int64), back[again], n)
 
     mine = firsts
     asked = texts().cogroup(mine.groupBy("block")).applyInArrow(ask, ASKED)

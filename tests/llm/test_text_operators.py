@@ -133,14 +133,28 @@ def test_pieces_of_a_frequent_anchor():
     random.seed(32)
     some = lambda k: bytes(random.choices(range(97, 105), k=k))
     anchor, m = some(52), 500
-    left, right = [some(48) for _ in range(m)], [anchor + some(48) for _ in range(m)]
-    left[1], right[1] = left[0], right[0]
-    zero, all_ = np.zeros(m, np.int64), np.full(m, 48)
-    row, lo, hi, bucket = suffix_dedup.dealt(np.ones(m, bool), np.zeros(m, np.uint64), zero, all_, right, left, 16)
+    around = [(some(48), some(48)) for _ in range(m)]
+    around[1] = around[0]
+    data = np.frombuffer(b"".join(x + anchor + y for x, y in around), np.uint8)
+    place, zero, all_ = 148 * np.arange(m) + 48, np.zeros(m, np.int64), np.full(m, 48)
+    row, lo, hi, bucket = suffix_dedup.dealt(np.ones(m, bool), np.zeros(m, np.uint64), place, zero, all_, data, 16)
     covered = Counter((int(r), o) for r, a, z in zip(row, lo, hi, strict=True) for o in range(a, z + 1))
     assert covered == {(r, o): 1 for r in range(m) for o in range(49)}
     assert (bucket[row == 0] == bucket[row == 1]).all() and np.bincount(bucket, minlength=16).max() < 2 * len(bucket) / 16
-    assert (suffix_dedup.dealt(~np.ones(m, bool), np.zeros(m, np.uint64), zero, all_, right, left, 16)[0] == np.arange(m)).all()
+    assert (suffix_dedup.dealt(~np.ones(m, bool), np.zeros(m, np.uint64), place, zero, all_, data, 16)[0] == np.arange(m)).all()
+
+
+def test_first_of_hash_by_ranges():
+    import numpy as np
+
+    random.seed(34)
+    hashed = np.array([random.choice([random.getrandbits(64), 5, 2**63, 2**64 - 1]) for _ in range(1000)], np.uint64)
+    want = {}
+    for k, h in enumerate(hashed.tolist()):
+        want.setdefault(h, k)
+    for at_once in (1 << 22, 300, 7):
+        assert suffix_dedup.first_of_hash(hashed, at_once).tolist() == [want[h] for h in hashed.tolist()]
+    assert len(suffix_dedup.first_of_hash(hashed[:0])) == 0
 
 
 def test_counts_of_repeated_keys():
