@@ -17,20 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from silvergrain.llm.common import cut, partitions
 
 #: Code points that a key has at least to count.
 LEAST = 10
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = " \t\n\x0b\x0c\r"
 ORDER = ["h1", "h2", "doc", "row", "at"]
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(_BLANK)), _UPPER, _LOWER)
+def line_keys(lines: pa.Array) -> pa.Array:
+    return pc.ascii_lower(pc.utf8_trim(lines, _BLANK))
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -41,9 +42,19 @@ def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def named_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST) -> DataFrame:
     """h1, h2, doc, row, at (position from 0) of every line whose key has least code points or more."""
-    lines = _rows(docs, id_column, text_column).where("doc is not null").select("doc", "row", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    keyed = lines.select("doc", "row", "at", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), "key").alias("h2"), "doc", "row", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = pc.split_pattern(b.column(2), "\n")
+            text, lengths = np.repeat(np.arange(len(b)), pc.list_value_length(lines)), pc.list_value_length(lines).to_numpy()
+            at = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            keys = line_keys(lines.flatten())
+            counts = np.flatnonzero(pc.greater_equal(pc.utf8_length(keys), least).to_numpy(zero_copy_only=False))
+            names = np.frombuffer(b"".join(map(xxh3_128_digest, keys.take(pa.array(counts)).cast(pa.binary()).to_pylist())), "<i8").reshape(-1, 2)
+            text = pa.array(text[counts])
+            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), b.column(0).take(text), b.column(1).take(text), pa.array(at[counts].astype(np.int32))], names=ORDER)
+
+    return _rows(docs, id_column, text_column).where("doc is not null").mapInArrow(run, "h1 long, h2 long, doc long, row long, at int")
 
 
 def later_holders(lines: DataFrame) -> DataFrame:
@@ -86,7 +97,7 @@ def keep_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     bitmap: zlib of bits, the least one first; bit k is set where line k stays.
     Lines beyond it stay.
     """
-    gone = later_holders(named_lines(docs, id_column, text_column, least))
+    gone = later_holders(cut(named_lines(docs, id_column, text_column, least), "lines"))  # ranges are drawn from a first pass over the names
     order = ["doc", "row", "at"]
 
     def pack(key: tuple, places: list[np.ndarray]) -> tuple:
