@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,23 +100,43 @@ def prefilter_pays(entries: DataFrame) -> DataFrame:
     return totals.select(pays.alias("pays"), F.col("alike").cast("long").alias("alike"))
 
 
+#: Texts that a task signs at a time.
+SIGNED_TEXTS = 512
+
+
 def text_fingerprints(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint): a word-set SimHash; a bit is set if more than half of the distinct words set it.
 
     Words are what stands between spaces, tabs, line feeds, form feeds and carriage returns.
+    A text without words, or null, has a null fingerprint, which is like no other.
     """
-    gaps = re.compile("[\t\n\f\r ]+")
+
+    def signed(own: pa.Array) -> pa.Array:
+        lists = pc.split_pattern_regex(pc.fill_null(own, ""), "[\t\n\f\r ]+")
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.cast(pa.binary()).to_pylist()
+        # each distinct word is hashed once; the empty one counts for nothing
+        digests = np.frombuffer(b"".join(hashlib.md5(w).digest()[:8] for w in names), np.uint8).reshape(-1, 8)
+        bits = np.unpackbits(digests, axis=1)
+        row = np.repeat(np.arange(len(own)), pc.list_value_length(lists).to_numpy())
+        pairs = np.unique(row * np.int64(len(names)) + coded.indices.to_numpy()) if len(row) else np.array([], np.int64)
+        row, word = pairs // max(len(names), 1), pairs % max(len(names), 1)
+        if b"" in names:
+            row, word = row[word != names.index(b"")], word[word != names.index(b"")]
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        out, known = np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+        if len(starts):
+            sums = np.add.reduceat(bits[word], starts, axis=0, dtype=np.int32)
+            most = sums * 2 > np.diff(np.append(starts, len(row)))[:, None]
+            out[row[starts]] = np.packbits(most, axis=1).view(">i8")[:, 0]
+            known[row[starts]] = True
+        return pa.array(out, mask=~known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(len(batch), np.int64)
-            for k, value in enumerate(batch.column(1).to_pylist()):
-                words = set(gaps.split(value or "")) - {""}
-                if words:
-                    digests = np.frombuffer(b"".join(hashlib.md5(w.encode("utf-8", "replace")).digest()[:8] for w in words), np.uint8).reshape(-1, 8)
-                    bits = np.unpackbits(digests, axis=1).sum(0) * 2 > len(words)
-                    out[k] = np.packbits(bits).view(">i8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["key", "fingerprint"])
+            for lo in range(0, len(batch), SIGNED_TEXTS):
+                part = batch.slice(lo, SIGNED_TEXTS)
+                yield pa.RecordBatch.from_arrays([part.column(0), signed(part.column(1))], names=["key", "fingerprint"])
 
     return texts.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, f"key {texts.schema[key].dataType.simpleString()}, fingerprint long")
 
@@ -125,36 +145,70 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def agreeing_blocks(n: int, most: int) -> int:
-    """How many blocks of bits a key names, for n fingerprints: what costs least in keys and candidates together."""
-    cost = lambda r: math.comb(most + r, r) * (n + n * n / 2 ** (1 + 64 * r / (most + r)))
-    return min(range(1, min(6, 64 - most) + 1), key=cost)
+def ball(bits: int, radius: int) -> int:
+    """How many values differ from one of so many bits in radius of them at most."""
+    return sum(math.comb(bits, k) for k in range(radius + 1))
+
 
+def cheapest_blocks(n: int, most: int) -> int:
+    """Into how many blocks of bits n fingerprints are cut: what costs least in keys and meetings together."""
 
-def banded_pairs(fingerprints: DataFrame, most: int, agree: int | None = None) -> DataFrame:
+    def cost(m: int) -> float:
+        bits, keys = 64 / m, ball(64 // m, -(-(most // m) // 2))
+        return 8 * n * m * keys + m * (n * keys) ** 2 / 2 ** (bits + 1)
+
+    return min(range(2, most + 2), key=cost) if most else 1
+
+
+def banded_pairs(fingerprints: DataFrame, most: int, blocks: int | None = None) -> DataFrame:
     """Pairs (a, b, distance) of distinct fingerprints within most (below 64) of each other.
 
-    64 bits in most + agree blocks: a pair within most agrees in agree blocks at
-    least, so an equi-join on every choice of agree blocks and their bits finds
-    all of them; the choice of the first ones in which a pair agrees reports it.
-    agree follows the number of fingerprints: longer keys keep the candidates
-    of a key few as the table grows.
+    Of m blocks of bits, one differs in most // m bits at most. Each side names
+    the values within half of that of its own block, so that an equi-join finds
+    all pairs; the first such block, and the value that takes the lower half of
+    its differing bits from each side, reports a pair once. m follows the number of
+    fingerprints. Keys are never broadcast. Null fingerprints have no pairs.
     """
-    once = cut(fingerprints.select("fingerprint").distinct(), "fingerprints")
-    agree = agree or agreeing_blocks(once.count(), most)
-    blocks = most + agree
-    bounds = [round(k * 64 / blocks) for k in range(blocks + 1)]
-    masks = [((1 << (z - a)) - 1) << a for a, z in zip(bounds, bounds[1:], strict=False)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    chosen = list(combinations(range(blocks), agree))
-    bits = F.array(*[F.col("fingerprint").bitwiseAND(F.lit(signed(sum(masks[k] for k in c)))) for c in chosen])
-    keyed = once.select("fingerprint", F.posexplode(bits).alias("choice", "value"))
-    a, b = keyed.alias("a"), keyed.alias("b")
+    once = cut(fingerprints.where("fingerprint is not null").select("fingerprint").distinct(), "fingerprints")
+    m = blocks or cheapest_blocks(once.count(), most)
+    apart = most // m
+    half = -(-apart // 2)
+    bounds = [round(k * 64 / m) for k in range(m + 1)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    whole = [((1 << (z - a)) - 1) << a for a, z in zip(bounds, bounds[1:], strict=False)]
+    masks = [signed(x) for x in whole]
+    flips = [np.array([signed(sum(1 << b for b in c)) for k in range(half + 1) for c in combinations(range(a, z), k)], np.int64) for a, z in zip(bounds, bounds[1:], strict=False)]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_numpy()
+            for lo in range(0, len(values), 256):
+                part = values[lo : lo + 256]
+                for k, f in enumerate(flips):
+                    named = ((part & masks[k])[:, None] ^ f).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(named), k, np.int32)), pa.array(named), pa.array(np.repeat(part, len(f)))], names=["block", "value", "fingerprint"])
+
+    keyed = once.mapInArrow(keys, "block int, value long, fingerprint long")
+    a, b = keyed.alias("a"), keyed.alias("b").hint("merge")
     x, y = F.col("a.fingerprint"), F.col("b.fingerprint")
-    pairs = a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.value") == F.col("b.value")) & (x < y) & (distance(x, y) <= most))
-    same = F.filter(F.array(*[F.when(x.bitwiseXOR(y).bitwiseAND(F.lit(signed(m))) == 0, F.lit(k)) for k, m in enumerate(masks)]), lambda k: k.isNotNull())
-    first = F.element_at(F.array(*[F.array(*[F.lit(k) for k in c]) for c in chosen]), F.col("a.choice") + 1)
-    return pairs.where(F.slice(same, 1, agree) == first).select(x.alias("a"), y.alias("b"), distance(x, y).alias("distance"))
+    block = F.col("a.block")
+    pairs = a.join(b, (block == F.col("b.block")) & (F.col("a.value") == F.col("b.value")) & (x < y) & (distance(x, y) <= most))
+    differ = x.bitwiseXOR(y)
+    earlier = F.lit(False)
+    for k, mask in enumerate(masks[:-1]):
+        earlier = earlier | ((block > k) & (F.bit_count(differ.bitwiseAND(F.lit(mask))) <= apart))
+    mask = F.element_at(F.array(*[F.lit(v) for v in masks]), block + 1)
+    here = differ.bitwiseAND(mask)
+    # here without its lowest bits, one less each time; the least long has no predecessor
+    left = [here]
+    for _ in range(half):
+        left.append(left[-1].bitwiseAND(F.coalesce(F.try_subtract(left[-1], F.lit(1)), F.lit((1 << 63) - 1))))
+    taken = F.shiftright(F.bit_count(here), 1)
+    upper = left[half]
+    for k in range(half):
+        upper = F.when(taken == k, left[k]).otherwise(upper)
+    middle = x.bitwiseAND(mask).bitwiseXOR(here.bitwiseXOR(upper))
+    return pairs.where(~earlier & (F.bit_count(here) <= apart) & (F.col("a.value") == middle)).select(x.alias("a"), y.alias("b"), distance(x, y).alias("distance"))
 
 
 def computed_once(entries: DataFrame, key: str, content: Column, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -178,8 +232,9 @@ def pairs_of_entries(fingerprints: DataFrame, most: int) -> DataFrame:
     Entries of one fingerprint are a class, named by its smallest key: classes
     are paired by these keys, and every other member is paired with its own
     class's, at distance 0. A class of n copies so costs n - 1 rows, not n * n.
+    Null fingerprints have no pairs.
     """
-    fingerprints = cut(fingerprints.select("key", "fingerprint"), "keyed")  # worked out once
+    fingerprints = cut(fingerprints.where("fingerprint is not null").select("key", "fingerprint"), "keyed")  # worked out once
     classes = cut(fingerprints.groupBy("fingerprint").agg(F.min("key").alias("lead")), "classes")
     lead = lambda c: classes.select(F.col("fingerprint").alias(c), F.col("lead").alias(f"l{c}"))
     between = banded_pairs(classes, most).join(lead("a"), "a").join(lead("b"), "b").select(F.least("la", "lb").alias("left"), F.greatest("la", "lb").alias("right"), "distance")
@@ -191,9 +246,10 @@ def similar_groups(fingerprints: DataFrame, most: int) -> DataFrame:
     """(group_first, member, key, fingerprint): components of keys under single linkage, of two or more.
 
     Equal fingerprints are linked through their smallest key rather than to each
-    other, so a large group of copies costs one link per member.
+    other, so a large group of copies costs one link per member. Entries with a
+    null fingerprint are in no group.
     """
-    fingerprints = cut(fingerprints.select("key", "fingerprint"), "keyed")  # worked out once
+    fingerprints = cut(fingerprints.where("fingerprint is not null").select("key", "fingerprint"), "keyed")  # worked out once
     first = fingerprints.groupBy("fingerprint").agg(F.min("key").alias("lead"))
     near = banded_pairs(fingerprints, most)
     lead = lambda c: first.select(F.col("fingerprint").alias(c), F.col("lead").alias(f"l{c}"))

@@ -234,7 +234,7 @@ def q_prefilter(spark, sf_dir):
     return duplicates.prefilter_pays(documents_catalog(spark, sf_dir))
 
 
-@query(f"WITH {SIMHASH} SELECT doc_id AS key, fingerprint FROM hashes")
+@query(f"WITH {SIMHASH} SELECT doc_id AS key, fingerprint FROM documents LEFT JOIN hashes USING (doc_id)")
 def q_doc_simhash(spark, sf_dir):
     return _simhash(spark, sf_dir)
 
@@ -543,7 +543,7 @@ def q_after_confirming(spark, sf_dir):
     return duplicates.after_confirming(groups, groups.where("group_first % 2 = 1"))
 
 
-@query(f"WITH {SIMHASH} SELECT doc_id AS key, fingerprint FROM hashes")
+@query(f"WITH {SIMHASH} SELECT doc_id AS key, fingerprint FROM documents LEFT JOIN hashes USING (doc_id)")
 def q_shared_fingerprints(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), "text")
     return duplicates.computed_once(d, "key", F.col("text"), lambda rows: duplicates.text_fingerprints(rows, "key"))

@@ -356,3 +356,26 @@ def test_signature_with_more_levels(spark, monkeypatch):
     want = sha("".join(sha("".join(above[b])) for b in sorted(above))).upper()
     assert duplicates.collection_signature(e).first()["signature"] == want
     assert duplicates.collection_signature(e.orderBy(F.desc("stamp")).repartition(7)).first()["signature"] == want
+
+
+def test_texts_without_words_have_no_fingerprint(spark):
+    texts = [(1, ""), (2, None), (3, " \n"), (4, "a b a"), (5, "b\ta"), (6, "a b c")]
+    found = duplicates.text_fingerprints(spark.createDataFrame(texts, "doc_id long, text string"))
+    got = {r["key"]: r["fingerprint"] for r in found.collect()}
+    assert got[1] is got[2] is got[3] is None and got[4] == got[5] is not None
+    assert {(r["group_first"], r["key"]) for r in duplicates.similar_groups(found, 2).collect()} == {(4, 4), (4, 5)}
+    assert duplicates.pairs_of_entries(found, 64 // 8).where("left < 4").count() == 0
+
+
+@pytest.mark.parametrize("most,blocks", [(12, 3), (12, 4), (8, 3), (8, 2), (5, 2), (3, 4), (0, 1)])
+def test_pairs_over_balls_of_blocks(spark, most, blocks):
+    """Every distance in every block, the topmost bit alone included, is found once."""
+    import random
+
+    random.seed(most)
+    base = [random.getrandbits(64), 0, (1 << 63) - 1]
+    values = {b ^ sum(1 << k for k in random.sample(range(64), n)) for b in base for n in range(14) for _ in range(4)} | {1 << 63, (1 << 63) | 1}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    found = sorted(tuple(r) for r in duplicates.banded_pairs(spark.createDataFrame([(v,) for v in signed], "fingerprint long"), most, blocks).collect())
+    far = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
+    assert found == sorted((x, y, far(x, y)) for x in signed for y in signed if x < y and far(x, y) <= most)
