@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from silvergrain.operators.components import components
 from silvergrain.operators.ordering import numbered
+from silvergrain.sources.files import opened
 from silvergrain.sources.staging import cut
 
 #: Bytes of a sample, taken at the start, the middle and the end.
@@ -63,6 +64,69 @@ def exact_groups(entries: DataFrame) -> DataFrame:
     return placed.select("group_first", F.col("member").cast("int").alias("member"), "key", "size_bytes", "hash")
 
 
+def _hashed(sampled: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes of files in tasks: of their size and three samples, or of all they hold in chunks."""
+
+    def one(path: str, size: int) -> tuple[str, int]:
+        system, inner = opened(path)
+        with system.open_input_file(inner) as f:
+            if f.size() != size:
+                raise ValueError("size has changed")
+            if not sampled:
+                digest, taken = hashlib.sha256(), 0
+                while chunk := f.read(1 << 20):
+                    digest.update(chunk)
+                    taken += len(chunk)
+                return digest.hexdigest().upper(), taken
+            parts = [f.read_at(size, 0)] if size <= 3 * SAMPLE else [f.read_at(SAMPLE, at) for at in (0, (size - SAMPLE) // 2, size - SAMPLE)]
+            return hashlib.sha256(size.to_bytes(8, "little") + b"".join(parts)).hexdigest().upper(), sum(map(len, parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for b in batches if len(b)):
+            rows = []
+            for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    rows.append((path, *one(path, size), None))
+                except Exception as e:
+                    rows.append((path, None, 0, f"{type(e).__name__}: {e}"))
+            columns = zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["full_path", "hash", "bytes_read", "error"])
+
+    return run
+
+
+def exact_file_groups(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, report, failures) of files by what they hold, reading only what the stage before leaves.
+
+    records: full_path, file_name, size_bytes, modified_at and rank (which
+    orders and tells them apart). Sizes alone come first; of files that share
+    one, at most three samples of 128 KiB are read by their places; only of those whose
+    samples agree, and that hold more than the samples, everything is read.
+    groups is as in exact_groups with full_path as key; report: stage, files,
+    bytes_read; failures: full_path, error of files that could not be read or
+    have changed, which are in no group and counted.
+    """
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = "full_path string, hash string, bytes_read long, error string"
+    sizes = records.groupBy("size_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size_bytes")
+    alike = cut(records.join(sizes, "size_bytes", "left_semi").select("full_path", "size_bytes", "file_name", "modified_at", "rank"), "one-size")
+    # dealt by path, so that neighbours of one folder don't wait for one task
+    sampled = cut(alike.select("full_path", "size_bytes").repartition(n, "full_path").mapInArrow(_hashed(True), kind), "samples")
+    named = alike.join(sampled.where("error is null").select("full_path", "hash"), "full_path")
+    again = named.groupBy("size_bytes", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    left = cut(named.join(again, ["size_bytes", "hash"], "left_semi"), "one-sample")
+    large = left.where(~sample_is_full(F.col("size_bytes")))
+    read = cut(large.select("full_path", "size_bytes").repartition(n, "full_path").mapInArrow(_hashed(False), kind), "contents")
+    whole = large.drop("hash").join(read.where("error is null").select("full_path", "hash"), "full_path")
+    known = left.where(sample_is_full(F.col("size_bytes"))).unionByName(whole)
+    groups = known.groupBy("size_bytes", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("group_first")).where("n > 1").drop("n")
+    placed = numbered(known.join(groups, ["size_bytes", "hash"]), ["group_first"], [F.col("modified_at"), F.lower("file_name"), F.col("file_name"), F.col("rank")], "member", 1)
+    count = lambda df, stage, taken: df.agg(F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(taken), F.lit(0)).cast("long").alias("bytes_read"))
+    report = count(records, "sizes", F.lit(0)).unionByName(count(sampled, "samples", F.col("bytes_read"))).unionByName(count(read, "contents", F.col("bytes_read")))
+    failures = sampled.unionByName(read).where("error is not null").select("full_path", "error")
+    return placed.select("group_first", F.col("member").cast("int").alias("member"), F.col("full_path").alias("key"), "size_bytes", "hash"), report, failures
+
+
 def exact_summary(groups: DataFrame) -> DataFrame:
     per = groups.groupBy("group_first").agg(F.count(F.lit(1)).alias("n"))
     return per.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.coalesce(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), F.lit(0)).alias("redundant"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))

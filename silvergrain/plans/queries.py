@@ -13,7 +13,7 @@ from silvergrain.operators import duplicates, lookups, ordering, predicates, sta
 from silvergrain.plans import export
 from silvergrain.sources import sinks
 from silvergrain.sources.catalog import documents_catalog, documents_review
-from silvergrain.streaming import progressive
+from silvergrain.streaming import progressive, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = (f"WITH {'RECURSIVE ' if 'UNION' in sql and 'reach' in sql else ''}{CATALOG} " + sql) if "catalog" in sql or "reviewed" in sql else sql
+            ORACLES[f.__name__] = (f"WITH {'RECURSIVE ' if 'UNION' in sql and 'reach' in sql else ''}{CATALOG}" + (sql if sql.startswith(",") else " " + sql)) if "catalog" in sql or "reviewed" in sql else sql
         return f
 
     return add
@@ -426,6 +426,17 @@ def q_batches(spark, sf_dir):
     return ordering.batches(d).select(F.col("index").alias("doc_id"), "batch")
 
 
+@query(
+    ", listed AS (SELECT doc_id, row_number() OVER (ORDER BY folder, file_name) AS k, folder IS DISTINCT FROM lead(folder) OVER (ORDER BY folder, file_name) AS done FROM (SELECT doc_id, file_name, '/lib/' || source || '/' || lang AS folder FROM catalog)), "
+    "reached(k, held, batch, ends) AS (SELECT 0::BIGINT, 0, 0, false UNION ALL SELECT k, CASE WHEN ends THEN 0 ELSE h END, b, ends FROM (SELECT l.k, r.held + 1 AS h, r.batch + r.ends::INT AS b, r.held + 1 >= 160 OR l.k <= 200 AND (r.held + 1 >= CASE WHEN l.k <= 24 THEN 24 ELSE 48 END OR l.done AND r.held + 1 >= 12) AS ends FROM reached r JOIN listed l ON l.k = r.k + 1 WHERE l.k <= 201)), "
+    "early AS (SELECT max(k) AS k, max(batch) AS batch, coalesce(max(k) FILTER (ends), 0) AS last, count(*) FILTER (ends) AS n FROM reached) "
+    "SELECT l.doc_id, (CASE WHEN r.k IS NOT NULL THEN r.batch ELSE e.n + (l.k - 1 - e.last) // 160 END)::INT AS batch FROM listed l CROSS JOIN early e LEFT JOIN reached r ON r.k = l.k"
+)
+def q_scan_batches(spark, sf_dir):
+    c = documents_catalog(spark, sf_dir).withColumns({"folder": naming.folder(F.col("full_path")), "is_root": F.lit(False)})
+    return scan.scan_batches(ordering.numbered(c, [], [F.col("folder"), F.col("file_name")], "index")).select("doc_id", "batch")
+
+
 @query("SELECT day, event_type, count(*) AS n FROM (SELECT ts::DATE AS day, event_type FROM events) WHERE day IN (SELECT DISTINCT ts::DATE FROM events ORDER BY 1 DESC LIMIT 14) GROUP BY ALL")
 def q_log_retention(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("day", F.to_date("ts"))

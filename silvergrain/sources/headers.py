@@ -1,7 +1,8 @@
 """Picture dimensions from file headers, without decoding.
 
-PNG, GIF, BMP and PSD have theirs at fixed places and are read by expressions;
-JPEG, WebP and TIFF need a walk through their segments, done per row in Python.
+Of files, tasks read a few pages each, at the places that a header's walk asks
+for (probed). Of contents that are a column, PNG, GIF, BMP and PSD have theirs at
+fixed places and are read by expressions; JPEG, WebP, TIFF and ICO need a walk.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silvergrain.sources.files import Ranged
+
 
 def unsigned(content: Column, start: int, size: int, little: bool = False) -> Column:
     """An unsigned integer of size bytes from place start (from 1)."""
@@ -26,10 +29,12 @@ def fixed_dimensions(content: Column) -> Column:
     """struct(width, height), null for other formats."""
     head = F.hex(F.substring(content, 1, 8))
     pair = lambda w, h: F.struct(w.cast("long").alias("width"), h.cast("long").alias("height"))
+    top_down = lambda h: F.when(h >= 1 << 31, F.lit(1 << 32) - h).otherwise(h)  # noqa: E731  a negative height says that rows go down
     return (
-        F.when(head == "89504E470D0A1A0A", pair(unsigned(content, 17, 4), unsigned(content, 21, 4)))
+        F.when((head == "89504E470D0A1A0A") & (F.substring(content, 13, 4) == F.lit(b"IHDR")), pair(unsigned(content, 17, 4), unsigned(content, 21, 4)))
         .when(head.startswith("47494638"), pair(unsigned(content, 7, 2, True), unsigned(content, 9, 2, True)))
-        .when(head.startswith("424D"), pair(unsigned(content, 19, 4, True), F.abs(unsigned(content, 23, 4, True).cast("int"))))
+        .when(head.startswith("424D") & (unsigned(content, 15, 4, True) == 12), pair(unsigned(content, 19, 2, True), unsigned(content, 21, 2, True)))
+        .when(head.startswith("424D"), pair(unsigned(content, 19, 4, True), top_down(unsigned(content, 23, 4, True))))
         .when(head.startswith("38425053"), pair(unsigned(content, 19, 4), unsigned(content, 15, 4)))
     )
 
@@ -81,21 +86,92 @@ def _tiff(b: bytes) -> tuple[int, int] | None:
     return (found[256], found[257]) if len(found) == 2 else None
 
 
-def _walked(b: bytes | None) -> tuple[int, int] | None:
-    try:
-        if not b:
-            return None
-        if b[:2] == b"\xff\xd8":
-            return _jpeg(b)
-        if b[:4] == b"RIFF" and b[8:12] == b"WEBP":
-            return _webp(b)
-        if b[:4] in (b"II*\0", b"MM\0*"):
-            return _tiff(b)
-    except (struct.error, IndexError):
-        pass
+def _png(b) -> tuple[int, int] | None:
+    return struct.unpack(">II", b[16:24]) if b[:8] == b"\x89PNG\r\n\x1a\n" and b[12:16] == b"IHDR" else None
+
+
+def _gif(b) -> tuple[int, int] | None:
+    return struct.unpack("<HH", b[6:10]) if b[:4] == b"GIF8" else None
+
+
+def _bmp(b) -> tuple[int, int] | None:
+    if b[:2] != b"BM":
+        return None
+    if struct.unpack("<I", b[14:18])[0] == 12:
+        return struct.unpack("<HH", b[18:22])
+    w, h = struct.unpack("<ii", b[18:26])
+    return abs(w), abs(h)
+
+
+def _psd(b) -> tuple[int, int] | None:
+    return struct.unpack(">II", b[14:22])[::-1] if b[:4] == b"8BPS" else None
+
+
+def _ico(b) -> tuple[int, int] | None:
+    """The largest picture of an icon; a side of 0 means 256."""
+    if b[:4] != b"\0\0\1\0":
+        return None
+    (n,) = struct.unpack("<H", b[4:6])
+    sides = [(w or 256, h or 256) for w, h in (struct.unpack("<BB", b[6 + 16 * k : 8 + 16 * k]) for k in range(n))]
+    return max(sides, key=lambda s: (s[0] * s[1], s)) if sides else None
+
+
+def _checked_jpeg(b) -> tuple[int, int] | None:
+    return _jpeg(b) if b[:2] == b"\xff\xd8" else None
+
+
+def _checked_webp(b) -> tuple[int, int] | None:
+    return _webp(b) if b[:4] == b"RIFF" and b[8:12] == b"WEBP" else None
+
+
+def _checked_tiff(b) -> tuple[int, int] | None:
+    return _tiff(b) if b[:4] in (b"II*\0", b"MM\0*") else None
+
+
+PARSERS = {"jpg": _checked_jpeg, "jpeg": _checked_jpeg, "png": _png, "gif": _gif, "bmp": _bmp, "webp": _checked_webp, "tif": _checked_tiff, "tiff": _checked_tiff, "psd": _psd, "ico": _ico}
+
+
+def _walked(b, extension: str = "") -> tuple[int, int] | None:
+    """Dimensions of a sequence of bytes by the parser of its extension, else by what its first bytes are; those of no size count as unknown."""
+    if not b:
+        return None
+    own = PARSERS.get(extension.lower())
+    for parse in [*([own] if own else []), *dict.fromkeys(PARSERS.values())]:
+        try:
+            found = parse(b)
+        except (struct.error, IndexError):
+            found = None
+        if found and found[0] > 0 and found[1] > 0:
+            return found
     return None
 
 
+def probed(files: DataFrame, path: str = "full_path") -> DataFrame:
+    """(path, width, height, bytes_read, error) of the files, by ranged reads in the tasks.
+
+    A file costs the pages of 1 KiB that its header's walk asks for: one for the
+    formats of fixed places, one for each stretch of segments, never its
+    contents. width and height are null where the header says nothing; error
+    says why a file could not be opened, and ends nothing else.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for b in batches if len(b)):
+            rows = []
+            for name in batch.column(0).to_pylist():
+                found, taken, error = None, 0, None
+                try:
+                    with Ranged(name) as b:
+                        found = _walked(b, name.rpartition(".")[2])
+                        taken = b.taken
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((name, *(found or (None, None)), taken, error))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=[path, "width", "height", "bytes_read", "error"])
+
+    return files.select(path).mapInArrow(run, f"{path} string, width long, height long, bytes_read long, error string")
+
+
 def dimensions(files: DataFrame, key: str = "full_path", content: str = "content") -> DataFrame:
     """(key, width, height); null where the header says nothing."""
 

@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from silvergrain.sources import walk
+from silvergrain.operators import duplicates
+from silvergrain.sources import headers, walk
 from silvergrain.streaming import scan
 
 NAMES = ("a.jpg", "B.PNG", ".hidden.gif", "_under.webp", "notes.txt", "c.tar.jpeg", "none")
@@ -143,3 +144,73 @@ def test_a_scan_goes_on_after_a_failed_batch(spark, tmp_path):
     done = scan.finish_load(spark, target, "size", str(tmp_path / "final")).orderBy("index").collect()
     assert [r["full_path"] for r in done] == [r[1] for r in sorted(rows, key=lambda r: (-r[3], r[2].lower(), r[2], r[1]))]
     assert [r["rating"] for r in done if r["status"] == "Keep"] == [4]
+
+
+# ---- ranged reads
+
+
+def pictures():
+    """name, bytes, dimensions; the long ones hold megabytes after or between their headers."""
+    import struct
+
+    pad = b"\0" * 3_000_000
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + b"\0\0\0\0"
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">II", 640, 480) + b"\x08\2\0\0\0")
+    segment = lambda k, n: b"\xff" + bytes([k]) + struct.pack(">H", n + 2) + b"\1" * n
+    jpeg = b"\xff\xd8" + b"".join(segment(0xE1, 60_000) for _ in range(8)) + b"\xff\xc2\x00\x0b\x08" + struct.pack(">HH", 33, 44) + b"\3" * 6
+    tiff = b"MM\0*" + struct.pack(">I", 2_000_000) + b"\0" * 1_999_992 + struct.pack(">H", 2) + struct.pack(">HHIHH", 256, 3, 1, 70, 0) + struct.pack(">HHII", 257, 4, 1, 80)
+    webp = b"RIFF\0\0\0\0WEBPVP8X" + b"\x0a\0\0\0" + b"\0\0\0\0" + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")
+    return [
+        ("a.png", png + pad, (640, 480)),
+        ("is-a-png.jpg", png + pad, (640, 480)),
+        ("no-header.png", b"\x89PNG\r\n\x1a\n" + chunk(b"IDAT", b"12345678"), None),
+        ("b.gif", b"GIF89a" + struct.pack("<HH", 7, 9) + pad, (7, 9)),
+        ("old.bmp", b"BM" + b"\0" * 12 + struct.pack("<IHH", 12, 21, 22) + pad, (21, 22)),
+        ("new.bmp", b"BM" + b"\0" * 12 + struct.pack("<Iii", 40, 31, -32) + pad, (31, 32)),
+        ("c.psd", b"8BPS\0\1" + b"\0" * 6 + b"\0\3" + struct.pack(">II", 12, 34) + pad, (34, 12)),
+        ("d.JPG", jpeg + pad, (44, 33)),
+        ("e.tiff", tiff + pad, (70, 80)),
+        ("f.webp", webp + pad, (100, 50)),
+        ("g.ico", b"\0\0\1\0\2\0" + bytes([16, 16]) + b"\0" * 14 + bytes([0, 0]) + b"\0" * 14 + pad, (256, 256)),
+        ("cut.jpg", b"\xff\xd8\xff\xe1\xff\xff", None),
+        ("empty.png", b"", None),
+        ("text.gif", b"no picture at all", None),
+    ]
+
+
+def test_headers_are_read_by_pages(spark, tmp_path):
+    known = pictures()
+    for name, content, _ in known:
+        (tmp_path / name).write_bytes(content)
+    paths = spark.createDataFrame([(f"{tmp_path}/{name}",) for name, _, _ in known] + [(f"{tmp_path}/gone.png",)], "full_path string")
+    got = {os.path.basename(r["full_path"]): r for r in headers.probed(paths).collect()}
+    for name, content, size in known:
+        assert (got[name]["width"], got[name]["height"]) == (size or (None, None)), name
+        assert got[name]["error"] is None and got[name]["bytes_read"] <= 16 * 1024
+        if name not in ("d.JPG", "e.tiff"):
+            assert got[name]["bytes_read"] <= 1024
+    assert got["gone.png"]["error"] and got["gone.png"]["width"] is None
+    contents = spark.createDataFrame([(n, bytearray(c)) for n, c, _ in known], "full_path string, content binary")
+    assert {r["full_path"]: (r["width"], r["height"]) for r in headers.dimensions(contents).collect()} == {n: s or (None, None) for n, _, s in known}
+
+
+def test_exact_groups_of_files_read_by_stages(spark, tmp_path):
+    import hashlib
+
+    kib = 1024
+    big = bytearray(os.urandom(600 * kib))
+    other = bytearray(big)
+    other[200 * kib] ^= 1  # between the samples
+    ahead = bytearray(big)
+    ahead[0] ^= 1
+    held = {"a.jpg": b"same", "b.jpg": b"same", "c.jpg": b"diff", "d.jpg": b"longer", "z1.jpg": b"", "z2.jpg": b"", "big1.jpg": bytes(big), "big2.jpg": bytes(big), "big3.jpg": bytes(other), "big4.jpg": bytes(ahead), "alone.jpg": b"x" * 900 * kib}
+    for name, content in held.items():
+        (tmp_path / name).write_bytes(content)
+    rows = [(f"{tmp_path}/{n}", n, len(c), k) for k, (n, c) in enumerate(held.items())] + [(f"{tmp_path}/gone.jpg", "gone.jpg", 4, 99)]
+    records = spark.createDataFrame(rows, "full_path string, file_name string, size_bytes long, rank long").withColumn("modified_at", F.timestamp_seconds(F.lit(0)))
+    groups, report, failures = duplicates.exact_file_groups(records)
+    got = {(os.path.basename(r["key"]), r["group_first"], r["member"]) for r in groups.collect()}
+    assert got == {("a.jpg", 0, 1), ("b.jpg", 0, 2), ("z1.jpg", 4, 1), ("z2.jpg", 4, 2), ("big1.jpg", 6, 1), ("big2.jpg", 6, 2)}
+    assert {r["hash"] for r in groups.where("size_bytes > 1000").collect()} == {hashlib.sha256(bytes(big)).hexdigest().upper()}
+    assert {r["stage"]: (r["files"], r["bytes_read"]) for r in report.collect()} == {"sizes": (12, 0), "samples": (10, 12 + 4 * 384 * kib), "contents": (3, 3 * 600 * kib)}
+    assert [os.path.basename(r["full_path"]) for r in failures.collect()] == ["gone.jpg"]
