@@ -26,8 +26,10 @@ from silvergrain.llm.common import cut, partitions
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""[\s/]*(=?[^\s/>=]+|=)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|(?=>)|(["'])))?""")
 # Names of elements, roles and types.
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "title", "select", "xmp"}
-DROPPED = {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "search", "datalist", "label", "canvas", "audio", "video", "applet", "map"}
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "select", "xmp"}
+NESTED = {"svg", "template", "object", "select"}
+DROPPED = {"annotation", "annotation-xml", "head", "nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "search", "datalist", "label", "canvas", "audio", "video", "applet", "map"}
+WRAPPERS = {"form", "fieldset"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCK - {"br", "html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "option"}
@@ -42,14 +44,15 @@ BLOCK_PAGES = 256
 MARK = 16
 
 
-def tag_at(page: str, at: int) -> tuple[str, bool, dict[str, str], int] | None:
-    """(name, closing, attributes, place behind) of the tag whose < stands at at; None if the page ends in it."""
+def tag_at(page: str, at: int) -> tuple[str, bool, dict[str, str], int, bool] | None:
+    """(name, closing, attributes, place behind, whether it closes itself) of the tag whose < stands at at; None if the page ends in it."""
     named = NAME.match(page, at + 1)
     name, at = named[1].lower(), named.end()
+    known = at
     has: dict[str, str] = {}
     while at < len(page):
         if page[at] == ">":
-            return name, named[0][0] == "/", has, at + 1
+            return name, named[0][0] == "/", has, at + 1, known < at and page[at - 1] == "/"
         m = ATTRIBUTE.match(page, at)
         if not m:  # spaces or slashes before the end
             at += 1
@@ -57,10 +60,29 @@ def tag_at(page: str, at: int) -> tuple[str, bool, dict[str, str], int] | None:
         if m[5]:  # a quote that never closes
             return None
         has.setdefault(m[1].lower(), next((v for v in m.group(2, 3, 4) if v is not None), ""))
-        at = m.end()
+        at = known = m.end()
     return None
 
 
+def end_of_raw(page: str, lower: str, name: str, at: int) -> int:
+    """Where the content of an element ends that goes whole, from behind its start tag; at itself if an element that may hold others never ends."""
+    if name not in NESTED:
+        end = lower.find(f"</{name}", at)
+        return len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
+    depth, here = 1, at
+    for m in re.compile(f"<(/?){name}(?![a-z0-9-])").finditer(lower, at):
+        if m.start() < here:  # inside a tag that was read already
+            continue
+        tag = tag_at(page, m.start())
+        if tag is None:
+            return len(page)
+        here = tag[3]
+        depth += -1 if m[1] else 0 if tag[4] and name == "svg" else 1
+        if not depth:
+            return here
+    return at
+
+
 def _kind(name: str, has: dict[str, str], inside: bool) -> tuple[bool, bool]:
     """(dropped, holds the article). An article's own header is part of it."""
     if name in DROPPED and not (name == "header" and inside):
@@ -76,25 +98,40 @@ def _kind(name: str, has: dict[str, str], inside: bool) -> tuple[bool, bool]:
 
 
 def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(line, whether in the article's element) of the blocks outside dropped elements, in page order."""
-    out: list[tuple[str, bool]] = []
+    """(line, whether in the article's element) of the page's blocks, in page order.
+
+    Blocks in elements that are dropped are left out, with two exceptions. A
+    form or fieldset that holds an article, or all that a page has, only wraps it. An
+    article in another dropped element counts where it is longer than all that
+    stands outside. Of several articles the one with the only h1, else the longest, is
+    the page's; one inside another is a reader's comment unless it is
+    more than half of it. A br ends a block.
+    """
+    found: list[tuple[str, bool, int, tuple[int, ...], bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    dropped = inside = 0
+    stack: list[tuple[str, int, bool, bool, tuple[int, int, int] | None]] = []
+    # elements being dropped, wrappers among them apart; both start anew inside an article that they hold
+    dropped = wrapped = inside = 0
+    rescue, articles, opened = 0, (), 0
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, inside > 0))
+                found.append((text, inside > 0, 3 if wrapped else rescue, articles, any(e[0] == "h1" for e in stack)))
             parts.clear()
 
     def pop(to: int) -> None:
-        nonlocal dropped, inside
+        nonlocal dropped, wrapped, inside, rescue, articles
         while len(stack) > to:
-            _, d, a = stack.pop()
-            dropped -= d
+            _, d, a, is_article, outer = stack.pop()
+            dropped -= d == 1
+            wrapped -= d == 2
             inside -= a
+            if is_article:
+                articles = articles[:-1]
+            if outer:
+                dropped, wrapped, rescue = outer
 
     at, lower = 0, None
     while at < len(page):
@@ -121,7 +158,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         tag = tag_at(page, less)
         if tag is None:
             break
-        name, closing, has, at = tag
+        name, closing, has, at, closed = tag
         if name in BLOCK:
             flush()
         if closing:
@@ -129,18 +166,19 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             if depth >= 0:
                 pop(depth)
             continue
-        if name in VOID:
+        if name in VOID or (closed and (name == "svg" or any(e[0] == "math" for e in stack))):
             continue
         if name in RAW:
             if lower is None:
                 lower = page.lower()
                 lower = lower if len(lower) == len(page) else re.sub("[A-Z]", lambda m: m[0].lower(), page)
-            end = lower.find(f"</{name}", at)
-            at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
+            at = end_of_raw(page, lower, name, at)
             continue
-        if name in ("article", "main") and dropped:
+        d, a = _kind(name, has, inside > 0)
+        starts = a and (name in ("article", "main") or "role" in has or "itemprop" in has)
+        if starts and dropped:
             # a dropped element that is never closed ends where the article starts
-            lost = next((k for k, (n, d, _) in enumerate(stack) if d and not re.compile(f"</{re.escape(n)}", re.I).search(page, at)), -1)
+            lost = next((k for k, e in enumerate(stack) if e[1] == 1 and not re.compile(f"</{re.escape(e[0])}", re.I).search(page, at)), -1)
             if lost >= 0:
                 pop(lost)
         if name in CLOSES_P:
@@ -157,12 +195,39 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "menu"):
                     break
-        d, a = _kind(name, has, inside > 0)
-        stack.append((name, d, a))
-        dropped += d
+        outer = None
+        if starts and not inside and (dropped or wrapped):
+            outer, rescue, dropped, wrapped = (dropped, wrapped, rescue), 2 if dropped else rescue, 0, 0
+        is_article = a and (name == "article" or has.get("role", "").strip().lower() == "article")
+        if is_article:
+            opened += 1
+            articles = (*articles, opened)
+        kind = 0 if not d else 2 if name in WRAPPERS and not (set(has) & {"role", "hidden", "aria-hidden", "style"}) and not inside else 1
+        stack.append((name, kind, a, is_article, outer))
+        dropped += kind == 1
+        wrapped += kind == 2
         inside += a
     flush()
-    return out
+    return _chosen(found)
+
+
+def _chosen(found: list[tuple[str, bool, int, tuple[int, ...], bool]]) -> list[tuple[str, bool]]:
+    """The lines that lines_of returns, of (line, in an article or main, 0 or what it is kept out by, articles around it, in an h1)."""
+    size = lambda rows: sum(len(r[0]) for r in rows)
+    own, held, wrapped = ([r for r in found if r[2] == k] for k in (0, 2, 3))
+    if held and not any(r[1] for r in own) and size(held) > size(own):
+        own = held
+    own = own or wrapped
+    tops = list(dict.fromkeys(r[3][0] for r in own if r[3]))
+    if len(tops) > 1:
+        titled = {r[3][0] for r in own if r[3] and r[4]}
+        best = titled.pop() if len(titled) == 1 else max(tops, key=lambda t: size([r for r in own if r[3][:1] == (t,)]))
+        own = [r for r in own if not r[3] or r[3][0] == best]
+    lengths: dict[int, int] = {}
+    for r in own:
+        for t in r[3]:
+            lengths[t] = lengths.get(t, 0) + len(r[0])
+    return [(r[0], r[1]) for r in own if all(2 * lengths[t] > lengths[r[3][0]] for t in r[3][1:])]
 
 
 def common_lines(a: list, b: list) -> list[int]:

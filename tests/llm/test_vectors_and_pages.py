@@ -210,3 +210,30 @@ def test_common_lines_are_longest():
         got = html_text.common_lines(a, b)
         rest = iter(b)
         assert len(got) == len(longest(a, b)) and got == sorted(set(got)) and all(a[k] in rest for k in got)
+
+
+def test_pages_that_lost_their_article(spark):
+    pages = {
+        "<article><svg class='i'/><p>Hello</p></article>": "Hello",
+        "<article><svg/><p>Hello</p><svg><text>no</text></svg> there</article>": "Hello\nthere",
+        "<article><svg><svg></svg><text>inner</text></svg><p>x</p></article>": "x",
+        "<article><svg data-x='</svg>'><text>no</text></svg><p>x</p></article>": "x",
+        "<article><svg><p>broken icon</p></article>": "broken icon",
+        "<form id='aspnetForm'><article><p>a</p><form>b</form></article><p>outside</p></form>": "a",
+        "<fieldset><main><p>a</p></main></fieldset>": "a",
+        "<form><div>all of the page</div></form>": "all of the page",
+        "<form>search</form><p>all of the page</p>": "all of the page",
+        "<header><main><p>a longer story stands here</p></main></header><p>short</p>": "a longer story stands here",
+        "<p>a longer text than the teaser</p><aside><article>teaser</article></aside>": "a longer text than the teaser",
+        "<article>story</article><nav><article>a teaser that is longer than the story</article></nav>": "story",
+        "<p>Let <math><mi>x</mi><mspace/></math> be a number</p>": "Let x be a number",
+        "<article>the story</article><div id='comments'><article>comment</article></div>": "the story",
+        "<article><h1>t</h1>s</article><article>a comment that is longer</article>": "t\ns",
+        "<article><p>the story itself</p><section><article>comment</article></section></article>": "the story itself",
+        "<article><article><p>the only text</p></article></article>": "the only text",
+        "<main><h1>Title</h1><article><p>text</p></article></main>": "Title\ntext",
+        "<template><p>no</p><template>no</template>no</template><p>yes</p>": "yes",
+        "one<br>two": "one\ntwo",
+    }
+    got = text_of(spark, *[(k, f"http://h{k}/", p) for k, p in enumerate(pages)])
+    assert [got[k] for k in range(len(pages))] == list(pages.values())
