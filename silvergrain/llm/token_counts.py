@@ -3,7 +3,9 @@
 A text is cut where a space follows another character (no piece of the model
 holds a space after a non-space), each distinct pre-token of a batch is held as
 one row of a ragged numpy array, and every round merges, in all rows at once,
-each row's pair of best rank. What is left of a row are its tokens.
+each row's pair of best rank. What is left of a row are its tokens. A pre-token
+is cut once more between two characters that stand side by side in no piece:
+no merge can span them, so that a long text without spaces is many short rows.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ class PairRanks:
         self.made = np.array([r[2] for r in rows], np.int64)
         self.none = len(rank)
         self.single = {c: k for c, k in self.ids.items() if len(c) == 1}
+        #: Characters that stand side by side in some piece.
+        self.beside = np.unique(np.array([ord(a) << 32 | ord(b) for p in pieces for a, b in zip(p, p[1:], strict=False)], np.int64))
 
     def symbols(self, text: str) -> np.ndarray:
         """A symbol per character; characters outside the model get own negative numbers: -1 - their bytes."""
@@ -59,15 +63,24 @@ class PairRanks:
     def counts(self, tokens: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
         n = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        sym = self.symbols("".join(tokens))
-        row = np.repeat(np.arange(len(tokens)), n)
-        total = np.zeros(len(tokens), np.int64)
+        text = "".join(tokens)
+        owner = np.repeat(np.arange(len(tokens)), n)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        pairs = points[:-1] << 32 | points[1:]
+        at = np.minimum(np.searchsorted(self.beside, pairs), max(len(self.beside) - 1, 0))
+        starts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (self.beside[at] != pairs)]) if len(text) else np.array([], np.int64)
+        ends = np.r_[starts[1:], len(text)].astype(np.int64)
+        return np.bincount(owner[starts], self._merged(self.symbols(text), np.repeat(np.arange(len(starts)), ends - starts), len(starts)), len(tokens)).astype(np.int64)
+
+    def _merged(self, sym: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Symbols left of each row once no pair of its own merges."""
+        total = np.zeros(rows, np.int64)
         # a character that pieces hold but that is no piece itself falls back to its bytes when it stays alone
         lone = {k: len(c.encode()) for c, k in self.single.items() if k >= self.known}
         while len(row):
             same = np.flatnonzero(row[1:] == row[:-1])
             rank, made = self.look_up(sym[same], sym[same + 1])
-            best = np.full(len(tokens), self.none, np.int64)
+            best = np.full(rows, self.none, np.int64)
             np.minimum.at(best, row[same], rank)
             take = (rank < self.none) & (rank == best[row[same]])
             at, new = same[take], made[take]
@@ -77,7 +90,7 @@ class PairRanks:
                 if lone:
                     high = done & (sym >= self.known)
                     weight[high] = [lone[k] for k in sym[high].tolist()]
-                total += np.bincount(row[done], weight[done], len(tokens)).astype(np.int64)
+                total += np.bincount(row[done], weight[done], rows).astype(np.int64)
             if len(at) > 1:
                 # overlapping pairs: of each chain of neighbours every second one is taken, from the left
                 first = np.r_[True, at[1:] != at[:-1] + 1]

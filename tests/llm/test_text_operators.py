@@ -637,3 +637,19 @@ def test_empty_and_null_tables(spark, operator):
     assert operator(no_documents(spark)).count() == 0
     nulls = spark.createDataFrame([(None, None, None, None, None)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
     assert operator(nulls).count() == 2
+
+
+def test_long_texts_without_spaces_are_counted_in_short_rows():
+    import string
+    import time
+
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    model, ranks = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.PairRanks(path)
+    rng = random.Random(1)
+    for letters, n in ((string.ascii_lowercase, 300_000), (string.ascii_letters + string.digits + "+/", 100_000), ("".join(map(chr, range(0xE01, 0xE30))), 50_000), ("etaoin", 4000), ("x", 5000)):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        began = time.perf_counter()
+        assert int(ranks.counts(token_counts.pre_tokens(text)).sum()) == len(model.encode(text))
+        assert time.perf_counter() - began < 20
