@@ -9,9 +9,9 @@ source and n_chars pass through, whatever their names.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from silvergrain.llm import jaccard_join, mixing, packing, quality, suffix_dedup
 from silvergrain.llm.common import cut, partitions, table
@@ -20,10 +20,17 @@ from silvergrain.llm.common import cut, partitions, table
 K1, K2, KEPT, ID, SAME = "__stage_key_1", "__stage_key_2", "__stage_text", "__stage_id", "__stage_same"
 
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """Add 128 bits of hash over columns; which of them are null counts as well."""
-    cols = [F.col(f"`{c}`") for c in columns]
-    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])
+    """Add 128 bits of hash over columns; which of them are null counts as well. Columns with maps count as their JSON."""
+    whole = [F.col(f"`{c}`") for c in columns]
+    cols = [c if _hashable(docs.schema[name].dataType) else F.to_json(F.struct(c.alias("c"))) for name, c in zip(columns, whole, strict=True)]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in whole])
     return docs.withColumns({K1: F.xxhash64(*cols, nulls), K2: F.xxhash64(F.lit(29), *cols, nulls)})
 
 
@@ -53,7 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = jaccard_join.near_duplicates(docs)
     others = cut(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
-    left = cut(_keyed(docs.join(others, "doc_id", "left_anti"), *docs.columns).withColumn(KEPT, F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), "single")
+    left = cut(_keyed(docs.join(others, "doc_id", "left_anti"), *docs.columns).withColumn(KEPT, F.when(F.col("doc_id").isNull(), F.concat_ws(":", F.xxhash64("text"), F.xxhash64(F.lit(29), "text")))), "single")
     again = cut(left.groupBy("doc_id", KEPT).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(ID), F.col(KEPT).alias(SAME)), "repeated")
     if again.limit(1).count() == 0:
         return _shown(left, docs)
@@ -101,6 +108,8 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null texts are empty; null and repeated ids are packed as often as they come.
     """
+    import public_tokenizers  # where it is missing, only this stage can't run
+
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import pytest
-from helpers import SCHEMA, near_duplicates, no_documents, repeated_passages
+from helpers import SCHEMA, near_duplicates, no_documents, odd_documents, repeated_passages
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -121,3 +121,14 @@ def test_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_maps_arrays_and_structs_pass_through_every_stage(spark):
+    docs = odd_documents(spark).unionByName(spark.createDataFrame([(None, "no id here", "en", "s1", 10)] * 2, SCHEMA))
+    more = docs.withColumns({"m": F.create_map(F.lit("k"), F.col("doc_id"), F.lit("n"), F.lit(None).cast("long")), "a": F.array("doc_id"), "s": F.struct(F.create_map(F.lit(1), F.col("text")).alias("in"), F.col("lang"))})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, rich = stage(spark, docs, ""), stage(spark, more, "")
+        assert rich.columns == more.columns, name
+        assert sorted(map(str, rich.select(*docs.columns).collect())) == sorted(map(str, plain.collect())), name
+        assert rich.where("doc_id is not null and m['k'] <> doc_id or s.lang <> lang").count() == 0
+    assert corpus_pipeline.packed_sequences(spark, more, "").count() > 0
