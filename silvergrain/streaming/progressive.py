@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.window import Window
 
 
@@ -56,3 +58,40 @@ def throttled(progress: DataFrame, every: int, order: str = "done") -> DataFrame
     """Progress rows at each multiple of every and the last."""
     last = progress.agg(F.max(order).alias("__last"))
     return progress.crossJoin(F.broadcast(last)).where((F.col(order) % every == 0) | (F.col(order) == F.col("__last"))).drop("__last")  # one row
+
+
+class ProgressReports(StreamingQueryListener):
+    """Calls report(query, batch, rows so far, final) for a stream's progress: at each stride-th batch, or when interval seconds are over, and always for the last one."""
+
+    def __init__(self, report: Callable[[str, int, int, bool], None], stride: int = 10, interval: float = 1.0, clock: Callable[[], float] = time.monotonic):
+        self.report, self.stride, self.interval, self.clock = report, max(1, stride), interval, clock
+        self.lock, self.rows, self.told, self.waits = threading.Lock(), {}, {}, {}
+
+    def onQueryStarted(self, event) -> None:
+        with self.lock:
+            self.told[str(event.id)] = self.clock()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        with self.lock:
+            name = str(p.id)
+            if p.numInputRows or name not in self.waits:
+                self.rows[name] = self.rows.get(name, 0) + p.numInputRows
+            now = self.clock()
+            self.waits[name] = p.batchId
+            if (p.batchId + 1) % self.stride and now - self.told.get(name, -self.interval) < self.interval:
+                return
+            self.told[name] = now
+            due = (name, p.batchId, self.rows[name], False)
+        self.report(*due)
+
+    def onQueryTerminated(self, event) -> None:
+        with self.lock:
+            name = str(event.id)
+            if name not in self.waits:
+                return
+            due = (name, self.waits.pop(name), self.rows.pop(name), True)
+        self.report(*due)
