@@ -106,6 +106,6 @@ def described(tags: DataFrame) -> DataFrame:
         "focal_text": focal_length(c["focal"]),
         "balance_text": white_balance(c["balance"]),
         "space_text": colour_space(c["space"]),
-        "orientation_text": orientation(F.coalesce(c["orientation"], c["orientation_fallback"])),
+        "orientation_text": orientation(F.coalesce(F.when(c["orientation"] > 0, c["orientation"]), c["orientation_fallback"])),
     }
     return tags.withColumns(shown)

@@ -224,8 +224,11 @@ def cheapest_blocks(n: int, most: int) -> int:
     return min(range(2, most + 2), key=cost) if most else 1
 
 
-def banded_pairs(fingerprints: DataFrame, most: int, blocks: int | None = None) -> DataFrame:
-    """Pairs (a, b, distance) of distinct fingerprints within most (below 64) of each other.
+def banded_pairs(fingerprints: DataFrame, most: int, blocks: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, distance), a < b, of distinct fingerprints within most (below 64) of each other.
+
+    known: fingerprints whose pairs among themselves aren't wanted again; those of
+    fingerprints with them are.
 
     Of m blocks of bits, one differs in most // m bits at most. Each side names
     the values within half of that of its own block, so that an equi-join finds
@@ -234,7 +237,11 @@ def banded_pairs(fingerprints: DataFrame, most: int, blocks: int | None = None)
     fingerprints. Keys are never broadcast. Null fingerprints have no pairs.
     """
     once = cut(fingerprints.where("fingerprint is not null").select("fingerprint").distinct(), "fingerprints")
-    m = blocks or cheapest_blocks(once.count(), most)
+    old = None
+    if known is not None:
+        old = cut(known.where("fingerprint is not null").select("fingerprint").distinct(), "known")
+        once = cut(once.join(old, "fingerprint", "left_anti"), "fingerprints")
+    m = blocks or cheapest_blocks(once.count() + (old.count() if old is not None else 0), most)
     apart = most // m
     half = -(-apart // 2)
     bounds = [round(k * 64 / m) for k in range(m + 1)]
@@ -252,11 +259,15 @@ def banded_pairs(fingerprints: DataFrame, most: int, blocks: int | None = None)
                     named = ((part & masks[k])[:, None] ^ f).ravel()
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(named), k, np.int32)), pa.array(named), pa.array(np.repeat(part, len(f)))], names=["block", "value", "fingerprint"])
 
-    keyed = once.mapInArrow(keys, "block int, value long, fingerprint long")
-    a, b = keyed.alias("a"), keyed.alias("b").hint("merge")
-    x, y = F.col("a.fingerprint"), F.col("b.fingerprint")
-    block = F.col("a.block")
-    pairs = a.join(b, (block == F.col("b.block")) & (F.col("a.value") == F.col("b.value")) & (x < y) & (distance(x, y) <= most))
+    kind = "block int, value long, fingerprint long"
+    keyed = once.mapInArrow(keys, kind)
+    block, at = F.col("a.block"), F.col("a.value")
+    p, q = F.col("a.fingerprint"), F.col("b.fingerprint")
+    met = lambda others, which: keyed.alias("a").join(others.alias("b").hint("merge"), (block == F.col("b.block")) & (at == F.col("b.value")) & which & (distance(p, q) <= most)).select(block.alias("block"), at.alias("value"), F.least(p, q).alias("x"), F.greatest(p, q).alias("y"))
+    pairs = met(keyed, p < q)
+    if old is not None:
+        pairs = pairs.unionByName(met(old.mapInArrow(keys, kind), p != q))
+    x, y, block = F.col("x"), F.col("y"), F.col("block")
     differ = x.bitwiseXOR(y)
     earlier = F.lit(False)
     for k, mask in enumerate(masks[:-1]):
@@ -272,7 +283,7 @@ def banded_pairs(fingerprints: DataFrame, most: int, blocks: int | None = None)
     for k in range(half):
         upper = F.when(taken == k, left[k]).otherwise(upper)
     middle = x.bitwiseAND(mask).bitwiseXOR(here.bitwiseXOR(upper))
-    return pairs.where(~earlier & (F.bit_count(here) <= apart) & (F.col("a.value") == middle)).select(x.alias("a"), y.alias("b"), distance(x, y).alias("distance"))
+    return pairs.where(~earlier & (F.bit_count(here) <= apart) & (F.col("value") == middle)).select(x.alias("a"), y.alias("b"), distance(x, y).alias("distance"))
 
 
 def computed_once(entries: DataFrame, key: str, content: Column, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -324,6 +335,61 @@ def similar_groups(fingerprints: DataFrame, most: int) -> DataFrame:
     return numbered(placed, ["group_first"], [F.col("key")], "member", 1).select("group_first", F.col("member").cast("int").alias("member"), "key", "fingerprint")
 
 
+def similar_entries(entries: DataFrame, most: int, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(group_first, member, key, fingerprint) of entries (key, size_bytes, content, modified_at, file_name, rank), from contents to ordered groups.
+
+    compute: rows of entries -> (key, fingerprint); entries it leaves out, or
+    gives null, are in no group. Where comparing exact contents pays, each content is computed once
+    and its copies share the result. Members go by time, name and rank, which tells entries apart;
+    group_first is the smallest rank, and a group's fingerprint that of its first member.
+    """
+    entries = cut(entries, "entries")
+    pays = prefilter_pays(entries).first()["pays"]
+    prints = computed_once(entries, "key", F.col("content"), compute) if pays else compute(entries)
+    found = similar_groups(prints.select("key", "fingerprint"), most).select(F.col("group_first").alias("__group"), "key", "fingerprint")
+    held = cut(found.join(entries.select("key", "modified_at", "file_name", "rank"), "key"), "members")
+    firsts = held.groupBy("__group").agg(F.min("rank").alias("group_first"), F.min_by("fingerprint", F.struct("modified_at", F.lower("file_name"), "file_name", "rank")).alias("fingerprint"))
+    placed = numbered(held.drop("fingerprint").join(firsts, "__group"), ["group_first"], [F.col("modified_at"), F.lower("file_name"), F.col("file_name"), F.col("rank")], "member", 1)
+    return placed.select("group_first", F.col("member").cast("int").alias("member"), "key", "fingerprint")
+
+
+def grown_groups(state: DataFrame, new: DataFrame, most: int) -> DataFrame:
+    """(key, fingerprint, comp) of a stored state of that form once new (key, fingerprint) is taken in.
+
+    comp is the smallest key of an entry's component, its own where it stands
+    alone. Only pairs of new fingerprints, with each other and with stored
+    ones, are looked for; stored components are single nodes, and only those that new links
+    touch get other labels. Keys of new that the state holds are left as they
+    are; null fingerprints have no links. An empty state starts one.
+    """
+    state = cut(state.select("key", "fingerprint", "comp"), "stored")
+    new = cut(new.select("key", "fingerprint").join(state.select("key"), "key", "left_anti"), "new")
+    stored = state.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("comp").alias("label"))
+    # a fingerprint's label: that of its stored component, else its smallest new key
+    fresh = new.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("key").alias("own"))
+    labels = cut(fresh.join(stored, "fingerprint", "full").select("fingerprint", "own", F.coalesce("label", "own").alias("label")), "labels")
+    near = banded_pairs(new, most, known=state)
+    label = lambda c: labels.select(F.col("fingerprint").alias(c), F.col("label").alias(f"l{c}"))
+    links = near.join(label("a"), "a").join(label("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    # a new key of a stored fingerprint may be smaller than its component's label
+    links = links.unionByName(labels.where("own is not null").select(F.col("label").alias("a"), F.col("own").alias("b")))
+    comps = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("__least"))
+    named = new.join(labels.drop("own"), "fingerprint", "left").select("key", "fingerprint", F.coalesce("label", "key").alias("comp"))
+    return state.unionByName(named).join(comps, "comp", "left").select("key", "fingerprint", F.coalesce("__least", "comp").alias("comp"))
+
+
+def leading_suggestion(groups: DataFrame, similar: bool = False) -> DataFrame:
+    """What suggested() selects in the group that comes first."""
+    first = groups.agg(F.min("group_first").alias("group_first"))
+    return suggested(groups.join(F.broadcast(first), "group_first", "left_semi"), similar)  # one row
+
+
+def exclusions(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """scanned, failed, groups, redundant: how many entries were looked at, had no content and so are in no group, and what was found."""
+    seen = entries.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("content").isNull()).alias("failed"))
+    return seen.crossJoin(exact_summary(groups).select("groups", "redundant"))  # one row each
+
+
 def group_labels(groups: DataFrame, catalog: DataFrame) -> DataFrame:
     """Per group: members, folders and the names of the first three."""
     named = groups.join(catalog.select(F.col("doc_id").alias("key"), "file_name", "full_path"), "key")

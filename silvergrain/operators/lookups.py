@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def with_review(catalog: DataFrame, states: DataFrame, key: str = "full_path") -> DataFrame:
@@ -23,9 +22,9 @@ def not_selected(catalog: DataFrame, keys: DataFrame, key: str = "full_path") ->
 def remapped(catalog: DataFrame, moves: DataFrame, order: str = "full_path") -> DataFrame:
     """Paths after moves (old_path, new_path); if two end alike, the first in order stays."""
     moved = catalog.join(moves, catalog["full_path"] == moves["old_path"], "left").withColumn("__to", F.coalesce("new_path", "full_path"))
-    first = Window.partitionBy("__to").orderBy(order, "full_path")
-    one = moved.withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return one.select(*[F.col("__to").alias("full_path") if c == "full_path" else F.col(c) for c in catalog.columns])
+    # the smallest of each path by partial aggregates: very many moves to one path are no one task's
+    one = moved.groupBy("__to").agg(F.min_by(F.struct(*catalog.columns), F.struct(order, "full_path")).alias("__first"))
+    return one.select(*[F.col("__to").alias("full_path") if c == "full_path" else F.col(f"__first.`{c}`").alias(c) for c in catalog.columns])
 
 
 def with_fallback(keys: DataFrame, visible: DataFrame, everything: DataFrame, key: str, value: str) -> DataFrame:

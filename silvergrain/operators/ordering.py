@@ -70,6 +70,25 @@ def running_sums(rows: DataFrame, group: list[str], order: list[Column], value:
     return placed.withColumn("__sum", F.coalesce(F.sum(value).over(stretch), F.lit(0)) + F.col("__earlier")).select(*[c for c in rows.columns if c != to], F.col("__sum").alias(to))
 
 
+def with_next(rows: DataFrame, group: list[str], order: list[Column], value: str, to: str) -> DataFrame:
+    """Add value of the row that follows in each group's order, null for the last, with no group in one task.
+
+    Inside a stretch of a range sort the next row is there; the last row of a
+    stretch takes the first of the group's next stretch.
+    """
+    placed = _stretched(rows, group, order)
+    heads = placed.groupBy(*group, "__task").agg(F.min_by(value, "__at").alias("__head"))
+    # a group has one stretch in each task at most
+    then = F.lead("__head").over(Window.partitionBy(*group).orderBy("__task"))
+    ends = heads.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__task").alias("__t"), then.alias("__then"))
+    same = F.col("__task") == F.col("__t")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))
+    own = Window.partitionBy(*group, "__task").orderBy("__at")
+    following = placed.withColumns({"__next": F.lead(value).over(own), "__inner": F.lead("__at").over(own).isNotNull()})
+    return following.join(ends, same).withColumn("__out", F.when(F.col("__inner"), F.col("__next")).otherwise(F.col("__then"))).select(*[c for c in rows.columns if c != to], F.col("__out").alias(to))
+
+
 def indexed(catalog: DataFrame, mode: str, to: str = "index") -> DataFrame:
     """The input index: a gapless number from 0 over the whole catalog in the order of mode."""
     return numbered(catalog, [], sort_columns(mode), to)
@@ -122,6 +141,24 @@ def latest(rows: DataFrame, key: str, by: str, *tie: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("__r")).select("__r.*")
 
 
+def last_successful(results: DataFrame, key: str, index: str, output: str = "output") -> DataFrame:
+    """Of each key the output of largest index among the results without an error; keys that only failed have none."""
+    return results.where(F.col("error").isNull()).groupBy(key).agg(F.max(index).alias(index), F.max_by(output, index).alias(output))
+
+
+def contact_sheet(catalog: DataFrame, mode: str, most: int = 180) -> DataFrame:
+    """The first entries in the order of mode, with place from 1."""
+    first = sorted_entries(catalog, mode).limit(most)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*sort_columns(mode))))  # most rows
+
+
+def added_to_compare(held: DataFrame, new: DataFrame, most: int = 4, key: str = "full_path") -> DataFrame:
+    """The entries compared once new ones are added: those held already stay, and if all together are more than most, none is added."""
+    more = new.join(held.select(key), key, "left_anti").dropDuplicates([key])
+    room = held.limit(most + 1).count() + more.limit(most + 1).count() <= most
+    return held.unionByName(more.select(*held.columns)) if room else held
+
+
 def first_of(rows: DataFrame, key: str, index: str) -> DataFrame:
     """The row of each key that comes first."""
     return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), index).alias("__r")).select("__r.*")

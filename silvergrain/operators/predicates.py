@@ -104,10 +104,10 @@ def refresh_in_place(inputs: DataFrame) -> DataFrame:
     return inputs.agg(F.coalesce(F.bool_and(~F.col("is_folder")), F.lit(True)).alias("in_place"))
 
 
-def resolve_targets(whole: bool, selected: list[str], current: str | None, catalog: DataFrame) -> DataFrame:
-    """What an operation works on: everything, else the selection, else the current entry, else nothing."""
+def resolve_targets(whole: bool, selected: DataFrame | None, current: str | None, catalog: DataFrame) -> DataFrame:
+    """What an operation works on: everything, else the selection (full_path; of any size), else the current entry, else nothing."""
     if whole:
         return catalog
-    if selected:
-        return catalog.where(F.col("full_path").isin(selected))
+    if selected is not None and selected.limit(1).count():
+        return catalog.join(selected.select("full_path").distinct(), "full_path", "left_semi")
     return catalog.where(F.col("full_path") == current) if current else catalog.limit(0)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from silvergrain.functions import naming, photo_tags
 from silvergrain.operators import duplicates, lookups, ordering, predicates, state
 from silvergrain.plans import export
-from silvergrain.sources import sinks
+from silvergrain.sources import catalog, headers, sinks
 from silvergrain.sources.catalog import documents_catalog, documents_review
 from silvergrain.streaming import progressive, scan
 
@@ -594,3 +594,143 @@ def q_refreshes(spark, sf_dir):
 def q_loads_progressively(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") == 7).alias("is_folder"))
     return progressive.loads_progressively(d, False)
+
+
+# ---- rows of the survey that had no query of their own
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE n_chars END AS width, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE n_chars + length(source) END AS height FROM documents")
+def q_header_dimensions(spark, sf_dir):
+    i, w = F.col("doc_id"), F.col("n_chars")
+    h = w + F.length("source")
+    big = lambda n, size: F.unhex(F.lpad(F.hex(n), 2 * size, "0"))
+    little = lambda n, size: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(n), 2 * size, "0"), 2 * k + 1, 2) for k in reversed(range(size))]))
+    raw = lambda b: F.lit(b)
+    png = F.concat(raw(b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR"), big(w, 4), big(h, 4))
+    psd = F.concat(raw(b"8BPS\0\1\0\0\0\0\0\0\0\3"), big(h, 4), big(w, 4))
+    jpeg = F.concat(raw(b"\xff\xd8\xff\xe0\0\4ab\xff\xc0\0\x0b\x08"), big(h, 2), big(w, 2), raw(b"\1\1\1\1"))
+    bmp = F.concat(raw(b"BM" + b"\0" * 12 + b"\x28\0\0\0"), little(w, 4), little(h, 4))
+    small = (w < 65536) & (h < 65536)
+    content = F.when(i % 4 == 0, png).when(i % 4 == 1, F.when(small, jpeg).otherwise(bmp)).when(i % 4 == 2, F.when(i % 8 == 2, psd).otherwise(bmp)).otherwise(F.encode("text", "utf-8"))
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("full_path"), content.alias("content"))
+    return headers.dimensions(files).select(F.col("full_path").cast("long").alias("doc_id"), "width", "height")
+
+
+@query("SELECT full_path, size_bytes, epoch_us(modified_at) AS stamp FROM catalog")
+def q_file_signatures(spark, sf_dir):
+    return catalog.signatures(documents_catalog(spark, sf_dir))
+
+
+@query("SELECT bool_and(source <> 'src3' OR lang <> 'en') AS in_place FROM documents")
+def q_refresh_in_place(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(((F.col("source") == "src3") & (F.col("lang") == "en")).alias("is_folder"))
+    return predicates.refresh_in_place(d)
+
+
+@query("SELECT doc_id, size_bytes FROM catalog WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def q_resolved_targets(spark, sf_dir):
+    c = documents_catalog(spark, sf_dir)
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1")
+    return predicates.resolve_targets(False, c.join(toxic, "doc_id", "left_semi").select("full_path"), None, c).select("doc_id", "size_bytes")
+
+
+@query("SELECT label, pinned, opened_at FROM (SELECT user_id::VARCHAR AS label, bool_or(event_type = 'purchase') AS pinned, CASE WHEN user_id = (SELECT min(user_id) FROM events) THEN TIMESTAMP '2100-01-01' ELSE max(ts) END AS opened_at FROM events GROUP BY user_id) ORDER BY pinned DESC, opened_at DESC, label LIMIT 8")
+def q_registered_session(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    sessions = e.groupBy("user_id").agg(F.max("ts").alias("opened_at"), F.bool_or(F.col("event_type") == "purchase").alias("pinned")).select(F.col("user_id").cast("string").alias("label"), F.array("user_id").alias("inputs"), "opened_at", "pinned")
+    kind = sessions.schema["opened_at"].dataType
+    new = e.agg(F.min("user_id").alias("user_id")).select(F.col("user_id").cast("string").alias("label"), F.array("user_id").alias("inputs"), F.lit("2100-01-01 00:00:00").cast(kind).alias("opened_at"), F.lit(False).alias("pinned"))
+    return ordering.register_session(sessions, new).select("label", "pinned", "opened_at")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY size_bytes DESC, lower(file_name), file_name, full_path)::INT AS place FROM catalog ORDER BY size_bytes DESC, lower(file_name), file_name, full_path LIMIT 180")
+def q_contact_sheet(spark, sf_dir):
+    return ordering.contact_sheet(documents_catalog(spark, sf_dir), "size").select("doc_id", "place")
+
+
+@query("SELECT doc_id FROM catalog WHERE full_path <> (SELECT min(full_path) FROM catalog)")
+def q_shuffled(spark, sf_dir):
+    c = documents_catalog(spark, sf_dir)
+    return ordering.shuffled(c, c.agg(F.min("full_path")).first()[0], 7).select("doc_id")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS output FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def q_last_successful(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.col("event_type").alias("output"), F.when(F.col("event_type") == "error", "failed").alias("error"))
+    return ordering.last_successful(e, "user_id", "event_id")
+
+
+@query("SELECT doc_id, '/archive/' || lang || '-' || n_chars || '.jpg' AS target_path, CASE WHEN count(*) OVER (PARTITION BY lang, n_chars) > 1 THEN 'duplicate' WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) THEN 'exists' END AS problem FROM documents d")
+def q_transfer_plan(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    name = F.concat("lang", F.lit("-"), "n_chars", F.lit(".jpg"))
+    sources = d.select("doc_id", F.concat(F.lit("/in/"), name).alias("full_path"), name.alias("name"))
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1")
+    there = sources.join(toxic, "doc_id", "left_semi").select(F.concat(F.lit("/archive/"), "name").alias("path"))
+    return export.transfer_plan(sources, there, "/archive").select("doc_id", "target_path", "problem")
+
+
+@query("SELECT doc_id, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes((doc_id + 95)::INT), '%Y:%m:%d %H:%M:%S') AS moved, CASE WHEN doc_id % 3 = 0 THEN source || ' X' WHEN doc_id % 3 = 1 THEN lang || ' ' || source ELSE lang END AS camera, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS comment, concat_ws(', ', lang, CASE WHEN doc_id % 2 = 0 THEN source END) AS joined FROM documents")
+def q_photo_texts(spark, sf_dir):
+    i = F.col("doc_id")
+    at = F.date_format(F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), i.cast("int"), F.lit(0)), "yyyy:MM:dd HH:mm:ss")
+    make = F.when(i % 3 == 0, F.upper("source")).otherwise(F.col("lang"))
+    model = F.when(i % 3 == 0, F.concat("source", F.lit(" X"))).when(i % 3 == 1, F.col("source"))
+    coded = F.when(i % 2 == 0, F.concat(F.lit(b"UNICODE\0"), F.encode("lang", "UTF-16BE"))).otherwise(F.concat(F.lit(b"ASCII\0\0\0"), F.encode("source", "US-ASCII")))
+    parts = F.array(F.col("lang"), F.lit("  "), F.when(i % 2 == 0, F.col("source")))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", photo_tags.shifted(at, 95).alias("moved"), photo_tags.camera(make, model).alias("camera"), photo_tags.user_comment(coded).alias("comment"), photo_tags.joined(parts).alias("joined"))
+
+
+@query("SELECT doc_id, list_sum([CASE WHEN (n_chars * (i // 8 * 9 + i % 8 + 3)) % 97 > (n_chars * (i // 8 * 9 + i % 8 + 4)) % 97 THEN CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE 1::HUGEINT << i::INT END ELSE 0 END for i in range(0, 64)])::BIGINT AS fingerprint FROM documents")
+def q_difference_hash(spark, sf_dir):
+    samples = F.transform(F.sequence(F.lit(3), F.lit(74)), lambda k: (F.col("n_chars") * k) % 97)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", samples.alias("samples")).select("doc_id", headers.difference_hash(F.col("samples")).alias("fingerprint"))
+
+
+@query("SELECT event_type AS bucket, event_id AS key, bytes, newest FROM (SELECT *, sum(bytes) OVER (PARTITION BY event_type ORDER BY newest DESC, event_id DESC) AS running FROM (SELECT event_type, event_id, floor(abs(value))::BIGINT * 40 AS bytes, event_id = max(event_id) OVER (PARTITION BY event_type) AS newest FROM events) WHERE bytes <= 4096 OR newest) WHERE running <= 4096 OR newest")
+def q_disk_store(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("bucket"), F.col("event_id").alias("key"), F.col("event_id").alias("accessed"), (F.floor(F.abs("value")) * 40).alias("bytes"))
+    last = e.groupBy("bucket").agg(F.max("key").alias("last"))
+    marked = e.join(last, "bucket").withColumn("newest", F.col("key") == F.col("last")).drop("last")
+    return state.within_budget(marked, 4096, protected="newest").select("bucket", "key", "bytes", "newest")
+
+
+@query("SELECT doc_id AS key FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS g, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r > 1 AND g = (SELECT min(g) FROM (SELECT min(doc_id) AS g FROM documents GROUP BY text HAVING count(*) > 1))")
+def q_leading_suggestion(spark, sf_dir):
+    return duplicates.leading_suggestion(_exact(spark, sf_dir)).select("key")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS scanned, (SELECT count(*) FROM documents WHERE text IS NULL) AS failed, count(*) AS groups, sum(n - 1)::BIGINT AS redundant FROM (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1)")
+def q_exclusions(spark, sf_dir):
+    return duplicates.exclusions(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").alias("content")), _exact(spark, sf_dir))
+
+
+@query("SELECT event_type AS operation, '{\"total\":' || count(*) || ',\"succeeded\":' || count(*) FILTER (user_id % 7 <> 0) || ',\"failed\":' || count(*) FILTER (user_id % 7 = 0) || '}' AS report FROM events GROUP BY event_type")
+def q_operation_reports(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("operation"), F.when(F.col("user_id") % 7 == 0, "failed").alias("error"))
+    return sinks.operation_reports(e)
+
+
+@query("SELECT row_number() OVER (ORDER BY r, full_path) - 1 AS line, full_path FROM (SELECT '/lib/' || source || '/' || lang AS full_path, min(doc_id) AS r FROM documents GROUP BY 1)")
+def q_path_lines(spark, sf_dir):
+    d = documents_catalog(spark, sf_dir).select(naming.folder(F.col("full_path")).alias("full_path"), F.col("doc_id").alias("rank"))
+    return sinks.path_lines(d)
+
+
+_REACH = "links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM hashes a JOIN hashes b ON a.doc_id <> b.doc_id WHERE bit_count(xor(a.fingerprint, b.fingerprint)) <= 8), reach(x, y) AS (SELECT x, x FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y), grouped AS (SELECT x AS key, min(y) AS g FROM reach GROUP BY x)"
+
+
+@query(f"WITH RECURSIVE {SIMHASH}, {_REACH} SELECT g AS group_first, row_number() OVER (PARTITION BY g ORDER BY n_chars, key)::INT AS member, key, first(fingerprint) OVER (PARTITION BY g ORDER BY n_chars, key) AS fingerprint FROM grouped JOIN documents d ON d.doc_id = key JOIN hashes h ON h.doc_id = key")
+def q_similar_entries_8(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    i = F.col("doc_id")
+    entries = d.select(i.alias("key"), F.octet_length("text").cast("long").alias("size_bytes"), F.col("text").alias("content"), F.timestamp_seconds("n_chars").alias("modified_at"), F.lit("p").alias("file_name"), i.alias("rank"))
+    return duplicates.similar_entries(entries, 8, lambda rows: duplicates.text_fingerprints(rows, "key", "content"))
+
+
+@query(f"WITH RECURSIVE {SIMHASH}, {_REACH} SELECT d.doc_id AS key, fingerprint, coalesce(g, d.doc_id) AS comp FROM documents d LEFT JOIN hashes h ON h.doc_id = d.doc_id LEFT JOIN grouped ON key = d.doc_id")
+def q_similar_grown_8(spark, sf_dir):
+    prints = _simhash(spark, sf_dir)
+    none = spark.createDataFrame([], "key long, fingerprint long, comp long")
+    first = duplicates.grown_groups(none, prints.where("key % 3 <> 0"), 8)
+    return duplicates.grown_groups(first, prints, 8)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from silvergrain.operators.ordering import numbered
+
 
 def content_hash(state: DataFrame) -> str:
     """A hash of all rows that doesn't depend on their order."""
@@ -65,6 +67,25 @@ def path_list(entries: DataFrame, rank: str = "rank") -> DataFrame:
     return first.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "full_path"))), lambda s: s["full_path"]), "\n").alias("paths"))
 
 
+def path_lines(entries: DataFrame, rank: str = "rank") -> DataFrame:
+    """(line, full_path): the distinct paths in order, a row each and numbered from 0, for lists of any length."""
+    first = entries.groupBy("full_path").agg(F.min(rank).alias("__rank"))
+    return numbered(first, [], [F.col("__rank"), F.col("full_path")], "line").select("line", "full_path")
+
+
+def operation_reports(results: DataFrame, operation: str = "operation") -> DataFrame:
+    """(operation, report): one JSON text for each operation with total, succeeded and failed of its results (error null when fine)."""
+    per = results.groupBy(operation).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    return per.select(operation, F.to_json(F.struct("total", "succeeded", "failed")).alias("report"))
+
+
+def write_operation_reports(results: DataFrame, folder: str, operation: str = "operation", index: str = "index") -> None:
+    """A folder for each operation with its report and, beside it, its failures by index as JSON lines."""
+    operation_reports(results, operation).repartition(operation).write.mode("overwrite").partitionBy(operation).text(f"{folder}/reports")
+    failed = results.where(F.col("error").isNotNull()).select(operation, index, "error")
+    failed.repartition(operation).sortWithinPartitions(operation, index).write.mode("overwrite").partitionBy(operation).json(f"{folder}/failures")
+
+
 def failures(results: DataFrame, index: str = "index") -> DataFrame:
     """(index, error) of the rows that failed, in order."""
     return results.where(F.col("error").isNotNull()).select(index, "error").orderBy(index)

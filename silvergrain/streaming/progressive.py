@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.window import Window
+
+from silvergrain.operators.ordering import with_next
 
 
 def stream_records(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1, format: str = "parquet") -> DataFrame:
@@ -39,12 +40,13 @@ def loads_progressively(inputs: DataFrame, recursive: bool, many: int = 180) ->
 
 def debounced(events: DataFrame, key: str, at: str, quiet: str, *tie: str) -> DataFrame:
     """Of each key's events those that no other one follows within quiet (the last one always)."""
-    following = F.lead(at).over(Window.partitionBy(key).orderBy(at, *tie))
-    return events.withColumn("__next", following).where(F.col("__next").isNull() | (F.col("__next") - F.col(at) >= F.expr(f"interval {quiet}"))).drop("__next")
+    order = [F.col(at), *[F.col(t) for t in tie]]
+    followed = with_next(events, [key], order, at, "__follows")
+    return followed.where(F.col("__follows").isNull() | (F.col("__follows") - F.col(at) >= F.expr(f"interval {quiet}"))).drop("__follows")
 
 
 def debounced_stream(events: DataFrame, key: str, at: str, quiet: str, late: str) -> DataFrame:
-    """The nearest streaming form: one row per quiet-separated session of a key, with its last time."""
+    """One row per quiet-separated session of a key, with its last time; keyed.debounced_exactly gives the rows of debounced."""
     return events.withWatermark(at, late).groupBy(F.session_window(at, quiet), key).agg(F.max(at).alias("last"), F.count(F.lit(1)).alias("events"))
 
 

@@ -379,3 +379,42 @@ def test_pairs_over_balls_of_blocks(spark, most, blocks):
     found = sorted(tuple(r) for r in duplicates.banded_pairs(spark.createDataFrame([(v,) for v in signed], "fingerprint long"), most, blocks).collect())
     far = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
     assert found == sorted((x, y, far(x, y)) for x in signed for y in signed if x < y and far(x, y) <= most)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_groups_that_grow_equal_one_run(spark, parts):
+    import random
+
+    rng = random.Random(parts)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    prints = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(6))) for b in base for _ in range(5)] + base[:4] * 2
+    rows = [(k, h - (1 << 64) if h >> 63 else h) for k, h in enumerate(prints)] + [(900, None)]
+    rng.shuffle(rows)
+    whole = {r["key"]: r["group_first"] for r in duplicates.similar_groups(spark.createDataFrame(rows, "key long, fingerprint long"), 5).collect()}
+    held = spark.createDataFrame([], "key long, fingerprint long, comp long")
+    for p in range(parts):
+        new = rows[p * len(rows) // parts : (p + 1) * len(rows) // parts] + rows[:3]  # some come again
+        held = duplicates.grown_groups(held, spark.createDataFrame(new, "key long, fingerprint long"), 5)
+    assert {r["key"]: r["comp"] for r in held.collect()} == {k: whole.get(k, k) for k, _ in rows}
+
+
+def test_next_rows_over_a_hot_group(spark):
+    rows = [(None if k % 7 == 0 else "hot" if k % 7 < 6 else "few", (k * 37) % 211) for k in range(200)]
+    got = ordering.with_next(spark.createDataFrame(rows, "g string, v int"), ["g"], [F.col("v")], "v", "n").collect()
+    for g in (None, "hot", "few"):
+        own = sorted(v for x, v in rows if x == g)
+        assert sorted(((r["v"], r["n"]) for r in got if r["g"] == g), key=lambda x: x[0]) == list(zip(own, [*own[1:], None], strict=True))
+
+
+def test_lists_of_any_length_and_refusals(spark, tmp_path):
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "full_path string")
+    assert ordering.added_to_compare(paths("a", "b"), paths("b", "c", "d")).count() == 4
+    assert ordering.added_to_compare(paths("a", "b"), paths("c", "d", "e")).count() == 2
+    c = paths("a", "b", "c")
+    assert [predicates.resolve_targets(*a, c).count() for a in ((True, None, None), (False, paths("a", "x", "a"), "b"), (False, paths(), "b"), (False, None, None))] == [3, 1, 1, 0]
+    results = spark.createDataFrame([("copy", 1, None), ("copy", 0, "gone"), ("move", 2, None)], "operation string, index int, error string")
+    sinks.write_operation_reports(results, str(tmp_path))
+    assert spark.read.text(f"{tmp_path}/reports/operation=copy").first()[0] == '{"total":2,"succeeded":1,"failed":1}'
+    assert [r["error"] for r in spark.read.json(f"{tmp_path}/failures").collect()] == ["gone"]
+    tags = spark.createDataFrame([(0, 6), (3, 6), (None, 8)], "orientation int, orientation_fallback int")
+    assert [r["orientation_text"] for r in photo_tags.described(tags).collect()] == ["rotated 90", "rotated 180", "rotated 270"]
