@@ -142,31 +142,44 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
     # vectors at one distance can't be told apart by it: an annulus that holds too many is cut by id
     data = ringed.join(F.broadcast(names), ["p", "ring"]).select("id", "v", "r", "cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))  # a row per annulus
 
+    # annuli lie by pivot and distance: a query's ones of a pivot are a run, found by two binary searches in one line of pivots
+    of, held = cells[:, 0].astype(int), cells[:, 1]
+    end = float(cells[:, 3].max()) * (1 + SLACK) + SLACK
+    span, slip = end * 2, end * 1e-9
+    lows, highs = of * span + cells[:, 2], of * span + cells[:, 3]
+    present = np.unique(of)
+    opens = np.searchsorted(of, present)
+    closes = np.append(opens[1:], len(of))
+
     def placed(batches, first: bool):
         """A row for each query and annulus that it looks into; low, high: the slice of distances to the pivot."""
         for b in batches:
-            q = _matrix(b.column(1), width).astype(float)
-            d = np.sqrt(_squared(np.hstack([q, np.zeros((len(q), 1))]), pivots))
-            norm = (q * q).sum(1)
-            p, n, low, high = cells[:, 0].astype(int), cells[:, 1], cells[:, 2], cells[:, 3]
-            reach = np.full(len(q), np.inf)
-            if not first:
-                best = b.column(2).to_numpy(zero_copy_only=False)
-                reach = np.sqrt(np.maximum(norm + most - 2 * np.nan_to_num(best, nan=-np.inf), 0)) * (1 + SLACK) + SLACK * np.sqrt(most + norm)
-            for lo in range(0, len(q), 256):
-                part = slice(lo, lo + 256)
-                dp = d[part][:, p]
-                gap = np.maximum(np.maximum(low[None] - dp, dp - high[None]), 0)
+            for lo in range(0, len(b), 256):
+                part = b.slice(lo, 256)
+                q = _matrix(part.column(1), width).astype(float)
+                d = np.sqrt(_squared(np.hstack([q, np.zeros((len(q), 1))]), pivots))
+                norm = (q * q).sum(1)
+                reach = np.full(len(q), np.inf)
+                dp, at = d[:, present], present * span
                 if first:
+                    # of each pivot the annulus next to the query, of the pivots as many as hold k rows
+                    near = np.clip(np.searchsorted(highs, at + np.clip(dp, 0, end)), opens, closes - 1)
+                    gap = np.maximum(np.maximum(cells[near, 2] - dp, dp - cells[near, 3]), 0)
                     order = np.argsort(gap, axis=1, kind="stable")
-                    before = np.cumsum(n[order], 1) - n[order]
+                    rows_of = np.take_along_axis(held[near], order, 1)
                     use = np.zeros(gap.shape, bool)
-                    np.put_along_axis(use, order, before < k + 1, 1)
+                    np.put_along_axis(use, order, np.cumsum(rows_of, 1) - rows_of < k + 1, 1)
+                    i, c = np.nonzero(use)
+                    j = near[i, c]
                 else:
-                    use = gap <= reach[part][:, None]
-                i, j = np.nonzero(use)
-                i += lo
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(j.astype(np.int32)), pa.array(d[i, p[j]] - reach[i]), pa.array(d[i, p[j]] + reach[i])], names=["query_id", "q", "cell", "low", "high"])
+                    best = part.column(2).to_numpy(zero_copy_only=False)
+                    reach = np.sqrt(np.maximum(norm + most - 2 * np.nan_to_num(best, nan=-np.inf), 0)) * (1 + SLACK) + SLACK * np.sqrt(most + norm)
+                    start = np.searchsorted(highs, at + np.clip(dp - reach[:, None] - slip, 0, end), "left")
+                    stop = np.searchsorted(lows, at + np.clip(dp + reach[:, None] + slip, 0, end), "right")
+                    n = np.maximum(stop - start, 0).ravel()
+                    i = np.repeat(np.repeat(np.arange(len(q)), len(present)), n)
+                    j = np.repeat(start.ravel(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i)), pa.array(j.astype(np.int32)), pa.array(d[i, of[j]] - reach[i]), pa.array(d[i, of[j]] + reach[i])], names=["query_id", "q", "cell", "low", "high"])
 
     def searched(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
