@@ -185,6 +185,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     than k words is one shingle. Rows with a null id take no part: they return
     with a null component. Rows that repeat an id are one document; equal texts
     are one set, so copies cost one row each. Long texts are worked on whole.
+    Other columns are ignored, whatever their names; an empty table gives an
+    empty one.
     """
     spark = docs.sparkSession
     n = partitions(spark)

@@ -191,5 +191,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, id_column: str = "doc_id") ->
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024) -> DataFrame:
-    """Cut and pack whole documents; null and empty texts are a piece with the end id alone."""
+    """Cut and pack whole documents; null and empty texts are a piece with the end id alone.
+
+    Very long texts are cut into as many pieces as they need. Repeated rows and
+    ids are packed as often as they come, a null id is passed on. Other columns
+    are ignored, whatever their names; an empty table gives an empty one.
+    """
     return pack(cut(cut_documents(docs, vocabulary, capacity), "pieces"), capacity)

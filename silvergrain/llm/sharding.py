@@ -72,7 +72,8 @@ def shards(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_co
     size: UTF-8 bytes plus one, so that null and empty texts (equal to each
     other here) weigh one. Null languages and sources are values of their own.
     Copies of one text that exceed a shard are dealt by id instead. Rows alike
-    in id and text may swap slots. An empty table gives an empty one.
+    in id and text may swap slots. Of very long texts only size and hashes are
+    moved. Other columns are ignored, whatever their names. An empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     place = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(1 << 20)) / float(1 << 20)

@@ -360,7 +360,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     Copies of a text are not sorted: all but those of the smallest id lose
     everything (if LENGTH bytes or more). Very long texts are cut into segments
     that overlap, and lose the same. Other columns are ignored, whatever their
-    names. kept_text is the text of the remaining bytes, cut characters left out.
+    names; an empty table gives an empty one. kept_text is the text of the remaining bytes, cut characters left out.
 
     Hashes only choose what is compared: a removal rests on equal bytes, but for
     whole copies, which are texts of one 128-bit hash.

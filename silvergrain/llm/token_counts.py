@@ -120,7 +120,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_column: str = "doc_id", te
     Null texts and empty ones have no bytes and no tokens; repeated rows are
     returned as often as they come; a null id is passed on; other columns are
     not read. Texts may be of any length: memory follows the longest text and
-    the batch.
+    the batch. An empty table gives an empty one.
     """
     kind = docs.schema[id_column].dataType
     schema = T.StructType([T.StructField(id_column, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
