@@ -4,9 +4,11 @@ Elements and roles that the markup itself gives to frames (menus, footers,
 forms, scripts) go first. What is left is compared, line by line, with other
 pages of the host: distinct pages are sorted by host and path, each is paired
 with those next to it, their lines are aligned by longest common subsequence,
-and shared lines are deleted. One neighbour may be a version of the same page,
-so several vote: a line goes if most of them share it. Inside an article or main
-element the markup speaks for a line, so there all of them have to share it.
+and shared lines are deleted. Several neighbours vote: a line goes if most of
+them share it. Inside an article or main element the markup speaks for a line:
+there all of them have to share it, and to outnumber the markup's own votes.
+Neighbours that are versions of one page, alike among themselves but not the bulk
+of their host, count as one page and are compared with others only.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from silvergrain.llm.common import cut, partitions
+from silvergrain.llm.common import broadcast_if_small, cut, partitions
+from silvergrain.operators.ordering import running_sums, with_next
 
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""[\s/]*(=?[^\s/>=]+|=)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|(?=>)|(["'])))?""")
@@ -37,8 +41,10 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 TYPES = {"comment", "usercomments", "sitenavigationelement", "wpheader", "wpfooter", "wpsidebar", "wpadblock"}
 #: Places before and after a page, in the order of URLs, at which its partners stand.
 STEPS = (1, 2, 4, 8)
-#: Partners that have to share a line of an article before it goes.
-WITNESSES = 3
+#: Votes that the markup has for a line of an article. (Of one or two partners a shared passage of the story itself can't be told from frame.)
+MARKUP = 2
+#: Neighbours are versions of one page where the lines that both hold make up this part (over, under) of the lines of either.
+ALIKE = (4, 5)
 #: Pages that one task compares.
 BLOCK_PAGES = 256
 MARK = 16
@@ -296,41 +302,50 @@ def _aligned(a: list, b: list) -> list[int]:
     return out[::-1]
 
 
-def kept_lines(marks: list[bytes], inside: bytes, sizes: list[int], partners: list[list[bytes]]) -> list[int]:
+def main_places(inside: bytes) -> list[int]:
+    """Places of a page's candidates: the lines in the article's element, or all where there is none."""
+    return [k for k, a in enumerate(inside) if a] or list(range(len(inside)))
+
+
+def kept_lines(marks: list[bytes], inside: bytes, partners: list[list[bytes]]) -> list[int]:
     """Places, among a page's candidates, of the lines that stay.
 
-    Candidates are the lines in the article's element, or all where there is
-    none. Without partners all stay. In an article, partners that share more
-    than half of it are taken for versions of it, not for its frame.
+    A line goes if most partners share it, in an article if all do and are
+    more than MARKUP. Without partners all stay.
     """
     marked = any(inside)
-    candidates = [k for k in range(len(marks)) if inside[k]] if marked else list(range(len(marks)))
-    if not partners or (marked and len(partners) < WITNESSES):
-        return list(range(len(candidates)))
+    candidates = main_places(inside)
     open_ = {marks[k] for k in candidates}
     if marked:
         for p in partners:
             open_ &= set(p)
-        if not open_:
-            return list(range(len(candidates)))
+    if len(partners) <= (MARKUP if marked else 0) or not open_:
+        return list(range(len(candidates)))
     votes = dict.fromkeys(candidates, 0)
     for p in partners:
         for k in common_lines(marks, p):
             if k in votes:
                 votes[k] += 1
-    if marked:
-        gone = {k for k, v in votes.items() if v == len(partners)}
-        if 2 * sum(sizes[k] for k in gone) > sum(sizes[k] for k in candidates):
-            gone = set()
-    else:
-        gone = {k for k, v in votes.items() if 2 * v > len(partners)}
-    return [i for i, k in enumerate(candidates) if k not in gone]
+    need = len(partners) if marked else len(partners) // 2 + 1
+    return [i for i, k in enumerate(candidates) if votes[k] < need]
+
+
+def are_versions(a: dict, b: dict) -> bool:
+    """Whether the candidates of two pages (marks, inside, sizes) are alike, by code points of the lines that both hold."""
+    count = [Counter(m[k] for k in main_places(p["inside"])) for p, m in ((a, _split(a["marks"])), (b, _split(b["marks"])))]
+    length = {m: n for p in (a, b) for m, n in zip(_split(p["marks"]), p["sizes"], strict=True)}
+    shared, either = (sum(n * length[m] for m, n in c.items()) for c in (count[0] & count[1], count[0] | count[1]))
+    return either > 0 and ALIKE[1] * shared >= ALIKE[0] * either
 
 
 def mark_of(line: str) -> bytes:
     return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=MARK).digest()
 
 
+def _split(marks: bytes) -> list[bytes]:
+    return [marks[a : a + MARK] for a in range(0, len(marks), MARK)]
+
+
 def _key(marks: list[bytes], inside: bytes) -> bytes:
     return hashlib.blake2b(b"".join(marks) + inside, digest_size=MARK).digest()
 
@@ -363,35 +378,70 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], pa.array(keys, pa.binary()), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "host", "key", "lines"])
 
 
-DECIDED = pa.schema([("host", pa.string()), ("key", pa.binary()), ("keep", pa.list_(pa.int32()))])
+def _first_versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """starts: 0 for a version of the page before, 1 for all others."""
+    for batch in batches:
+        starts = [int(b is None or not are_versions(a, b)) for a, b in zip(batch["mine"].to_pylist(), batch["before"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("host", "path", "page_id", "key")), pa.array(starts, pa.int32())], names=["host", "path", "page_id", "key", "starts"])
+
+
+DECIDED = pa.schema([("host", pa.string()), ("key", pa.binary()), ("keep", pa.list_(pa.int32())), ("run", pa.int64()), ("partners", pa.list_(pa.binary()))])
 
 
 def _decide(rows: pa.Table) -> pa.Table:
-    """Of a block's own pages those that lose a line, with the places of the lines that stay."""
+    """Of a block's own pages those that lose a line, with the places of the lines that stay, and those that stand for versions, with their partners."""
     rows = rows.sort_by("rank")
-    hosts, keys, own = rows["host"].to_pylist(), rows["key"].to_pylist(), rows["own"].to_pylist()
-    raw, inside, sizes = rows["marks"].to_pylist(), rows["inside"].to_pylist(), rows["sizes"].to_pylist()
-    marks = [[m[a : a + MARK] for a in range(0, len(m), MARK)] for m in raw]
+    hosts, keys, own, runs = (rows[c].to_pylist() for c in ("host", "key", "own", "run"))
+    raw, inside = rows["marks"].to_pylist(), rows["inside"].to_pylist()
+    marks = [_split(m) for m in raw]
     out = []
     for i, mine in enumerate(own):
         if not mine:
             continue
         near = [j for s in STEPS for j in (i - s, i + s) if 0 <= j < len(own) and hosts[j] == hosts[i]]
-        keep = kept_lines(marks[i], inside[i], sizes[i], [marks[j] for j in near])
-        if len(keep) < (sum(map(bool, inside[i])) or len(marks[i])):
-            out.append({"host": hosts[i], "key": keys[i], "keep": keep})
+        keep = kept_lines(marks[i], inside[i], [marks[j] for j in near])
+        lost = len(keep) < len(main_places(inside[i]))
+        if lost or runs[i] is not None:
+            out.append({"host": hosts[i], "key": keys[i], "keep": keep if lost else None, "run": runs[i], "partners": None if runs[i] is None else [raw[j] for j in near]})
     return pa.Table.from_pylist(out, schema=DECIDED)
 
 
+def _decide_versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for pages that come with their partners."""
+    for batch in batches:
+        keeps = [kept_lines(_split(m), i, [_split(x) for x in p]) for m, i, p in zip(*(batch[c].to_pylist() for c in ("marks", "inside", "partners")), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["host"], batch["key"], pa.array(keeps, pa.list_(pa.int32()))], names=["host", "key", "keep"])
+
+
+def _runs(once: DataFrame) -> DataFrame:
+    """host, key, run (null unless versions of one page), lead (whether the page is compared itself) of each distinct page.
+
+    A run is a stretch of pages in the order of paths, each alike to the one
+    before it. Runs of two pages and more that hold no more than half of the
+    host's pages are versions of one page; a larger one is what the host looks
+    like, and what its pages share is frame.
+    """
+    order = ["path", "page_id", "key"]
+    pairs = with_next(once.select("host", *order, F.struct("marks", "inside", "sizes").alias("mine")), ["host"], [F.desc(c) for c in order], "mine", "before")
+    flags = cut(pairs.mapInArrow(_first_versions, "host string, path string, page_id long, key binary, starts int"), "flags")
+    runs = cut(running_sums(flags, ["host"], [F.asc(c) for c in order], "starts", "run"), "runs")
+    each = runs.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n"))
+    hosts = runs.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    versions = each.where("n > 1").join(broadcast_if_small(hosts), "host").where("2 * n <= of").select("host", "run", F.lit(True).alias("versions"))
+    known = runs.join(broadcast_if_small(cut(versions, "versions")), ["host", "run"], "left")
+    return known.select("host", "key", F.when(F.col("versions"), F.col("run")).cast("long").alias("run"), (F.col("versions").isNull() | (F.col("starts") == 1)).alias("lead"))
+
+
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Per row: id, url, text (empty if none), n_chars.
 
     Pages of a host with the same lines are one page, wherever they stand, and
     return as often as they come. A page's partners are the distinct pages of
     its host STEPS places before and after it in the order of paths (of equal
-    paths the smaller id comes first); their order alone counts, so neither the
-    number of tasks nor of files changes a result. A page without another one
-    keeps all lines. Null pages are empty, null urls are one host. Very long
+    paths the smaller id comes first), versions of one page (see _runs) being one;
+    their order alone counts, so neither the number of tasks nor of files
+    changes a result. A page without another one keeps all lines; one whose
+    lines all partners share keeps none, in an article from MARKUP + 1 partners on. Null pages are empty, null urls are one host. Very long
     pages are worked on whole; further columns are ignored, whatever their
     names. An empty table gives an empty one.
 
@@ -407,7 +457,9 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     once = marked.groupBy("host", "key").agg(F.min(F.struct("path", "page_id")).alias("f"), *(F.first(c).alias(c) for c in ("marks", "inside", "sizes")))
     order = ["host", "path", "page_id", "key"]
     n = partitions(pages.sparkSession)
-    ordered = once.select("host", "f.path", "f.page_id", "key", "marks", "inside", "sizes").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    once = cut(once.select("host", "f.path", "f.page_id", "key", "marks", "inside", "sizes"), "distinct")
+    placed = once.drop("sizes").join(_runs(once), ["host", "key"])
+    ordered = placed.where("lead").drop("lead").repartitionByRange(n, *order).sortWithinPartitions(*order)
     ordered = cut(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
     part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     # a row per task
@@ -415,9 +467,13 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     ranked = ordered.join(F.broadcast(starts.select("part", "start")), part == F.col("part")).withColumn("rank", F.col("start") + within)
     far, block, place = max(STEPS), F.floor(F.col("rank") / BLOCK_PAGES), F.col("rank") % BLOCK_PAGES
     seen_by = F.array_compact(F.array(block, F.when((place < far) & (block > 0), block - 1), F.when(place >= BLOCK_PAGES - far, block + 1)))
-    blocks = ranked.select("rank", "host", "key", "marks", "inside", "sizes", block.alias("home"), F.explode(seen_by).alias("block")).withColumn("own", F.col("home") == F.col("block")).drop("home")
-    keep = cut(blocks.groupBy("block").applyInArrow(_decide, "host string, key binary, keep array<int>"), "keep")
+    blocks = ranked.select("rank", "host", "key", "run", "marks", "inside", block.alias("home"), F.explode(seen_by).alias("block")).withColumn("own", F.col("home") == F.col("block")).drop("home")
+    decided = cut(blocks.groupBy("block").applyInArrow(_decide, "host string, key binary, keep array<int>, run long, partners array<binary>"), "decided")
     spread = 16
+    theirs = decided.where("partners IS NOT NULL").select("host", "run", "partners", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"))
+    members = placed.where("NOT lead").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(spread)).cast("int")).join(theirs, ["host", "run", "salt"])
+    others = members.select("host", "key", "marks", "inside", "partners").mapInArrow(_decide_versions, "host string, key binary, keep array<int>")
+    keep = cut(decided.where("keep IS NOT NULL").select("host", "key", "keep").unionByName(others), "keep")
     salted = keep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     whole = named.select("page_id", "url", "host", "html").mapInArrow(_lines, FULL).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(spread)).cast("int"))
     text = F.array_join(F.coalesce(F.transform("keep", lambda k: F.get("lines", k)), F.col("lines")), "\n")

@@ -125,17 +125,27 @@ def plain_differences(pages):
         key = host, tuple(lines), article
         first[key] = min(first.get(key, (path, i)), (path, i))
     order = sorted((key[0], *at, key) for key, at in first.items())
+    runs = []
+    for k, (host, *_, key) in enumerate(order):
+        both = set(key[1]) & set(order[k - 1][3][1]) if k and order[k - 1][0] == host else set()
+        either = set(key[1]) | set(order[k - 1][3][1])
+        if 5 * sum(map(len, both)) >= 4 * sum(map(len, either)) and both:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    hosts = [o[0] for o in order]
+    units = [u for run in runs for u in ([run] if len(run) > 1 and 2 * len(run) <= hosts.count(hosts[run[0]]) else [[k] for k in run])]
+    assert any(len(u) > 1 for u in units)
     text = {}
-    for at, (host, *_, key) in enumerate(order):
+    for at, (host, *_, key) in ((n, order[k]) for n, u in enumerate(units) for k in u):
         lines, article = list(key[1]), key[2]
-        others = [list(order[k][3][1]) for s in (1, 2, 4, 8) for k in (at - s, at + s) if 0 <= k < len(order) and order[k][0] == host]
+        others = [list(order[units[k][0]][3][1]) for s in (1, 2, 4, 8) for k in (at - s, at + s) if 0 <= k < len(units) and hosts[units[k][0]] == host]
         votes = [0] * len(lines)
         for o in others:
             for k in longest(lines, o):
                 votes[k] += 1
         if article:
-            gone = {k for k, v in enumerate(votes) if len(others) >= 3 and v == len(others)}
-            gone = gone if 2 * sum(len(lines[k]) for k in gone) <= sum(map(len, lines)) else set()
+            gone = {k for k, v in enumerate(votes) if v == len(others) > 2}
         else:
             gone = {k for k, v in enumerate(votes) if 2 * v > len(others)}
         text[key] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
@@ -178,6 +188,24 @@ def test_short_articles_in_a_large_frame(spark):
     assert got[10] == "\n".join(["Printed on day 0", *(f"Sentence {k} of a longer story" for k in range(60))]) and got[2] == "A short notice, number 2"
 
 
+def test_menus_inside_main_and_versions_of_a_page(spark):
+    """Forty menu lines in main go from 12 and 6 pages, one partner's word isn't enough; 12 versions of a page keep their article where they aren't the host."""
+    menu = "".join(f"<div>Menu entry number {k} of the site</div>" for k in range(40))
+    pages = [(100 * n + k, f"http://m{n}/{k:02d}", f"<main>{menu}<p>The only line of story {k}</p></main>") for n in (12, 6, 2) for k in range(n)]
+    story = [f"Paragraph {k} of the article that has a counter below it" for k in range(10)]
+    version = lambda k: "<article>" + "".join(f"<p>{x}</p>" for x in story) + f"<p>Seen {k} times</p></article>"
+    pages += [(5000 + k, f"http://v/a/{k:02d}", version(k)) for k in range(40)]
+    pages += [(6000 + k, f"http://v/b/{k:02d}", f"<article><p>Another text {k}</p><p>Write to us</p></article>") for k in range(40)]
+    pages += [(7000 + k, f"http://w/{k:02d}", version(k)) for k in range(12)]
+    got = text_of(spark, *pages)
+    assert all(got[100 * n + k] == f"The only line of story {k}" for n in (12, 6) for k in range(n))
+    assert all(got[200 + k].count("\n") == 40 for k in range(2))
+    assert all(got[5000 + k] == "\n".join([*story, f"Seen {k} times"]) for k in range(40))
+    # the versions, as one page, are a partner of four of these
+    assert all(got[6000 + k] == f"Another text {k}" + "\nWrite to us" * (k in (0, 1, 3, 7)) for k in range(40))
+    assert all(got[7000 + k] == f"Seen {k} times" for k in range(12))
+
+
 def test_attributes_and_names_do_not_drop_text(spark):
     pages = [
         "<article><p title=it's>one</p><p>two don't three</p></article>",
