@@ -146,7 +146,9 @@ def minimum_covariance_determinant(vectors: DataFrame) -> DataFrame:
     """Per grp: n (rows of the core), m0.., c00.., l00.., log_det of the least determinant found.
 
     vectors: grp, x0... Every quantile and moment is a mergeable aggregate over
-    all rows, so a group that holds a third of them is no more than a key.
+    all rows, so a group that holds a third of them is no more than a key. The
+    search ends when no group's log_det falls by more than SETTLED, after
+    FIRST_STEPS + MORE_STEPS at the latest: a group that is still falling then keeps its last fit.
     """
     against = lambda fit: vectors.join(broadcast_if_small(fit), "grp").withColumn("d", _distance()).select("grp", "start", *STATS, "d")
     fit = _step(_starts(vectors))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 from helpers import fold, near_duplicates, no_documents, odd_documents, odd_texts, repeated_passages, statistics, unigrams, words
+from pyspark.sql import functions as F
 
 from silvergrain.llm import jaccard_join, lm_scoring, mixing, packing, quality, sharding, suffix_dedup, token_counts
 from silvergrain.llm.queries import vocabulary
@@ -610,6 +611,47 @@ def test_shards_are_even_and_keep_texts_together(spark):
     assert max(size) < 1.03 * min(size) and all(len(s) == 1 for s in where.values())
 
 
+def plain_k_d_tree(points, shards):
+    """{h: shard} of points (h, bytes, (d0, d1, d2)): each node sorted along its widest dimension and cut at the weighted median."""
+    bits = sharding.BITS
+    nodes, out = [(0, shards, points)], {}
+    while nodes:
+        lo, hi, rows = nodes.pop()
+        if hi - lo == 1 or not rows:
+            out |= {h: lo for h, _, _ in rows}
+            continue
+        spread = [max(p[2][d] for p in rows) - min(p[2][d] for p in rows) for d in range(3)]
+        widest = spread.index(max(spread))
+        code = lambda p, d=widest: min(int(p[2][d] * (1 << bits)), (1 << bits) - 1) << 2 * bits | p[0] % (1 << 2 * bits)
+        middle = (lo + hi) // 2
+        left = sum(p[1] for p in rows) * (middle - lo) / (hi - lo)
+        low, high = [], []
+        for p in sorted(rows, key=code):
+            left -= p[1]
+            (low if left >= 0 and not high else high).append(p)
+        nodes += [(lo, middle, low), (middle, hi, high)]
+    return out
+
+
+@pytest.mark.parametrize("count", [16, 6, 1])
+def test_shards_equal_a_plain_k_d_tree(spark, count):
+    """No text here is heavy, so the tree alone decides; some texts have copies."""
+    rng = random.Random(count)
+    rows = [(k, " ".join(rng.choices("abcdefgh", k=rng.randint(5, 40))) + f" {k}", rng.choice(["en", "de", "fr"]), f"s{rng.randrange(6)}") for k in range(6000)]
+    rows += [(10_000 + k, *rows[k][1:]) for k in range(0, 900, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["shard"] for r in sharding.shards(df, shards=count).collect()}
+    place = lambda c: (F.pmod(F.xxhash64(c), F.lit(1 << 20)) / float(1 << 20)).alias(c)
+    coded = df.select("doc_id", F.xxhash64("text").alias("h"), (F.octet_length("text") + 1).alias("each"), (F.log1p((F.octet_length("text") + 1).cast("double")) / 16).alias("d0"), place("lang"), place("source")).collect()
+    texts = {}
+    for r in coded:
+        _, n, _ = texts.get(r["h"], (0, 0, 0))
+        texts[r["h"]] = (r["h"], n + r["each"], (r["d0"], r["lang"], r["source"]))
+    want = plain_k_d_tree(list(texts.values()), count)
+    assert max(n for _, n, _ in texts.values()) <= sum(n for _, n, _ in texts.values()) / count * sharding.HEAVY
+    assert got == {r["doc_id"]: want[r["h"]] for r in coded}
+
+
 def test_a_text_larger_than_a_shard_is_split(spark):
     rows = [(k, "the same words again and again", "en", "s") for k in range(600)] + [(1000 + k, f"own {k}", "en", "s") for k in range(100)]
     got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
