@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of the run that is open, if any.
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where a session names none, one is made on a single machine; on a cluster that raises."""
+    """The folder of the open run, else of spark.checkpoint.dir. Where a session names none, one is made on a single machine; on a cluster that raises."""
+    if _RUN.get():
+        return _RUN.get()
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -27,3 +35,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[str]:
+    """A run: tables written between jobs inside it lie below one folder, which goes at its end, also after an error.
+
+    DataFrames made inside read those tables, so what is to stay has to be
+    written elsewhere, or collected, before the end. An inner run lies in the
+    outer one's folder. Threads started inside aren't part of the run.
+    """
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    before = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

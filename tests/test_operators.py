@@ -418,3 +418,30 @@ def test_lists_of_any_length_and_refusals(spark, tmp_path):
     assert [r["error"] for r in spark.read.json(f"{tmp_path}/failures").collect()] == ["gone"]
     tags = spark.createDataFrame([(0, 6), (3, 6), (None, 8)], "orientation int, orientation_fallback int")
     assert [r["orientation_text"] for r in photo_tags.described(tags).collect()] == ["rotated 90", "rotated 180", "rotated 270"]
+
+
+def test_a_run_removes_its_tables_and_no_others(spark, tmp_path):
+    import os
+
+    from silvergrain.sources.staging import cut, shared_dir, staged
+
+    root = shared_dir(spark).removeprefix("file:")
+    outside = cut(spark.range(5), "outside")
+    prints = spark.createDataFrame([(k, k // 2) for k in range(20)], "key long, fingerprint long")
+    with staged(spark) as folder:
+        groups = duplicates.similar_groups(prints, 0)
+        with staged(spark) as inner:
+            cut(spark.range(3), "inner")
+            assert inner.startswith(folder) and os.listdir(inner.removeprefix("file:"))
+        assert not os.path.exists(inner.removeprefix("file:")) and os.listdir(folder.removeprefix("file:"))
+        before = set(os.listdir(root))
+        groups.write.parquet(str(tmp_path / "groups"))
+        assert set(os.listdir(root)) == before  # all of the run's tables are in its folder
+    assert not os.path.exists(folder.removeprefix("file:")) and shared_dir(spark).removeprefix("file:") == root
+    assert spark.read.parquet(str(tmp_path / "groups")).count() == 20 and outside.count() == 5
+    with pytest.raises(ZeroDivisionError), staged(spark) as folder:
+        cut(spark.range(3), "lost")
+        raise ZeroDivisionError
+    assert not os.path.exists(folder.removeprefix("file:"))
+    with staged(spark):  # nothing was written
+        pass
