@@ -55,6 +55,20 @@ def test_debounced_stream_equals_the_batch(spark, tmp_path, cuts):
     assert {(r[1], r[3]) for r in got if r[1] >= 0} == want
 
 
+def test_a_state_holds_a_session_rather_than_its_events(spark, tmp_path):
+    schema = "user_id long, event_id long, ts timestamp"
+    crowd = [(1, k, START + dt.timedelta(milliseconds=k)) for k in range(400)]
+    # exactly the quiet time apart is followed by nothing, a microsecond less is
+    edge = [(2, 1000, START), (2, 1001, START + dt.timedelta(seconds=20)), (2, 1002, START + dt.timedelta(seconds=40, microseconds=-1)), (2, 1003, START + dt.timedelta(seconds=40, microseconds=-1))]
+    later = [[(-1, -k, START + dt.timedelta(hours=k))] for k in (1, 2)]
+    stream = keyed.debounced_exactly(in_batches(spark, tmp_path / "in", [crowd + edge, *later], schema), "user_id", "ts", 20, "event_id", "60 seconds")
+    out = []
+    q = stream.writeStream.outputMode("append").foreachBatch(lambda b, n: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r["user_id"], r["event_id"]) for r in out if r["user_id"] > 0} == {(1, 399), (2, 1000), (2, 1003)}
+    assert max(sum(o["numRowsTotal"] + o["customMetrics"].get("numRegisteredTimers", 0) for o in p["stateOperators"]) for p in q.recentProgress) <= 4
+
+
 def plain_store(events, most, budget):
     held = {}
     for at, name, size, write in events:
