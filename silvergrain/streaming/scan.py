@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,9 @@ from silvergrain.sources.files import opened
 # Entries of a batch; of the first and the other early ones; of one at a folder's end; entries that count as early.
 BATCH, FIRST, EARLY, AT_FOLDER, EARLY_UNTIL = 160, 24, 48, 12, 200
 
+#: Batches that are published as one folder, and that one task reads.
+TOGETHER = 32
+
 
 def early_ends(folders: list[tuple[str, bool]], size: int = BATCH) -> list[int]:
     """Where the early batches end, from the first entries' folders (name, whether it is an input) in order.
@@ -52,13 +56,15 @@ def scan_batches(entries: DataFrame, size: int = BATCH, index: str = "index", fo
 
 
 def publish(batched: DataFrame, target: str) -> int:
-    """Write a folder for each batch and, last, their number; returns it. A reader sees all batches or none."""
+    """Write a folder for each TOGETHER batches and, last, their number; returns it. A reader sees all batches or none."""
     n = int(batched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batched.repartitionByRange(n, "batch", "index").sortWithinPartitions("batch", "index").write.mode("overwrite").partitionBy("batch").parquet(target)
-    total = (batched.agg(F.max("batch")).first()[0] + 1) if batched.limit(1).count() else 0
+    kept = batched.withColumn("together", F.floor(F.col("batch") / TOGETHER))
+    kept.repartitionByRange(n, "batch", "index").sortWithinPartitions("together", "batch", "index").write.mode("overwrite").partitionBy("together").parquet(target)
+    last = batched.sparkSession.read.schema(batched.schema).parquet(target).agg(F.max("batch")).first()[0]
+    total = 0 if last is None else last + 1
     system, inner = opened(target)
     with system.open_output_stream(f"{inner}/_batches.json") as f:
-        f.write(json.dumps({"batches": total, "schema": batched.drop("batch").schema.json()}).encode())
+        f.write(json.dumps({"batches": total, "schema": batched.schema.json()}).encode())
     return total
 
 
@@ -69,9 +75,9 @@ def _described(path: str) -> dict:
 
 
 class _Reader(DataSourceStreamReader):
-    """Offsets count batches. Each trigger gets one more batch than the last planned one.
+    """Offsets count batches. Each trigger gets one more batch than the last planned one, later a quarter of what was planned.
 
-    What has been planned is kept in progress: a restarted stream goes on after
+    So triggers grow with the logarithm of the batches, which keep their ends. What has been planned is kept in progress: a restarted stream goes on after
     it, once Spark has run again what its checkpoint holds as planned.
     """
 
@@ -94,7 +100,7 @@ class _Reader(DataSourceStreamReader):
         return {"batch": 0}
 
     def latestOffset(self) -> dict:
-        return {"batch": min(self._last() + 1, self.total)}
+        return {"batch": min(self._last() + max(1, self._last() // 4), self.total)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         if end["batch"] > start["batch"]:
@@ -102,18 +108,20 @@ class _Reader(DataSourceStreamReader):
             system, inner = opened(self.progress)
             with system.open_output_stream(inner) as f:
                 f.write(str(self.planned).encode())
-        return [InputPartition(k) for k in range(start["batch"], end["batch"])]
+        return [InputPartition((max(k, start["batch"]), min(k + TOGETHER, end["batch"]))) for k in range(start["batch"] // TOGETHER * TOGETHER, end["batch"], TOGETHER)]
 
     def read(self, partition: InputPartition) -> Iterator:
+        first, end = partition.value
+        wanted = (pc.field("batch") >= first) & (pc.field("batch") < end)
         system, inner = opened(self.path)
-        for info in sorted(system.get_file_info(fs.FileSelector(f"{inner}/batch={partition.value}")), key=lambda i: i.path):
+        for info in sorted(system.get_file_info(fs.FileSelector(f"{inner}/together={first // TOGETHER}")), key=lambda i: i.path):
             if info.path.endswith(".parquet"):
                 with system.open_input_file(info.path) as f:
-                    yield from pq.ParquetFile(f).read().to_batches()
+                    yield from pq.ParquetFile(f).read().filter(wanted).to_batches()
 
 
 class ScanSource(DataSource):
-    """Published batches as a stream, one a trigger. Options: path (from publish), progress (a file of the stream's own)."""
+    """Published batches as a stream, one a trigger at first, more as it goes on; column batch tells them apart. Options: path (from publish), progress (a file of the stream's own)."""
 
     @classmethod
     def name(cls) -> str:
@@ -134,14 +142,16 @@ def scan_stream(spark: SparkSession, path: str, progress: str) -> DataFrame:
 
 
 def load_scan(spark: SparkSession, path: str, states: DataFrame, target: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, key: str = "full_path") -> StreamingQuery:
-    """Start appending the published batches, joined with the review states, to target/batch=0, 1 and so on.
+    """Start appending the published batches, joined with the review states, to target/load=0, 1 and so on, a folder a trigger.
 
-    A batch that runs again after a failure replaces what it wrote.
+    The first triggers bring a batch each, later ones a quarter of what is there;
+    column batch tells batches apart, and on_batch is called a trigger. A trigger
+    that runs again after a failure replaces what it wrote.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         joined = batch.join(states, key, "left").withColumns({"rating": F.coalesce("rating", F.lit(0)), "status": F.coalesce("status", F.lit("None"))})
-        joined.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        joined.write.mode("overwrite").parquet(f"{target}/load={number}")
         if on_batch:
             on_batch(joined, number)
 
@@ -150,6 +160,6 @@ def load_scan(spark: SparkSession, path: str, states: DataFrame, target: str, ch
 
 def finish_load(spark: SparkSession, target: str, mode: str, final: str) -> DataFrame:
     """All appended batches rewritten in the order of mode, as a load ends."""
-    every = spark.read.parquet(target).drop("batch", "index")
+    every = spark.read.parquet(target).drop("load", "batch", "index")
     indexed(every, mode).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "index").sortWithinPartitions("index").write.mode("overwrite").parquet(final)
     return spark.read.parquet(final)

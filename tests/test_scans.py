@@ -146,6 +146,21 @@ def test_a_scan_goes_on_after_a_failed_batch(spark, tmp_path):
     assert [r["rating"] for r in done if r["status"] == "Keep"] == [4]
 
 
+def test_triggers_grow_with_the_logarithm_of_the_batches(spark, tmp_path):
+    rows = [(k, f"/in/p{k:04}.jpg", f"p{k:04}.jpg", k % 9, "/in", True) for k in range(401)]
+    entries = spark.createDataFrame(rows, "index long, full_path string, file_name string, size_bytes long, folder string, is_root boolean")
+    states = spark.createDataFrame([], "full_path string, rating int, status string")
+    path, target = str(tmp_path / "batches"), str(tmp_path / "loaded")
+    assert scan.publish(scan.scan_batches(entries, 2), path) == 201
+    q = scan.load_scan(spark, path, states, target, str(tmp_path / "checkpoint"))
+    q.processAllAvailable()
+    q.stop()
+    loaded = spark.read.parquet(target).select("batch", "index").collect()
+    assert sorted((r["batch"], r["index"]) for r in loaded) == [(k // 2, k) for k in range(401)]
+    triggers = len([n for n in os.listdir(target) if "=" in n])
+    assert 8 <= triggers <= 26 and len(os.listdir(path)) <= 201 // 32 + 4
+
+
 # ---- ranged reads
 
 
