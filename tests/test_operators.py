@@ -381,6 +381,62 @@ def test_pairs_over_balls_of_blocks(spark, most, blocks):
     assert found == sorted((x, y, far(x, y)) for x in signed for y in signed if x < y and far(x, y) <= most)
 
 
+@pytest.mark.parametrize("most", [4, 8, 12])
+def test_cells_cost_less_than_the_square_of_the_fingerprints(most):
+    """Radii cover most; tiles, meetings and bytes of 2.8 million fingerprints stay far from all pairs."""
+    tiles, keys = {}, {}
+    for n in (47_000, 470_000, 2_800_000):
+        cells = duplicates.cells_of(n, most)
+        assert sum(r + 1 for _, _, r in cells) == most + 1
+        assert all(a + bits <= z for (a, bits, _), z in zip(cells, [c[0] for c in cells[1:]] + [64], strict=True))
+        tiles[n] = n * n / 2 * sum(duplicates.ball(bits, r) / 2**bits for _, bits, r in cells)
+        keys[n] = sum(duplicates.ball(bits, r) for _, bits, r in cells)
+    assert tiles[2_800_000] < 2.5e11 and tiles[2_800_000] / tiles[470_000] < 6**1.8 and keys[2_800_000] <= 330
+
+
+def test_near_copies_leave_a_forest_of_links(spark):
+    """1,100 fingerprints around one, more than two pieces, and the same groups with far ones and stored ones."""
+    import random
+
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    near = sorted({base ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(5))) for _ in range(1200)} | {base})
+    far = sorted({rng.getrandbits(64) for _ in range(40)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in near + far]
+    prints = spark.createDataFrame([(v,) for v in signed], "fingerprint long")
+    pairs = {(r["a"], r["b"]) for r in duplicates.banded_pairs(prints, 8).collect()}
+    away = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    assert pairs == {(x, y) for x in signed for y in signed if x < y and away(x, y) <= 8}
+    links = [tuple(r) for r in duplicates.banded_links(prints, 8).collect()]
+    assert len(links) < 8 * len(near) < len(pairs) // 8
+    assert components_of(links) == components_of(pairs)
+    # old ones meet new ones only
+    old, new = set(signed[::3]), set(signed) - set(signed[::3])
+    rows = lambda vs: spark.createDataFrame([(v,) for v in vs], "fingerprint long")
+    grown = {(r["a"], r["b"]) for r in duplicates.banded_pairs(rows(new), 8, known=rows(old)).collect()}
+    assert grown == {(x, y) for x, y in pairs if x in new or y in new}
+
+
+def components_of(edges):
+    """The components of links, by a plain walk."""
+    beside = {}
+    for x, y in edges:
+        beside.setdefault(x, set()).add(y)
+        beside.setdefault(y, set()).add(x)
+    found, seen = set(), set()
+    for start in beside:
+        if start not in seen:
+            todo, own = [start], set()
+            while todo:
+                x = todo.pop()
+                if x not in own:
+                    own.add(x)
+                    todo += beside[x] - own
+            seen |= own
+            found.add(frozenset(own))
+    return found
+
+
 @pytest.mark.parametrize("parts", [1, 2, 3])
 def test_groups_that_grow_equal_one_run(spark, parts):
     import random
