@@ -417,6 +417,18 @@ def test_near_copies_leave_a_forest_of_links(spark):
     assert grown == {(x, y) for x, y in pairs if x in new or y in new}
 
 
+def test_texts_are_signed_by_bytes_as_well_as_number(spark):
+    import numpy as np
+
+    mb = 1 << 20
+    assert list(duplicates.signed_at_a_time(np.array([mb, mb, 1, 5 * mb, 0, 7]))) == [(0, 2), (2, 1), (3, 1), (4, 2)]
+    assert [n for _, n in duplicates.signed_at_a_time(np.zeros(1100, np.int32))] == [512, 512, 76] and not list(duplicates.signed_at_a_time(np.array([], np.int32)))
+    long = " ".join(f"w{k}" for k in range(400_000))
+    rows = [(k, long + f" x{k % 2}") for k in range(4)] + [(9, None)]
+    got = {r["key"]: r["fingerprint"] for r in duplicates.text_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got[0] == got[2] is not None and got[1] == got[3] and got[9] is None
+
+
 def components_of(edges):
     """The components of links, by a plain walk."""
     beside = {}
