@@ -17,7 +17,7 @@ from silvergrain.llm import jaccard_join, mixing, packing, quality, suffix_dedup
 from silvergrain.llm.common import cut, partitions, table
 
 #: Names of columns that stages add and take away again.
-K1, K2, KEPT, ID, SAME = "__stage_key_1", "__stage_key_2", "__stage_text", "__stage_id", "__stage_same"
+K1, K2, KEPT, ID, SAME, SPANS = "__stage_key_1", "__stage_key_2", "__stage_text", "__stage_id", "__stage_same", "__stage_spans"
 
 
 def _hashable(kind: T.DataType) -> bool:
@@ -60,10 +60,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = jaccard_join.near_duplicates(docs)
     others = cut(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
-    left = cut(_keyed(docs.join(others, "doc_id", "left_anti"), *docs.columns).withColumn(KEPT, F.when(F.col("doc_id").isNull(), F.concat_ws(":", F.xxhash64("text"), F.xxhash64(F.lit(29), "text")))), "single")
-    again = cut(left.groupBy("doc_id", KEPT).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(ID), F.col(KEPT).alias(SAME)), "repeated")
+    named = F.when(F.col("doc_id").isNull(), F.concat_ws(":", F.xxhash64("text"), F.xxhash64(F.lit(29), "text")))
+    # ids that come again are found without whole documents, which are not written here
+    again = cut(docs.select("doc_id", named.alias(KEPT)).join(others, "doc_id", "left_anti").groupBy("doc_id", KEPT).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(ID), F.col(KEPT).alias(SAME)), "repeated")
+    left = docs.join(others, "doc_id", "left_anti")
     if again.limit(1).count() == 0:
         return _shown(left, docs)
+    left = _keyed(left, *docs.columns).withColumn(KEPT, named)
     same = F.col("doc_id").eqNullSafe(F.col(ID)) & F.col(KEPT).eqNullSafe(F.col(SAME))
     once = left.join(again, same, "left_semi").groupBy("doc_id", KEPT).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(K1, K2)).alias(SAME)).select(f"{SAME}.*")
     return _shown(left.join(again, same, "left_anti"), docs).unionByName(_shown(once, docs))
@@ -75,10 +78,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows alike in id and text lose the same. Rows with a null id stay as they
     are. n_chars, if there is such a column, follows the text.
     """
-    found = suffix_dedup.dedup(docs, with_text=True).where("doc_id is not null and n_removed > 0")
-    left = cut(found.groupBy("doc_id", "text_hash", "text_hash_2").agg(F.first("kept_text").alias(KEPT)), "shortened")
+    found = suffix_dedup.dedup(docs, with_spans=True).where("doc_id is not null and n_removed > 0")
+    spans = cut(found.groupBy("doc_id", "text_hash", "text_hash_2").agg(F.first("spans").alias(SPANS)), "spans")
     keyed = docs.withColumns({K1: suffix_dedup.text_hash(F.col("text")), K2: suffix_dedup.text_hash(F.col("text"), 2)})
-    shortened = keyed.join(left.withColumnsRenamed({"text_hash": K1, "text_hash_2": K2}), ["doc_id", K1, K2], "left").where(F.col(KEPT).isNull() | (F.trim(KEPT) != ""))
+    met = keyed.join(spans.withColumnsRenamed({"text_hash": K1, "text_hash_2": K2}), ["doc_id", K1, K2], "left")
+    shortened = met.withColumn(KEPT, suffix_dedup.without_spans(F.when(F.col(SPANS).isNotNull(), F.col("text")), F.col(SPANS))).where(F.col(KEPT).isNull() | (F.trim(KEPT) != ""))
     changed = {"text": F.coalesce(KEPT, "text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col(KEPT).isNull(), F.col("n_chars")).otherwise(F.length(KEPT)).cast(docs.schema["n_chars"].dataType)

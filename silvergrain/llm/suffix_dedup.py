@@ -349,8 +349,28 @@ def removed_spans(marks: np.ndarray) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (and with_text: kept_text, text_hash, text_hash_2).
+def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The bytes outside of spans, which are in order."""
+    left, at = [], 0
+    for a, z in spans:
+        left.append(raw[at:a])
+        at = z
+    left.append(raw[at:])
+    return b"".join(left)
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """text without the spans that dedup names; null where spans is. Cut characters are left out, as in kept_text."""
+
+    def run(texts: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array([None if e is None else cut_out(t.as_buffer().to_pybytes(), list(zip(e[::2], e[1::2], strict=True))).decode("utf-8", "ignore") for t, e in zip(texts, ends.to_pylist(), strict=True)], pa.string())
+
+    # else a condition on the result would be worked out by a second run
+    return F.arrow_udf(run, "string").asNondeterministic()(text, spans)
+
+
+def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, with_spans: bool = False) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (and with_text: kept_text; with_spans: spans; with either: text_hash, text_hash_2).
 
     A byte goes if some LENGTH-byte string over it also starts earlier: in a
     document with a smaller id or earlier in the same one. Null texts are empty.
@@ -360,7 +380,8 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     Copies of a text are not sorted: all but those of the smallest id lose
     everything (if LENGTH bytes or more). Very long texts are cut into segments
     that overlap, and lose the same. Other columns are ignored, whatever their
-    names; an empty table gives an empty one. kept_text is the text of the remaining bytes, cut characters left out.
+    names; an empty table gives an empty one. kept_text is the text of the remaining bytes, cut characters left out;
+    spans has the first byte of each removed run and the one after its last, one after the other, for without_spans.
 
     Hashes only choose what is compared: a removal rests on equal bytes, but for
     whole copies, which are texts of one 128-bit hash.
@@ -459,7 +480,8 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     sent = texts().cogroup(told.groupBy("block")).applyInArrow(runs, RUNS)
     marks = sent.groupBy("bucket").applyInArrow(_merge, MARKS)
     marked = marks.unionByName(mine, allowMissingColumns=True)
-    names = [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text", "text_hash", "text_hash_2"] * with_text]
+    names = [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text, *["spans"] * with_spans, *["text_hash", "text_hash_2"] * (with_text or with_spans)]
+    kinds = {"kept_sha256": pa.string(), "kept_text": pa.string(), "spans": pa.list_(pa.int64())}
 
     def keep(rows: pa.Table, told: pa.Table) -> pa.Table:
         own, others = named(told)
@@ -475,21 +497,19 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             else:
                 a, z = np.searchsorted(all_marks[:, 0], [doc, doc + 1])
                 spans = removed_spans(all_marks[a:z, 1:]) if z > a else []
-            left, at = [], 0
-            for a, z in spans:
-                left.append(raw[at:a])
-                at = z
-            left.append(raw[at:])
-            whole = b"".join(left)
+            whole = cut_out(raw, spans)
             out["n_bytes"].append(len(raw))
             out["n_removed"].append(len(raw) - len(whole))
             out["n_spans"].append(len(spans))
             out["kept_sha256"].append(hashlib.sha256(whole).hexdigest())
             if with_text:
                 out["kept_text"].append(whole.decode("utf-8", "ignore"))
+            if with_spans:
+                out["spans"].append([x for span in spans for x in span])
+            if with_text or with_spans:
                 out["text_hash"].append(h)
                 out["text_hash_2"].append(g)
-        return pa.table([rows["doc_id"], *(pa.array(out[k], pa.string() if k.startswith("kept") else pa.int64()) for k in names[1:])], names=names)
+        return pa.table([rows["doc_id"], *(pa.array(out[k], kinds.get(k, pa.int64())) for k in names[1:])], names=names)
 
-    kind = f"{id_column} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, text_hash long, text_hash_2 long" * with_text
+    kind = f"{id_column} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + ", spans array<long>" * with_spans + ", text_hash long, text_hash_2 long" * (with_text or with_spans)
     return texts().cogroup(marked.groupBy("block")).applyInArrow(keep, kind)
