@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+import re
 import struct
 
 import pytest
@@ -302,6 +305,36 @@ def test_shared_results_and_failures(spark):
     assert got == {2: 1, 3: 1, 4: None, 5: None}
 
 
+def test_contents_are_written_nowhere_and_computed_once(spark, monkeypatch):
+    """Of copies the first is computed; what is written between jobs holds no content."""
+    written, seen, real = [], [], duplicates.cut
+    monkeypatch.setattr(duplicates, "cut", lambda df, label: written.append(real(df, label)) or written[-1])
+    rows = [(k, "long content " * 20 + str(k // 3 if k < 9 else k)) for k in range(20)] + [(20, None), (21, None)]
+    e = spark.createDataFrame(rows, "key long, content string").select("key", F.octet_length("content").cast("long").alias("size_bytes"), "content", F.timestamp_seconds("key").alias("modified_at"), F.lit("p").alias("file_name"), F.col("key").alias("rank"))
+    compute = lambda rows: seen.append(rows) or duplicates.text_fingerprints(rows, "key", "content")
+    got = duplicates.similar_entries(e, 0, compute).select("group_first", "key").collect()
+    assert {(r["group_first"], r["key"]) for r in got} == {(k // 3 * 3, k) for k in range(9)}
+    assert len(seen) == 1 and {r["key"] for r in seen[0].select("key").collect()} == {0, 3, 6, *range(9, 22)}
+    assert not any("long content" in str(v) for df in written for row in df.collect() for v in row)
+
+
+def test_fingerprints_of_odd_texts(spark):
+    """Words end at a text's end and at five characters; runs of more than 255 words add up right."""
+    random.seed(3)
+    some = lambda n: "".join(random.choice("ab\u00e9 \t\n\x0b\f\r\u00a0") for _ in range(n))
+    texts = [None, "", " ", "a", "a", " a", "a ", "a\x0bb", "a\u00a0b", "\n\n", *[some(k) for k in range(60)], *[" ".join(f"w{random.randrange(9000)}" for _ in range(n)) for n in (254, 255, 256, 509, 510, 511, 3000)], "x" * 70_000]
+
+    def plain(text):
+        words = {w for w in re.split("[\t\n\f\r ]+", text or "") if w}
+        values = [int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big") for w in words]
+        value = sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
+        return (value - (1 << 64) if value >> 63 else value) if words else None
+
+    for parts in (1, 7):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+        assert {r["key"]: r["fingerprint"] for r in duplicates.text_fingerprints(df).collect()} == {k: plain(t) for k, t in enumerate(texts)}
+
+
 def test_missing_folders_and_reports(spark, tmp_path):
     (tmp_path / "x.jpg").write_bytes(b"1")
     assert catalog.scan(spark, [str(tmp_path / "gone"), str(tmp_path)]).count() == 1
