@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from silvergrain.llm import jaccard_join, mixing, packing, quality, suffix_dedup
-from silvergrain.llm.common import cut, partitions, table
+from silvergrain.llm.common import cut, outside, partitions, staged, table
 
 #: Names of columns that stages add and take away again.
 K1, K2, KEPT, ID, SAME, SPANS = "__stage_key_1", "__stage_key_2", "__stage_text", "__stage_id", "__stage_same", "__stage_spans"
@@ -34,6 +34,12 @@ def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.withColumns({K1: F.xxhash64(*cols, nulls), K2: F.xxhash64(F.lit(29), *cols, nulls)})
 
 
+def _cut_outside(df: DataFrame, label: str) -> DataFrame:
+    """What a stage's result still reads; the tables that led there go with their run."""
+    with outside():
+        return cut(df, label)
+
+
 def _shown(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -45,11 +51,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     share it, whatever their ids; null ids make no difference. Null and empty
     texts go.
     """
-    by = [c for c in ("text", "lang", "source") if c in docs.columns]
-    keyed = _keyed(docs, *by)
-    verdicts = quality.quality_verdicts(keyed, carry=(K1, K2))
-    rejected = cut(verdicts.where(~F.col("kept")).select(K1, K2).distinct(), "rejected")
-    return _shown(keyed.join(rejected, [K1, K2], "left_anti"), docs)
+    with staged(spark):
+        fit = _cut_outside(quality.estimates(docs), "estimates")
+    return quality.kept_documents(docs, fit)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +62,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of those the one of least hash stays. Rows with a null id have no group: of
     equal texts without an id one row stays, of least hash again.
     """
-    groups = jaccard_join.near_duplicates(docs)
-    others = cut(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
+    with staged(spark):
+        groups = jaccard_join.near_duplicates(docs)
+        others = _cut_outside(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
     named = F.when(F.col("doc_id").isNull(), F.concat_ws(":", F.xxhash64("text"), F.xxhash64(F.lit(29), "text")))
     # ids that come again are found without whole documents, which are not written here
     again = cut(docs.select("doc_id", named.alias(KEPT)).join(others, "doc_id", "left_anti").groupBy("doc_id", KEPT).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(ID), F.col(KEPT).alias(SAME)), "repeated")
@@ -78,8 +83,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows alike in id and text lose the same. Rows with a null id stay as they
     are. n_chars, if there is such a column, follows the text.
     """
-    found = suffix_dedup.dedup(docs, with_spans=True).where("doc_id is not null and n_removed > 0")
-    spans = cut(found.groupBy("doc_id", "text_hash", "text_hash_2").agg(F.first("spans").alias(SPANS)), "spans")
+    with staged(spark):
+        found = suffix_dedup.dedup(docs, with_spans=True).where("doc_id is not null and n_removed > 0")
+        spans = _cut_outside(found.groupBy("doc_id", "text_hash", "text_hash_2").agg(F.first("spans").alias(SPANS)), "spans")
     keyed = docs.withColumns({K1: suffix_dedup.text_hash(F.col("text")), K2: suffix_dedup.text_hash(F.col("text"), 2)})
     met = keyed.join(spans.withColumnsRenamed({"text_hash": K1, "text_hash_2": K2}), ["doc_id", K1, K2], "left")
     shortened = met.withColumn(KEPT, suffix_dedup.without_spans(F.when(F.col(SPANS).isNotNull(), F.col("text")), F.col(SPANS))).where(F.col(KEPT).isNull() | (F.trim(KEPT) != ""))
@@ -96,8 +102,9 @@ def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are one that is used as often as all of them. Null ids make no difference.
     """
     keyed = _keyed(docs, *docs.columns)
-    drawn = mixing.mix(keyed, carry=(K1, K2))
-    dealt = cut(drawn.select(K1, K2, "place", F.explode("shards").alias("__stage_shard")).groupBy(K1, K2, "__stage_shard").agg(F.min("place").alias("__stage_place"), F.count(F.lit(1)).alias("__stage_times")), "drawn")
+    with staged(spark):
+        drawn = mixing.mix(keyed, carry=(K1, K2))
+        dealt = _cut_outside(drawn.select(K1, K2, "place", F.explode("shards").alias("__stage_shard")).groupBy(K1, K2, "__stage_shard").agg(F.min("place").alias("__stage_place"), F.count(F.lit(1)).alias("__stage_times")), "drawn")
     if keyed.groupBy(K1, K2).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         keyed = keyed.dropDuplicates([K1, K2])
     used = keyed.join(dealt, [K1, K2]).withColumn("__stage_copy", F.explode(F.sequence(F.lit(1), F.col("__stage_times").cast("int"))))

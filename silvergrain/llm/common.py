@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from silvergrain.sources.staging import cut, shared_dir  # noqa: F401
+from silvergrain.sources.staging import cut, outside, shared_dir, staged  # noqa: F401
 
 #: A word is a maximal run of characters that are neither a space nor 0x09-0x0D.
 SPACE = r"[\x20\x09-\x0D]"

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 
@@ -11,6 +12,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from silvergrain.llm import mixing, quality
 from silvergrain.llm.queries import vocabulary
+from silvergrain.sources import staging
 
 
 def corpus(spark):
@@ -148,3 +150,33 @@ def test_stages_write_no_texts_between_jobs(spark, monkeypatch):
     got = dict(pairs(cut))
     assert got == {d: t for d, t in want.items() if t.strip(" ")} and got[601].endswith(" ") and got[601] + "©" + shared == dict(pairs(single))[601]
     assert len(written) == 3 and all(len(str(v)) < 200 for df in written for row in df.collect() for v in row)
+
+
+def test_stages_leave_neither_shuffles_nor_tables_behind(spark, tmp_path, monkeypatch):
+    """When a stage returns, of its jobs only the tables that its result reads are left."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").splitlines()
+    shuffles = lambda: {f for f in files() if "/shuffle_" in f and f.endswith(".data")}
+    left = {"quality rules": ["estimates"], "n-gram Jaccard join": ["copies", "repeated"], "suffix-array dedup": ["spans"], "mixing to target weights": ["drawn"]}
+    docs = corpus(spark).localCheckpoint()
+    setting = spark.conf.get(staging.CLEANUP)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        folder = tmp_path / name
+        monkeypatch.setattr(staging, "shared_dir", lambda spark, own=str(folder): staging._RUN.get() or own)
+        before = shuffles()
+        result = stage(spark, docs, "")
+        assert sorted(p.name.split("-")[0] for p in folder.iterdir()) == left[name], name
+        # counts of rows that are not written leave a few bytes
+        assert sum(os.path.getsize(f) for f in shuffles() - before) < 20_000 and spark.conf.get(staging.CLEANUP) == setting, name
+        docs = result.localCheckpoint()
+
+
+def test_quality_stage_moves_no_rows(spark, odd):
+    """Verdicts meet the rows where these are read, however many are rejected."""
+    df, _ = odd
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.quality_rules(spark, df, "")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
