@@ -16,7 +16,7 @@ are shuffled once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +38,15 @@ FINE = 64
 NEVER = np.iinfo(np.int32).min
 #: Bytes of a key that travel beside its bucket: with five million keys in a bucket one bucket in 25 has two that meet by chance.
 KEY_BYTES = 6
+#: Bytes of text that are split into words at once: their arrays stay in a core's cache.
+AT_ONCE = 1 << 18
 TOLD = "block int, bucket int, totals binary, tokens long, kinds long, weights binary, order int"
 ASKS = "bucket int, block int, keys binary, counts binary, tuned binary, times binary, base binary, level binary"
 
 
 def _tokens(texts: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, tokens with their ends, offsets) of slices of the texts."""
-    for first, data, offsets in flat(texts):
+    for first, data, offsets in flat(texts, AT_ONCE):
         hashed, at = word_hashes(data, offsets)
         yield first, np.insert(hashed, at[1:], END), at + np.arange(len(at))
 
@@ -82,19 +84,46 @@ def _unplaned(packed: bytes, size: int, ordered: bool = False) -> np.ndarray:
     return np.cumsum(whole, dtype=U) if ordered else whole
 
 
-class Counted:
-    """Distinct keys of a block with their training counts, in the order in which buckets are asked."""
+class Ranked:
+    """The distinct keys of an array in ascending order, and the places of each.
 
-    def __init__(self, keys: np.ndarray, learned: np.ndarray, n: int):
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        bucket = (distinct % U(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.keys, self.bucket, self.of = distinct[order], bucket[order], place[inverse.ravel()]
-        self.counts = np.bincount(self.of, learned, len(order)).astype(np.uint32)
-        self.edges = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1]]) if len(order) else np.zeros(0, int)
-        self.ends = np.r_[self.edges[1:], len(order)].astype(int)
+    Numbers are sorted several times faster than an order of them is found, so a
+    place takes the low bits of its key; what these bits would have told apart
+    (one pair in millions of hashes) is set right afterwards.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(len(keys) - 1, 1).bit_length()
+        low = U((1 << bits) - 1)
+        coded = np.sort(keys & ~low | np.arange(len(keys), dtype=U))
+        self.order = (coded & low).astype(np.int64)
+        ascending = keys[self.order]
+        new = np.r_[True, ascending[1:] != ascending[:-1]] if len(keys) else np.zeros(0, bool)
+        coded >>= U(bits)
+        if (ascending[1:] < ascending[:-1]).any():
+            run = np.cumsum(np.r_[True, coded[1:] != coded[:-1]])
+            at = np.flatnonzero(np.isin(run, run[1:][ascending[1:] < ascending[:-1]]))
+            self.order[at] = self.order[at][np.lexsort((ascending[at], run[at]))]
+            ascending = keys[self.order]
+            new[1:] = ascending[1:] != ascending[:-1]
+        self.starts = np.flatnonzero(new)
+        self.keys, self.first, self.run = ascending[self.starts], self.order[self.starts], np.cumsum(new, dtype=np.int64) - 1
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum of the values (whole numbers or booleans, place by place) of each key."""
+        return np.add.reduceat(values[self.order], self.starts, dtype=np.int64) if len(self.keys) else np.zeros(0, np.int64)
+
+    def spread(self, totals: np.ndarray) -> np.ndarray:
+        """The keys' totals, place by place."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = totals[self.run]
+        return out
+
+
+def asked_of(keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(bucket, first, end) of ascending keys: a bucket is a stretch of the range of hashes, the n-th part of it."""
+    cuts = np.r_[np.searchsorted(keys, np.array([-(-(b << 64) // n) for b in range(n)], U)), len(keys)].tolist()
+    return [(b, a, z) for b, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < z]
 
 
 def _answers(told: pa.Table) -> np.ndarray:
@@ -103,11 +132,6 @@ def _answers(told: pa.Table) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *(_unplaned(t, 5).astype(np.int64) for _, t in rows)])
 
 
-def _sum_up(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    _, inverse = np.unique(keys, return_inverse=True)
-    return np.bincount(inverse.ravel(), counts).astype(np.int64)[inverse.ravel()] if len(keys) else np.zeros(0, np.int64)
-
-
 def level_of(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(np.maximum(context, 1))).astype(np.int64), LEVELS - 1)
 
@@ -164,13 +188,12 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         fold = rows["fold"].to_numpy()
         keys, learned = [], []
         for first, tokens, at in slices(rows):
-            train = (fold[first : first + len(at) - 1] != HELD_OUT).astype(np.float64)
+            train = fold[first : first + len(at) - 1] != HELD_OUT
             keys += [tokens, np.full(len(at) - 1, START)]
             learned += [np.repeat(train, np.diff(at)), train]
-        c = Counted(np.concatenate(keys), np.concatenate(learned), n)
-        block = rows["block"][0].as_py()
-        spans = list(zip(c.edges, c.ends, strict=True))
-        return pa.table({"bucket": pa.array(c.bucket[c.edges], pa.int32()), "block": pa.array([block] * len(spans), pa.int32()), "keys": pa.array([_planes(c.keys[a:z], 8, True) for a, z in spans], pa.binary()), "counts": pa.array([_planes(c.counts[a:z], 4) for a, z in spans], pa.binary())})
+        c = Ranked(np.concatenate(keys))
+        counts, spans = c.sums(np.concatenate(learned)), asked_of(c.keys, n)
+        return pa.table({"bucket": pa.array([b for b, _, _ in spans], pa.int32()), "block": pa.array([rows["block"][0].as_py()] * len(spans), pa.int32()), "keys": pa.array([_planes(c.keys[a:z], 8, True) for _, a, z in spans], pa.binary()), "counts": pa.array([_planes(counts[a:z], 4) for _, a, z in spans], pa.binary())})
 
     def answered(rows: pa.Table, totals: np.ndarray, ends: np.ndarray, order: int, more: dict | None = None) -> pa.Table:
         """Rows of TOLD for what the blocks asked, and one row of sums."""
@@ -182,11 +205,10 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def answer_words(rows: pa.Table) -> pa.Table:
         raw, counts = rows["keys"].to_pylist(), rows["counts"].to_pylist()
         parts = [_unplaned(x, 8, True) for x in raw]
-        keys = np.concatenate(parts)
-        totals = _sum_up(keys, np.concatenate([_unplaned(x, 4) for x in counts]).astype(float))
-        real, first = np.unique(keys, return_index=True)
-        seen = totals[first][real != START]
-        return answered(rows, totals, np.cumsum([len(x) for x in parts]), 1, {"tokens": int(seen.sum()), "kinds": int((seen > 0).sum())})
+        c = Ranked(np.concatenate(parts))
+        totals = c.sums(np.concatenate([_unplaned(x, 4) for x in counts]))
+        seen = totals[c.keys != START]
+        return answered(rows, c.spread(totals), np.cumsum([len(x) for x in parts]), 1, {"tokens": int(seen.sum()), "kinds": int((seen > 0).sum())})
 
     by_word = texts().applyInArrow(ask_words, "bucket int, block int, keys binary, counts binary").groupBy("bucket").applyInArrow(answer_words, TOLD)
     sums = by_word.where("block is null").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds"))
@@ -209,15 +231,14 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
             words = own(1)
             self.total = max((x for x in words["tokens"].to_pylist() if x is not None), default=0)
             self.kinds = max((x for x in words["kinds"].to_pylist() if x is not None), default=0)
-            c = Counted(np.r_[self.tokens, np.full(len(length), START)], np.zeros(len(self.tokens) + len(length)), n)
-            count = _answers(words)[c.of]
+            count = Ranked(np.r_[self.tokens, np.full(len(length), START)]).spread(_answers(words))
             self.seen = count[: len(self.tokens)]
             self.context = _before(self.seen, self.at, count[-1] if len(length) else 0)
             self.pairs = _pairs(_before(self.tokens, self.at, START), self.tokens)
             # what follows is known of pairs once they have been answered, and of triples after that
             if most >= 2:
                 pairs = own(2)
-                self.pair_seen = _answers(pairs)[Counted(self.pairs, np.zeros(len(self.pairs)), n).of]
+                self.pair_seen = Ranked(self.pairs).spread(_answers(pairs))
                 # before a text's first word stands the start alone, as often as the start itself was seen
                 self.pair_context = _before(self.pair_seen, self.at, self.context[self.firsts[0]] if len(length) else 0)
                 self.triples = _triples(_before(self.pairs, self.at, START), self.tokens)
@@ -228,30 +249,36 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 triples = own(3)
                 self.triple_seen = np.zeros(len(self.tokens), np.int64)
                 asked = ~self.sure
-                self.triple_seen[asked] = _answers(triples)[Counted(self.triples[asked], np.zeros(int(asked.sum())), n).of]
+                self.triple_seen[asked] = Ranked(self.triples[asked]).spread(_answers(triples))
                 self.triple_weights = np.frombuffer(next(w for w in triples["weights"].to_pylist() if w is not None))
 
-        def single(self, less: int = 0) -> np.ndarray:
-            """One word's estimate over the floor; less: how often the token itself is deleted.
+        def single(self, less: int = 0, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+            """One word's estimate over the floor at these places; less: how often the token itself is deleted.
 
             The floor weighs as much as one more token of each kind that occurs once on average: kinds / (total + kinds).
             """
             total = max(self.total - less, 0)
             floor = self.kinds / max(total + self.kinds, 1) if self.kinds else 1.0
-            return (1 - floor) * np.maximum(self.seen - less, 0) / max(total, 1) + floor / (self.kinds + 1)
+            return (1 - floor) * np.maximum(self.seen[at] - less, 0) / max(total, 1) + floor / (self.kinds + 1)
 
-    def asked(rows: pa.Table, keys: np.ndarray, learned: np.ndarray, tuning: np.ndarray, context: np.ndarray, below: np.ndarray) -> pa.Table:
-        """Rows of ASKS. Of a held-out token: the logarithm (in bins) of what its count, less itself, is to be divided by for the ratio."""
+    def asked(rows: pa.Table, keys: np.ndarray, learned: np.ndarray, tuning: np.ndarray, estimates: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        """Rows of ASKS. Of a held-out token: the logarithm (in bins) of what its count, less itself, is to be divided by for the ratio.
+
+        estimates: the context's count, less the token, and the estimate below at places of keys; equal keys have equal ones.
+        """
         names = [x.split()[0] for x in ASKS.split(", ")]
-        c = Counted(keys, learned.astype(float), n)
-        times = np.bincount(c.of, tuning.astype(float), len(c.keys)).astype(np.uint32)
-        base, level = np.zeros(len(c.keys), np.int64), np.zeros(len(c.keys), np.uint8)
-        base[c.of], level[c.of] = np.round(FINE * np.log(np.maximum(context - 1, 1) * below)).astype(np.int64) + (1 << 15), level_of(context - 1)
-        high = c.keys >> U(64 - 8 * KEY_BYTES)
+        c = Ranked(keys)
+        counts, times = c.sums(learned), c.sums(tuning)
+        held = np.flatnonzero(times)
+        context, below = estimates(c.first[held])
+        base, level = np.round(FINE * np.log(np.maximum(context, 1) * below)).astype(np.int64) + (1 << 15), level_of(context)
+        with np.errstate(over="ignore"):
+            high = c.keys * U(n) >> U(64 - 8 * KEY_BYTES)  # how far into its bucket's stretch a key lies
         out = {k: [] for k in names}
-        for a, z in zip(c.edges, c.ends, strict=True):
-            use = np.flatnonzero(times[a:z])
-            row = (int(c.bucket[a]), rows["block"][0].as_py(), _planes(high[a:z], KEY_BYTES, True), _planes(c.counts[a:z], 4), _planes(use, 4, True), _planes(times[a:z][use], 4), _planes(base[a:z][use], 2), _planes(level[a:z][use], 1))
+        for bucket, a, z in asked_of(c.keys, n):
+            x, y = np.searchsorted(held, (a, z))
+            use = held[x:y]
+            row = (bucket, rows["block"][0].as_py(), _planes(high[a:z], KEY_BYTES, True), _planes(counts[a:z], 4), _planes(use - a, 4, True), _planes(times[use], 4), _planes(base[x:y], 2), _planes(level[x:y], 1))
             for k, v in zip(names, row, strict=True):
                 out[k].append(v)
         return pa.table([pa.array(out[k], pa.int32() if k in ("bucket", "block") else pa.binary()) for k in names], names=names)
@@ -264,22 +291,27 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if not len(rows):
             return nothing_asked()
         b = Block(rows, told, 1)
-        return asked(rows, b.pairs, b.train, b.tuning, b.context, b.single(1))
+        return asked(rows, b.pairs, b.train, b.tuning, lambda at: (b.context[at] - 1, b.single(1, at)))
 
     def ask_triples(rows: pa.Table, told: pa.Table) -> pa.Table:
         if not len(rows):
             return nothing_asked()
         b = Block(rows, told, 2)
-        use = ~b.sure
-        below = mixture(b.weights, np.maximum(b.pair_seen - 1, 0), b.context - 1, b.single(1))
-        return asked(rows, b.triples[use], b.train[use], b.tuning[use], b.pair_context[use], below[use])
+        use = np.flatnonzero(~b.sure)
+
+        def estimates(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = use[at]
+            return b.pair_context[at] - 1, mixture(b.weights, np.maximum(b.pair_seen[at] - 1, 0), b.context[at] - 1, b.single(1, at))
+
+        return asked(rows, b.triples[use], b.train[use], b.tuning[use], estimates)
 
     def totals_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         raw = rows["keys"].to_pylist()
         parts = [_unplaned(x, KEY_BYTES, True) for x in raw]
         keys = np.concatenate([np.zeros(0, U), *parts])
         counts = np.concatenate([np.zeros(0, U), *(_unplaned(x, 4) for x in rows["counts"].to_pylist())])
-        return _sum_up(keys, counts.astype(float)), np.cumsum([len(x) for x in parts])
+        c = Ranked(keys << U(64 - 8 * KEY_BYTES))
+        return c.spread(c.sums(counts)), np.cumsum([len(x) for x in parts])
 
     def answer(order: int):
         def run(rows: pa.Table) -> pa.Table:
@@ -295,8 +327,8 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         level = np.concatenate([np.zeros(0, U), *(_unplaned(t, 1) for t in rows["level"].to_pylist())]).astype(np.int64)
         less = totals[at] - 1
         bin_ = np.where(less > 0, np.round(FINE * np.log(np.maximum(less, 1))) - base, NEVER).astype(np.int64)
-        pair, inverse = np.unique(np.c_[level, bin_], axis=0, return_inverse=True) if len(at) else (np.zeros((0, 2), np.int64), np.zeros(0, int))
-        return pa.table({"level": pa.array(pair[:, 0], pa.int32()), "bin": pa.array(pair[:, 1], pa.int32()), "times": pa.array(np.bincount(inverse.ravel(), times, len(pair)).astype(np.int64))})
+        pair, inverse = np.unique(level << 32 | bin_ - NEVER, return_inverse=True)
+        return pa.table({"level": pa.array(pair >> 32, pa.int32()), "bin": pa.array((pair & 0xFFFFFFFF) + NEVER, pa.int32()), "times": pa.array(np.bincount(inverse, times, len(pair)).astype(np.int64))})
 
     def learn(rows: pa.Table) -> pa.Table:
         w = expectation_maximisation(rows["level"].to_numpy().astype(np.int64), rows["bin"].to_numpy().astype(np.int64), rows["times"].to_numpy().astype(float))

@@ -377,6 +377,24 @@ def test_weights_by_expectation_maximisation():
     assert abs(w[0] - true) < 0.02
 
 
+def test_ranked_keys_of_a_block():
+    """Distinct keys, sums and places, also where keys differ only in the bits that give way to the places; buckets are equal stretches."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    spread = rng.integers(0, 2**64, 300, np.uint64, endpoint=False)
+    close = spread[:40, None] + np.arange(7, dtype=np.uint64) * np.uint64(3)
+    for keys in (spread[:0], spread[:1], np.repeat(spread[:1], 5), rng.choice(spread, 4000), rng.choice(np.r_[close.ravel(), spread], 6000)):
+        distinct, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
+        r = lm_scoring.Ranked(keys)
+        own = rng.integers(0, 9, len(keys))
+        assert (r.keys == distinct).all() and (keys[r.first] == distinct).all()
+        assert (r.sums(own) == np.bincount(inverse, own, len(distinct))).all() and (r.sums(np.ones(len(keys), bool)) == times).all()
+        assert (r.spread(np.arange(len(distinct))) == inverse).all()
+        for n in (1, 7, 51, 211):
+            assert [b for b, a, z in lm_scoring.asked_of(r.keys, n) for _ in range(a, z)] == [int(k) * n >> 64 for k in r.keys]
+
+
 def test_token_counts(docs):
     import sentencepiece
 
