@@ -10,8 +10,10 @@ counts.
 Texts are dealt to blocks by a hash of their id and travel compressed. A block
 asks the buckets of its words' hashes for their counts, then those of its word
 pairs' and word triples'. Only counts travel; a word in every text is one entry
-per block. A triple of which a pair was never seen needs no asking. Everything is one lazy plan in which the texts
-are shuffled once.
+per block. A triple of which a pair was never seen needs no asking, nor does one
+of which a pair occurs in the training texts once, here, and in no other text:
+it was seen once. Everything is one lazy plan in which the texts are shuffled
+once.
 """
 
 from __future__ import annotations
@@ -36,12 +38,12 @@ LEVELS = 48
 #: Bins of the logarithm of two estimates' ratio, per unit.
 FINE = 64
 NEVER = np.iinfo(np.int32).min
-#: Bytes of a key that travel beside its bucket: with five million keys in a bucket one bucket in 25 has two that meet by chance.
-KEY_BYTES = 6
+#: Bytes of a key that travel beside its bucket: with five million keys in a bucket one bucket in 6,000 has two that meet by chance.
+KEY_BYTES = 7
 #: Bytes of text that are split into words at once: their arrays stay in a core's cache.
 AT_ONCE = 1 << 18
 TOLD = "block int, bucket int, totals binary, tokens long, kinds long, weights binary, order int"
-ASKS = "bucket int, block int, keys binary, counts binary, tuned binary, times binary, base binary, level binary"
+ASKS = "bucket int, block int, keys binary, counts binary, tuned binary, times binary, base binary, level binary, never binary"
 
 
 def _tokens(texts: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -107,6 +109,7 @@ class Ranked:
             ascending = keys[self.order]
             new[1:] = ascending[1:] != ascending[:-1]
         self.starts = np.flatnonzero(new)
+        self.sizes = np.diff(np.r_[self.starts, len(keys)])
         self.keys, self.first, self.run = ascending[self.starts], self.order[self.starts], np.cumsum(new, dtype=np.int64) - 1
 
     def sums(self, values: np.ndarray) -> np.ndarray:
@@ -238,18 +241,22 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
             # what follows is known of pairs once they have been answered, and of triples after that
             if most >= 2:
                 pairs = own(2)
-                self.pair_seen = Ranked(self.pairs).spread(_answers(pairs))
+                told_of_pair = Ranked(self.pairs).spread(_answers(pairs))
+                self.pair_seen = told_of_pair >> 1
                 # before a text's first word stands the start alone, as often as the start itself was seen
                 self.pair_context = _before(self.pair_seen, self.at, self.context[self.firsts[0]] if len(length) else 0)
                 self.triples = _triples(_before(self.pairs, self.at, START), self.tokens)
                 # a triple is seen no more often than either of its pairs; only texts that aren't learned from hold pairs never seen
-                self.sure = np.minimum(self.pair_seen, self.pair_context) == 0
+                never = np.minimum(self.pair_seen, self.pair_context) == 0
+                # a pair that no text but this one holds, and this one once, has a triple that does so too
+                alone = self.train & (told_of_pair == 1 << 1)
+                self.once = alone | _before(alone, self.at, False)
+                self.asked = ~(never | self.once)
                 self.weights = np.frombuffer(next(w for w in pairs["weights"].to_pylist() if w is not None))
             if most >= 3:
                 triples = own(3)
-                self.triple_seen = np.zeros(len(self.tokens), np.int64)
-                asked = ~self.sure
-                self.triple_seen[asked] = Ranked(self.triples[asked]).spread(_answers(triples))
+                self.triple_seen = self.once.astype(np.int64)
+                self.triple_seen[self.asked] = Ranked(self.triples[self.asked]).spread(_answers(triples)) >> 1
                 self.triple_weights = np.frombuffer(next(w for w in triples["weights"].to_pylist() if w is not None))
 
         def single(self, less: int = 0, at: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -261,14 +268,17 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
             floor = self.kinds / max(total + self.kinds, 1) if self.kinds else 1.0
             return (1 - floor) * np.maximum(self.seen[at] - less, 0) / max(total, 1) + floor / (self.kinds + 1)
 
-    def asked(rows: pa.Table, keys: np.ndarray, learned: np.ndarray, tuning: np.ndarray, estimates: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    def asked(rows: pa.Table, keys: np.ndarray, learned: np.ndarray, tuning: np.ndarray, estimates: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], never: np.ndarray | None = None) -> pa.Table:
         """Rows of ASKS. Of a held-out token: the logarithm (in bins) of what its count, less itself, is to be divided by for the ratio.
 
-        estimates: the context's count, less the token, and the estimate below at places of keys; equal keys have equal ones.
+        The lowest bit of counts tells whether a text that isn't learned from holds the key. estimates: the context's
+        count, less the token, and the estimate below at places of keys; equal keys have equal ones. never: per level,
+        held-out tokens that aren't asked of since their counts, less themselves, are 0; a row of its own has them.
         """
         names = [x.split()[0] for x in ASKS.split(", ")]
         c = Ranked(keys)
         counts, times = c.sums(learned), c.sums(tuning)
+        counts = counts << 1 | (counts < c.sizes)
         held = np.flatnonzero(times)
         context, below = estimates(c.first[held])
         base, level = np.round(FINE * np.log(np.maximum(context, 1) * below)).astype(np.int64) + (1 << 15), level_of(context)
@@ -278,9 +288,13 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         for bucket, a, z in asked_of(c.keys, n):
             x, y = np.searchsorted(held, (a, z))
             use = held[x:y]
-            row = (bucket, rows["block"][0].as_py(), _planes(high[a:z], KEY_BYTES, True), _planes(counts[a:z], 4), _planes(use - a, 4, True), _planes(times[use], 4), _planes(base[x:y], 2), _planes(level[x:y], 1))
+            row = (bucket, rows["block"][0].as_py(), _planes(high[a:z], KEY_BYTES, True), _planes(counts[a:z], 4), _planes(use - a, 4, True), _planes(times[use], 4), _planes(base[x:y], 2), _planes(level[x:y], 1), None)
             for k, v in zip(names, row, strict=True):
                 out[k].append(v)
+        if never is not None:
+            block = rows["block"][0].as_py()
+            for k, v in zip(names, (block, block, *[_planes(np.zeros(0, U), 1)] * 6, _planes(never, 5)), strict=True):
+                out[k].append(v)
         return pa.table([pa.array(out[k], pa.int32() if k in ("bucket", "block") else pa.binary()) for k in names], names=names)
 
     def nothing_asked() -> pa.Table:
@@ -297,13 +311,14 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if not len(rows):
             return nothing_asked()
         b = Block(rows, told, 2)
-        use = np.flatnonzero(~b.sure)
+        use = np.flatnonzero(b.asked)
 
         def estimates(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at = use[at]
             return b.pair_context[at] - 1, mixture(b.weights, np.maximum(b.pair_seen[at] - 1, 0), b.context[at] - 1, b.single(1, at))
 
-        return asked(rows, b.triples[use], b.train[use], b.tuning[use], estimates)
+        never = np.bincount(level_of(b.pair_context[b.once & b.tuning] - 1), minlength=LEVELS)
+        return asked(rows, b.triples[use], b.train[use], b.tuning[use], estimates, never)
 
     def totals_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         raw = rows["keys"].to_pylist()
@@ -311,7 +326,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         keys = np.concatenate([np.zeros(0, U), *parts])
         counts = np.concatenate([np.zeros(0, U), *(_unplaned(x, 4) for x in rows["counts"].to_pylist())])
         c = Ranked(keys << U(64 - 8 * KEY_BYTES))
-        return c.spread(c.sums(counts)), np.cumsum([len(x) for x in parts])
+        return c.spread(c.sums(counts >> U(1)) << 1 | (c.sums(counts & U(1)) > 0)), np.cumsum([len(x) for x in parts])
 
     def answer(order: int):
         def run(rows: pa.Table) -> pa.Table:
@@ -325,8 +340,12 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         times = np.concatenate([np.zeros(0, U), *(_unplaned(t, 4) for t in rows["times"].to_pylist())]).astype(float)
         base = np.concatenate([np.zeros(0, U), *(_unplaned(t, 2) for t in rows["base"].to_pylist())]).astype(np.int64) - (1 << 15)
         level = np.concatenate([np.zeros(0, U), *(_unplaned(t, 1) for t in rows["level"].to_pylist())]).astype(np.int64)
-        less = totals[at] - 1
+        less = (totals[at] >> 1) - 1
         bin_ = np.where(less > 0, np.round(FINE * np.log(np.maximum(less, 1))) - base, NEVER).astype(np.int64)
+        for x in rows["never"].drop_null().to_pylist():
+            level, bin_, times = np.r_[level, np.arange(LEVELS)], np.r_[bin_, np.full(LEVELS, NEVER)], np.r_[times, _unplaned(x, 5).astype(float)]
+        use = times > 0
+        level, bin_, times = level[use], bin_[use], times[use]
         pair, inverse = np.unique(level << 32 | bin_ - NEVER, return_inverse=True)
         return pa.table({"level": pa.array(pair >> 32, pa.int32()), "bin": pa.array((pair & 0xFFFFFFFF) + NEVER, pa.int32()), "times": pa.array(np.bincount(inverse, times, len(pair)).astype(np.int64))})
 

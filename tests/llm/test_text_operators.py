@@ -364,6 +364,22 @@ def test_scores_equal_a_plain_model(spark):
     assert sum(want[d] for d in want if fold(d) == 2) > 1.1 * sum(math.log10(1 / 40) * (len(t.split()) + 1) for d, t in rows if fold(d) == 2)
 
 
+def test_scores_where_most_pairs_occur_once(spark):
+    """Triples that are known to occur once aren't asked of; texts that aren't learned from still find those they share."""
+    random.seed(29)
+    passage = lambda: [f"w{random.randrange(150)}" for _ in range(random.randint(1, 30))]
+    texts = [passage() for _ in range(150)]
+    for k in range(150):
+        if fold(k) == 2 or k % 5 == 0:  # shares a stretch with one other text
+            other = texts[random.randrange(150)]
+            a = random.randrange(len(other))
+            texts[k] += other[a : a + random.randint(2, 12)] + passage()[:2]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_scores(rows)
+    assert all(math.isclose(got[d], want[d], rel_tol=2e-3, abs_tol=1e-3) for d in want)
+
+
 def test_weights_by_expectation_maximisation():
     """Held-out counts drawn from a known mixture give its weight back."""
     import numpy as np
