@@ -55,8 +55,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _held[size]
 
 
-def flat(column: pa.Array | pa.ChunkedArray, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of slices of the column, of so many bytes at most (or one text); null texts are empty."""
+def flat(column: pa.Array | pa.ChunkedArray, most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of slices of the column, of so many bytes at most (SLICE, if not given) or one text; null texts are empty."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     row = 0
     for chunk in chunks:
@@ -66,7 +66,7 @@ def flat(column: pa.Array | pa.ChunkedArray, most: int = SLICE) -> Iterator[tupl
             data = np.frombuffer(chunk.buffers()[2], np.uint8) if chunk.buffers()[2] is not None else np.zeros(0, np.uint8)
             lo = 0
             while lo < len(chunk):
-                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (most or SLICE), "right")) - 1)
                 yield row + lo, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
                 lo = hi
         row += len(chunk)
